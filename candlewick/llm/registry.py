@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, language_id, mixing, simhash
+from . import decontamination, exact_dedup, language_id, mixing, pii, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontamination.query,
+        "op2_secrets": secrets.query,
         "op3_language_id": language_id.query,
         "op5_mixing": mixing.query,
+        "op8_pii": pii.query,
         "op9_simhash": simhash.query,
         "op10_exact_dedup": exact_dedup.query,
     }
