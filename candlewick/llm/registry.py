@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, language_id, mixing, pii, secrets, simhash
+from . import chat, decontamination, exact_dedup, language_id, mixing, pii, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": secrets.query,
         "op3_language_id": language_id.query,
         "op5_mixing": mixing.query,
+        "op7_chat": chat.query,
         "op8_pii": pii.query,
         "op9_simhash": simhash.query,
         "op10_exact_dedup": exact_dedup.query,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.SQL}
+    return {"op7_chat": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}
