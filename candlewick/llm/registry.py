@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, exact_dedup, language_id, mixing, pii, secrets, simhash
+from . import chat, decontamination, exact_dedup, html_extract, language_id, mixing, pii, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": decontamination.query,
         "op2_secrets": secrets.query,
         "op3_language_id": language_id.query,
+        "op4_html": html_extract.query,
         "op5_mixing": mixing.query,
         "op7_chat": chat.query,
         "op8_pii": pii.query,
