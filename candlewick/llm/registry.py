@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, exact_dedup, html_extract, language_id, mixing, pii, secrets, simhash
+from . import chat, decontamination, exact_dedup, html_extract, language_id, mixing, pii, secrets, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": language_id.query,
         "op4_html": html_extract.query,
         "op5_mixing": mixing.query,
+        "op6_suffix_dedup": suffix_dedup.query,
         "op7_chat": chat.query,
         "op8_pii": pii.query,
         "op9_simhash": simhash.query,
