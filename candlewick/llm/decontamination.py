@@ -1,7 +1,7 @@
 """Benchmark decontamination with a BM25 inverted index of test items and block-max WAND.
 
-The index holds the benchmark's items: postings of each term with BM25 impacts, in blocks that carry their greatest
-impact. Impacts are divided by the item's score against itself, so a passage that holds all of an item scores 1 and one
+The index holds the benchmark's items: postings of each term with BM25 impacts, in blocks of a few items that carry the
+term's greatest impact. Impacts are divided by the item's score against itself, so a passage that holds all of an item scores 1 and one
 threshold fits short and long items. Every training passage is a query. Passages are two adjoining segments, a segment
 having as many words as the longest item, so each occurrence of an item lies whole in some passage; all of a text is
 covered. Per segment the block maxima are added up with numpy; only passages whose bound for some block reaches the
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -33,8 +34,9 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
-POSTINGS_PER_BLOCK = 16
-ITEMS_PER_SHARD = 20_000
+ITEMS_PER_BLOCK = 4
+#: A shard's index takes about 50 MB at most: its terms by its blocks.
+ITEMS_PER_SHARD = 1000
 CHUNK_WORDS = 200_000
 WORD = re.compile(r"\w+")
 
@@ -75,57 +77,52 @@ class Index:
                     self.terms[t] = len(postings)
                     postings.append([])
                 postings[self.terms[t]].append((at, x / own))
-        self.docs = [np.array([p[0] for p in ps], np.int64) for ps in postings]
-        self.impacts = [np.array([p[1] for p in ps]) for ps in postings]
-        self.greatest = np.array([x.max() for x in self.impacts]) if postings else np.zeros(0)
-        cut = [np.arange(0, len(d), POSTINGS_PER_BLOCK) for d in self.docs]
-        self.block_last = [d[np.minimum(c + POSTINGS_PER_BLOCK, len(d)) - 1] for d, c in zip(self.docs, cut)]
-        self.block_max = [np.maximum.reduceat(x, c) for x, c in zip(self.impacts, cut)]
-        # Maxima over fixed ranges of items, for the bound of whole segments.
-        self.ranges = max(1, math.isqrt(max(1, len(items))))
-        self.range_max = np.zeros((len(postings), self.ranges), np.float32)
-        for t, (d, x) in enumerate(zip(self.docs, self.impacts)):
-            np.maximum.at(self.range_max[t], d * self.ranges // max(1, len(items)), x.astype(np.float32))
-
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Block-max WAND: every item whose impacts over ``terms`` add up to the threshold."""
-        eps = 1e-9
-        docs, out = self.docs, []
-        lists = [[int(docs[t][0]), 0, t] for t in terms]
-        lists.sort()
-        while lists:
-            bound, pivot = 0.0, -1
-            for k, (_, _, t) in enumerate(lists):
-                bound += self.greatest[t]
-                if bound >= threshold - eps:
-                    pivot = k
+        self.docs = [[p[0] for p in ps] for ps in postings]
+        self.impacts = [[p[1] for p in ps] for ps in postings]
+        # Blocks are ranges of items, the same for all terms, with each term's greatest impact there.
+        self.blocks = max(1, -(-len(items) // ITEMS_PER_BLOCK))
+        self.block_max = np.zeros((len(postings), self.blocks), np.float32)
+        for t, ps in enumerate(postings):
+            for at, x in ps:
+                self.block_max[t, at // ITEMS_PER_BLOCK] = max(self.block_max[t, at // ITEMS_PER_BLOCK], x)
+
+    def search(self, terms: np.ndarray, threshold: float, blocks: list[int]) -> list[tuple[int, float]]:
+        """Block-max WAND over ``blocks``: every item there whose impacts over ``terms`` add up to the threshold."""
+        docs, impacts, out = self.docs, self.impacts, []
+        least = threshold - 1e-6
+        for block in blocks:
+            most = self.block_max[terms, block]
+            if most.sum() < least:
+                continue
+            end, lists = (block + 1) * ITEMS_PER_BLOCK, []
+            for t, bound in zip(terms[most > 0].tolist(), most[most > 0].tolist()):
+                at = bisect_left(docs[t], block * ITEMS_PER_BLOCK)
+                lists.append([docs[t][at], at, t, bound])
+            while lists:
+                lists.sort()
+                bound, item = 0.0, -1
+                for x in lists:
+                    bound += x[3]
+                    if bound >= least:
+                        item = x[0]
+                        break
+                if item < 0:
                     break
-            if pivot < 0:
-                break
-            item = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
-                pivot += 1
-            blocks, until = 0.0, len(self.ids)
-            for _, _, t in lists[: pivot + 1]:
-                b = int(np.searchsorted(self.block_last[t], item))
-                if b < len(self.block_last[t]):
-                    blocks += self.block_max[t][b]
-                    until = min(until, int(self.block_last[t][b]) + 1)
-            if blocks < threshold - eps:
-                until = min([until, *(x[0] for x in lists[pivot + 1 : pivot + 2])])
-                move = max(until, item + 1)
-                moved = lists[: pivot + 1]
-            elif lists[0][0] == item:
-                score = sum(self.impacts[t][at] for d, at, t in lists[: pivot + 1])
-                if score >= threshold - eps:
-                    out.append((item, float(score)))
-                move, moved = item + 1, lists[: pivot + 1]
-            else:
-                move, moved = item, [x for x in lists[:pivot] if x[0] < item]
-            for x in moved:
-                at = int(np.searchsorted(docs[x[2]], move))
-                x[0], x[1] = (int(docs[x[2]][at]), at) if at < len(docs[x[2]]) else (-1, -1)
-            lists = sorted(x for x in lists if x[0] >= 0)
+                if lists[0][0] == item:
+                    score = sum(impacts[t][at] for d, at, t, _ in lists if d == item)
+                    if score >= least:
+                        out.append((item, score))
+                    item += 1
+                # Lists before the pivot go on to it; after a scored pivot, past it.
+                left = []
+                for x in lists:
+                    if x[0] < item:
+                        at = bisect_left(docs[x[2]], item, x[1])
+                        if at == len(docs[x[2]]) or docs[x[2]][at] >= end:
+                            continue
+                        x[0], x[1] = docs[x[2]][at], at
+                    left.append(x)
+                lists = left
         return out
 
     def verified(self, item: int, passage: set[tuple[str, ...]], w: list[str]) -> float | None:
@@ -155,10 +152,10 @@ def _matches(texts: list[str | None], index: Index, threshold: float) -> Iterato
     known = ids >= 0
     unique = np.unique(segment[known] * len(index.terms) + ids[known])
     seg, term = unique // max(1, len(index.terms)), unique % max(1, len(index.terms))
-    bound = np.zeros((int(first_segment[-1]) + 1, index.ranges), np.float32)
+    bound = np.zeros((int(first_segment[-1]) + 1, index.blocks), np.float32)
     if len(seg):
         cut = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-        bound[seg[cut]] = np.add.reduceat(index.range_max[term], cut, axis=0)
+        bound[seg[cut]] = np.add.reduceat(index.block_max[term], cut, axis=0)
     best: dict[tuple[int, int], tuple[float, float]] = {}
     both = bound[:-1] + bound[1:]
     last = np.zeros(len(both), bool)
@@ -170,8 +167,8 @@ def _matches(texts: list[str | None], index: Index, threshold: float) -> Iterato
         d = int(np.searchsorted(first_segment, s, "right")) - 1
         lo = (s - int(first_segment[d])) * step
         w = tokens[d][lo : lo + 2 * step]
-        terms = sorted({x for x in map(get, w) if x is not None})
-        found = index.search(terms, threshold)
+        terms = np.array(sorted({x for x in map(get, w) if x is not None}), np.int64)
+        found = index.search(terms, threshold, np.flatnonzero(both[s] >= threshold - 1e-4).tolist())
         if found:
             have = shingles(w)
             for item, score in found:
