@@ -34,11 +34,11 @@ def _at(array: str | Column, i: int) -> Column:
 
 
 def binance_live(raw: DataFrame) -> DataFrame:
-    k = "t bigint, T bigint, s string, o string, h string, l string, c string, v string, n bigint, q string, V string, Q string, x boolean"
-    # Names that differ by case alone are one column to SQL; keep the maps' own keys.
-    rows = raw.select(F.get_json_object("raw", "$.e").alias("e"), *[F.get_json_object("raw", f"$.k.{f.split()[0]}").cast(f.split()[1]).alias(f"f{i}") for i, f in enumerate(k.split(", "))])
-    f = [F.col(f"f{i}") for i in range(13)]
-    return _normal(rows.where((F.col("e") == "kline") & f[12]), f[0], f[1], f[2], f[3:7], f[7], f[8], f[9], f[10], f[11])
+    # Keys that differ by case alone: a map keeps them apart, and one parse gives them all.
+    rows = raw.select(F.from_json("raw", "e string, k map<string,string>").alias("m")).where("m.e = 'kline'").select("m.k")
+    get = lambda name: F.try_element_at("k", F.lit(name))
+    long = lambda name: get(name).try_cast("bigint")
+    return _normal(rows.where(get("x") == "true"), long("t"), long("T"), get("s"), [get(c) for c in "ohlc"], get("v"), long("n"), get("q"), get("V"), get("Q"))
 
 
 def binance_history(raw: DataFrame) -> DataFrame:

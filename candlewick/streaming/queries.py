@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import correlation
 from ..operators.bars import unpivot
@@ -50,7 +51,7 @@ def land_minute_bars(rows: DataFrame, work: str, unit: str = "1 minute", trigger
     bars = minute_bars(rows, unit)
     spark.createDataFrame([], bars.schema).write.mode("ignore").parquet(f"{out}/batch=-1")
     _run(bars.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")), work, trigger)
-    found = spark.read.schema(bars.schema.add("batch", "bigint")).parquet(out)
+    found = spark.read.schema(StructType([*bars.schema.fields, StructField("batch", LongType())])).parquet(out)
     rest = [c for c in bars.columns if c not in ("symbol", "start_time")]
     last = found.groupBy("symbol", "start_time").agg(F.max_by(F.struct(*rest), "batch").alias("r"))
     return last.select("symbol", "start_time", *[F.col("r")[c].alias(c) for c in rest])
