@@ -43,8 +43,17 @@ def located(docs: DataFrame, **cols: str) -> DataFrame:
         return located(saved(docs.select(*picked), "located"))
 
 
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs``, written out first unless it is a plain Parquet scan: its locators are then the same at every use."""
+    try:
+        docs.metadataColumn("_metadata")
+        return docs
+    except AnalysisException:
+        return saved(docs, "stable")
+
+
 def keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose locators are in ``keep``, with the columns of ``docs``."""
+    """The rows of ``docs``, a Parquet scan, whose locators are in ``keep``, with the columns of ``docs``."""
     keep = keep.select(F.col(FILE).alias("__keep_file"), F.col(ROW).alias("__keep_row"))
     at = located(docs)
     return at.join(keep, (at[FILE] == keep["__keep_file"]) & (at[ROW] == keep["__keep_row"]), "left_semi").drop(FILE, ROW)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, located, saved, table
+from .common import FILE, ROW, located, saved, stable, table
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -233,6 +233,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], thresho
 
 def kept_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The pipeline's stage: documents that match no item, with their own columns."""
+    docs = stable(docs)
     at = located(docs, text="text")
     hit = saved(find_matches(at, benchmark, [FILE, ROW]).select(FILE, ROW).distinct(), "decontamination-hits")
     return drop_rows(docs, hit)

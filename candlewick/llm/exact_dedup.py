@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, keep_rows, located, saved, table, work_dir
+from .common import FILE, ROW, keep_rows, located, saved, stable, table, work_dir
 
 #: Bytes of identifiers and digests, about a hundredth of the texts, that one micro-batch takes.
 MAX_BYTES_PER_TRIGGER = 16 << 30
@@ -121,6 +121,7 @@ def _kept(joined: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: the rows of ``docs`` that stay, with their own columns."""
+    docs = stable(docs)
     return keep_rows(docs, stateful_dedup(docs).where("kept"))
 
 

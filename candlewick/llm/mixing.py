@@ -23,7 +23,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, located, saved, table
+from .common import FILE, ROW, located, saved, stable, table
 
 BLOCK_ROWS = 16
 RANGES = 1024
@@ -123,6 +123,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The pipeline's last stage: all rows of ``docs``, with slot and place, the order to train in."""
+    docs = stable(docs)
     at = located(docs)
     placed = mix(docs).select(F.col(FILE).alias("__mix_file"), F.col(ROW).alias("__mix_row"), "slot", "place")
     return at.join(placed, (at[FILE] == placed["__mix_file"]) & (at[ROW] == placed["__mix_row"])).select(*[at[c] for c in docs.columns], "slot", "place")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, keep_rows, located, saved, table
+from .common import FILE, ROW, keep_rows, located, saved, stable, table
 
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 SEED = 42
@@ -328,6 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: of each component the row with the smallest doc_id stays."""
+    docs = stable(docs)
     return keep_rows(docs, near_duplicates(docs).where("kept"))
 
 
