@@ -36,7 +36,9 @@ from .common import FILE, ROW, located, saved, table
 MIN_BYTES = 400
 GRAM = 64
 BUCKET_LIMIT = 4096
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: Rows of a batch that become Python objects at once.
+ROWS = 256
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
@@ -110,6 +112,15 @@ def anchors_of(pieces: list[tuple[bytes, int, int]], min_bytes: int, gram: int)
         return piece, pos, left, right, h[at], c1, c2
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of ``rows`` rows; what Arrow holds in reserve goes back after each batch."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def _anchor_batches(min_bytes: int, gram: int, piece_bytes: int):
     names = ["f", "r", "pos", "left", "right", "gram", "c1", "c2"]
 
@@ -127,7 +138,7 @@ def _anchor_batches(min_bytes: int, gram: int, piece_bytes: int):
         keys: list[tuple] = []
         pieces: list[tuple[bytes, int, int]] = []
         size, last = 0, [-1, -1, -1]
-        for batch in batches:
+        for batch in _slices(batches):
             for f, r, text in zip(*(batch.column(c).to_pylist() for c in ("f", "r", "text"))):
                 text = (text or "").encode("utf-8", "surrogatepass")
                 starts = len(text) - min_bytes + 1
@@ -150,7 +161,7 @@ def _anchor_batches(min_bytes: int, gram: int, piece_bytes: int):
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as compressed bytes, for the shuffle."""
     zip_ = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in _slices(batches):
         text = [zip_.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
         names = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(text, pa.binary())], [*names, "zip"])
@@ -159,15 +170,14 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _context_batches(min_bytes: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[tuple] = []
-            size = 0
             for z, at in zip(batch.column("zip"), batch.column("at").to_pylist()):
                 text = unzip.decompress(z.as_py())
                 for x in at:
                     p = x["pos"]
                     out.append((x["gram"], x["c1"], x["c2"], x["n"], text[max(0, p - min_bytes + gram) : p][::-1], text[p : p + min_bytes]))
-                if len(out) >= 20_000:
+                if len(out) >= 5000:
                     yield _context_rows(out)
                     out = []
             if out:
@@ -260,7 +270,7 @@ def _bucket_batches(min_bytes: int):
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], ["gram", "c1", "c2", "left", "right"])
 
-        for batch in batches:
+        for batch in _slices(batches, 2048):
             for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "c1", "c2", "n", "back", "ahead"))):
                 if bucket and bucket[0][0] != row[0]:
                     out += _bucket_rows(bucket, min_bytes)
@@ -342,7 +352,7 @@ def _window_batches(min_bytes: int):
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unzip = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in _slices(batches):
         out = []
         for z, spans in zip(batch.column("zip"), batch.column("spans").to_pylist()):
             text = unzip.decompress(z.as_py())
