@@ -312,6 +312,8 @@ def covered(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, bucke
     covers = small.repartition(n, "gram").sortWithinPartitions("gram", "ahead", "back").mapInArrow(_bucket_batches(min_bytes), COVER)
     if not large.isEmpty():
         covers = covers.unionByName(_large_covers(bytes_of(contexts.join(large, "gram", "left_semi")), min_bytes))
+    # All covers of a context lie over its anchor, so together they are one stretch: the farthest to each side.
+    covers = covers.where(F.col("left") + F.col("right") >= min_bytes).groupBy("gram", "c1", "c2").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     covers = saved(covers, "suffix-covers")
     other = mixed.join(covers.withColumnsRenamed({"left": "l", "right": "k"}), ["gram", "c1", "c2"]).select("f", "r", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("k")).alias("end"))
     spans = alike.unionByName(other).where(F.col("end") - F.col("start") >= min_bytes).distinct()
