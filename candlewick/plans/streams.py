@@ -35,8 +35,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _ticks(spark, sf):
-    # A pattern matches a folder and a single file alike; a stream takes no path of one file.
-    return Q.ticks(spark, f"{sf}/event[s].parquet")
+    # A pattern matches a folder and a single file alike; a stream takes no path of one file. Files may span all times: no watermark.
+    return Q.ticks(spark, f"{sf}/event[s].parquet", None)
 
 
 @query("stream_minute_bars", MARKET["bars_minutely"])
@@ -48,7 +48,7 @@ def stream_minute_bars(spark, sf):
 def stream_dedup(spark, sf):
     """Every tick is delivered twice; each is kept once."""
     twice = _ticks(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    kept = Q.land(Q.deduplicated(twice, ["event_id"]), work(spark, "dedup"))
+    kept = Q.land(Q.deduplicated(twice, ["event_id"], expire=False), work(spark, "dedup"))
     return kept.groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("value"), 4).alias("value"))
 
 
@@ -78,6 +78,7 @@ def stream_corr(spark, sf):
 
 @query("stream_complete_minutes", "SELECT date_trunc('minute', ts) AS start_time, count(DISTINCT event_type) AS symbols, count(DISTINCT event_type) >= 2 AS complete FROM events GROUP BY 1 HAVING count(DISTINCT event_type) >= 2")
 def stream_complete_minutes(spark, sf):
-    """Minutes that have two symbols or more, sent when the second is there."""
-    out = Q.land_updates(Q.complete_or_forced(_ticks(spark, sf), 2), work(spark, "complete"))
-    return out.where("complete").select(F.col("start_time").cast("timestamp_ntz").alias("start_time"), "symbols", "complete")
+    """Minutes that have two symbols or more, sent when the second is there and again with each later one; the last counts."""
+    out = Q.land_updates(Q.complete_or_forced(_ticks(spark, sf), 2, expire=False), work(spark, "complete"))
+    last = out.where("complete").groupBy("start_time", "complete").agg(F.max("symbols").alias("symbols"))
+    return last.select(F.col("start_time").cast("timestamp_ntz").alias("start_time"), "symbols", "complete")

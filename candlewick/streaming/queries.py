@@ -2,11 +2,15 @@
 
 Each starts from a folder of landed Parquet files and runs until what has landed is used up (``availableNow``), or on a
 trigger of one's own. State and progress live in the checkpoint below ``work``, a folder that all executors share.
+
+With a watermark, rows later than it are lost and state expires: that is for live ticks. A replay of a table that has
+landed in any order of time takes no watermark; its state, in RocksDB, is kept to the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -20,20 +24,42 @@ from ..operators.bars import unpivot
 from ..operators.zscore import LEAST_VARIANCE
 
 TICKS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+def ticks(spark: SparkSession, path: str, lateness: str | None = "10 minutes", files_per_trigger: int = 64) -> DataFrame:
+    """Landed ticks as a stream with a watermark, or without one if ``lateness`` is None; ``ts`` with a zone, as watermarks need."""
+    rows = spark.readStream.schema(TICKS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withWatermark("ts", lateness) if lateness else rows
 
 
-def ticks(spark: SparkSession, path: str, lateness: str = "10 minutes", files_per_trigger: int = 64) -> DataFrame:
-    """Landed ticks as a stream with a watermark; ``ts`` with a zone, as watermarks need."""
-    rows = spark.readStream.schema(TICKS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    try:
+        for k, v in ROCKSDB.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _run(writer, work: str, trigger: dict | None = None) -> None:
-    writer.option("checkpointLocation", f"{work}/checkpoint").trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
+def _run(spark: SparkSession, writer, work: str, trigger: dict | None = None) -> None:
+    with _rocksdb(spark):
+        writer.option("checkpointLocation", f"{work}/checkpoint").trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
 
 
 def minute_bars(rows: DataFrame, unit: str = "1 minute") -> DataFrame:
-    """Streaming candles; a candle is updated until the watermark has passed its end."""
+    """Streaming candles; a candle is updated until the watermark has passed its end, without one at any time."""
     order = F.struct("ts", "event_id")
     bars = rows.groupBy(F.col("event_type").alias("symbol"), F.window("ts", unit).alias("w")).agg(
         F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"),
@@ -50,21 +76,21 @@ def land_minute_bars(rows: DataFrame, work: str, unit: str = "1 minute", trigger
     spark, out = rows.sparkSession, f"{work}/bars"
     bars = minute_bars(rows, unit)
     spark.createDataFrame([], bars.schema).write.mode("ignore").parquet(f"{out}/batch=-1")
-    _run(bars.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")), work, trigger)
+    _run(spark, bars.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")), work, trigger)
     found = spark.read.schema(StructType([*bars.schema.fields, StructField("batch", LongType())])).parquet(out)
     rest = [c for c in bars.columns if c not in ("symbol", "start_time")]
     last = found.groupBy("symbol", "start_time").agg(F.max_by(F.struct(*rest), "batch").alias("r"))
     return last.select("symbol", "start_time", *[F.col("r")[c].alias(c) for c in rest])
 
 
-def deduplicated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Each key once within the watermark; later repeats and late rows are dropped."""
-    return rows.dropDuplicatesWithinWatermark(keys)
+def deduplicated(rows: DataFrame, keys: list[str], expire: bool = True) -> DataFrame:
+    """Each key once within the watermark; later repeats and late rows are dropped. Without ``expire``, once ever."""
+    return rows.dropDuplicatesWithinWatermark(keys) if expire else rows.dropDuplicates(keys)
 
 
 def land(rows: DataFrame, work: str, trigger: dict | None = None) -> DataFrame:
     out = f"{work}/rows"
-    _run(rows.writeStream.format("parquet").option("path", out), work, trigger)
+    _run(rows.sparkSession, rows.writeStream.format("parquet").option("path", out), work, trigger)
     return rows.sparkSession.read.schema(rows.schema).parquet(out)
 
 
@@ -72,14 +98,16 @@ def land_updates(rows: DataFrame, work: str, trigger: dict | None = None) -> Dat
     """All updates of a query in update mode, by batch number."""
     out = f"{work}/updates"
     rows.sparkSession.createDataFrame([], rows.schema).write.mode("ignore").parquet(f"{out}/batch=-1")
-    _run(rows.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")), work, trigger)
+    _run(rows.sparkSession, rows.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")), work, trigger)
     return rows.sparkSession.read.schema(rows.schema).parquet(out)
 
 
-def complete_or_forced(rows: DataFrame, expected: int) -> DataFrame:
+def complete_or_forced(rows: DataFrame, expected: int, expire: bool = True) -> DataFrame:
     """start_time, symbols, complete: a minute is sent at once when all its symbols are there, or when a newer one begins.
 
-    The state of a minute is the set of its symbols; the watermark forces incomplete minutes.
+    The state of a minute is the set of its symbols; the watermark forces incomplete minutes. A complete minute is sent
+    again when a batch brings it more symbols, so its greatest count is the last. Without ``expire``, for rows without
+    a watermark, minutes wait for their symbols to the end and none is forced.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -88,16 +116,17 @@ def complete_or_forced(rows: DataFrame, expected: int) -> DataFrame:
             state.remove()
             yield pd.DataFrame({"start_time": [key[0]], "symbols": [len(seen)], "complete": [False]})
             return
-        done = bool(seen) and len(seen) >= expected
+        had = len(seen)
         for f in frames:
             seen |= set(f["symbol"])
         state.update(("\x1f".join(sorted(seen)),))
-        state.setTimeoutTimestamp(int(key[0].timestamp() * 1000) + 60_000)
-        if len(seen) >= expected and not done:
+        if expire:
+            state.setTimeoutTimestamp(int(key[0].timestamp() * 1000) + 60_000)
+        if len(seen) >= expected and len(seen) > had:
             yield pd.DataFrame({"start_time": [key[0]], "symbols": [len(seen)], "complete": [True]})
 
     each = rows.select("ts", F.date_trunc("minute", "ts").alias("start_time"), F.col("event_type").alias("symbol"))
-    return each.groupBy("start_time").applyInPandasWithState(step, "start_time timestamp, symbols bigint, complete boolean", "symbols string", "update", GroupStateTimeout.EventTimeTimeout)
+    return each.groupBy("start_time").applyInPandasWithState(step, "start_time timestamp, symbols bigint, complete boolean", "symbols string", "update", GroupStateTimeout.EventTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def rolling_zscore(bars: DataFrame, window: int) -> DataFrame:
@@ -141,5 +170,5 @@ def correlation_snapshots(bars: DataFrame, work: str, as_of: str, windows: list[
         found = correlation.matrix(unpivot(held.dropDuplicates(["symbol", "start_time"])), as_of, windows, ["measure"])
         write_snapshot(found, snap)
 
-    _run(bars.writeStream.foreachBatch(batch), work, trigger)
+    _run(spark, bars.writeStream.foreachBatch(batch), work, trigger)
     return read_snapshot(spark, snap)
