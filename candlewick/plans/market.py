@@ -112,6 +112,21 @@ def seasonality_orders_dow(spark, sf):
     return found.groupBy("symbol", day_of_week(F.col("period_start")).alias("period")).agg(rounded(F.avg("change"), 4).alias("change"), F.count(F.lit(1)).alias("days"))
 
 
+@query("seasonality_orders_dow_all", """WITH d AS (
+  SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS p, first(o_totalprice ORDER BY o_orderdate, o_orderkey) AS o, last(o_totalprice ORDER BY o_orderdate, o_orderkey) AS c
+  FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1, 2)
+SELECT symbol, CAST(extract('dow' FROM p) AS BIGINT) AS period, round(avg((c - o) / c * 100), 4) + 0e0 AS change, count(*) AS days FROM d WHERE c <> 0 GROUP BY 1, 2""")
+def seasonality_orders_dow_all(spark, sf):
+    """The one above over all of the orders, from the first day to the last."""
+    from ..functions.scalar import day_of_week
+
+    orders = table(spark, sf, "orders")
+    first, last = orders.agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
+    daily = B.bars(orders, "day", "o_orderpriority", "o_orderdate", "o_totalprice", "o_orderkey")
+    found = seasonality.changes(daily, "day", str(last or AS_OF), ((last - first).days + 1) * 24 if last else 0)
+    return found.groupBy("symbol", day_of_week(F.col("period_start")).alias("period")).agg(rounded(F.avg("change"), 4).alias("change"), F.count(F.lit(1)).alias("days"))
+
+
 @query("grid_hourly", f"WITH {BARS}, {GRID} SELECT symbol, start_time, close, CAST(epoch(start_time - TIMESTAMP '{START}') AS BIGINT) // 3600 AS step FROM grid")
 def grid_hourly(spark, sf):
     from ..functions.scalar import at, step_index

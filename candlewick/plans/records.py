@@ -10,7 +10,7 @@ from ..operators import bars as B
 from ..operators import correlation, gaps, history, ranking, selectors, serving
 from ..sources import vendors
 from ..sources.tables import table
-from .market import AS_OF, BARS, GRID, hourly, r, with_rounded
+from .market import AS_OF, BARS, GRID, START, hourly, r, with_rounded
 
 QUERIES, SQL = {}, {}
 
@@ -90,6 +90,34 @@ def gap_chunks(spark, sf):
     return gaps.chunks(gaps.islands(gaps.missing_steps(_minutes(spark, sf), DAY, NEXT)), 100)
 
 
+# The three above show one day; these take the whole grid, with every symbol of the table, whether it has a tick in the range or not.
+ALL_MINUTES = f"""mins AS (SELECT DISTINCT event_type AS symbol, date_trunc('minute', ts) AS start_time FROM events),
+missing AS (SELECT symbol, start_time FROM (SELECT DISTINCT symbol FROM mins) CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{AS_OF}' - INTERVAL 1 MINUTE, INTERVAL 1 MINUTE)) AS start_time)
+  EXCEPT SELECT * FROM mins),
+runs AS (SELECT symbol, min(start_time) AS range_start, max(start_time) + INTERVAL 1 MINUTE AS range_end, count(*) AS steps FROM
+  (SELECT *, start_time - to_minutes(CAST(row_number() OVER (PARTITION BY symbol ORDER BY start_time) AS INTEGER)) AS run FROM missing) GROUP BY symbol, run)"""
+
+
+def _all_missing(spark, sf) -> DataFrame:
+    return gaps.missing_steps(B.bars(table(spark, sf, "events"), "minute"), START, AS_OF)
+
+
+@query("missing_minutes_all", f"WITH {ALL_MINUTES} SELECT * FROM missing")
+def missing_minutes_all(spark, sf):
+    return _all_missing(spark, sf)
+
+
+@query("gap_islands_all", f"WITH {ALL_MINUTES} SELECT * FROM runs")
+def gap_islands_all(spark, sf):
+    return gaps.islands(_all_missing(spark, sf))
+
+
+@query("gap_chunks_all", f"""WITH {ALL_MINUTES}, c AS (SELECT symbol, range_end, unnest(generate_series(range_start, range_end - INTERVAL 1 MINUTE, INTERVAL 100 MINUTE)) AS chunk_start FROM runs)
+SELECT symbol, chunk_start, least(chunk_start + INTERVAL 100 MINUTE, range_end) AS chunk_end FROM c""")
+def gap_chunks_all(spark, sf):
+    return gaps.chunks(gaps.islands(_all_missing(spark, sf)), 100)
+
+
 @query("bar_completeness", f"WITH {BARS} SELECT start_time, count(DISTINCT symbol) AS present, (SELECT count(DISTINCT symbol) FROM bars) AS expected, count(DISTINCT symbol) >= (SELECT count(DISTINCT symbol) FROM bars) AS complete FROM bars GROUP BY 1")
 def bar_completeness(spark, sf):
     return gaps.completeness(hourly(spark, sf))
