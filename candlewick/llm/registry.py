@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": mixing.query,
         "op6_suffix_dedup": suffix_dedup.query,
         "op7_chat": chat.query,
+        "op7_chat_whole": chat.query_whole,
         "op8_pii": pii.query,
         "op9_simhash": simhash.query,
         "op10_exact_dedup": exact_dedup.query,
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op7_chat": chat.SQL, "op7_chat_whole": chat.SQL_WHOLE, "op10_exact_dedup": exact_dedup.SQL}
