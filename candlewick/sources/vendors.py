@@ -88,7 +88,7 @@ def _hyperliquid(rows: DataFrame) -> DataFrame:
 def hyperliquid_live(raw: DataFrame, order: str = "arrival") -> DataFrame:
     """The last update of each symbol and minute; updates of a minute once a later one has begun count as late.
 
-    ``raw`` needs the column ``order``, in which updates arrived; batch only, the streaming form is in ``streaming``.
+    ``raw`` needs the column ``order``, in which updates arrived; batch only, there is no streaming form.
     """
     parsed = hyperliquid_updates(raw, order)
     newest = F.max("start_time").over(Window.partitionBy("symbol").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
