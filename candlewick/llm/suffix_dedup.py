@@ -1,10 +1,17 @@
 """Removal of repeated byte strings through common-prefix interval trees over a sparse, distributed suffix array.
 
 A string of ``min_bytes`` bytes that occurs twice has the same minimiser in both places: the least hash among its
-``GRAM``-byte substrings. So only suffixes that start at minimisers (about one in 170 bytes) are indexed, and the suffix
-array falls into buckets of equal ``GRAM``-grams that can be built apart. Suffixes with no partner go first, by counts
-with a map-side part. Suffixes whose whole context (what a repeat through this place can need: ``min_bytes`` to the
-right, ``min_bytes - GRAM`` to the left) is equal are one entry with a count, however many there are.
+``GRAM``-byte substrings. So only suffixes that start at minimisers (about one in 170 bytes) are indexed. Suffixes whose
+``GRAM``-gram has no partner go first, by counts with a map-side part. Suffixes whose whole context (what a repeat through
+this place can need: ``min_bytes`` to the right, ``min_bytes - GRAM`` to the left) is equal are one entry with a count,
+however many there are.
+
+A repeat through an anchor reaches r bytes ahead of it and at least ``min_bytes - r`` back. The values of r are cut into
+bands; entries that share a repeat with lo <= r < hi agree in lo bytes ahead and ``min_bytes + 1 - hi`` back, so these
+bytes' hash deals the entries out into buckets that can be built apart, two bands and so two buckets for each entry.
+Entries alone in their bucket go. A bucket of more than ``bucket_limit`` entries is dealt out again by four narrower bands,
+and so on down to bands of one r, whose buckets are repeats as they stand. Each entry takes part in a few buckets at each
+width, so the rows stay in proportion to the entries, however many share a passage.
 
 Spark sorts each bucket by the bytes to the right; neighbouring entries give the longest common prefixes. A stack scan
 over these yields the common-prefix intervals, children before parents; within each, the entries are set in the order of
@@ -12,12 +19,12 @@ what stands to their left, and where left extensions differ a maximal repeat end
 extension shared by two or more entries. All entries of an interval count, not just neighbours. Every occurrence
 whose left and right parts reach ``min_bytes`` together is covered by the repeat, and the union over a document goes.
 
-A bucket of more than ``bucket_limit`` different contexts isn't built in one task: its contexts are cut into all their
-strings of ``min_bytes``, which are counted by hash with a map-side part, so no key gathers the bucket.
+Trees compare bytes. Equal contexts, and the buckets of one r, are told by 128 bits of hash and their bytes aren't compared
+again.
 
 Null text counts as empty. Matches never cross documents; overlapping occurrences in one document count. Exact copies,
-repeated rows included, remove each other. Rows are told apart by file and position, so a doc_id may be null or repeat.
-Extra columns are ignored.
+repeated rows included, remove each other. Texts of any length are read whole, in pieces that overlap. An empty table gives
+an empty result. Rows are told apart by file and position, so a doc_id may be null or repeat. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +42,17 @@ from .common import FILE, ROW, located, saved, table
 
 MIN_BYTES = 400
 GRAM = 64
-BUCKET_LIMIT = 4096
+#: Entries of a bucket that one tree is built over.
+BUCKET_LIMIT = 1000
+#: Into how many bands a band of a larger bucket is cut.
+FINER = 4
 PIECE = 1 << 18
 #: Rows of a batch that become Python objects at once.
 ROWS = 256
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+#: A random number for each byte value, so that no text is made to collide.
+BYTES = np.random.default_rng(64).integers(0, 1 << 64, 256, U)
 
 
 class Powers:
@@ -81,15 +93,16 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
 def anchors_of(pieces: list[tuple[bytes, int, int]], min_bytes: int, gram: int) -> tuple[np.ndarray, ...]:
     """Minimisers of the windows that start at lo <= p < hi of each piece (bytes, lo, hi).
 
-    Returns the piece, position in it, bytes of context to the left and right, hash of the gram, two of the context.
+    Returns the piece, position in it, bytes of context to the left and right, hash of the gram, two of the context, and
+    the keys of the two widest bands with whether there are bytes enough for them.
     """
     with np.errstate(over="ignore"):
         sizes = np.array([len(p[0]) for p in pieces], np.int64)
         start = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join(p[0] for p in pieces), np.uint8).astype(U)
+        data = BYTES[np.frombuffer(b"".join(p[0] for p in pieces), np.uint8)]
         n = len(data)
         (up1, down1), (up2, down2) = Powers.get(max(n + 1, 2 * PIECE))
-        sum1, sum2 = (np.concatenate([np.zeros(1, U), np.cumsum((data + U(1)) * d[:n], dtype=U)]) for d in (down1, down2))
+        sum1, sum2 = (np.concatenate([np.zeros(1, U), np.cumsum(data * d[:n], dtype=U)]) for d in (down1, down2))
         h = _mix((sum1[gram:] - sum1[:-gram]) * up1[: n - gram + 1])
         key = (h & ~U(0xFFFFFF)) | np.arange(len(h), dtype=U)
         least = _window_min(key, min_bytes - gram + 1)
@@ -109,7 +122,24 @@ def anchors_of(pieces: list[tuple[bytes, int, int]], min_bytes: int, gram: int)
         shape = (left * (min_bytes + 1) + right).astype(U)
         c1 = _mix((sum1[e] - sum1[s]) * up1[s] + shape)
         c2 = _mix((sum2[e] - sum2[s]) * up2[s] + shape)
-        return piece, pos, left, right, h[at], c1, c2
+        keys = []
+        for k, (lo, high) in enumerate(first_bands(min_bytes, gram)):
+            back = min_bytes + 1 - high
+            fits = (left >= back) & (right >= lo)
+            s, e = np.where(fits, at - back, at), np.where(fits, at + lo, at)
+            keys += [_mix((sum1[e] - sum1[s]) * up1[s] + U(k)), fits]
+        return piece, pos, left, right, h[at], c1, c2, *keys
+
+
+def first_bands(min_bytes: int, gram: int) -> list[tuple[int, int]]:
+    """The two widest bands of bytes ahead: lo <= r < hi."""
+    middle = max(gram, min_bytes // 2) + 1
+    return [(gram, middle), (middle, min_bytes + 1)]
+
+
+def finer_bands(lo: int, hi: int) -> list[tuple[int, int]]:
+    step = -(-(hi - lo) // FINER)
+    return [(x, min(x + step, hi)) for x in range(lo, hi, step)]
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
@@ -122,17 +152,18 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.
 
 
 def _anchor_batches(min_bytes: int, gram: int, piece_bytes: int):
-    names = ["f", "r", "pos", "left", "right", "gram", "c1", "c2"]
+    names = ["f", "r", "pos", "left", "right", "gram", "c1", "c2", "k1", "k2"]
 
     def emit(keys: list[tuple], pieces: list[tuple[bytes, int, int]], last: list) -> pa.RecordBatch:
-        piece, pos, left, right, h, c1, c2 = anchors_of(pieces, min_bytes, gram)
+        piece, pos, left, right, h, c1, c2, *keyed = anchors_of(pieces, min_bytes, gram)
         f, r, base = (np.array([k[i] for k in keys], np.int64)[piece] for i in range(3))
         place = np.stack([f, r, base + pos])
         # Where a text is cut, both pieces may report the same place.
         new = (place != np.concatenate([np.array(last)[:, None], place[:, :-1]], axis=1)).any(0)
         last[:] = place[:, -1].tolist() if len(f) else last
         cols = [*place, left.astype(np.int16), right.astype(np.int16), *(x.view(np.int64) for x in (h, c1, c2))]
-        return pa.RecordBatch.from_arrays([pa.array(c[new]) for c in cols], names)
+        bands = [pa.array(k[new].view(np.int64), mask=~ok[new]) for k, ok in (keyed[:2], keyed[2:])]
+        return pa.RecordBatch.from_arrays([*(pa.array(c[new]) for c in cols), *bands], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[tuple] = []
@@ -167,31 +198,54 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(text, pa.binary())], [*names, "zip"])
 
 
-def _context_batches(min_bytes: int, gram: int):
+ENTRY = "key binary, lo int, hi int, large boolean, c1 bigint, c2 bigint, n bigint, back binary, ahead binary"
+KINDS = [pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+NAMES = [x.split()[0] for x in ENTRY.split(", ")]
+
+
+def _entries(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(KINDS)], NAMES)
+
+
+def _context_batches(min_bytes: int):
+    """The entries of a text, with the bytes on both sides that their band can need."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for batch in _slices(batches):
             out: list[tuple] = []
-            for z, at in zip(batch.column("zip"), batch.column("at").to_pylist()):
+            for z, at in zip(batch.column("zip"), batch.column("at")):
                 text = unzip.decompress(z.as_py())
                 for x in at:
-                    p = x["pos"]
-                    out.append((x["gram"], x["c1"], x["c2"], x["n"], text[max(0, p - min_bytes + gram) : p][::-1], text[p : p + min_bytes]))
-                if len(out) >= 5000:
-                    yield _context_rows(out)
-                    out = []
+                    p, lo, hi = x["pos"].as_py(), x["lo"].as_py(), x["hi"].as_py()
+                    out.append((*(x[c].as_py() for c in NAMES[:7]), text[max(0, p - min_bytes + lo) : p][::-1], text[p : p + hi - 1]))
+                    if len(out) >= 2000:
+                        yield _entries(out)
+                        out = []
             if out:
-                yield _context_rows(out)
+                yield _entries(out)
 
     return run
 
 
-CONTEXT = "gram bigint, c1 bigint, c2 bigint, n bigint, back binary, ahead binary"
+def _finer_batches(min_bytes: int, with_bytes: bool):
+    """Each entry once for each narrower band that it has bytes for, under the hash of what the band shares."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            out: list[tuple] = []
+            for _, low, high, large, c1, c2, n, back, ahead in zip(*(batch.column(c).to_pylist() for c in NAMES)):
+                for lo, hi in finer_bands(low, high):
+                    own = min_bytes + 1 - hi
+                    if len(ahead) >= lo and len(back) >= own:
+                        key = hashlib.blake2b(back[:own][::-1] + ahead[:lo], digest_size=16, salt=lo.to_bytes(8) + hi.to_bytes(8)).digest()
+                        out.append((key, lo, hi, large, c1, c2, n, back[: min_bytes - lo], ahead[: hi - 1]))
+            if not with_bytes:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary())], ["key"])
+            elif out:
+                yield _entries(out)
 
-def _context_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.binary()] * 2
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["gram", "c1", "c2", "n", "back", "ahead"])
+    return run
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -246,110 +300,85 @@ def maximal_repeats(ahead: list[bytes], back: list[bytes], min_bytes: int) -> It
                 least = min_bytes
 
 
+COVER = "c1 bigint, c2 bigint, left bigint, right bigint"
+
+
+def _covers(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["c1", "c2", "left", "right"])
+
+
 def _bucket_rows(bucket: list[tuple], min_bytes: int) -> list[tuple]:
-    """gram, c1, c2, left, right: how far each context of a bucket is covered."""
+    """c1, c2, left, right: how far each entry of a bucket is covered. Entries that occur twice are covered anyway."""
     best: dict[int, int] = {}
-    out = [(*x[:3], len(x[4]), len(x[5])) for x in bucket if x[3] > 1 and len(x[4]) + len(x[5]) >= min_bytes]
-    if len(bucket) > 1:
-        for right, _, group in maximal_repeats([x[5] for x in bucket], [x[4] for x in bucket], min_bytes):
-            for entry, left in group:
-                if left > best.get(entry, -1) and bucket[entry][3] == 1:
-                    best[entry] = left
-                    out.append((*bucket[entry][:3], left, right))
+    out = []
+    for right, _, group in maximal_repeats([x[5] for x in bucket], [x[4] for x in bucket], min_bytes):
+        for entry, left in group:
+            if left > best.get(entry, -1) and bucket[entry][3] == 1:
+                best[entry] = left
+                out.append((*bucket[entry][1:3], left, right))
     return out
 
 
-COVER = "gram bigint, c1 bigint, c2 bigint, left bigint, right bigint"
-
-
 def _bucket_batches(min_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket: list[tuple] = []
         out: list[tuple] = []
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], ["gram", "c1", "c2", "left", "right"])
-
         for batch in _slices(batches, 2048):
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "c1", "c2", "n", "back", "ahead"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "c1", "c2", "n", "back", "ahead"))):
                 if bucket and bucket[0][0] != row[0]:
                     out += _bucket_rows(bucket, min_bytes)
                     bucket = []
                 bucket.append(row)
             if len(out) >= 5000:
-                yield rows()
+                yield _covers(out)
                 out = []
-        if bucket:
-            out += _bucket_rows(bucket, min_bytes)
+        out += _bucket_rows(bucket, min_bytes)
         if out:
-            yield rows()
+            yield _covers(out)
 
     return run
 
 
 def covered(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, bucket_limit: int = BUCKET_LIMIT, piece_bytes: int = PIECE) -> DataFrame:
     """f, r, spans (array of start, end) for the rows of ``docs`` (f, r, text) with repeated strings."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "f bigint, r bigint, pos bigint, left smallint, right smallint, gram bigint, c1 bigint, c2 bigint"
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "f bigint, r bigint, pos bigint, left smallint, right smallint, gram bigint, c1 bigint, c2 bigint, k1 bigint, k2 bigint"
     anchors = saved(docs.mapInArrow(_anchor_batches(min_bytes, gram, piece_bytes), schema), "suffix-anchors")
-    both = F.xxhash64("c1", "c2")
-    stats = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(both).alias("least"), F.max(both).alias("greatest")).where("n > 1")
-    stats = saved(stats.select("gram", (F.col("least") == F.col("greatest")).alias("alike")), "suffix-grams")
-    found = saved(anchors.join(stats, "gram"), "suffix-found")
-    alike = found.where("alike").select("f", "r", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
-    mixed = found.where("not alike")
-    contexts = mixed.groupBy("gram", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("f", "r", "pos")).alias("rep"))
-    contexts = saved(contexts.select("gram", "c1", "c2", "n", "rep.*"), "suffix-contexts")
-    large = saved(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > bucket_limit).select("gram"), "suffix-large")
-
-    def bytes_of(some: DataFrame) -> DataFrame:
-        at = some.groupBy("f", "r").agg(F.collect_list(F.struct("pos", "gram", "c1", "c2", "n")).alias("at"))
-        packed = docs.mapInArrow(_packed, "f bigint, r bigint, zip binary")
-        return packed.join(at, ["f", "r"]).select("zip", "at").mapInArrow(_context_batches(min_bytes, gram), CONTEXT)
-
-    small = bytes_of(contexts.join(large, "gram", "left_anti"))
-    covers = small.repartition(n, "gram").sortWithinPartitions("gram", "ahead", "back").mapInArrow(_bucket_batches(min_bytes), COVER)
-    if not large.isEmpty():
-        covers = covers.unionByName(_large_covers(bytes_of(contexts.join(large, "gram", "left_semi")), min_bytes))
+    grams = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = saved(anchors.join(grams, "gram", "left_semi").drop("gram"), "suffix-found")
+    contexts = found.groupBy("c1", "c2").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("f", "r", "pos")).alias("rep"), *[F.min(c).cast("long").alias(c) for c in ("left", "right", "k1", "k2")]
+    )
+    contexts = saved(contexts.select("c1", "c2", "n", "rep.*", "left", "right", "k1", "k2"), "suffix-contexts")
+    covers = contexts.where("n > 1").select("c1", "c2", "left", "right")
+
+    bands = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.col(k).alias("key")) for (lo, hi), k in zip(first_bands(min_bytes, gram), ("k1", "k2"))])
+    keyed = contexts.select("c1", "c2", "n", "f", "r", "pos", F.explode(bands).alias("band")).where("band.key is not null")
+    keyed = keyed.select("c1", "c2", "n", "f", "r", "pos", "band.lo", "band.hi", F.unhex(F.hex("band.key")).alias("key"))
+    keyed = keyed.join(_sizes(keyed, bucket_limit), "key")
+    at = keyed.groupBy("f", "r").agg(F.collect_list(F.struct("pos", *NAMES[:7])).alias("at"))
+    packed = docs.mapInArrow(_packed, "f bigint, r bigint, zip binary")
+    entries = saved(packed.join(at, ["f", "r"]).select("zip", "at").mapInArrow(_context_batches(min_bytes), ENTRY), "suffix-entries")
+
+    trees, width = entries.where("not large"), max(hi - lo for lo, hi in first_bands(min_bytes, gram))
+    large = entries.where("large")
+    while width > 1 and not large.isEmpty():
+        width = -(-width // FINER)
+        sizes = saved(_sizes(large.mapInArrow(_finer_batches(min_bytes, False), "key binary"), bucket_limit if width > 1 else 0), "suffix-sizes")
+        finer = saved(large.mapInArrow(_finer_batches(min_bytes, True), ENTRY).drop("large").join(sizes, "key").select(*NAMES), "suffix-finer")
+        trees, large = trees.unionByName(finer.where("not large")), finer.where("large")
+    # In a band of one r, all entries of a bucket hold the same string.
+    covers = covers.unionByName(large.select("c1", "c2", (min_bytes - F.col("lo")).cast("long").alias("left"), F.col("lo").cast("long").alias("right")))
+    trees = trees.repartition(n, "key").sortWithinPartitions("key", "ahead", "back").mapInArrow(_bucket_batches(min_bytes), COVER)
     # All covers of a context lie over its anchor, so together they are one stretch: the farthest to each side.
-    covers = covers.where(F.col("left") + F.col("right") >= min_bytes).groupBy("gram", "c1", "c2").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    covers = saved(covers, "suffix-covers")
-    other = mixed.join(covers.withColumnsRenamed({"left": "l", "right": "k"}), ["gram", "c1", "c2"]).select("f", "r", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("k")).alias("end"))
-    spans = alike.unionByName(other).where(F.col("end") - F.col("start") >= min_bytes).distinct()
+    covers = covers.unionByName(trees).groupBy("c1", "c2").agg(F.max("left").alias("l"), F.max("right").alias("k"))
+    spans = found.join(covers, ["c1", "c2"]).select("f", "r", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("k")).alias("end")).distinct()
     return spans.groupBy("f", "r").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def _large_covers(contexts: DataFrame, min_bytes: int) -> DataFrame:
-    each = saved(contexts.mapInArrow(_window_batches(min_bytes), "gram bigint, c1 bigint, c2 bigint, n bigint, left bigint, right bigint, h binary"), "suffix-windows")
-    # One text's string shows up by each of its anchors; equal anchors and offsets tell places apart.
-    repeated = each.groupBy("gram", "left", "h").agg(F.sum("n").alias("times")).where("times > 1").select("gram", "left", "h")
-    return each.join(saved(repeated, "suffix-repeated"), ["gram", "left", "h"]).select("gram", "c1", "c2", "left", "right")
-
-
-def _window_batches(min_bytes: int):
-    """Every string of ``min_bytes`` in a context, by how far it reaches to the left and right of the anchor."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for g, c1, c2, n, back, ahead in zip(*(batch.column(c).to_pylist() for c in ("gram", "c1", "c2", "n", "back", "ahead"))):
-                whole = back[::-1] + ahead
-                for o in range(len(whole) - min_bytes + 1):
-                    left = len(back) - o
-                    if left < 0:
-                        break
-                    out.append((g, c1, c2, n, left, min_bytes - left, hashlib.blake2b(whole[o : o + min_bytes], digest_size=16).digest()))
-                if len(out) > 20_000:
-                    yield rows(out)
-                    out = []
-            if out:
-                yield rows(out)
-
-    def rows(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in out], pa.int64()) for i in range(6)), pa.array([x[6] for x in out], pa.binary())], ["gram", "c1", "c2", "n", "left", "right", "h"])
-
-    return run
+def _sizes(keyed: DataFrame, bucket_limit: int) -> DataFrame:
+    """key, large: the buckets with two entries or more."""
+    return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", (F.col("m") > bucket_limit).alias("large"))
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
