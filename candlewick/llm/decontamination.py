@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, located, saved, stable, table
+from .common import FILE, ROW, keep_rows, located, saved, stable, table
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -236,13 +236,7 @@ def kept_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = stable(docs)
     at = located(docs, text="text")
     hit = saved(find_matches(at, benchmark, [FILE, ROW]).select(FILE, ROW).distinct(), "decontamination-hits")
-    return drop_rows(docs, hit)
-
-
-def drop_rows(docs: DataFrame, hit: DataFrame) -> DataFrame:
-    at = located(docs)
-    hit = hit.select(F.col(FILE).alias("__hit_file"), F.col(ROW).alias("__hit_row"))
-    return at.join(hit, (at[FILE] == hit["__hit_file"]) & (at[ROW] == hit["__hit_row"]), "left_anti").drop(FILE, ROW)
+    return keep_rows(docs, hit, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

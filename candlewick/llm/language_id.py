@@ -8,7 +8,13 @@ the document's n-grams of how far they stand out of place, ``top`` where the lan
 wins, ties by name.
 
 Text that is null or without letters gets ``und`` with score 0, and so does every text when no language was learned.
-Rows are independent, so repeated rows get equal results; null labels are no language; extra columns are ignored.
+Texts are read whole, long ones in pieces. Rows are independent, so repeated rows get equal results; null labels are no
+language; extra columns are ignored; an empty table gives an empty result.
+
+The pipeline's stage rejects a document when its language is ``und``, when it lies far from all profiles (a score under
+``LEAST_SCORE``: another script or no language at all), or when its own label names a learned language and another one was
+predicted. Documents without a label, or with the label of no learned language, are judged by the first two alone. The
+label has no part in the prediction.
 """
 
 from __future__ import annotations
@@ -20,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import FILE, ROW, keep_rows, located, saved, stable, table
 
 TOP = 400
 CHUNK = 1 << 20
 BLANK = 32
 #: Least score at which the pipeline's stage keeps a document.
-LEAST_SCORE = 0.05
+LEAST_SCORE = 0.25
 
 
 class Letters:
@@ -143,14 +149,28 @@ def fold(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, keep: list[str], top: int = TOP) -> DataFrame:
-    """Learns from the labelled documents outside the held-out fold and predicts for all."""
-    train = docs.where(F.coalesce(fold(F.col("doc_id")) != 2, F.lit(True))).select("text", "lang")
-    return predict(docs, saved(learn(train, top), "language-profiles"), keep, top)
+    """Learns from the labelled documents outside the held-out fold and predicts for all.
+
+    ``keep`` must have no column lang_pred or score.
+    """
+    return predict(docs, profiles_of(docs, top), keep, top)
+
+
+def profiles_of(docs: DataFrame, top: int = TOP) -> DataFrame:
+    train = docs.where(F.coalesce(fold(F.col("doc_id")) != 2, F.lit(True))).select("text", F.col("lang").cast("string").alias("lang"))
+    return saved(learn(train, top), "language-profiles")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: documents without a language, or far from all, go."""
-    return identify(docs, docs.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """The pipeline's stage: the rows of ``docs`` that are not rejected, with their own columns."""
+    docs = stable(docs)
+    at = located(docs, doc_id="doc_id", text="text", label="lang")
+    profiles = profiles_of(docs)
+    learned = [r.lang for r in profiles.select("lang").distinct().collect()]
+    found = predict(at, profiles, ["label", FILE, ROW])
+    wrong = F.col("label").cast("string").isin(learned) & (F.col("label").cast("string") != F.col("lang_pred")) if learned else F.lit(False)
+    rejected = (F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE) | F.coalesce(wrong, F.lit(False))
+    return keep_rows(docs, saved(found.where(rejected).select(FILE, ROW), "language-rejected"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
