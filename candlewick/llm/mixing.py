@@ -1,120 +1,146 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks of ``block_rows`` rows. Block ``i`` of a source with weight share ``w`` is released at
-slot floor(i / w) and due at slot ceil((i + 1) / w); one block goes into each slot, the released block with the
-earliest deadline first (ties: the block whose successor's window overlaps its own, then the later group deadline, then
-the name). Any prefix of the mix then deviates from every target by less than one block.
-
-Weights are integers, so the schedule repeats after as many slots as their sum; that one period is worked out on the
-driver from the weights alone. When a source runs out it leaves and the others go on with their shares of the rest, so
-there are at most as many phases as sources, and every row is scheduled. A block then finds its slot by arithmetic:
-only counts for each source reach the driver, a table of the size of the mixture.
-
-Rows stand inside a source in the order of the MD5 of their identifier. Ranks come from counts over ranges of that
-order, so a source that holds a third of all rows is dealt to many tasks. A null source is a source of its own, named
-``(none)``; sources without a target get the weight 1. Rows that repeat an identifier keep the order of their locators.
-Empty tables give empty results. Extra columns are ignored.
+Each source is cut into blocks of ``block_rows`` rows. In the ideal mix, sources flow at once in proportion to their
+weights; one that has run out leaves, and the others go on with their shares of the rest. Block ``i`` of a source is
+released in the slot in which its flow reaches ``i`` blocks and due when it reaches ``i + 1``; one block goes into each
+slot, the released block with the earliest deadline first (ties by name). Blocks are as long as slots and no more flows
+into any stretch of slots than it has, so every deadline is met: any prefix of the mix, also after sources have run out,
+deviates from the ideal mix by less than one block for every source, and no slot stays empty.
+
+Weights are integers, so whenever every source has flowed for a whole number of its weights, all are even. Between two
+such points lies a unit, which can be scheduled alone. Units without a source that runs out in them repeat; all others
+are as many as sources at most. The driver sorts the sources' ends, O(S log S) for S sources; tasks schedule one unit of
+each kind, and its blocks are a table that is joined with the rows. That table is never larger than the blocks.
+
+Rows stand inside a source in the order of the MD5 of their identifier, then of their locator. Ranks come from counts
+over sorted ranges of that order, so a source that holds a third of all rows, or rows that all lack an identifier, are
+dealt to many tasks. A null source is a source of its own, named ``(none)``; sources without a target get the weight 1.
+Empty texts and long ones count as any row. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import heapq
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, located, saved, stable, table
+from .common import FILE, ROW, located, saved, stable, table, without
 
 BLOCK_ROWS = 16
-RANGES = 1024
 #: Target weights of the registered query and the pipeline; every other source has weight 1.
 WEIGHTS = {"src0": 5, "src1": 3, "src2": 2, "src3": 2}
-#: The plan is broadcast up to so many phases of sources and joined by a shuffle beyond.
-BROADCAST_PHASES = 10_000
 NONE = "(none)"
 
 
-def schedule(weights: Mapping[str, int]) -> list[str]:
-    """Which source each slot of one period goes to."""
-    total = sum(weights.values())
-    todo = {s: 0 for s in weights}
-    out = []
-
-    def key(s: str) -> tuple:
-        w, i = weights[s], todo[s]
-        due = -((i + 1) * -total // w)
-        overlap = (i + 1) * total % w != 0
-        group = due
-        if overlap and 2 * w > total:  # the end of the chain of overlapping windows of two slots
-            j = i + 1
-            while (j + 1) * total % w and -((j + 1) * -total // w) - j * total // w == 2:
-                j += 1
-            group = -(j * -total // w) + (0 if j * total % w == 0 else 1)
-        return due, not overlap, -group, s
-
-    for t in range(total):
-        ready = [s for s in weights if todo[s] < weights[s] and todo[s] * total // weights[s] <= t]
-        s = min(ready, key=key)
-        todo[s] += 1
-        out.append(s)
+def unit(weights: list[int], blocks: list[int]) -> list[tuple[int, int]]:
+    """(source, block) for each slot of a unit in which source k has ``blocks[k]`` blocks, at most ``weights[k]``."""
+    going = sum(w for w, n in zip(weights, blocks) if n == w)
+    ends = sorted((Fraction(n, w), w, n) for w, n in zip(weights, blocks) if n < w)
+    at, flowing, stopped = [e[0] for e in ends], [sum(e[1] for e in ends)], [0]
+    for _, w, n in ends:
+        flowing.append(flowing[-1] - w)
+        stopped.append(stopped[-1] + n)
+
+    def reached(w: int) -> list[tuple[int, int]]:
+        """The slot, rounded down and up, in which a source of weight ``w`` has flowed for j blocks."""
+        out = []
+        for j in range(w + 1):
+            k = bisect_right(at, Fraction(j, w)) if at else 0
+            flow = (going + flowing[k]) * j + stopped[k] * w
+            out.append((flow // w, -(-flow // w)))
+        return out
+
+    times = {w: reached(w) for w in set(weights)}
+    jobs = sorted((times[w][j][0], times[w][j + 1][1], k, j) for k, (w, n) in enumerate(zip(weights, blocks)) for j in range(n))
+    ready: list[tuple[int, int, int]] = []
+    out, following = [], 0
+    for t in range(len(jobs)):
+        while following < len(jobs) and jobs[following][0] <= t:
+            heapq.heappush(ready, jobs[following][1:])
+            following += 1
+        _, k, j = heapq.heappop(ready)
+        out.append((k, j))
     return out
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, int]) -> list[tuple[str, int, int, int, int, list[int]]]:
-    """source, its first block of the phase, first slot, blocks a period, slots a period, its slots of the period.
-
-    A phase ends with the period in which the first of its sources runs out.
-    """
-    left, start, out = {s: n for s, n in blocks.items() if n}, 0, []
-    done = dict.fromkeys(left, 0)
-    while left:
-        now = {s: weights.get(s, 1) for s in sorted(left)}
-        plan, total = schedule(now), sum(now.values())
-        periods = max(1, min(left[s] // now[s] for s in left))
-        for s in now:
-            out.append((s, done[s], start, now[s], total, [t for t, x in enumerate(plan) if x == s]))
-            took = min(left[s], periods * now[s])
-            done[s], left[s] = done[s] + took, left[s] - took
-        start += periods * total
-        left = {s: n for s, n in left.items() if n}
-    return out
+class Plan:
+    """The kinds of units of a mix: where each begins, in units and in slots, and how many slots one unit has."""
+
+    def __init__(self, blocks: Mapping[str, int], weights: Mapping[str, int]):
+        self.names = sorted(s for s, n in blocks.items() if n)
+        self.blocks = np.array([blocks[s] for s in self.names], np.int64)
+        self.weights = np.array([weights.get(s, 1) for s in self.names], np.int64)
+        whole, rest = np.divmod(self.blocks, self.weights) if self.names else (self.blocks, self.blocks)
+        #: Sources end in a unit, or before it; either way another kind begins there, and one after a unit with an end.
+        self.first = np.unique(np.concatenate([[0], whole, whole[rest > 0] + 1]).astype(np.int64))[:-1]
+        order = np.argsort(whole, kind="stable")
+        gone = np.concatenate([[0], np.cumsum(self.weights[order])])
+        left = gone[-1] - gone[np.searchsorted(whole[order], self.first, "right")]
+        own = np.zeros(len(self.first), np.int64)
+        np.add.at(own, np.searchsorted(self.first, whole[rest > 0]), rest[rest > 0])
+        self.slots = left + own
+        units = np.diff(np.concatenate([self.first, [whole.max(initial=0) + 1]]))
+        self.start = np.concatenate([[0], np.cumsum(self.slots * units)[:-1]]).astype(np.int64)
+
+    def rows_of(self, kind: int) -> list[tuple[int, str, int, int]]:
+        """kind, source, block in the unit, slot in the unit."""
+        here = np.minimum(self.blocks - self.weights * self.first[kind], self.weights)
+        some = np.flatnonzero(here > 0).tolist()
+        return [(kind, self.names[some[k]], j, t) for t, (k, j) in enumerate(unit(self.weights[some].tolist(), here[some].tolist()))]
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, source, locator) with their rank in the source, and its number of rows."""
+    order = F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    keys = ["source", "order", FILE, ROW]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("order", order).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    dealt = saved(dealt.withColumn("at", F.monotonically_increasing_id()).drop("order"), "mixing-order").withColumn("range", F.shiftright("at", 33))
+    counts = dealt.groupBy("source", "range").agg(F.count(F.lit(1)).alias("here"), F.min("at").alias("first"))
+    by = Window.partitionBy("source")
+    before = F.coalesce(F.sum("here").over(by.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = saved(counts.select("source", "range", (before - F.col("first")).alias("shift"), F.sum("here").over(by).alias("n")), "mixing-ranges")
+    return dealt.join(counts, ["source", "range"]).select("doc_id", "source", FILE, ROW, (F.col("at") + F.col("shift")).alias("rank"), "n")
 
 
 def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, source, block, place (in its block), slot and the locator for each row of ``docs``.
-
-    A slot may stay empty where a source runs out inside a period; no slot has two blocks.
-    """
+    """doc_id, source, block, place (in its block), slot and the locator for each row of ``docs``."""
+    spark = docs.sparkSession
     rows = located(docs, doc_id=id_col, source=source_col).withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit(NONE)))
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = saved(rows.withColumn("order", order).withColumn("range", F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * RANGES / F.lit(2**32)).withColumn("range", F.floor("range").cast("int")), "mixing")
-    counts = rows.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
-    before = saved(before.select("source", "range", F.coalesce("before", F.lit(0)).alias("before"), "n"), "mixing-ranges")
-    totals = {s: -(-n // block_rows) for s, n in before.groupBy("source").agg(F.sum("n")).collect()}
-    plan = phases(totals, weights)
-    inside = F.row_number().over(Window.partitionBy("source", "range").orderBy("order", "doc_id", FILE, ROW))
-    ranked = rows.withColumn("inside", inside - 1).join(before.drop("n"), ["source", "range"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("inside")).withColumn("block", F.floor(F.col("rank") / block_rows).cast("long"))
-    frame = _plan_frame(docs.sparkSession, plan)
-    placed = ranked.join(F.broadcast(frame) if len(plan) <= BROADCAST_PHASES else frame, "source")
-    phase = F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("block")), -1)
-    return placed.withColumn("p", phase).select(
-        "doc_id", "source", "block", (F.col("rank") % block_rows).cast("int").alias("place"), _slot(F.col("block"), F.col("p")).alias("slot"), FILE, ROW
-    )
-
-
-def _slot(block: Column, p: Column) -> Column:
-    i = block - p["first"]
-    return (p["start"] + F.floor(i / p["blocks"]) * p["slots"] + F.element_at(p["own"], (i % p["blocks"] + 1).cast("int"))).cast("long")
-
-
-def _plan_frame(spark: SparkSession, plan: list[tuple]) -> DataFrame:
-    """One row for each source: its phases in order. Its size is that of the mixture, whatever the rows."""
-    by: dict[str, list[tuple]] = {}
-    for s, *rest in plan:
-        by.setdefault(s, []).append(tuple(rest))
-    return spark.createDataFrame(list(by.items()), "source string, phases array<struct<first:bigint,start:bigint,blocks:bigint,slots:bigint,own:array<int>>>")
+    ranked = saved(_placed(rows), "mixing-ranked")
+    # A row for each source reaches the driver.
+    plan = Plan({r.source: -(-r.n // block_rows) for r in ranked.groupBy("source").agg(F.max("n").alias("n")).collect()}, weights)
+    shared = spark.sparkContext.broadcast(plan)
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind in batch.column("id").to_pylist():
+                yield pa.RecordBatch.from_pylist([dict(zip(("kind", "source", "j", "offset"), r)) for r in shared.value.rows_of(kind)], pa.schema([("kind", pa.int64()), ("source", pa.string()), ("j", pa.int64()), ("offset", pa.int64())]))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = shared.value
+        for batch in filter(lambda b: b.num_rows, batches):
+            source, rank = batch.column("source"), batch.column("rank").to_numpy()
+            block = rank // block_rows
+            code = source.dictionary_encode()
+            weight = plan.weights[np.array([bisect_left(plan.names, x) for x in code.dictionary.to_pylist()], np.int64)[code.indices.to_numpy()]]
+            at = block // weight
+            kind = np.searchsorted(plan.first, at, "right") - 1
+            base = plan.start[kind] + (at - plan.first[kind]) * plan.slots[kind]
+            own = [batch.column(c) for c in ("doc_id", "source", FILE, ROW)]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, (block, (rank % block_rows).astype(np.int32), kind, block - at * weight, base))], ["doc_id", "source", FILE, ROW, "block", "place", "kind", "j", "base"])
+
+    kinds = len(plan.first)
+    schedule = saved(spark.range(0, kinds, 1, min(max(kinds, 1), 1000)).mapInArrow(units, "kind bigint, source string, j bigint, offset bigint"), "mixing-units")
+    schema = f"doc_id {ranked.schema['doc_id'].dataType.simpleString()}, source string, {FILE} string, {ROW} bigint, block bigint, place int, kind bigint, j bigint, base bigint"
+    out = ranked.drop("n").mapInArrow(placed, schema).join(schedule, ["kind", "source", "j"])
+    return out.select("doc_id", "source", "block", "place", (F.col("base") + F.col("offset")).alias("slot"), FILE, ROW)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +148,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The pipeline's last stage: all rows of ``docs``, with slot and place, the order to train in."""
+    """The pipeline's last stage: all rows of ``docs``, with slot and place, the order to train in.
+
+    Columns of ``docs`` named slot or place give way to these.
+    """
     docs = stable(docs)
     at = located(docs)
-    placed = mix(docs).select(F.col(FILE).alias("__mix_file"), F.col(ROW).alias("__mix_row"), "slot", "place")
-    return at.join(placed, (at[FILE] == placed["__mix_file"]) & (at[ROW] == placed["__mix_row"])).select(*[at[c] for c in docs.columns], "slot", "place")
+    placed = mix(docs).select(F.col(FILE).alias("__mix_file"), F.col(ROW).alias("__mix_row"), F.col("slot").alias("__mix_slot"), F.col("place").alias("__mix_place"))
+    both = at.join(placed, (at[FILE] == placed["__mix_file"]) & (at[ROW] == placed["__mix_row"]))
+    return both.select(*without(at, "slot", "place", FILE, ROW), F.col("__mix_slot").alias("slot"), F.col("__mix_place").alias("place"))

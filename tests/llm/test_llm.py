@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -131,12 +134,41 @@ def test_html_labeller_on_pages_it_has_not_seen():
     assert np.mean(right) > 0.97
 
 
-def test_schedule_is_within_a_block():
-    for weights in ({"a": 5, "b": 3, "c": 2, "d": 2}, {"a": 1}, {"a": 7, "b": 1, "c": 1}, {"a": 3, "b": 3, "c": 3, "d": 1, "e": 9}):
-        total, seen = sum(weights.values()), Counter()
-        for t, s in enumerate(mixing.schedule(weights) * 3, 1):
+def whole_schedule(blocks, weights):
+    plan = mixing.Plan(blocks, weights)
+    slots = {}
+    for kind in range(len(plan.first)):
+        units = (plan.first[kind + 1] if kind + 1 < len(plan.first) else plan.first[kind] + max(1, (-(-plan.blocks // plan.weights)).max() - plan.first[kind])) - plan.first[kind]
+        for u in range(units):
+            for _, source, _, t in plan.rows_of(kind):
+                assert slots.setdefault(int(plan.start[kind] + u * plan.slots[kind] + t), source) is source
+    return [slots[t] for t in range(len(slots))]
+
+
+def test_every_prefix_is_within_a_block_of_the_ideal_mix():
+    rng = np.random.default_rng(12)
+    cases = [({"a": 50, "b": 3, "c": 20, "d": 11}, {"a": 5, "b": 3, "c": 2, "d": 2}), ({"a": 7, "b": 40, "c": 13, "d": 100}, {"a": 3, "b": 1, "c": 9}), ({"a": 4}, {}), ({"a": 1, "b": 1, "c": 1}, {"a": 7})]
+    cases += [({f"s{k}": int(rng.integers(1, 60)) for k in range(9)}, {f"s{k}": int(rng.integers(1, 12)) for k in range(9)}) for _ in range(25)]
+    for blocks, weights in cases:
+        weights = {s: weights.get(s, 1) for s in blocks}
+        order = whole_schedule(blocks, weights)
+        assert Counter(order) == Counter(blocks), "every block once, no slot empty"
+        seen, v = Counter(), Fraction(0)
+        for s in order:
             seen[s] += 1
-            assert all(abs(seen[x] - t * w / total) < 1 for x, w in weights.items())
+            left = Fraction(1)  # of the slot that the ideal mix fills next
+            while left:
+                going = [x for x in blocks if weights[x] * v < blocks[x]]
+                rate = sum(weights[x] for x in going)
+                step = min([left / rate, *(Fraction(blocks[x], weights[x]) - v for x in going)])
+                v, left = v + step, left - step * rate
+            assert all(abs(seen[x] - min(blocks[x], weights[x] * v)) < 1 for x in blocks)
+
+
+def test_many_sources_are_planned_in_seconds():
+    start = time.time()
+    plan = mixing.Plan({f"s{k}": k % 977 + 1 for k in range(10_000)}, {f"s{k}": k % 7 + 1 for k in range(10_000)})
+    assert time.time() - start < 5 and plan.start[-1] < plan.blocks.sum() and len(plan.rows_of(0)) == plan.slots[0]
 
 
 def test_mixing_places_every_row_once(spark):
@@ -144,7 +176,13 @@ def test_mixing_places_every_row_once(spark):
     got = mixing.mix(frame, {"a": 3, "b": 1}, block_rows=4).collect()
     assert len(got) == 500 and len({(r.slot, r.place) for r in got}) == 500
     assert Counter(r.source for r in got)["(none)"] == sum(i % 7 == 2 for i in range(500))
-    assert len({(r.slot, r.source) for r in got}) == len({r.slot for r in got})
+    assert len({(r.slot, r.source) for r in got}) == len({r.slot for r in got}) == max(r.slot for r in got) + 1
+    blocks = Counter((r.source, r.block) for r in got)
+    assert Counter(s for s, _ in sorted(blocks)) == Counter(whole_schedule({s: max(b for x, b in blocks if x == s) + 1 for s, _ in blocks}, {"a": 3, "b": 1}))
+    order = [s for _, s in sorted({(r.slot, r.source) for r in got})]
+    assert order == whole_schedule(Counter(s for s, _ in blocks), {"a": 3, "b": 1})
+    same = docs(spark, ["t"] * 300, ids=[None] * 300)
+    assert sorted((r.slot, r.place) for r in mixing.mix(same).collect()) == [(k // 16, k % 16) for k in range(300)]
     assert mixing.mix(frame.limit(0)).count() == 0
 
 
@@ -175,6 +213,20 @@ def test_suffix_dedup_equals_brute_force(spark, limit, piece):
         assert got[i if i < len(texts) - 1 else None] == want, i
 
 
+@pytest.mark.parametrize("limit", [2, 6])
+def test_suffix_dedup_of_large_buckets_equals_brute_force(spark, limit):
+    """Near copies with edits at all distances, and passages a little shorter and longer than a repeat among other text."""
+    rng = np.random.default_rng(21)
+    base, under, over = prose(30, 170), prose(31, 100)[:391], prose(32, 100)[:412]
+    texts = [base, base]
+    for _ in range(30):
+        at = sorted(rng.integers(0, len(base), rng.integers(1, 4)).tolist())
+        texts.append("".join("#" if i in at and rng.random() < 0.8 else "%" if i in at else c for i, c in enumerate(base)))
+    texts += [prose(100 + k, 20) + passage + prose(200 + k, 30) for k in range(15) for passage in (under, over)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs(spark, texts), bucket_limit=limit).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 400)
+
+
 def test_common_prefix_intervals_give_all_occurrences():
     text = b"banana$bandana#anab"
     suffixes = sorted(text[i:] for i in range(len(text)))
@@ -316,6 +368,127 @@ def test_wand_finds_what_a_full_scan_finds():
         assert got == pytest.approx({d: s for d, s in full.items() if s >= 0.5 - 1e-6})
 
 
+def brute_profile(texts, top=400):
+    n = Counter()
+    for t in texts:
+        for word in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            padded = f" {word} "
+            n.update(word)
+            n.update(padded[i : i + 2] for i in range(len(padded) - 1))
+            n.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], language_id_order(x[0])))][:top]
+
+
+def language_id_order(gram):
+    value = 0
+    for c in gram:
+        value = value << 21 | ord(c)
+    return value
+
+
+def brute_language(profiles, text):
+    own = brute_profile([text])
+    if not own or not profiles:
+        return "und", 0.0
+    away = {lang: sum(abs(ranks[g] - i) if g in ranks else 400 for i, g in enumerate(own)) for lang, ranks in profiles.items()}
+    best = min(sorted(away), key=away.get)
+    return best, 1 - away[best] / (400 * len(own))
+
+
+def brute_profiles(rows):
+    train = [r for r in rows if r[1] is not None and r[2] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    return {lang: {g: i for i, g in enumerate(brute_profile([r[1] for r in train if r[2] == lang]))} for lang in {r[2] for r in train}}
+
+
+LANGS = {"en": "the and of with that have this from they which would there their about other words", "de": "der die und nicht mit sich auch eine werden nach einen haben durch wurde zwischen", "fr": "le les des une dans pour avec est vous nous plus cette comme leurs toujours"}
+
+
+def spoken(lang: str, seed: int, n: int) -> str:
+    rng = np.random.default_rng(seed)
+    words = LANGS[lang].split()
+    return " ".join(rng.choice(words) + ("" if rng.random() < 0.7 else rng.choice(words)) for _ in range(n))
+
+
+def corpus():
+    """doc_id, text, lang, source: clean texts, copies, near copies, other scripts, wrong labels, benchmark passages, nulls."""
+    rows = [(k, spoken(list(LANGS)[k % 3], k, 60 + k), list(LANGS)[k % 3], f"src{k % 5}") for k in range(60)]
+    items = [(i, spoken("en", 900 + i, 20) + "? " + spoken("en", 950 + i, 10)) for i in range(5)]
+    rows += [(100 + k, rows[k][1], rows[k][2], "src0") for k in range(5)] + [(110, rows[7][1] + "  ", "fr", None), (111, rows[8][1].replace(" ", "\n"), "fr", "src1")]
+    rows += [(120 + i, spoken("en", 70 + i, 30) + " " + t + " " + spoken("en", 80 + i, 30), "en", "src2") for i, t in items]
+    rows += [(130, None, "en", "src1"), (131, "", None, "src1"), (132, "123 !?", "de", "src9"), (133, "\u03b1\u03b2\u03b3 \u03b4\u03b5\u03b6 \u03b7\u03b8\u03b9", "en", "src1"), (134, spoken("de", 1, 80), "fr", "src1"), (135, spoken("de", 2, 80), None, "src1"), (136, spoken("fr", 3, 80), "xx", "src1")]
+    base = spoken("en", 5, 400).split()
+    rows += [(140 + k, " ".join([*base[: 90 * k + 40], "zz", *base[90 * k + 41 :]]), "en", "src3") for k in range(4)]
+    return rows, items
+
+
+def brute_pipeline(rows, items):
+    profiles = brute_profiles(rows)
+    found = {r: brute_language(profiles, r[1]) for r in rows}
+    rows = [r for r in rows if found[r][0] != "und" and found[r][1] >= 0.25 and not (r[2] in profiles and r[2] != found[r][0])]
+    stages, first = [{r[0] for r in rows}], {}
+    for r in sorted(rows):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1]), r[0])
+    rows = [r for r in rows if r[0] in first.values()]
+    stages.append({r[0] for r in rows})
+    roots = brute_components([r[0] for r in rows], [fingerprint(r[1]) for r in rows])
+    rows = [r for r, c in zip(rows, roots) if r[0] == c]
+    stages.append({r[0] for r in rows})
+    sh = lambda t: decontamination.shingles(decontamination.words(t))
+    parts = [[p for p in (decontamination.shingles(w) for w in decontamination.question_and_answer(t)) if p] for _, t in items]
+    rows = [r for r in rows if not any(all(len(p & sh(r[1])) >= 0.8 * len(p) for p in ps) for ps in parts)]
+    stages.append({r[0] for r in rows})
+    by = defaultdict(list)
+    for r in rows:
+        by[r[3] or "(none)"].append((hashlib.md5(str(r[0]).encode()).digest(), r[0]))
+    plan = whole_schedule({s: -(-len(x) // 16) for s, x in by.items()}, {s: mixing.WEIGHTS.get(s, 1) for s in by})
+    seen, out = Counter(), set()
+    for slot, s in enumerate(plan):
+        out |= {(d, slot, place) for place, (_, d) in enumerate(sorted(by[s])[16 * seen[s] : 16 * seen[s] + 16])}
+        seen[s] += 1
+    return stages, out
+
+
+CLASHES = ["score", "lang_pred", "slot", "place", "a.b", "label", "fp", "digest", "rank", "kind", "__text", "kept"]
+
+
+def write_corpus(spark, path, rows, items):
+    frame = spark.createDataFrame([(*r, len(r[1] or ""), *[f"{c}-{r[0]}" for c in CLASHES]) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    frame.repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    return frame.columns
+
+
+def test_pipeline_equals_brute_force_with_clashing_names(spark, tmp_path):
+    rows, items = corpus()
+    columns = write_corpus(spark, tmp_path / "some", rows, items)
+    want, order = brute_pipeline(rows, items)
+    frame = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    gone = set(range(60))
+    for (name, stage), ids in zip(corpus_pipeline.STAGES[:-1], want):
+        frame = exact_dedup.saved(stage(spark, frame, f"{tmp_path}/some"), f"test-{name}")
+        assert frame.columns == columns and {r.doc_id for r in frame.collect()} == ids, name
+        assert all(r["a.b"] == f"a.b-{r.doc_id}" and r.score == f"score-{r.doc_id}" for r in frame.collect())
+        assert len(gone) > 0 and len(gone := gone & ids) > 0
+    assert {130, 131, 132, 133, 134}.isdisjoint(want[0]) and {135, 136} <= want[0] and len({r[0] for r in rows}) > len(want[0]) > len(want[1]) > len(want[2]) > len(want[3])
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some")
+    assert {(r.doc_id, r.slot, r.place) for r in out.collect()} == order
+    assert out.columns == [c for c in columns if c not in ("slot", "place")] + ["slot", "place"]
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    write_corpus(spark, tmp_path / "none", [], [])
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_language_id_equals_brute_force(spark):
+    rows, _ = corpus()
+    frame = docs(spark, [r[1] for r in rows], ids=[r[0] for r in rows], langs=[r[2] for r in rows])
+    profiles = brute_profiles(rows)
+    for r in language_id.identify(frame, ["doc_id"]).collect():
+        lang, score = brute_language(profiles, next(x[1] for x in rows if x[0] == r.doc_id))
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-12), r.doc_id
+
+
 def test_pipeline_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     rows = out.collect()
