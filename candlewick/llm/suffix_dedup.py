@@ -7,11 +7,14 @@ this place can need: ``min_bytes`` to the right, ``min_bytes - GRAM`` to the lef
 however many there are.
 
 A repeat through an anchor reaches r bytes ahead of it and at least ``min_bytes - r`` back. The values of r are cut into
-bands; entries that share a repeat with lo <= r < hi agree in lo bytes ahead and ``min_bytes + 1 - hi`` back, so these
-bytes' hash deals the entries out into buckets that can be built apart, two bands and so two buckets for each entry.
-Entries alone in their bucket go. A bucket of more than ``bucket_limit`` entries is dealt out again by four narrower bands,
-and so on down to bands of one r, whose buckets are repeats as they stand. Each entry takes part in a few buckets at each
-width, so the rows stay in proportion to the entries, however many share a passage.
+two bands; entries that share a repeat with lo <= r < hi agree in lo bytes ahead and ``min_bytes + 1 - hi`` back, so these
+bytes' hash deals the entries out into buckets that can be built apart. Entries alone in their bucket go.
+
+A bucket of more than ``bucket_limit`` entries is first cut along one path of its tree, that of the entry with the most
+copies (in every second round: of the one with the greatest hash). Each other entry is compared with that one, which gives
+the repeat that the two share. Any repeat that goes farther is shared with entries that leave the path at the same byte, to
+the right or to the left; these are the subtrees at the path, buckets of their own, and are cut again while they are large.
+So a round makes two rows of an entry at most, however many share a passage.
 
 Spark sorts each bucket by the bytes to the right; neighbouring entries give the longest common prefixes. A stack scan
 over these yields the common-prefix intervals, children before parents; within each, the entries are set in the order of
@@ -19,8 +22,7 @@ what stands to their left, and where left extensions differ a maximal repeat end
 extension shared by two or more entries. All entries of an interval count, not just neighbours. Every occurrence
 whose left and right parts reach ``min_bytes`` together is covered by the repeat, and the union over a document goes.
 
-Trees compare bytes. Equal contexts, and the buckets of one r, are told by 128 bits of hash and their bytes aren't compared
-again.
+Trees and paths compare bytes. Equal contexts are told by 128 bits of hash, and their bytes aren't compared again.
 
 Null text counts as empty. Matches never cross documents; overlapping occurrences in one document count. Exact copies,
 repeated rows included, remove each other. Texts of any length are read whole, in pieces that overlap. An empty table gives
@@ -44,8 +46,6 @@ MIN_BYTES = 400
 GRAM = 64
 #: Entries of a bucket that one tree is built over.
 BUCKET_LIMIT = 1000
-#: Into how many bands a band of a larger bucket is cut.
-FINER = 4
 PIECE = 1 << 18
 #: Rows of a batch that become Python objects at once.
 ROWS = 256
@@ -94,7 +94,7 @@ def anchors_of(pieces: list[tuple[bytes, int, int]], min_bytes: int, gram: int)
     """Minimisers of the windows that start at lo <= p < hi of each piece (bytes, lo, hi).
 
     Returns the piece, position in it, bytes of context to the left and right, hash of the gram, two of the context, and
-    the keys of the two widest bands with whether there are bytes enough for them.
+    the keys of the two bands with whether there are bytes enough for them.
     """
     with np.errstate(over="ignore"):
         sizes = np.array([len(p[0]) for p in pieces], np.int64)
@@ -123,7 +123,7 @@ def anchors_of(pieces: list[tuple[bytes, int, int]], min_bytes: int, gram: int)
         c1 = _mix((sum1[e] - sum1[s]) * up1[s] + shape)
         c2 = _mix((sum2[e] - sum2[s]) * up2[s] + shape)
         keys = []
-        for k, (lo, high) in enumerate(first_bands(min_bytes, gram)):
+        for k, (lo, high) in enumerate(bands_of(min_bytes, gram)):
             back = min_bytes + 1 - high
             fits = (left >= back) & (right >= lo)
             s, e = np.where(fits, at - back, at), np.where(fits, at + lo, at)
@@ -131,17 +131,12 @@ def anchors_of(pieces: list[tuple[bytes, int, int]], min_bytes: int, gram: int)
         return piece, pos, left, right, h[at], c1, c2, *keys
 
 
-def first_bands(min_bytes: int, gram: int) -> list[tuple[int, int]]:
-    """The two widest bands of bytes ahead: lo <= r < hi."""
+def bands_of(min_bytes: int, gram: int) -> list[tuple[int, int]]:
+    """The two bands of bytes ahead: lo <= r < hi."""
     middle = max(gram, min_bytes // 2) + 1
     return [(gram, middle), (middle, min_bytes + 1)]
 
 
-def finer_bands(lo: int, hi: int) -> list[tuple[int, int]]:
-    step = -(-(hi - lo) // FINER)
-    return [(x, min(x + step, hi)) for x in range(lo, hi, step)]
-
-
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """Batches in parts of ``rows`` rows; what Arrow holds in reserve goes back after each batch."""
     for batch in batches:
@@ -198,13 +193,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(text, pa.binary())], [*names, "zip"])
 
 
-ENTRY = "key binary, lo int, hi int, large boolean, c1 bigint, c2 bigint, n bigint, back binary, ahead binary"
-KINDS = [pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-NAMES = [x.split()[0] for x in ENTRY.split(", ")]
+ENTRY = "key binary, large boolean, c1 bigint, c2 bigint, n bigint, back binary, ahead binary"
+#: A cut along a path: the entry in its subtree, and what it shares with the path. Rows without a key are the paths' own.
+CUT = "key binary, c1 bigint, c2 bigint, n bigint, back binary, ahead binary, left bigint, right bigint"
+KINDS = {"binary": pa.binary(), "boolean": pa.bool_(), "bigint": pa.int64()}
 
 
-def _entries(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(KINDS)], NAMES)
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], KINDS[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
 
 
 def _context_batches(min_bytes: int):
@@ -216,34 +213,42 @@ def _context_batches(min_bytes: int):
             out: list[tuple] = []
             for z, at in zip(batch.column("zip"), batch.column("at")):
                 text = unzip.decompress(z.as_py())
-                for x in at:
-                    p, lo, hi = x["pos"].as_py(), x["lo"].as_py(), x["hi"].as_py()
-                    out.append((*(x[c].as_py() for c in NAMES[:7]), text[max(0, p - min_bytes + lo) : p][::-1], text[p : p + hi - 1]))
+                for x in at.as_py():
+                    p = x["pos"]
+                    out.append((x["key"], x["large"], x["c1"], x["c2"], x["n"], text[max(0, p - min_bytes + x["lo"]) : p][::-1], text[p : p + x["hi"] - 1]))
                     if len(out) >= 2000:
-                        yield _entries(out)
+                        yield _batch(out, ENTRY)
                         out = []
             if out:
-                yield _entries(out)
+                yield _batch(out, ENTRY)
 
     return run
 
 
-def _finer_batches(min_bytes: int, with_bytes: bool):
-    """Each entry once for each narrower band that it has bytes for, under the hash of what the band shares."""
+def _path_batches(min_bytes: int):
+    """Entries (with their path's c1, c2, n, back and ahead as a struct) cut along it, CUT."""
+
+    def subtree(key: bytes, side: bytes, path: bytes) -> bytes:
+        return hashlib.blake2b(path, digest_size=16, key=key, person=side).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             out: list[tuple] = []
-            for _, low, high, large, c1, c2, n, back, ahead in zip(*(batch.column(c).to_pylist() for c in NAMES)):
-                for lo, hi in finer_bands(low, high):
-                    own = min_bytes + 1 - hi
-                    if len(ahead) >= lo and len(back) >= own:
-                        key = hashlib.blake2b(back[:own][::-1] + ahead[:lo], digest_size=16, salt=lo.to_bytes(8) + hi.to_bytes(8)).digest()
-                        out.append((key, lo, hi, large, c1, c2, n, back[: min_bytes - lo], ahead[: hi - 1]))
-            if not with_bytes:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary())], ["key"])
-            elif out:
-                yield _entries(out)
+            own: dict[tuple, list[int]] = {}
+            for key, c1, c2, n, back, ahead, path in zip(*(batch.column(c).to_pylist() for c in ("key", "c1", "c2", "n", "back", "ahead", "path"))):
+                if (c1, c2) == (path["c1"], path["c2"]):
+                    continue
+                right, left = common(ahead, path["ahead"]), common(back, path["back"])
+                shared = (left, right) if left + right >= min_bytes else (None, None)
+                if shared[0] is not None:
+                    most = own.setdefault((path["c1"], path["c2"], path["n"]), [0, 0])
+                    most[:] = max(most[0], left), max(most[1], right)
+                keys = [subtree(key, b"right", ahead[: right + 1])] if right < len(ahead) else []
+                keys += [subtree(key, b"left", back[: left + 1])] if left < len(back) else []
+                out += [(k, c1, c2, n, back, ahead, *shared) for k in keys or [None]]
+            out += [(None, *which, None, None, *most) for which, most in own.items()]
+            if out:
+                yield _batch(out, CUT)
 
     return run
 
@@ -303,10 +308,6 @@ def maximal_repeats(ahead: list[bytes], back: list[bytes], min_bytes: int) -> It
 COVER = "c1 bigint, c2 bigint, left bigint, right bigint"
 
 
-def _covers(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["c1", "c2", "left", "right"])
-
-
 def _bucket_rows(bucket: list[tuple], min_bytes: int) -> list[tuple]:
     """c1, c2, left, right: how far each entry of a bucket is covered. Entries that occur twice are covered anyway."""
     best: dict[int, int] = {}
@@ -330,11 +331,11 @@ def _bucket_batches(min_bytes: int):
                     bucket = []
                 bucket.append(row)
             if len(out) >= 5000:
-                yield _covers(out)
+                yield _batch(out, COVER)
                 out = []
         out += _bucket_rows(bucket, min_bytes)
         if out:
-            yield _covers(out)
+            yield _batch(out, COVER)
 
     return run
 
@@ -344,7 +345,8 @@ def covered(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, bucke
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "f bigint, r bigint, pos bigint, left smallint, right smallint, gram bigint, c1 bigint, c2 bigint, k1 bigint, k2 bigint"
     anchors = saved(docs.mapInArrow(_anchor_batches(min_bytes, gram, piece_bytes), schema), "suffix-anchors")
-    grams = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Aggregates are written out before they are joined, so that a join on a hot key can be split.
+    grams = saved(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "suffix-grams")
     found = saved(anchors.join(grams, "gram", "left_semi").drop("gram"), "suffix-found")
     contexts = found.groupBy("c1", "c2").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("f", "r", "pos")).alias("rep"), *[F.min(c).cast("long").alias(c) for c in ("left", "right", "k1", "k2")]
@@ -352,33 +354,33 @@ def covered(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, bucke
     contexts = saved(contexts.select("c1", "c2", "n", "rep.*", "left", "right", "k1", "k2"), "suffix-contexts")
     covers = contexts.where("n > 1").select("c1", "c2", "left", "right")
 
-    bands = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.col(k).alias("key")) for (lo, hi), k in zip(first_bands(min_bytes, gram), ("k1", "k2"))])
+    bands = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.col(k).alias("key")) for (lo, hi), k in zip(bands_of(min_bytes, gram), ("k1", "k2"))])
     keyed = contexts.select("c1", "c2", "n", "f", "r", "pos", F.explode(bands).alias("band")).where("band.key is not null")
     keyed = keyed.select("c1", "c2", "n", "f", "r", "pos", "band.lo", "band.hi", F.unhex(F.hex("band.key")).alias("key"))
     keyed = keyed.join(_sizes(keyed, bucket_limit), "key")
-    at = keyed.groupBy("f", "r").agg(F.collect_list(F.struct("pos", *NAMES[:7])).alias("at"))
+    at = keyed.groupBy("f", "r").agg(F.collect_list(F.struct("pos", "key", "lo", "hi", "large", "c1", "c2", "n")).alias("at"))
     packed = docs.mapInArrow(_packed, "f bigint, r bigint, zip binary")
     entries = saved(packed.join(at, ["f", "r"]).select("zip", "at").mapInArrow(_context_batches(min_bytes), ENTRY), "suffix-entries")
 
-    trees, width = entries.where("not large"), max(hi - lo for lo, hi in first_bands(min_bytes, gram))
-    large = entries.where("large")
-    while width > 1 and not large.isEmpty():
-        width = -(-width // FINER)
-        sizes = saved(_sizes(large.mapInArrow(_finer_batches(min_bytes, False), "key binary"), bucket_limit if width > 1 else 0), "suffix-sizes")
-        finer = saved(large.mapInArrow(_finer_batches(min_bytes, True), ENTRY).drop("large").join(sizes, "key").select(*NAMES), "suffix-finer")
-        trees, large = trees.unionByName(finer.where("not large")), finer.where("large")
-    # In a band of one r, all entries of a bucket hold the same string.
-    covers = covers.unionByName(large.select("c1", "c2", (min_bytes - F.col("lo")).cast("long").alias("left"), F.col("lo").cast("long").alias("right")))
+    tree = ["key", "c1", "c2", "n", "back", "ahead"]
+    trees, large, turn = entries.where("not large").select(tree), entries.where("large").select(tree), 0
+    while not large.isEmpty():
+        first = ("n", "c1", "c2") if turn % 2 == 0 else ("c1", "c2", "n")
+        paths = saved(large.groupBy("key").agg(F.max(F.struct(*first, "back", "ahead")).alias("path")), "suffix-paths")
+        cut = saved(large.join(paths, "key").mapInArrow(_path_batches(min_bytes), CUT), "suffix-cut")
+        covers = covers.unionByName(cut.where("left is not null").select("c1", "c2", "left", "right"))
+        cut = saved(cut.join(_sizes(cut.where("key is not null"), bucket_limit), "key"), "suffix-subtrees")
+        trees, large, turn = trees.unionByName(cut.where("not large").select(tree)), cut.where("large").select(tree), turn + 1
     trees = trees.repartition(n, "key").sortWithinPartitions("key", "ahead", "back").mapInArrow(_bucket_batches(min_bytes), COVER)
     # All covers of a context lie over its anchor, so together they are one stretch: the farthest to each side.
-    covers = covers.unionByName(trees).groupBy("c1", "c2").agg(F.max("left").alias("l"), F.max("right").alias("k"))
+    covers = saved(covers.unionByName(trees).groupBy("c1", "c2").agg(F.max("left").alias("l"), F.max("right").alias("k")), "suffix-covers")
     spans = found.join(covers, ["c1", "c2"]).select("f", "r", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("k")).alias("end")).distinct()
     return spans.groupBy("f", "r").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def _sizes(keyed: DataFrame, bucket_limit: int) -> DataFrame:
     """key, large: the buckets with two entries or more."""
-    return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", (F.col("m") > bucket_limit).alias("large"))
+    return saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", (F.col("m") > bucket_limit).alias("large")), "suffix-sizes")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
