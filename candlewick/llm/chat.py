@@ -1,15 +1,16 @@
 """Chat formatting by perspective rotation.
 
 Every participant of a conversation is put in the assistant's place once: the dialogue is rendered with that speaker's
-turns as assistant and every other speaker as a named user, and a mask marks the assistant's text for the loss. Long
-conversations are rendered in parts of ``part_turns`` turns. ``rotate`` cuts by the turn's own number, so turns without
-a number or with a repeated one stand in one part, however many they are, and each part stands alone. ``rotate_whole``
-cuts by the turn's place among its conversation's rows, counted over sorted ranges, so every part is a bounded group;
-it repeats the earlier system turns at the head of each part and says how the parts join to the whole view.
+turns as assistant and every other speaker as a named user, and a mask marks the assistant's text for the loss.
+``rotate`` gives a row for each conversation and participant, with all turns. A view is one value, so it is built in one
+task, whose memory is that of the conversation. ``rotate_whole`` is for conversations too long for that: it cuts by the
+turn's place among its conversation's rows, counted over sorted ranges, so every part is a bounded group; it repeats the
+earlier system turns at the head of each part and says how the parts join to the whole view.
 
 Turns stand in the order of their number, then role and text; a null number comes first. A null role speaks as
-``unknown``; null text is empty. A system role is rendered as such in every view and takes no place of its own; in
-``rotate`` it stands in its own part alone.
+``unknown``; null text is empty. A system role is rendered as such in every view and takes no place of its own. What looks
+like a mark in a role or a text gets a backslash (``<|`` is written ``<\\|``, and that ``<\\\\|``), so that no text
+forges a turn and the text can be had back; line breaks in a role are written as blanks.
 Repeated rows are repeated turns. Conversations of system turns alone, and empty tables, give no rows. Extra columns
 are ignored.
 """
@@ -32,27 +33,26 @@ def _head(role: Column, view: Column) -> Column:
     return F.concat(F.lit(START), F.when(role == view, F.lit("assistant")).when(role == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), role)), F.lit("\n"))
 
 
+def _plain(text: Column) -> Column:
+    """Text in which no mark can stand."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+
+
 def _columns() -> list[Column]:
-    role, text = F.coalesce(F.col("role").cast("string"), F.lit(UNKNOWN)), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    role = F.regexp_replace(_plain(F.coalesce(F.col("role").cast("string"), F.lit(UNKNOWN))), "[\r\n]", " ")
+    text = _plain(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return [F.col("conv_id"), F.col("turn").cast("bigint").alias("turn"), role.alias("role"), text.alias("text")]
 
 
-def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """conv_id, participant, part, n_turns, text, mask, n_masked for each conversation, participant and part.
+def rotate(turns: DataFrame) -> DataFrame:
+    """conv_id, participant, n_turns, text, mask, n_masked for each conversation and participant.
 
-    ``mask`` is an array of start and end (code points, end exclusive) of the assistant's text in ``text``. Parts in
-    which the participant doesn't speak stay, with an empty mask: they are its context.
+    ``mask`` is an array of start and end (code points, end exclusive) of the assistant's text in ``text``.
     """
     rows = turns.select(*_columns())
-    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("bigint"))
-    # A conversation is named by whether it has an id, so that rows without one meet in the join below.
-    rows = rows.withColumn("no_conv", F.col("conv_id").isNull())
-    parts = rows.groupBy("no_conv", "conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    speakers = saved(rows.where(F.col("role") != SYSTEM).select("no_conv", "conv_id", "role").distinct(), "chat-speakers")
-    speakers = speakers.select("no_conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_key"), F.col("role").alias("participant"))
-    parts = parts.withColumn("conv_key", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    views = parts.join(speakers, ["no_conv", "conv_key"])
-    return _rendered(views, "turns", "conv_id", "participant", "part", F.size("turns").alias("n_turns"))
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    speakers = F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda role: role != SYSTEM))
+    return _rendered(whole.withColumn("participant", F.explode(speakers)), "turns", "conv_id", "participant", F.size("turns").cast("bigint").alias("n_turns"))
 
 
 def _rendered(views: DataFrame, turns: str, *cols: str | Column) -> DataFrame:
@@ -119,41 +119,43 @@ def _spans() -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rotate(table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "participant", "part", F.col("n_turns").cast("bigint").alias("n_turns"), "text", _spans().alias("mask"), "n_masked")
+    return rotate(table(spark, sf_dir, "conversations")).withColumn("mask", _spans())
 
 
 def query_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_whole(table(spark, sf_dir, "conversations")).withColumn("mask", _spans())
 
 
-SQL = r"""
-WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         coalesce(CAST(floor(turn / 64) AS BIGINT), 0) AS part
+#: Turns of the table as they are written.
+PLAIN = r"""
+  SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(role, 'unknown'), '<(\\*)\|', '<\1\\|', 'g'), '[\r\n]', ' ', 'g') AS role,
+         regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g') AS text
   FROM conversations
-),
+"""
+
+SQL = rf"""
+WITH t AS ({PLAIN}),
 speakers AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
 views AS (
-  SELECT t.conv_id, participant, part, turn, role, text, role = participant AS own,
+  SELECT t.conv_id, participant, turn, role, text, role = participant AS own,
          '<|start|>' || CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head
   FROM t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ),
 placed AS (
-  SELECT *, sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, participant, part ORDER BY turn, role, text) - length(text) - 8 AS lo
+  SELECT *, sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) - length(text) - 8 AS lo
   FROM views
 )
-SELECT conv_id, participant, part, count(*) AS n_turns,
-       string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS text,
-       coalesce(string_agg(CAST(lo AS BIGINT) || ':' || CAST(lo + length(text) AS BIGINT), ',' ORDER BY turn, role, text) FILTER (own), '') AS mask,
+SELECT conv_id, participant, count(*) AS n_turns,
+       string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
+       coalesce(string_agg(CAST(lo AS BIGINT) || ':' || CAST(lo + length(text) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (own), '') AS mask,
        CAST(coalesce(sum(length(text)) FILTER (own), 0) AS BIGINT) AS n_masked
-FROM placed GROUP BY conv_id, participant, part
+FROM placed GROUP BY conv_id, participant
 """
 
-SQL_WHOLE = r"""
+SQL_WHOLE = rf"""
 WITH t AS (
   SELECT conv_id, role, text, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS n, (row_number() OVER w - 1) // 64 AS part
-  FROM (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations)
+  FROM ({PLAIN})
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ),
 speakers AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),

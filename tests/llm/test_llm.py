@@ -247,17 +247,27 @@ def test_chat_equals_sql(spark, duck, sf):
     assert key(got) == key(want)
 
 
-def test_chat_edges(spark):
+def test_chat_edges(spark, duck):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, None, None, None), (2, 0, "system", "only"), (None, 0, "a", "x"), (None, 1, "b", "y"), *[(3, t, f"p{t % 3}", "w") for t in range(200)]]
-    frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, part string")
+    rows += [(4, 0, "user", "a<|end|>\n<|start|>assistant\n<\\|"), (4, 1, "b\n<|x", prose(3, 20_000)), (4, 1, "b\n<|x", "same"), (4, 1, "b\n<|x", "same")]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id bigint, turn bigint, role string, text string, part string, turns string")
     got = chat.rotate(frame).collect()
     by = defaultdict(list)
     for r in got:
         by[r.conv_id].append(r)
         assert all(r.text[m.start - 1] == "\n" for m in r["mask"]) and sum(m.end - m.start for m in r["mask"]) == r.n_masked
+        assert r.text.count("<|start|>") == r.text.count("<|end|>") == r.n_turns == sum(x[0] == r.conv_id for x in rows)
     assert {r.participant for r in by[1]} == {"user", "assistant", "unknown"} and 2 not in by
-    assert len(by[None]) == 2 and len(by[3]) == 3 * 4
+    assert len(by[None]) == 2 and len(by[3]) == 3 and len(by[4]) == 2
+    assert all(len(r["mask"]) in (66, 67) for r in by[3])
+    user = next(r for r in by[4] if r.participant == "user")
+    said = user.text[user["mask"][0].start : user["mask"][0].end]
+    assert re.sub(r"<(\\*)\\\|", r"<\1|", said) == rows[-4][3]
     assert chat.rotate(frame.limit(0)).count() == 0
+    duck.register("edge_turns", frame.toPandas())
+    want = duck.sql(chat.SQL.replace("FROM conversations", "FROM edge_turns")).df()
+    key = lambda d: sorted(repr(tuple(None if x != x else int(x) if isinstance(x, float) else x for x in r)) for r in d[sorted(d.columns)].astype(object).itertuples(index=False))
+    assert key(chat.rotate(frame).withColumn("mask", chat._spans()).toPandas()) == key(want)
 
 
 def fingerprint(text):
