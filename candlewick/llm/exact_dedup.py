@@ -2,13 +2,15 @@
 
 Every row is reduced to the SHA-256 of its normalised text, its stable identifier and a content locator (file and row
 index). A Structured Streaming aggregation keyed by digest keeps, in RocksDB and without expiry, the smallest
-identifier seen with its locator and the number of rows; a restart from the checkpoint goes on where it stopped. Hits
-are then checked on full bytes: per digest the least and the greatest text are compared, which is an aggregate with a
-map-side part, so a group holding a third of all rows shuffles one text per map task. Digests whose texts differ are
-grouped again by digest and text.
+identifier seen with its locator and the number of rows; a restart from the checkpoint goes on where it stopped. Hits,
+digests that the state has counted more than once, are then checked on full bytes: their rows are grouped by digest and
+text, an aggregate with a map-side part, so a group holding a third of all rows shuffles one text per map task. Up to
+``max_hits`` of them are broadcast (32 bytes each), so that no other text is moved; beyond, the aggregate takes all rows.
+Digests whose texts differ are resolved by digest and text.
 
 Nulls count as empty text. A row without identifier never wins over one that has one. Rows that repeat an identifier
-in one group: the one with the least locator stays. Extra columns, whatever their names, are ignored.
+in one group: the one with the least locator stays. Texts are read whole, whatever their length. Extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .common import FILE, ROW, keep_rows, located, saved, stable, table, work_di
 
 #: Bytes of identifiers and digests, about a hundredth of the texts, that one micro-batch takes.
 MAX_BYTES_PER_TRIGGER = 16 << 30
+#: Digests that are broadcast for the check on bytes, 32 MB.
+MAX_HITS = 1_000_000
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -78,6 +82,7 @@ def stateful_dedup(
     digest: Callable[[Column], Column] = sha256,
     max_bytes_per_trigger: int = MAX_BYTES_PER_TRIGGER,
     max_files_per_trigger: int | None = None,
+    max_hits: int = MAX_HITS,
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_digest and the locator.
 
@@ -92,14 +97,16 @@ def stateful_dedup(
     light.write.parquet(f"{work}/rows")
     rows = spark.read.schema(light.schema).parquet(f"{work}/rows")
     state = saved(_state(spark, f"{work}/rows", light.schema, work, max_bytes_per_trigger, max_files_per_trigger), "exact-dedup-state")
-    differing = saved(full.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest")).where("least <> greatest").select("digest"), "exact-dedup-differing")
+    hits = state.where("n > 1").select("digest")
+    again = full.join(F.broadcast(hits), "digest", "left_semi") if hits.limit(max_hits + 1).count() <= max_hits else full
+    groups = again.groupBy("digest", "norm").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", FILE, ROW)).alias("keep"), F.count(F.lit(1)).alias("n"))
+    # The texts themselves are only needed where they differ.
+    differing = saved(groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "exact-dedup-differing")
     result = _resolved(rows, state)
     if differing.isEmpty():
         return result
     sure = rows.join(differing, "digest", "left_anti")
-    again = full.join(differing, "digest", "left_semi")
-    groups = again.groupBy("digest", "norm").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", FILE, ROW)).alias("keep"), F.count(F.lit(1)).alias("n"))
-    split = _kept(again.join(groups, ["digest", "norm"]))
+    split = _kept(full.join(differing, "digest", "left_semi").join(groups.join(differing, "digest", "left_semi"), ["digest", "norm"]))
     return _resolved(sure, state).unionByName(split)
 
 

@@ -326,8 +326,9 @@ def test_exact_dedup_equals_brute_force(spark):
     ids = [5, 4, 3, 2, 1, 0, 9, 8, 7, 6, None]
     frame = docs(spark, EDGE[:10] + EDGE[9:10], ids)
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in EDGE[:10] + EDGE[9:10]]
-    for weak in (None, lambda text: F.lit(b"one")):
-        out = exact_dedup.stateful_dedup(frame, **({"digest": weak} if weak else {})).collect()
+    weak = lambda text: F.substring(text.cast("binary"), 1, 1)
+    for options in ({}, {"digest": lambda text: F.lit(b"one")}, {"digest": weak}, {"max_hits": 1}, {"digest": weak, "max_hits": 2}, {"digest": weak, "max_hits": 1}):
+        out = exact_dedup.stateful_dedup(frame, **options).collect()
         got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out), key=repr)
         want = []
         for i, n in zip(ids, norm):
