@@ -74,7 +74,21 @@ def test_secrets_equal_brute_force(spark):
 
 def test_ownership_counts_distinct(spark):
     rows = spark.createDataFrame([("h", "o1", "r1"), ("h", "o1", "r1"), ("h", "o1", "r2"), ("h", "o2", "r1"), ("g", None, None), ("g", None, None)], "hash string, owner string, repository string")
-    assert {r["hash"]: (r.owners, r.repositories) for r in secrets.ownership(rows).collect()} == {"h": (2, 3), "g": (1, 1)}
+    assert {r["hash"]: (r.owners, r.repositories) for r in secrets.ownership(rows).collect()} == {"h": (2, 2), "g": (1, 1)}
+
+
+def test_copied_examples_and_live_credentials_separate(spark):
+    """One value with one owner in a few repositories, one with many owners, one in many repositories of one owner, one repeated in one row."""
+    own, many, vendored, often = (f"ghp_{c * 36}" for c in "ABCD")
+    rows = [(f"r{k}", f"token = {own}", "o1") for k in range(10)] + [(f"s{k}", f"token = {many}", f"p{k % 3}") for k in range(6)]
+    rows += [(f"t{k}", f"token = {vendored}", "o2") for k in range(11)] + [("u", f"token = {often} " * 200, "o3"), ("u", f"token = {often} " * 200, "o3"), ("v", None, None)]
+    frame = spark.createDataFrame([(i, *r, "x") for i, r in enumerate(rows)], "doc_id int, repo string, text string, source string, hash string")
+    got = {r.doc_id: r for r in secrets.scan(frame, repository_col="repo").withColumn("n_added", F.size("added")).collect()}
+    for i, (repo, text, _) in enumerate(rows):
+        r, n = got[i], (text or "").count("token")
+        live = repo[0] in "ru"
+        assert (r.n_live, r.n_copied, r.n_added) == ((n, 0, n) if live else (0, n, 0)), repo
+    assert {(got[k].most_owners, got[k].most_repositories) for k in (0, 10, 16, 27, 29)} == {(1, 10), (3, 6), (1, 11), (1, 1), (0, 0)}
 
 
 @pytest.fixture(scope="module")
