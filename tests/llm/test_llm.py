@@ -8,8 +8,10 @@ import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -184,8 +186,8 @@ def test_language_profiles_are_rank_orders():
     assert dict(zip(*(x.tolist() for x in long)))[ord("x")] == whole
 
 
-def test_html_main_text(spark):
-    model = html_extract.trained(600, 3)
+def test_html_main_text(spark, labeller):
+    model = labeller
     good = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Head line</h1><p>First &amp; \n second words, and more of them to read.<p>Next one here, it is also text.</article><footer>&copy; all</footer></body></html>"
     pages = spark.createDataFrame([(1, "u", good, "t"), (2, "u", None, "t"), (3, None, "", "t"), (4, "u", "<script>x", "t")], "page_id bigint, url string, html string, text string")
     got = {r.page_id: r for r in html_extract.main_text(pages.drop("text"), ["page_id", "url"], model=model).collect()}
@@ -194,11 +196,111 @@ def test_html_main_text(spark):
     assert html_extract.main_text(pages.limit(0), ["page_id"], model=model).count() == 0
 
 
-def test_html_labeller_on_pages_it_has_not_seen():
-    model = html_extract.trained(600, 3)
-    pages, labels = html_extract.training_set(100, 99)
-    right = [((c >= 0.5) == y.astype(bool)).mean() for c, y in zip(model.chances([html_extract.features(p) for p in pages]), labels)]
-    assert np.mean(right) > 0.97
+@pytest.fixture(scope="module")
+def labeller():
+    return html_extract.trained()
+
+
+def test_html_labeller_on_pages_it_has_not_seen(labeller):
+    pages, labels = html_extract.training_set(150, 99)
+    right = [((c >= 0.5) == y.astype(bool)).mean() for c, y in zip(labeller.chances(pages), labels)]
+    assert np.mean(right) > 0.95
+
+
+def test_html_long_page_in_parts_gets_the_same_labels(labeller):
+    pages, _ = html_extract.training_set(12, 5)
+    whole = [b for p in pages for b in p]
+    assert np.allclose(labeller.chances([whole])[0], labeller.chances([whole], steps=37)[0], atol=1e-4)
+
+
+def score_by_characters(pairs):
+    """Precision and recall of the lines of extracted texts, by their characters."""
+    hit = got_all = want_all = 0
+    for got, want in pairs:
+        a, b = Counter(got.split("\n")), Counter(want.split("\n"))
+        hit += sum(len(t) * n for t, n in (a & b).items())
+        got_all, want_all = got_all + sum(len(t) * n for t, n in a.items()), want_all + sum(len(t) * n for t, n in b.items())
+    return hit / got_all, hit / want_all
+
+
+class Article(HTMLParser):
+    """The blocks inside ``article``, by another parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.depth, self.parts, self.out = 0, [], []
+        self.feed(page)
+        self.cut()
+
+    def cut(self):
+        text = " ".join("".join(self.parts).split())
+        self.out += [text] if text else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in html_extract.INLINE:
+            self.cut()
+        self.depth += tag == "article"
+        self.parts += [" "] if tag == "br" else []
+
+    def handle_endtag(self, tag):
+        if tag not in html_extract.INLINE:
+            self.cut()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        self.parts += [data] if self.depth else []
+
+
+def test_html_articles_of_the_table(labeller, sf):
+    rows = pq.read_table(f"{sf}/pages.parquet").to_pylist()
+    got = html_extract.extract([r["html"] for r in rows], labeller)
+    precision, recall = score_by_characters([(g, "\n".join(Article(r["html"] or "").out)) for g, r in zip(got, rows)])
+    assert precision > 0.98 and recall > 0.98, (precision, recall)
+
+
+BY_HAND = [
+    (
+        """<html><head><title>Bees in winter | Garden Weekly</title></head><body><div><div><div><a href="/">Home</a> <a href="/g">Garden</a> <a href="/k">Kitchen</a> <a href="/c">Contact</a></div></div>
+        <div><div><h1>How bees get through the winter</h1><div>When the days get short, a colony stops raising brood and gathers around its stores.</div><div>The bees in the middle shiver with their flight muscles, and the warmth keeps the whole cluster alive until the first willow blossoms in March.</div>
+        <div>A strong colony eats about fifteen kilograms of honey between October and April, most of it in the last six weeks.</div></div></div>
+        <div><a href="/1">Ten herbs for the balcony</a><br><a href="/2">When to prune roses</a><br><a href="/3">Compost made easy</a></div><div>\u00a9 2024 Garden Weekly. All rights reserved. Privacy policy</div></div></body></html>""",
+        ["How bees get through the winter", "When the days get short, a colony stops raising brood and gathers around its stores.", "The bees in the middle shiver with their flight muscles, and the warmth keeps the whole cluster alive until the first willow blossoms in March.", "A strong colony eats about fifteen kilograms of honey between October and April, most of it in the last six weeks."],
+    ),
+    (
+        """<body><header class="masthead"><p>The Daily Ledger</p></header><nav><ul><li><a href="/w">World</a><li><a href="/b">Business</a></ul></nav><div class="post-content"><h1>City opens second bridge</h1><p>After nine years of work the second bridge over the river was opened to traffic on Saturday morning.
+        <p>Thousands walked across it before the first cars were let on at noon, among them the engineers who had drawn it.</p><div class="newsletter-box"><p>Subscribe to our newsletter</p><p>Sign up today and never miss a story</p></div><p>The old bridge will now be closed for repairs, which are to last until the autumn of next year.</p>
+        <section class="comments"><h3>3 comments</h3><div class="comment"><p>Finally! I have been waiting for this since I moved here.</p></div><div class="comment"><p>Who is going to pay for the repairs of the old one, I wonder.</p></div></section></div><footer><p>Imprint</p><p>Terms of use</p></footer></body>""",
+        ["City opens second bridge", "After nine years of work the second bridge over the river was opened to traffic on Saturday morning.", "Thousands walked across it before the first cars were let on at noon, among them the engineers who had drawn it.", "The old bridge will now be closed for repairs, which are to last until the autumn of next year."],
+    ),
+    (
+        """<div class="cookie-banner">We use cookies to improve your experience. <button>Accept all</button></div><main id="main"><h2>Lentil soup</h2><ul><li>200 g red lentils</li><li>one onion, two carrots</li><li>a litre of vegetable stock</li></ul><p>Fry the onion until it is soft, add the carrots and the lentils, and pour the stock over them.</p><p>Let it simmer for twenty minutes, then season with cumin, lemon and salt.</p></main>
+        <aside class="related"><h4>You may also like</h4><ul><li><a href="/p">Pumpkin soup with ginger</a></li><li><a href="/q">White bean stew</a></li></ul></aside><div class="ad-slot">Advertisement: knives that never get blunt, now half price</div><form class="search-form"><label>Search</label><button>Send</button></form>""",
+        ["Lentil soup", "200 g red lentils", "one onion, two carrots", "a litre of vegetable stock", "Fry the onion until it is soft, add the carrots and the lentils, and pour the stock over them.", "Let it simmer for twenty minutes, then season with cumin, lemon and salt."],
+    ),
+    (
+        """<html><body><div id="top-menu"><a href="/a">News</a><a href="/b">Forum</a></div><div class="story"><div class="story-body"><p>Der Verein hat am Freitag einen neuen Vorstand gew&auml;hlt, der sich um das Freibad k&uuml;mmern soll.</p><div class="sponsored">Sponsored: Buy now and save</div><p>Die Mitglieder beschlossen au&szlig;erdem, den Beitrag nicht zu erh&ouml;hen, obwohl die Kosten gestiegen sind.</p><blockquote>Wir wollen, dass jedes Kind hier schwimmen lernt, sagte die Vorsitzende.</blockquote></div></div>
+        <div class="social share"><a href="/f">Share this</a></div><div id="disqus_thread"><p>Reply</p><p>Gut so, das wurde auch Zeit nach all dem Streit.</p></div></body></html>""",
+        ["Der Verein hat am Freitag einen neuen Vorstand gew\u00e4hlt, der sich um das Freibad k\u00fcmmern soll.", "Die Mitglieder beschlossen au\u00dferdem, den Beitrag nicht zu erh\u00f6hen, obwohl die Kosten gestiegen sind.", "Wir wollen, dass jedes Kind hier schwimmen lernt, sagte die Vorsitzende."],
+    ),
+]
+
+
+def test_html_pages_written_by_hand_without_article(labeller):
+    """Div soup, comments inside the text, notices between paragraphs: precision and recall by characters of 0.9."""
+    got = html_extract.extract([p for p, _ in BY_HAND], labeller)
+    precision, recall = score_by_characters([(g, "\n".join(w)) for g, (_, w) in zip(got, BY_HAND)])
+    assert precision >= 0.9 and recall >= 0.9, (precision, recall, got)
+
+
+def test_html_deep_and_long_pages_take_linear_time(labeller):
+    start = time.time()
+    for page, least in (("<div>x" * 100_000, 100_000), ("<b><i>" * 50_000 + "<div>y</b>" * 50_000, 1), ("<span>" * 50_000 + "<p>z" * 50_000, 50_000), ("<!x" * 100_000, 0), ("<a \"" * 100_000, 0), ("<![CDATA[" * 50_000, 0)):
+        assert len(html_extract.blocks(page)) >= least
+    assert time.time() - start < 30
+    para = "<p>" + ("word " * 2000) + "</p>"
+    text = html_extract.extract(["<article>" + para * 5000 + "</article>"], labeller)[0]
+    assert len(text) > 40_000_000 and time.time() - start < 120
 
 
 def whole_schedule(blocks, weights):
