@@ -1,23 +1,27 @@
 """Benchmark decontamination with a BM25 inverted index of test items and block-max WAND.
 
 The index holds the benchmark's items: postings of each term with BM25 impacts, in blocks of a few items that carry the
-term's greatest impact. Impacts are divided by the item's score against itself, so a passage that holds all of an item scores 1 and one
-threshold fits short and long items. Every training passage is a query. Passages are two adjoining segments, a segment
-having as many words as the longest item, so each occurrence of an item lies whole in some passage; all of a text is
-covered. Per segment the block maxima are added up with numpy; only passages whose bound for some block reaches the
-threshold go on to block-max WAND, which returns every item at or over the threshold. A match is then verified on
-word 5-gram shingles: at least 0.8 of the item's question and 0.8 of its answer must be in the passage. Items that mark
-no question are cut at their last line break, or else at half their words.
-
-The index is broadcast in shards of ``items_per_shard`` items, a bounded size each; documents are read once for each
-shard. Items without words match nothing; null texts have no words; texts shorter than a passage are one passage.
-Repeated rows give repeated results, and repeated items each match. Extra columns are ignored.
+term's greatest impact. Impacts are divided by the item's score against itself, so a passage that holds all of an item
+scores 1 and one threshold fits short and long items. Every training passage is a query. Passages are two adjoining
+segments, a segment having as many words as the longest item, so each occurrence of an item lies whole in some passage; all
+of a text is covered. Per segment the block maxima of its terms are added up, a sum over the sparse table of blocks; only
+passages whose bound for some block reaches the threshold go on to block-max WAND, which returns every item at or over the
+threshold. A match is then verified on word 5-gram shingles: at least 0.8 of the item's question and 0.8 of its answer
+must be in the passage. Items that mark no question are cut at their last line break, or else at half their words.
+
+The index is made in shards of ``items_per_shard`` items; one broadcast has the shards of ``items_per_pass`` items, some
+100 MB, and documents are read and cut into words once for each broadcast. Frequencies are counted over all items.
+
+Items without words match nothing; null texts have no words; texts shorter than a passage are one passage; long texts are
+cut into words some pieces at a time. Repeated rows give repeated results, and repeated items each match; of equal scores
+all stay. An empty table, or an empty benchmark, gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -35,8 +39,7 @@ THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
 ITEMS_PER_BLOCK = 4
-#: A shard's index takes about 50 MB at most: its terms by its blocks.
-ITEMS_PER_SHARD = 1000
+ITEMS_PER_SHARD, ITEMS_PER_PASS = 1000, 50_000
 CHUNK_WORDS = 200_000
 WORD = re.compile(r"\w+")
 
@@ -59,45 +62,65 @@ def shingles(w: list[str]) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """Block-max inverted index of items given as (item_id, text); ``df`` and the means come from all items."""
+    """Block-max inverted index of items given as (item_id, text); ``df`` and the means come from all items.
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float):
+    ``vocabulary`` names the terms of all shards; this shard knows those in ``known``, in order.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float, vocabulary: dict[str, int] | None = None):
         items = sorted(((i, t or "") for i, t in items), key=lambda x: (len(words(x[1])), x[0] is None, x[0], x[1]))
-        self.ids = [i for i, _ in items]
-        tokens = [words(t) for _, t in items]
+        vocabulary = {} if vocabulary is None else vocabulary
+        self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
+        tokens = [words(t) for t in self.texts]
         self.longest = max((len(w) for w in tokens), default=0)
-        self.parts = [[s for s in map(shingles, question_and_answer(t)) if s] for _, t in items]
-        self.terms: dict[str, int] = {}
-        postings: list[list[tuple[int, float]]] = []
+        postings: list[tuple[int, int, float]] = []
         for at, w in enumerate(tokens):
             impact = {t: math.log1p((n_items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean_words)) for t, n in Counter(w).items()}
             own = sum(impact.values())
-            for t, x in impact.items():
-                if t not in self.terms:
-                    self.terms[t] = len(postings)
-                    postings.append([])
-                postings[self.terms[t]].append((at, x / own))
-        self.docs = [[p[0] for p in ps] for ps in postings]
-        self.impacts = [[p[1] for p in ps] for ps in postings]
+            postings += [(vocabulary.setdefault(t, len(vocabulary)), at, x / own) for t, x in impact.items()]
+        term, doc, value = (np.array([p[k] for p in sorted(postings)], kind) for k, kind in enumerate((np.int64, np.int64, np.float64)))
+        self.known, first = np.unique(term, return_index=True)
+        #: Postings of term t: docs and impacts from start[t] to start[t + 1].
+        self.start, self.docs, self.impacts = [*first.tolist(), len(term)], array("i", doc.tolist()), array("d", value.tolist())
         # Blocks are ranges of items, the same for all terms, with each term's greatest impact there.
         self.blocks = max(1, -(-len(items) // ITEMS_PER_BLOCK))
-        self.block_max = np.zeros((len(postings), self.blocks), np.float32)
-        for t, ps in enumerate(postings):
-            for at, x in ps:
-                self.block_max[t, at // ITEMS_PER_BLOCK] = max(self.block_max[t, at // ITEMS_PER_BLOCK], x)
+        local = np.searchsorted(self.known, term)
+        cell, at = np.unique(local * self.blocks + doc // ITEMS_PER_BLOCK, return_inverse=True)
+        most = np.zeros(len(cell))
+        np.maximum.at(most, at, value)
+        self.cell_block, self.cell_most = cell % self.blocks, most
+        self.cell_start = np.searchsorted(cell // self.blocks, np.arange(len(self.known) + 1))
+
+    def local(self, ids: np.ndarray) -> np.ndarray:
+        """This shard's numbers of terms of the vocabulary, -1 where it has none."""
+        if not len(self.known):
+            return np.full(len(ids), -1)
+        at = np.minimum(np.searchsorted(self.known, ids), len(self.known) - 1)
+        return np.where(self.known[at] == ids, at, -1)
+
+    def bounds(self, row: np.ndarray, term: np.ndarray, rows: int) -> np.ndarray:
+        """The sum of block maxima for each row, given by its terms, and block."""
+        lo, n = self.cell_start[term], self.cell_start[term + 1] - self.cell_start[term]
+        cell = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(np.repeat(row, n) * self.blocks + self.cell_block[cell], self.cell_most[cell], rows * self.blocks).reshape(rows, self.blocks)
+
+    def parts(self, item: int) -> list[set[tuple[str, ...]]]:
+        """Shingles of the item's question and answer."""
+        return [s for s in map(shingles, question_and_answer(self.texts[item])) if s]
 
     def search(self, terms: np.ndarray, threshold: float, blocks: list[int]) -> list[tuple[int, float]]:
         """Block-max WAND over ``blocks``: every item there whose impacts over ``terms`` add up to the threshold."""
-        docs, impacts, out = self.docs, self.impacts, []
+        docs, impacts, start, out = self.docs, self.impacts, self.start, []
         least = threshold - 1e-6
+        most = self.bounds(np.arange(len(terms)), terms, len(terms))
         for block in blocks:
-            most = self.block_max[terms, block]
-            if most.sum() < least:
+            here = most[:, block]
+            if here.sum() < least:
                 continue
             end, lists = (block + 1) * ITEMS_PER_BLOCK, []
-            for t, bound in zip(terms[most > 0].tolist(), most[most > 0].tolist()):
-                at = bisect_left(docs[t], block * ITEMS_PER_BLOCK)
-                lists.append([docs[t][at], at, t, bound])
+            for t, bound in zip(terms[here > 0].tolist(), here[here > 0].tolist()):
+                at = bisect_left(docs, block * ITEMS_PER_BLOCK, start[t], start[t + 1])
+                lists.append([docs[at], at, t, bound])
             while lists:
                 lists.sort()
                 bound, item = 0.0, -1
@@ -109,7 +132,7 @@ class Index:
                 if item < 0:
                     break
                 if lists[0][0] == item:
-                    score = sum(impacts[t][at] for d, at, t, _ in lists if d == item)
+                    score = sum(impacts[at] for d, at, _, _ in lists if d == item)
                     if score >= least:
                         out.append((item, score))
                     item += 1
@@ -117,10 +140,10 @@ class Index:
                 left = []
                 for x in lists:
                     if x[0] < item:
-                        at = bisect_left(docs[x[2]], item, x[1])
-                        if at == len(docs[x[2]]) or docs[x[2]][at] >= end:
+                        at = bisect_left(docs, item, x[1], start[x[2] + 1])
+                        if at == start[x[2] + 1] or docs[at] >= end:
                             continue
-                        x[0], x[1] = docs[x[2]][at], at
+                        x[0], x[1] = docs[at], at
                     left.append(x)
                 lists = left
         return out
@@ -128,60 +151,56 @@ class Index:
     def verified(self, item: int, passage: set[tuple[str, ...]], w: list[str]) -> float | None:
         """The least share of the item's question and answer that the passage has, if it is enough."""
         shares = []
-        for part in self.parts[item]:
+        for part in self.parts(item):
             size = len(next(iter(part)))
             have = passage if size == SHINGLE else {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
             shares.append(len(part & have) / len(part))
         return min(shares) if shares and min(shares) >= OVERLAP else None
 
 
-def _matches(texts: list[str | None], index: Index, threshold: float) -> Iterator[tuple[int, int, float, float]]:
-    """Position of the text, item, best score and best overlap."""
-    step = index.longest
-    if not step:
-        return
+def _matches(texts: list[str | None], shards: list[Index], vocabulary: dict[str, int], threshold: float) -> Iterator[tuple[int, int | None, float, float]]:
+    """Position of the text, item_id, best score and best overlap."""
     tokens = [words(t) for t in texts]
     n = np.array([len(w) for w in tokens], np.int64)
-    get = index.terms.get
+    get = vocabulary.get
     ids = np.fromiter((get(x, -1) for w in tokens for x in w), np.int64, int(n.sum()))
-    per = -(-n // step)
-    first_segment = np.concatenate([[0], np.cumsum(per)])
-    doc = np.repeat(np.arange(len(texts)), n)
-    inside = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
-    segment = first_segment[doc] + inside // step
-    known = ids >= 0
-    unique = np.unique(segment[known] * len(index.terms) + ids[known])
-    seg, term = unique // max(1, len(index.terms)), unique % max(1, len(index.terms))
-    bound = np.zeros((int(first_segment[-1]) + 1, index.blocks), np.float32)
-    if len(seg):
-        cut = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-        bound[seg[cut]] = np.add.reduceat(index.block_max[term], cut, axis=0)
-    best: dict[tuple[int, int], tuple[float, float]] = {}
-    both = bound[:-1] + bound[1:]
-    last = np.zeros(len(both), bool)
-    last[(first_segment[1:] - 1)[per > 0]] = True
-    both[last] = bound[:-1][last]
-    single = np.zeros(len(both), bool)
-    single[first_segment[:-1][per == 1]] = True
-    for s in np.flatnonzero((both.max(1) >= threshold - 1e-4) & (~last | single)).tolist():
-        d = int(np.searchsorted(first_segment, s, "right")) - 1
-        lo = (s - int(first_segment[d])) * step
-        w = tokens[d][lo : lo + 2 * step]
-        terms = np.array(sorted({x for x in map(get, w) if x is not None}), np.int64)
-        found = index.search(terms, threshold, np.flatnonzero(both[s] >= threshold - 1e-4).tolist())
-        if found:
-            have = shingles(w)
-            for item, score in found:
-                share = index.verified(item, have, w)
-                if share is not None:
-                    old = best.get((d, item), (0.0, 0.0))
-                    best[d, item] = (max(old[0], score), max(old[1], share))
-    for (d, item), (score, share) in best.items():
-        yield d, item, score, share
-
-
-def _shards(benchmark: DataFrame, items_per_shard: int) -> Iterator[Index]:
-    """Indexes of bounded size over all items; frequencies of terms are counted by Spark over the whole benchmark."""
+    doc, inside = np.repeat(np.arange(len(texts)), n), np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+    for index in shards:
+        step = index.longest
+        if not step:
+            continue
+        local = index.local(ids)
+        per = -(-n // step)
+        first_segment = np.concatenate([[0], np.cumsum(per)])
+        known, size = local >= 0, len(index.known)
+        unique = np.unique((first_segment[doc[known]] + inside[known] // step) * size + local[known])
+        bound = index.bounds(unique // size, unique % size, int(first_segment[-1]) + 1)
+        both = bound[:-1] + bound[1:]
+        last = np.zeros(len(both), bool)
+        last[(first_segment[1:] - 1)[per > 0]] = True
+        both[last] = bound[:-1][last]
+        single = np.zeros(len(both), bool)
+        single[first_segment[:-1][per == 1]] = True
+        best: dict[tuple[int, int], tuple[float, float]] = {}
+        for s in np.flatnonzero((both.max(1, initial=0) >= threshold - 1e-4) & (~last | single)).tolist():
+            d = int(np.searchsorted(first_segment, s, "right")) - 1
+            lo = (s - int(first_segment[d])) * step
+            w = tokens[d][lo : lo + 2 * step]
+            terms = index.local(np.unique([x for x in map(get, w) if x is not None]))
+            found = index.search(terms[terms >= 0], threshold, np.flatnonzero(both[s] >= threshold - 1e-4).tolist())
+            if found:
+                have = shingles(w)
+                for item, score in found:
+                    share = index.verified(item, have, w)
+                    if share is not None:
+                        old = best.get((d, item), (0.0, 0.0))
+                        best[d, item] = (max(old[0], score), max(old[1], share))
+        for (d, item), (score, share) in best.items():
+            yield d, index.ids[item], score, share
+
+
+def _passes(benchmark: DataFrame, items_per_shard: int, items_per_pass: int) -> Iterator[tuple[list[Index], dict[str, int]]]:
+    """Shards and their vocabulary, of bounded size; frequencies of terms are counted by Spark over the whole benchmark."""
     items = saved(benchmark.select("item_id", F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "decontamination-items")
 
     def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,14 +214,18 @@ def _shards(benchmark: DataFrame, items_per_shard: int) -> Iterator[Index]:
     if not n:
         return
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    shards = max(1, -(-items.count() // items_per_shard))
-    for k in range(shards):
-        mine = items.where(F.pmod(F.hash("row"), F.lit(shards)) == k) if shards > 1 else items
+    passes = max(1, -(-items.count() // items_per_pass))
+    for k in range(passes):
+        mine = items.where(F.pmod(F.hash("row"), F.lit(passes)) == k) if passes > 1 else items
         used = terms.join(mine.select("row"), "row", "left_semi").select("term").distinct()
-        yield Index([(r.item_id, r.text) for r in mine.toLocalIterator()], dict(map(tuple, df.join(used, "term").collect())), n, mean)
+        rows, counts = [(r.item_id, r.text) for r in mine.toLocalIterator()], dict(map(tuple, df.join(used, "term").collect()))
+        # Items of like length share a shard: its segments are as long as its longest item.
+        rows.sort(key=lambda x: (len(words(x[1])), x[0] is None, x[0], x[1] or ""))
+        vocabulary: dict[str, int] = {}
+        yield [Index(rows[lo : lo + items_per_shard], counts, n, mean, vocabulary) for lo in range(0, len(rows), items_per_shard)], vocabulary
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], threshold: float = THRESHOLD, items_per_shard: int = ITEMS_PER_SHARD) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], threshold: float = THRESHOLD, items_per_shard: int = ITEMS_PER_SHARD, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """``keep`` columns, item_id, score and overlap, for each document and item that match."""
     rows = docs.select(*keep, docs["text"].cast("string").alias("__text"))
     names = [*keep, "item_id", "score", "overlap"]
@@ -211,7 +234,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], thresho
 
     def of(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            shards, vocabulary = shared.value
             for batch in batches:
                 texts, lo = batch.column("__text").to_pylist(), 0
                 while lo < len(texts):
@@ -219,15 +242,15 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], thresho
                     while hi < len(texts) and (hi == lo or size < CHUNK_WORDS * 6):
                         size += len(texts[hi] or "")
                         hi += 1
-                    found = list(_matches(texts[lo:hi], index, threshold))
+                    found = list(_matches(texts[lo:hi], shards, vocabulary, threshold))
                     if found:
                         at = pa.array([lo + x[0] for x in found])
-                        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), pa.array([index.ids[x[1]] for x in found], pa.int64()), pa.array([x[2] for x in found]), pa.array([x[3] for x in found])], names)
+                        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found]), pa.array([x[3] for x in found])], names)
                     lo = hi
 
         return rows.mapInArrow(run, schema)
 
-    found = [of(spark.sparkContext.broadcast(index)) for index in _shards(benchmark, items_per_shard)]
+    found = [of(spark.sparkContext.broadcast(one)) for one in _passes(benchmark, items_per_shard, items_per_pass)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 

@@ -525,26 +525,51 @@ def test_decontamination_equals_brute_force(spark):
     shingles = lambda t: decontamination.shingles(decontamination.words(t))
     want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate([*items, "", "", items[0]]) if shingles(x) and len(shingles(x) & shingles(t)) >= 0.8 * len(shingles(x))}
     assert got == want and len(want) == 5
-    small = {(r.doc_id, r.item_id) for r in decontamination.find_matches(docs(spark, texts), bench, ["doc_id"], items_per_shard=4).collect()}
-    assert small == want
+    for small in ({"items_per_shard": 4}, {"items_per_shard": 2, "items_per_pass": 5}):
+        assert {(r.doc_id, r.item_id) for r in decontamination.find_matches(docs(spark, texts), bench, ["doc_id"], **small).collect()} == want
     assert {r.doc_id for r in decontamination.kept_documents(docs(spark, texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert decontamination.find_matches(docs(spark, texts), bench.limit(0), ["doc_id"]).count() == 0
     assert decontamination.find_matches(docs(spark, texts).limit(0), bench, ["doc_id"]).count() == 0
 
 
+def test_decontamination_recall_of_altered_passages(spark):
+    """Of all pairs that verification accepts, the threshold of the search loses none in a hundred."""
+    rng = np.random.default_rng(14)
+    vocab, weight = prose(60, 3000).split(), 1 / np.arange(1, 3001)
+    items = [" ".join(rng.choice(vocab, rng.integers(12, 60), p=weight / weight.sum())) + "? " + " ".join(rng.choice(vocab, rng.integers(1, 20), p=weight / weight.sum())) for _ in range(60)]
+    texts = []
+    for k in range(600):
+        w = items[k % 60].split()
+        for at in rng.integers(0, len(w), rng.integers(0, 4)):
+            w[at] = rng.choice(vocab) + ("?" if w[at].endswith("?") else "")
+        texts.append(" ".join([*rng.choice(vocab, 40, p=weight / weight.sum()), *w, *rng.choice(vocab, 30, p=weight / weight.sum())]))
+    sh = lambda t: decontamination.shingles(decontamination.words(t))
+    parts = [[decontamination.shingles(w) for w in decontamination.question_and_answer(t)] for t in items]
+    want = set()
+    for d, t in enumerate(texts):
+        w = decontamination.words(t)
+        for i, ps in enumerate(parts):
+            have = [sh(t) if len(next(iter(p))) == 5 else {tuple(w[k : k + len(next(iter(p)))]) for k in range(len(w))} for p in ps]
+            if all(len(p & h) >= 0.8 * len(p) for p, h in zip(ps, have)):
+                want.add((d, i))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_matches(docs(spark, texts), bench, ["doc_id"], items_per_shard=25).collect()}
+    assert got <= want and len(want) > 150 and len(got) >= 0.99 * len(want), (len(got), len(want))
+
+
 def test_wand_finds_what_a_full_scan_finds():
     rng = np.random.default_rng(4)
     vocab = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(rng.choice(vocab, rng.integers(3, 25)))) for i in range(50)]
-    df = Counter(w for _, t in items for w in set(t.split()))
-    index = decontamination.Index(items, df, 50, 12.0)
+    df, number = Counter(w for _, t in items for w in set(t.split())), {}
+    index = decontamination.Index(items, df, 50, 12.0, number)
     for _ in range(60):
-        terms = np.array(sorted({index.terms[w] for w in rng.choice(vocab, rng.integers(2, 50)) if w in index.terms}), np.int64)
+        terms = index.local(np.unique([number[w] for w in rng.choice(vocab, rng.integers(2, 50)) if w in number]))
         got = dict(index.search(terms, 0.5, list(range(index.blocks))))
         full = Counter()
         for t in terms.tolist():
-            for d, x in zip(index.docs[t], index.impacts[t]):
-                full[d] += x
+            for at in range(index.start[t], index.start[t + 1]):
+                full[index.docs[at]] += index.impacts[at]
         assert got == pytest.approx({d: s for d, s in full.items() if s >= 0.5 - 1e-6})
 
 
