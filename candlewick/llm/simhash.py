@@ -11,10 +11,12 @@ Copies count once: the join runs over distinct fingerprints. A bucket of over ``
 emits no pairs; its members take a second, exact way: all variants within radius one (inner) and two (outer) of all 64
 bits. In a bucket that has an inner member every other member is within three bits of it, so one link from each member
 to one inner member loses no connection and needs no pairs. Components come from alternating large-star and small-star
-rounds over the links, each round a shuffle with a map-side part.
+rounds over the links, each round a shuffle with a map-side part. Least neighbours and names are written out before they
+are joined, so that a join on a hub, or on the fingerprint of a third of all rows, can be split.
 
-Null text counts as empty; texts without words share the zero fingerprint. Repeated rows get equal results. A null
-doc_id is carried through and never names a component unless all of its members lack one.
+Null text counts as empty; texts without words share the zero fingerprint; long texts are read whole. Repeated rows get
+equal results. A null doc_id is carried through and never names a component unless all of its members lack one. An empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from pyspark.sql import functions as F
 
 from .common import FILE, ROW, keep_rows, located, saved, stable, table
 
-P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 SEED = 42
 RADIUS = 3
 BLOCKS = ((0, 22), (22, 43), (43, 64))
@@ -37,52 +38,6 @@ BUCKET_PAIRS = 32
 CHUNK_BYTES = 1 << 20
 
 
-def _rotl(x: np.ndarray, r: int) -> np.ndarray:
-    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-
-
-def xxh64_slices(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """XXH64 of many slices of one byte array, a vector operation for each length."""
-    out = np.empty(len(start), np.uint64)
-    order = np.argsort(length, kind="stable")
-    sizes, first = np.unique(length[order], return_index=True)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    lanes = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
-    words = np.ndarray((len(padded) - 3,), "<u4", padded, strides=(1,))
-    for size, lo, hi in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
-        at = order[lo:hi]
-        pos = start[at].astype(np.int64)
-        if size > 256:
-            out[at] = [xxhash.xxh64_intdigest(data[p : p + size].tobytes(), seed) for p in pos.tolist()]
-            continue
-        s, left = np.uint64(seed), size
-        if size >= 32:
-            v = [np.full(len(at), x) for x in (s + P1 + P2, s + P2, s, s - P1)]
-            while left >= 32:
-                for k in range(4):
-                    v[k] = _rotl(v[k] + lanes[pos + 8 * k] * P2, 31) * P1
-                pos, left = pos + 32, left - 32
-            h = _rotl(v[0], 1) + _rotl(v[1], 7) + _rotl(v[2], 12) + _rotl(v[3], 18)
-            for k in range(4):
-                h = (h ^ (_rotl(v[k] * P2, 31) * P1)) * P1 + P4
-        else:
-            h = np.full(len(at), s + P5)
-        h = h + np.uint64(size)
-        while left >= 8:
-            h = _rotl(h ^ (_rotl(lanes[pos] * P2, 31) * P1), 27) * P1 + P4
-            pos, left = pos + 8, left - 8
-        if left >= 4:
-            h = _rotl(h ^ (words[pos].astype(np.uint64) * P1), 23) * P2 + P3
-            pos, left = pos + 4, left - 4
-        for _ in range(left):
-            h = _rotl(h ^ (data[pos].astype(np.uint64) * P5), 11) * P1
-            pos = pos + 1
-        h = (h ^ (h >> np.uint64(33))) * P2
-        h = (h ^ (h >> np.uint64(29))) * P3
-        out[at] = h ^ (h >> np.uint64(32))
-    return out
-
-
 def fingerprints(texts: list[bytes]) -> np.ndarray:
     """SimHash of each UTF-8 text over its 3-word shingles, ASCII-lower-cased."""
     out = np.zeros(len(texts), np.uint64)
@@ -115,7 +70,8 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
         if not len(s_doc):
             return out
         order = np.argsort(s_doc, kind="stable")
-        h = xxh64_slices(data, s_start[order], (s_end - s_start)[order])
+        joined, digest = data.tobytes(), xxhash.xxh64_intdigest
+        h = np.fromiter((digest(joined[lo:hi], SEED) for lo, hi in zip(s_start[order].tolist(), s_end[order].tolist())), np.uint64, len(order))
         s_doc = s_doc[order]
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         cut = np.flatnonzero(np.concatenate([[True], s_doc[1:] != s_doc[:-1]]))
@@ -295,9 +251,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
+        large = saved(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct(), "components-large")
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "components-least")
         joined = large.join(least, "u")
         e = saved(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
