@@ -18,17 +18,14 @@ EXCHANGES = {
     "okx": {"name": "OKX", "data_types": ["price", "volume"], "chunk": 100, "average_price": ["1w", "1M", "3M"], "primary_symbol": "BTC-USDT-SWAP"},
 }
 
+#: A chart, how many symbols it starts with, and whether the primary symbol is left out of them.
+CHART_DEFAULTS = [("heatmap", 50, False), ("correlation_pair_history", 10, True), ("cointegration_pair_history", 5, True), ("cointegration_live_table", 75, False)]
 RETENTION_HOURS = {"correlation": 4, "cointegration": 8, "zscore": 12}
 BACKFILL_DAYS = 7
 MARKET_CAP_TOP = 100
-COINTEGRATION_WINDOW, COINTEGRATION_CADENCE_MINUTES = 1440, 15
-LIVE_LIMITS = [50, 100, 250]
+COINTEGRATION_CADENCE_MINUTES = 15
+LIVE_WINDOWS, LIVE_LIMITS = {"1d": 1440}, [50, 100, 250]
 #: sort key -> (descending by default)
 LIVE_SORTS = {"abs_z": True, "half_life": False, "adf_t": False, "updated": True}
 #: metric -> decimals of the pair history
 PAIR_METRICS = {"spread_z": 3, "half_life": 2, "adf_t": 3, "hedge_ratio": 3, "spread_std": 3}
-
-
-def timeframe_hours() -> list[int]:
-    """All windows in use, each once."""
-    return sorted({*CORRELATION_HOURS.values(), *ZSCORE_HOURS.values()})

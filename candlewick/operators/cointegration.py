@@ -1,7 +1,7 @@
 """Cointegration scan of all pairs: hedge ratio, spread, Dickey-Fuller t and half-life.
 
-A symbol is one row with its log prices as an array. Symbols are cut into blocks; a pair meets in the one task that has
-both of its blocks, so no side is broadcast and no pair is made twice. The kernel takes a batch of pairs with numpy.
+A symbol is one row with its log prices as an array. Symbols are cut into blocks; a row for each two blocks has their
+symbols once, and the kernel takes their pairs with numpy, some at a time. Pairs are made within a market.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bars import filled, measure, on_grid
+from .blocks import PAIRS, block_pairs, pairs_of
+from .scope import scope, series
 
 LEAST_POINTS = 10
 TINY = 1e-12
-BLOCK_SYMBOLS = 64
 OUT = ["hedge_ratio", "intercept", "spread_mean", "spread_std", "spread_z", "half_life", "adf_t"]
 LN2 = float(np.log(2.0))
 
@@ -30,20 +31,9 @@ def log_prices(candles: DataFrame, start: str | Column, end: str | Column, unit:
     prices = measure(candles, "price")
     bad = F.bool_or(F.col("value") <= 0)
     dense = filled(on_grid(prices, start, end, unit), ["value"])
-    ok = dense.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("start_time", "value"))).alias("v"), bad.alias("bad"), F.count("value").alias("n"))
-    return ok.where("not bad and n > 0").select("symbol", F.transform("v", lambda x: F.ln(x["value"])).alias("p"))
-
-
-def block_pairs(series: DataFrame, blocks: int | None = None) -> DataFrame:
-    """symbol1, symbol2, p1, p2 for each pair with symbol1 < symbol2."""
-    blocks = blocks or max(1, -(-series.count() // BLOCK_SYMBOLS))
-    own = F.pmod(F.xxhash64("symbol"), F.lit(blocks))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    dealt = series.withColumn("own", own).withColumn("other", other).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    a = dealt.select("lo", "hi", F.col("own").alias("own1"), F.col("symbol").alias("symbol1"), F.col("p").alias("p1"))
-    b = dealt.select("lo", "hi", F.col("own").alias("own2"), F.col("symbol").alias("symbol2"), F.col("p").alias("p2"))
-    here = (F.col("lo") == F.least("own1", "own2")) & (F.col("hi") == F.greatest("own1", "own2"))
-    return a.join(b, ["lo", "hi"]).where((F.col("symbol1") < F.col("symbol2")) & here).select("symbol1", "symbol2", "p1", "p2")
+    keys = series(candles)
+    ok = dense.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_time", "value"))).alias("v"), bad.alias("bad"), F.count("value").alias("n"))
+    return ok.where("not bad and n > 0").select(*keys, F.transform("v", lambda x: F.ln(x["value"])).alias("p"))
 
 
 def _div(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,24 +61,32 @@ def statistics(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     return dict(zip(OUT, (beta, my - beta * mx, mean, std, _div(e[:, -1] - mean, std), half, _div(b, se))))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
-            x, y = (np.asarray(part.column(c).to_pylist(), np.float64) for c in ("p1", "p2"))
-            if x.ndim != 2 or x.shape[1] < LEAST_POINTS:
-                continue
-            got = statistics(x, y)
-            yield pa.RecordBatch.from_arrays([part.column("symbol1"), part.column("symbol2"), *(pa.array(got[c], from_pandas=True) for c in OUT)], ["symbol1", "symbol2", *OUT])
+def _scan(keys: list[str]):
+    names = [*keys, "symbol1", "symbol2", *OUT]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                symbols, z, first, second = pairs_of(batch.column("parts")[k].values, batch.column("same")[k].as_py(), batch.column("lo")[k].as_py())
+                if z.shape[1] < LEAST_POINTS:
+                    continue
+                for lo in range(0, len(first), PAIRS):
+                    i, j = first[lo : lo + PAIRS], second[lo : lo + PAIRS]
+                    got = statistics(z[i], z[j])
+                    market = [pa.array([batch.column(c)[k].as_py()] * len(i), pa.string()) for c in keys]
+                    yield pa.RecordBatch.from_arrays([*market, pa.array([symbols[x] for x in i]), pa.array([symbols[x] for x in j]), *(pa.array(got[c], from_pandas=True) for c in OUT)], names)
+
+    return run
 
 
 def scan(candles: DataFrame, start: str | Column, end: str | Column, unit: str = "hour", blocks: int | None = None) -> DataFrame:
-    """symbol1, symbol2 and the statistics of each pair; symbol 2 is regressed on symbol 1.
+    """symbol1, symbol2 and the statistics of each pair of a market; symbol 2 is regressed on symbol 1.
 
     No rows for fewer than ten points or two symbols; ``half_life`` is null where the spread doesn't decay.
     """
-    schema = "symbol1 string, symbol2 string, " + ", ".join(f"{c} double" for c in OUT)
-    return block_pairs(log_prices(candles, start, end, unit), blocks).mapInArrow(_scan, schema)
+    keys = scope(candles)
+    schema = ", ".join([*[f"{c} string" for c in keys], "symbol1 string, symbol2 string", *[f"{c} double" for c in OUT]])
+    return block_pairs(log_prices(candles, start, end, unit), keys, blocks).mapInArrow(_scan(keys), schema)
 
 
 def live_table(latest: DataFrame, sort: str = "abs_z", direction: str | None = None, limit: int = 50, offset: int = 0, symbols: list[str] | None = None) -> DataFrame:
@@ -105,4 +103,4 @@ def live_table(latest: DataFrame, sort: str = "abs_z", direction: str | None = N
     order = [column.desc_nulls_first() if down else column.asc_nulls_last(), F.col("symbol1"), F.col("symbol2")]
     digits = {"spread_z": 3, "half_life": 2, "adf_t": 3, "hedge_ratio": 6, "intercept": 6, "spread_std": 6}
     page = rows.orderBy(*order).offset(offset).limit(limit)
-    return page.select(F.concat_ws("-", "symbol1", "symbol2").alias("pair"), *[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in digits.items()], "calculated_at")
+    return page.select(*scope(latest), F.concat_ws("-", "symbol1", "symbol2").alias("pair"), *[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in digits.items()], "calculated_at")

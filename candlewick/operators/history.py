@@ -41,9 +41,12 @@ def same_symbols(before: DataFrame, after: DataFrame) -> bool:
     return symbol_diff(before, after).isEmpty()
 
 
-def keep_partitions(rows: DataFrame, now: str | Column, retention_hours: int, time: str = "calculated_at") -> DataFrame:
-    """What stays after hour partitions before now - retention - 1 h are dropped; the filter prunes partitions."""
-    return rows.where(F.date_trunc("hour", F.col(time)).cast("timestamp_ntz") >= at(now) - hours(retention_hours + 1))
+def keep_partitions(rows: DataFrame, now: str | Column, retention_hours: int, part: str = "hour_part") -> DataFrame:
+    """What stays after hour partitions before now - retention - 1 h are dropped.
+
+    ``part`` is the table's partition column (yyyyMMddHH), so folders that go are not read.
+    """
+    return rows.where(F.col(part) >= F.date_format(at(now) - hours(retention_hours + 1), "yyyyMMddHH"))
 
 
 def keep_rows_since(rows: DataFrame, now: str | Column, retention_hours: int, time: str = "calculated_at") -> DataFrame:
@@ -55,18 +58,23 @@ def canonical(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"symbol1": F.least("symbol1", "symbol2"), "symbol2": F.greatest("symbol1", "symbol2")})
 
 
-def pair_history(history: DataFrame, base: str, comparisons: list[str], metric: str, since: str | Column, digits: int | None = None, newest_first: bool = False) -> DataFrame:
+def pair_history(
+    history: DataFrame, base: str, comparisons: list[str], metric: str, since: str | Column, digits: int | None = None, newest_first: bool = False, window: int | None = None, window_col: str = "hours"
+) -> DataFrame:
     """place, symbol, time, value of ``base`` with each comparison; a comparison without history has one row of nulls.
 
-    Comparisons come in the order asked for, each once and without ``base``; pairs match either way round.
+    Comparisons come in the order asked for, each once and without ``base``; pairs match either way round. Of a history
+    of several windows (the column ``window_col``) only ``window`` counts, by default 1.
     """
     digits = PAIR_METRICS.get(metric, 3) if digits is None else digits
     asked = [s for s in dict.fromkeys(comparisons) if s != base]
     names = history.sparkSession.createDataFrame([(i, s) for i, s in enumerate(asked)], "place bigint, symbol string")
+    if window_col in history.columns:
+        history = history.where(F.col(window_col) == (1 if window is None else window))
     mine = history.where(((F.col("symbol1") == base) & F.col("symbol2").isin(asked)) | ((F.col("symbol2") == base) & F.col("symbol1").isin(asked)))
     mine = mine.where(F.col("calculated_at") >= at(since))
     mine = mine.select(perspective(F.lit(base), F.col("symbol1"), F.col("symbol2")).alias("symbol"), F.col("calculated_at").alias("time"), (F.round(metric, digits) + F.lit(0.0)).alias("value"))
-    out = F.broadcast(names).join(mine, "symbol", "left").select("place", "symbol", "time", "value") if asked else names.join(mine, "symbol")
+    out = names.join(mine, "symbol", "left").select("place", "symbol", "time", "value")
     return out.orderBy("place", F.col("time").desc_nulls_last() if newest_first else F.col("time").asc_nulls_last())
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import MARKET_CAP_TOP
+from ..config import CHART_DEFAULTS, MARKET_CAP_TOP
 from ..functions.scalar import coin_symbol
+from .scope import scope
 
 
 def ranks(listed: DataFrame, column: str = "coins") -> DataFrame:
@@ -26,9 +27,15 @@ def top_k(rows: DataFrame, order: list, k: int) -> DataFrame:
     return rows.orderBy(*order).limit(max(k, 0))
 
 
-def defaults(ranked: DataFrame, base: str, charts: int = 50, heat: int = 75, matrix: int = 10, comparisons: int = 5) -> DataFrame:
-    """use, symbols: the charts' default symbols by rank; comparisons leave out ``base``."""
+def defaults(ranked: DataFrame, base: str | Column) -> DataFrame:
+    """use, symbols: the charts' default symbols by rank, for each market. Comparisons leave out ``base``, its primary symbol.
+
+    As a column, ``base`` is made from the columns of the market.
+    """
+    keys, base = scope(ranked), F.lit(base) if isinstance(base, str) else base
     order = F.array_sort(F.collect_list(F.struct("rank", "symbol")))
-    all_ = ranked.agg(F.transform(order, lambda x: x["symbol"]).alias("s"))
-    uses = [("correlation", F.slice("s", 1, charts)), ("heatmap", F.slice("s", 1, heat)), ("matrix", F.slice("s", 1, matrix)), ("comparisons", F.slice(F.filter("s", lambda x: x != base), 1, comparisons))]
-    return all_.select(F.explode(F.array(*[F.struct(F.lit(u).alias("use"), v.alias("symbols")) for u, v in uses])).alias("d")).select("d.*")
+    first = ranked.groupBy(*keys).agg(F.transform(order, lambda x: x["symbol"]).alias("s")).withColumn("base", base)
+    others = F.filter("s", lambda x: x != F.col("base"))
+    uses = [(use, F.slice(others if apart else F.col("s"), 1, n)) for use, n, apart in CHART_DEFAULTS]
+    uses.append(("price_change_percentage", F.array("base")))
+    return first.select(*keys, F.explode(F.array(*[F.struct(F.lit(u).alias("use"), v.alias("symbols")) for u, v in uses])).alias("d")).select(*keys, "d.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.scalar import ISO
+from .ranking import defaults
 
 
 def to_json(rows: DataFrame, name: str = "body") -> DataFrame:
@@ -22,13 +23,24 @@ def history_points(pairs: DataFrame, newest_first: bool = True) -> DataFrame:
     return pairs.groupBy("place", "symbol").agg(iso.alias("points")).orderBy("place").drop("place")
 
 
-def bootstrap(spark: SparkSession, symbols: DataFrame) -> DataFrame:
-    """exchange, data_types, the windows of each chart, and the exchange's symbols in order.
+def bootstrap(spark: SparkSession, symbols: DataFrame, ranked: DataFrame) -> DataFrame:
+    """exchange, name, data_types, hours_options, symbols, chart_defaults, live_table of each exchange.
 
-    ``symbols`` has exchange and symbol; an exchange without any has an empty list.
+    ``symbols`` has exchange and symbol, ``ranked`` exchange, symbol and rank; an exchange without any has empty lists.
+    ``hours_options`` are written as text, as clients get them.
     """
     hours = {"correlation": config.CORRELATION_HOURS, "correlation_pair": config.CORRELATION_PAIR_HOURS, "cointegration_pair": config.COINTEGRATION_PAIR_HOURS, "zscore": config.ZSCORE_HOURS}
-    rows = [(k, e["name"], e["data_types"], hours | {"average_price": {w: config.AVERAGE_PRICE_HOURS[w] for w in e["average_price"]}}) for k, e in config.EXCHANGES.items()]
-    conf = spark.createDataFrame(rows, "exchange string, name string, data_types array<string>, hours_options map<string,map<string,int>>")
+    rows = []
+    for k, e in config.EXCHANGES.items():
+        options = hours | {"average_price": {w: config.AVERAGE_PRICE_HOURS[w] for w in e["average_price"]}}
+        rows.append((k, e["name"], e["data_types"], {c: {w: str(n) for w, n in o.items()} for c, o in options.items()}))
+    conf = spark.createDataFrame(rows, "exchange string, name string, data_types array<string>, hours_options map<string,map<string,string>>")
+    none = F.array().cast("array<string>")
     listed = symbols.groupBy("exchange").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
-    return conf.join(listed, "exchange", "left").withColumn("symbols", F.coalesce("symbols", F.array().cast("array<string>")))
+    primary = F.element_at(F.create_map(*[x for k, e in config.EXCHANGES.items() for x in (F.lit(k), F.lit(e["primary_symbol"]))]), F.col("exchange"))
+    charts = defaults(ranked.select("exchange", "symbol", "rank"), primary).groupBy("exchange").agg(F.map_from_entries(F.collect_list(F.struct("use", "symbols"))).alias("chart_defaults"))
+    empty = F.create_map(*[x for use, *_ in config.CHART_DEFAULTS for x in (F.lit(use), none)], F.lit("price_change_percentage"), F.array(primary))
+    windows = F.create_map(*[x for k, n in config.LIVE_WINDOWS.items() for x in (F.lit(k), F.lit(str(n)))])
+    live = F.struct(windows.alias("window_options"), F.array(*[F.lit(n) for n in config.LIVE_LIMITS]).alias("limit_options"), F.array(*[F.lit(k) for k in config.LIVE_SORTS]).alias("sort_keys"))
+    out = conf.join(listed, "exchange", "left").join(charts, "exchange", "left")
+    return out.select("exchange", "name", "data_types", "hours_options", F.coalesce("symbols", none).alias("symbols"), F.coalesce("chart_defaults", empty).alias("chart_defaults"), live.alias("live_table"))

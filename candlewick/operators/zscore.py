@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import MEASURES
 from ..functions.scalar import at, hours, safe_div
+from .scope import series
 
 LEAST_VARIANCE = 1e-9
 
@@ -25,9 +27,10 @@ def snapshot(long: DataFrame, as_of: str | Column, windows: list[int]) -> DataFr
         v = F.when(F.col("start_time") >= at(as_of) - hours(w), F.col("value"))
         state = {"n": F.count(v), "mean": F.avg(v), "variance": F.var_pop(v), "current": F.max_by(v, F.when(v.isNotNull(), F.col("start_time")))}
         aggs.append(F.struct(F.lit(w).alias("hours"), *[x.alias(k) for k, x in state.items()]))
-    rows = kept.groupBy("symbol", "measure").agg(F.array(*aggs).alias("w")).select("symbol", "measure", F.explode("w").alias("w")).where("w.n > 0")
+    keys = [*series(long), "measure"]
+    rows = kept.groupBy(*keys).agg(F.array(*aggs).alias("w")).select(*keys, F.explode("w").alias("w")).where("w.n > 0")
     z = score(*(F.col(f"w.{c}") for c in ("n", "mean", "variance", "current")))
-    return rows.select("symbol", "measure", "w.hours", "w.n", "w.mean", F.sqrt(F.greatest("w.variance", F.lit(0.0))).alias("std"), "w.current", z.alias("z"))
+    return rows.select(*keys, "w.hours", "w.n", "w.mean", F.sqrt(F.greatest("w.variance", F.lit(0.0))).alias("std"), "w.current", z.alias("z"))
 
 
 def rolling(gridded: DataFrame, window_steps: int, keys: list[str] | None = None) -> DataFrame:
@@ -35,7 +38,7 @@ def rolling(gridded: DataFrame, window_steps: int, keys: list[str] | None = None
 
     The values are centred by the symbol's mean first, so the differences keep their digits.
     """
-    keys = keys or ["symbol"]
+    keys = keys or series(gridded)
     by = Window.partitionBy(*keys).orderBy("start_time")
     run, frame = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(-(window_steps - 1), 0)
     c = gridded.withColumn("c", F.col("value") - F.avg("value").over(Window.partitionBy(*keys)))
@@ -77,19 +80,22 @@ def rolling_compat(gridded: DataFrame, window_steps: int) -> DataFrame:
     """symbol, start_time, n, z under the count-drifting update; a symbol's steps are one group."""
     import pandas as pd
 
+    keys = series(gridded)
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("start_time")
         found = drifting([None if pd.isna(v) else float(v) for v in group["value"]], window_steps)
-        return pd.DataFrame({"symbol": group["symbol"], "start_time": group["start_time"], "n": [x[0] for x in found], "z": [x[1] for x in found]})
+        return pd.DataFrame({**{c: group[c] for c in keys}, "start_time": group["start_time"], "n": [x[0] for x in found], "z": [x[1] for x in found]})
 
-    return gridded.select("symbol", "start_time", "value").groupBy("symbol").applyInPandas(run, "symbol string, start_time timestamp_ntz, n bigint, z double")
+    names = ", ".join(f"{c} string" for c in keys)
+    return gridded.select(*keys, "start_time", "value").groupBy(*keys).applyInPandas(run, f"{names}, start_time timestamp_ntz, n bigint, z double")
 
 
 def integrity(gridded: DataFrame, window_steps: int) -> DataFrame:
     """Per symbol: steps without a new value, values added without an old one, values that replaced an old one."""
-    old = F.lag("value", window_steps).over(Window.partitionBy("symbol").orderBy("start_time"))
+    old = F.lag("value", window_steps).over(Window.partitionBy(*series(gridded)).orderBy("start_time"))
     rows = gridded.withColumn("old", old)
-    return rows.groupBy("symbol").agg(
+    return rows.groupBy(*series(gridded)).agg(
         F.count_if(F.col("value").isNull()).alias("missing_new"),
         F.count_if(F.col("value").isNotNull() & F.col("old").isNull()).alias("added_without_old"),
         F.count_if(F.col("value").isNotNull() & F.col("old").isNotNull()).alias("updated_with_old"),
@@ -99,9 +105,9 @@ def integrity(gridded: DataFrame, window_steps: int) -> DataFrame:
 def matrix(scores: DataFrame, hours_: int, x: str, y: str, z: str | None = None, symbols: list[str] | None = None, digits: int = 3) -> DataFrame:
     """symbol and its point of two or three measures, in the order asked for."""
     axes = [x, y, *([z] if z else [])]
-    wide = scores.where(F.col("hours") == hours_).groupBy("symbol").agg(*[F.max(F.when(F.col("measure") == m, F.col("z"))).alias(f"a{i}") for i, m in enumerate(axes)])
+    wide = scores.where(F.col("hours") == hours_).groupBy(*series(scores)).agg(*[F.max(F.when(F.col("measure") == m, F.col("z"))).alias(f"a{i}") for i, m in enumerate(axes)])
     point = F.array(*[F.round(f"a{i}", digits) + F.lit(0.0) for i in range(len(axes))])
-    out = wide.select("symbol", point.alias("point"))
+    out = wide.select(*series(scores), point.alias("point"))
     if symbols is None:
         return out
     asked = F.array(*[F.lit(s) for s in dict.fromkeys(symbols)]) if symbols else F.array().cast("array<string>")
@@ -122,3 +128,14 @@ def heatmap(history: DataFrame, measure: str, hours_: int, symbols: list[str], d
     rows = axis.withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("y"), F.lit(s).alias("symbol")) for i, s in enumerate(dict.fromkeys(symbols))])))
     rows = rows.select("slot", "time", "x", "s.y", "s.symbol")
     return rows.join(cells.drop("time"), ["slot", "symbol"], "left").select("y", "x", "time", "symbol", (F.round("value", digits) + F.lit(0.0)).alias("value"))
+
+
+def history_rows(scores: DataFrame, calculated_at: str | Column, symbols: DataFrame | None = None) -> DataFrame:
+    """The history's form of a snapshot: a row for each symbol and window with the z-scores of its measures, 0 where one is absent.
+
+    With the symbol dimension ``symbols`` (symbol and its market), symbols that it lacks are left out.
+    """
+    keys = [*series(scores), "hours"]
+    one = lambda m: F.coalesce(F.max(F.when(F.col("measure") == m, F.col("z"))), F.lit(0.0)).alias(m)
+    rows = scores.groupBy(*keys).agg(*[one(m) for m in MEASURES]).withColumn("calculated_at", at(calculated_at))
+    return rows.join(symbols.select(*series(symbols)).distinct(), series(symbols), "left_semi") if symbols is not None else rows

@@ -7,10 +7,3 @@ KLINES = (
 )
 KLINES_KEY = ["exchange", "symbol", "start_time"]
 SYMBOLS = "symbol_id bigint, name string, exchange string, contract_type string"
-CORRELATION_HISTORY = "symbol1 string, symbol2 string, correlation_value double, data_type string, hours int, calculated_at timestamp"
-COINTEGRATION = (
-    "exchange string, contract_type string, symbol1 string, symbol2 string, window_minutes int, hedge_ratio double, intercept double, "
-    "spread_mean double, spread_std double, spread_z double, half_life double, adf_t double, calculated_at timestamp"
-)
-COINTEGRATION_KEY = ["exchange", "contract_type", "symbol1", "symbol2", "window_minutes"]
-ZSCORE_HISTORY = "symbol string, price double, volume double, trades double, hours int, calculated_at timestamp"

@@ -17,11 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
+from ..functions.scalar import at, hours
 from ..operators import correlation
 from ..operators.bars import unpivot
 from ..operators.zscore import LEAST_VARIANCE
+from ..sources import vendors
 
 TICKS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 ROCKSDB = {
@@ -105,16 +107,17 @@ def land_updates(rows: DataFrame, work: str, trigger: dict | None = None) -> Dat
 def complete_or_forced(rows: DataFrame, expected: int, expire: bool = True) -> DataFrame:
     """start_time, symbols, complete: a minute is sent at once when all its symbols are there, or when a newer one begins.
 
-    The state of a minute is the set of its symbols; the watermark forces incomplete minutes. A complete minute is sent
-    again when a batch brings it more symbols, so its greatest count is the last. Without ``expire``, for rows without
-    a watermark, minutes wait for their symbols to the end and none is forced.
+    The state of a minute is the set of its symbols; once the watermark has passed it, an incomplete minute is sent as it
+    is. A complete minute is sent again when a batch brings it more symbols, so its greatest count is the last. Without
+    ``expire``, for rows without a watermark, minutes wait for their symbols to the end and none is forced.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = set(state.get[0].split("\x1f")) if state.exists else set()
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({"start_time": [key[0]], "symbols": [len(seen)], "complete": [False]})
+            if len(seen) < expected:
+                yield pd.DataFrame({"start_time": [key[0]], "symbols": [len(seen)], "complete": [False]})
             return
         had = len(seen)
         for f in frames:
@@ -130,45 +133,90 @@ def complete_or_forced(rows: DataFrame, expected: int, expire: bool = True) -> D
 
 
 def rolling_zscore(bars: DataFrame, window: int) -> DataFrame:
-    """symbol, start_time, n, z over each symbol's last ``window`` candles, from a stream of candles.
+    """symbol, ms, n, z, source over each symbol's last ``window`` candles, from a stream of candles.
 
-    The state of a symbol is its last ``window`` values and the last time; a candle that isn't later is dropped.
+    The state of a symbol is its last ``window`` values and the last time; a candle that isn't later is dropped. With a
+    column ``source``, candles marked ``backfill`` bring the state up to date like any other (a stream that begins with a
+    symbol's history starts from it), and one marked ``removed`` ends the symbol's state: what follows starts anew.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, last = (np.frombuffer(state.get[0]), state.get[1]) if state.exists else (np.zeros(0), -1)
-        group = pd.concat(list(frames)).sort_values("ms")
-        group = group[(group["ms"] > last) & np.isfinite(group["close"])].drop_duplicates("ms", keep="last")
-        if not len(group):
-            return
-        values = np.concatenate([held, group["close"].to_numpy(float)])
-        out = []
-        for i in range(len(held), len(values)):
-            v = values[max(0, i + 1 - window) : i + 1]
+        group = pd.concat(list(frames)).sort_values("ms", kind="stable")
+        gone = (group["source"] == "removed").to_numpy()
+        out, values, at = [], list(held), last
+        for ms, close, source, end in zip(group["ms"], group["close"], group["source"], gone):
+            if end:
+                values, at = [], -1
+                continue
+            if ms <= at or not np.isfinite(close):
+                continue
+            at = int(ms)
+            values = [*values[-window + 1 :], float(close)] if window > 1 else [float(close)]
+            v = np.array(values)
             var = v.var()
-            out.append((len(v), (v[-1] - v.mean()) / var**0.5 if len(v) >= 2 and var > LEAST_VARIANCE else 0.0))
-        state.update((values[-window:].tobytes(), int(group["ms"].iloc[-1])))
-        yield pd.DataFrame({"symbol": key[0], "ms": group["ms"].to_numpy(), "n": [x[0] for x in out], "z": [x[1] for x in out]})
+            out.append((key[0], at, len(v), (v[-1] - v.mean()) / var**0.5 if len(v) >= 2 and var > LEAST_VARIANCE else 0.0, source))
+        if values:
+            state.update((np.array(values[-window:]).tobytes(), at))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["symbol", "ms", "n", "z", "source"])
 
-    rows = bars.select("symbol", F.unix_millis(F.col("start_time").cast("timestamp")).alias("ms"), "close")
-    return rows.groupBy("symbol").applyInPandasWithState(step, "symbol string, ms bigint, n bigint, z double", "held binary, last bigint", "append", GroupStateTimeout.NoTimeout)
+    source = F.coalesce(F.col("source"), F.lit("live")) if "source" in bars.columns else F.lit("live")
+    rows = bars.select("symbol", F.unix_millis(F.col("start_time").cast("timestamp")).alias("ms"), "close", source.alias("source"))
+    return rows.groupBy("symbol").applyInPandasWithState(step, "symbol string, ms bigint, n bigint, z double, source string", "held binary, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def correlation_snapshots(bars: DataFrame, work: str, as_of: str, windows: list[int], trigger: dict | None = None) -> DataFrame:
+def last_updates(raw: DataFrame, order: str = "arrival") -> DataFrame:
+    """The last update of each symbol and minute of the vendor that sends candles anew until the minute changes, as a stream.
+
+    The state of a symbol is the open minute's last update; the first update of a later minute closes it. Updates of a
+    minute once a later one has begun are late and dropped. Files are to land in the order of arrival.
+    """
+    parsed = vendors.hyperliquid_updates(raw, order)
+    own = [c for c in parsed.columns if c not in ("symbol", order)]
+    kinds = {f.name: f.dataType.simpleString() for f in parsed.schema.fields}
+    # Decimals and times travel as text: the state is one row of strings.
+    rows = parsed.select("symbol", F.col(order).cast("bigint").alias("at"), F.unix_millis("start_time").alias("minute"), F.to_json(F.struct(*own)).alias("body"))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        minute, body = state.get if state.exists else (-1, "")
+        group, out = pd.concat(list(frames)).sort_values("at", kind="stable"), []
+        for now, text in zip(group["minute"], group["body"]):
+            if now < minute:
+                continue
+            if now > minute >= 0:
+                out.append((key[0], body))
+            minute, body = int(now), text
+        state.update((minute, body))
+        if out:
+            yield pd.DataFrame(out, columns=["symbol", "body"])
+
+    closed = rows.groupBy("symbol").applyInPandasWithState(step, "symbol string, body string", "minute bigint, body string", "append", GroupStateTimeout.NoTimeout)
+    return closed.select("symbol", F.from_json("body", ", ".join(f"{c} {kinds[c]}" for c in own)).alias("r")).select("symbol", "r.*")
+
+
+def correlation_snapshots(bars: DataFrame, work: str, windows: list[int], as_of: str | None = None, trigger: dict | None = None) -> DataFrame:
     """After each batch of candles: appends them and writes the matrices anew; returns the last snapshot.
 
-    The state is the table of candles, not an N by N matrix in a task; moments are recomputed over the windows alone.
+    Each matrix ends after the newest hour that has landed, or at ``as_of``. The state is the table of candles, by batch and
+    day, not an N by N matrix in a task; only the days of the longest window are read again.
     """
     from ..sources.sinks import read_snapshot, write_snapshot
 
     spark, out, snap = bars.sparkSession, f"{work}/candles", f"{work}/matrix"
-    schema = bars.schema
+    schema = StructType([*bars.schema.fields, StructField("batch", LongType()), StructField("day", DateType())])
 
     def batch(b: DataFrame, i: int) -> None:
-        b.write.mode("overwrite").parquet(f"{out}/batch={i}")
+        b.withColumn("day", F.to_date("start_time")).write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch={i}")
         held = spark.read.schema(schema).parquet(out)
-        found = correlation.matrix(unpivot(held.dropDuplicates(["symbol", "start_time"])), as_of, windows, ["measure"])
-        write_snapshot(found, snap)
+        # Candles of a known size: one value for each batch.
+        newest = as_of or held.agg((F.max("start_time") + F.expr("INTERVAL 1 HOUR")).cast("string")).first()[0]
+        if newest is None:
+            return
+        kept = held.where(F.col("day") >= F.to_date(at(newest) - hours(max(windows)))).dropDuplicates(["symbol", "start_time"])
+        write_snapshot(correlation.matrix(unpivot(kept), newest, windows, ["measure"]), snap)
 
     _run(spark, bars.writeStream.foreachBatch(batch), work, trigger)
     return read_snapshot(spark, snap)
