@@ -100,24 +100,11 @@ def seasonality_hour(spark, sf):
 
 
 @query("seasonality_orders_dow", """WITH d AS (
-  SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS p, first(o_totalprice ORDER BY o_orderdate, o_orderkey) AS o, last(o_totalprice ORDER BY o_orderdate, o_orderkey) AS c
-  FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2)
-SELECT symbol, CAST(extract('dow' FROM p) AS BIGINT) AS period, round(avg((c - o) / c * 100), 4) + 0e0 AS change, count(*) AS days FROM d GROUP BY 1, 2""")
-def seasonality_orders_dow(spark, sf):
-    from ..functions.scalar import day_of_week
-
-    year = table(spark, sf, "orders").where("o_orderdate >= timestamp_ntz'1998-01-01' and o_orderdate < timestamp_ntz'1999-01-01'")
-    daily = B.bars(year, "day", "o_orderpriority", "o_orderdate", "o_totalprice", "o_orderkey")
-    found = seasonality.changes(daily, "day", "1999-01-01 00:00:00", 365 * 24)
-    return found.groupBy("symbol", day_of_week(F.col("period_start")).alias("period")).agg(rounded(F.avg("change"), 4).alias("change"), F.count(F.lit(1)).alias("days"))
-
-
-@query("seasonality_orders_dow_all", """WITH d AS (
   SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS p, first(o_totalprice ORDER BY o_orderdate, o_orderkey) AS o, last(o_totalprice ORDER BY o_orderdate, o_orderkey) AS c
   FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1, 2)
 SELECT symbol, CAST(extract('dow' FROM p) AS BIGINT) AS period, round(avg((c - o) / c * 100), 4) + 0e0 AS change, count(*) AS days FROM d WHERE c <> 0 GROUP BY 1, 2""")
-def seasonality_orders_dow_all(spark, sf):
-    """The one above over all of the orders, from the first day to the last."""
+def seasonality_orders_dow(spark, sf):
+    """All of the orders, from the first day to the last."""
     from ..functions.scalar import day_of_week
 
     orders = table(spark, sf, "orders")
@@ -258,7 +245,18 @@ def zscore_rolling_24h(spark, sf):
     return with_rounded(zscore.rolling(B.measure(gridded(spark, sf), "price"), 24))
 
 
-@query("zscore_rolling_compat", None)
+@query("zscore_rolling_compat", f"""WITH RECURSIVE {BARS}, {GRID}, g AS (
+  SELECT symbol, start_time, close AS v, lag(close, 24) OVER w AS old, row_number() OVER w AS t FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY start_time)),
+f AS (
+  SELECT symbol, start_time, t, CASE WHEN v IS NULL THEN 0 ELSE 1 END AS n, coalesce(v, 0) AS mean, 0e0 AS m2, v AS current FROM g WHERE t = 1
+  UNION ALL
+  SELECT g.symbol, g.start_time, g.t, CASE WHEN g.v IS NULL OR (g.old IS NOT NULL AND f.n > 0) THEN f.n ELSE f.n + 1 END,
+    CASE WHEN g.v IS NULL THEN f.mean WHEN g.old IS NOT NULL AND f.n > 0 THEN f.mean + (g.v - g.old) / f.n ELSE f.mean + (g.v - f.mean) / (f.n + 1) END,
+    CASE WHEN g.v IS NULL THEN f.m2 WHEN g.old IS NOT NULL AND f.n > 0 THEN f.m2 + (g.v - g.old) * (g.v - (f.mean + (g.v - g.old) / f.n) + g.old - f.mean)
+      ELSE f.m2 + (g.v - f.mean) * (g.v - (f.mean + (g.v - f.mean) / (f.n + 1))) END,
+    coalesce(g.v, f.current)
+  FROM f JOIN g ON g.symbol = f.symbol AND g.t = f.t + 1)
+SELECT symbol, start_time, CAST(n AS BIGINT) AS n, {r('CASE WHEN n >= 2 AND m2 / n > 1e-9 THEN (current - mean) / sqrt(m2 / n) ELSE 0 END')} AS z FROM f""")
 def zscore_rolling_compat(spark, sf):
     return with_rounded(zscore.rolling_compat(B.measure(gridded(spark, sf), "price"), 24))
 
@@ -286,3 +284,53 @@ def zscore_heatmap(spark, sf):
     rolled = zscore.rolling(B.measure(gridded(spark, sf), "price"), 24).where("value is not null and start_time >= timestamp_ntz'2024-01-30 12:00:00'")
     history = rolled.select("symbol", F.col("z").alias("price"), F.lit(24).alias("hours"), F.col("start_time").alias("calculated_at"))
     return zscore.heatmap(history, "price", 24, ["view", "error"])
+
+
+@query("corr_drift", f"""WITH {BARS}, {ONE}, {_pairs('true')}, f AS (SELECT symbol1, symbol2, {PEARSON} AS c, coalesce(corr(x, y), 0) AS independent FROM p GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT symbol1, symbol2, {r('c')} AS correlation, {r('independent')} AS independent, abs(c - independent) > 0.2 OR abs(c) > 1.000001 AS drifted FROM f""")
+def corr_drift(spark, sf):
+    """The matrix from products of blocks held against Spark's own moments over a join."""
+    price = B.measure(hourly(spark, sf), "price")
+    found = correlation.drift(correlation.matrix(price, AS_OF, [168]), price, AS_OF, 168)
+    return with_rounded(found.drop("difference"))
+
+
+@query("zscore_history_rows", f"""WITH {BARS}, {LONG}, {SNAP}, z AS (SELECT symbol, hours, measure, {_z('n', 'mean', 'var', 'current')} AS z FROM snap)
+SELECT symbol, hours, {', '.join(f"{r(f'coalesce(max(z) FILTER (measure = {chr(39)}{m}{chr(39)}), 0)')} AS {m}" for m in ('price', 'volume', 'trades'))}, TIMESTAMP '{AS_OF}' AS calculated_at
+FROM z WHERE symbol <> 'signup' GROUP BY 1, 2""")
+def zscore_history_rows(spark, sf):
+    """Symbols that the dimension lacks (here one) have no history."""
+    known = hourly(spark, sf).select("symbol").distinct().where("symbol <> 'signup'")
+    return with_rounded(zscore.history_rows(zscore.snapshot(B.unpivot(hourly(spark, sf)), AS_OF, [24, 72]), AS_OF, known))
+
+
+# The same operators over a table of two markets: each stands alone.
+MARKETS = ["binance", "okx"]
+
+
+def by_market(sql: str) -> str:
+    """``sql`` over the ticks of each market, one after the other."""
+    parts = [f"SELECT '{m}' AS exchange, * FROM ({sql.replace('FROM events', f'FROM (SELECT * FROM events WHERE user_id % 2 = {k}) events')})" for k, m in enumerate(MARKETS)]
+    return " UNION ALL ".join(parts)
+
+
+def market_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The ticks as those of two exchanges, by user."""
+    events = table(spark, sf, "events")
+    return events.withColumn("exchange", F.when(F.col("user_id") % 2 == 0, MARKETS[0]).otherwise(MARKETS[1]))
+
+
+def _market(name: str, operator) -> None:
+    query(f"market_{name}", by_market(SQL[name]))(lambda spark, sf: operator(market_events(spark, sf)))
+
+
+_hours = lambda e: B.bars(e)
+_grid = lambda e: B.on_grid(B.bars(e), START, AS_OF)
+_market("bars_hourly", lambda e: with_rounded(_hours(e)))
+_market("seasonality_dow", lambda e: seasonality.seasonality(_hours(e), "day", AS_OF, ALL_HOURS, DIGITS))
+_market("grid_filled", lambda e: B.filled(_grid(e).select("exchange", "symbol", "start_time", "close"), ["close"]))
+_market("corr_matrix", lambda e: with_rounded(correlation.matrix(B.unpivot(_hours(e)), AS_OF, WINDOWS, ["measure"])))
+_market("corr_rolling_24h", lambda e: with_rounded(correlation.rolling(B.measure(_grid(e), "price"), 24)))
+_market("coint_scan", lambda e: with_rounded(cointegration.scan(_hours(e), START, AS_OF)))
+_market("zscore_snapshot", lambda e: with_rounded(zscore.snapshot(B.unpivot(_hours(e)), AS_OF, [24, 72])))
+_market("zscore_rolling_24h", lambda e: with_rounded(zscore.rolling(B.measure(_grid(e), "price"), 24)))

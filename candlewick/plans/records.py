@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import bars as B
-from ..operators import correlation, gaps, history, ranking, selectors, serving
+from ..operators import cointegration, correlation, gaps, history, ranking, scope, selectors, serving
+from ..schema import SYMBOLS
 from ..sources import vendors
 from ..sources.tables import table
-from .market import AS_OF, BARS, GRID, START, hourly, r, with_rounded
+from .market import AS_OF, BARS, COINT, FILLED, GRID, START, by_market, hourly, market_events, r, with_rounded
 
 QUERIES, SQL = {}, {}
 
@@ -62,60 +65,37 @@ def star_join_filter(spark, sf):
     return joined.groupBy("n_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), S.rounded(F.sum("l_extendedprice"), 2).alias("price"))
 
 
-DAY, NEXT = "2024-01-10 00:00:00", "2024-01-11 00:00:00"
-MINUTES = f"""mins AS (SELECT DISTINCT event_type AS symbol, date_trunc('minute', ts) AS start_time FROM events WHERE ts >= TIMESTAMP '{DAY}' AND ts < TIMESTAMP '{NEXT}'),
-missing AS (SELECT symbol, start_time FROM (SELECT DISTINCT symbol FROM mins) CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '{DAY}', TIMESTAMP '{NEXT}' - INTERVAL 1 MINUTE, INTERVAL 1 MINUTE)) AS start_time)
+MINUTES = f"""mins AS (SELECT DISTINCT event_type AS symbol, date_trunc('minute', ts) AS start_time FROM events),
+missing AS (SELECT symbol, start_time FROM (SELECT DISTINCT symbol FROM mins) CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{AS_OF}' - INTERVAL 1 MINUTE, INTERVAL 1 MINUTE)) AS start_time)
   EXCEPT SELECT * FROM mins),
 runs AS (SELECT symbol, min(start_time) AS range_start, max(start_time) + INTERVAL 1 MINUTE AS range_end, count(*) AS steps FROM
   (SELECT *, start_time - to_minutes(CAST(row_number() OVER (PARTITION BY symbol ORDER BY start_time) AS INTEGER)) AS run FROM missing) GROUP BY symbol, run)"""
 
 
-def _minutes(spark, sf) -> DataFrame:
-    return B.between(B.bars(table(spark, sf, "events").where(f"ts >= timestamp_ntz'{DAY}' and ts < timestamp_ntz'{NEXT}'"), "minute"), DAY, NEXT)
+def _missing(events: DataFrame) -> DataFrame:
+    """Missing minutes of the whole grid, for every symbol of the table."""
+    return gaps.missing_steps(B.bars(events, "minute"), START, AS_OF)
 
 
 @query("missing_minutes", f"WITH {MINUTES} SELECT * FROM missing")
 def missing_minutes(spark, sf):
-    return gaps.missing_steps(_minutes(spark, sf), DAY, NEXT)
+    return _missing(table(spark, sf, "events"))
 
 
 @query("gap_islands", f"WITH {MINUTES} SELECT * FROM runs")
 def gap_islands(spark, sf):
-    return gaps.islands(gaps.missing_steps(_minutes(spark, sf), DAY, NEXT))
+    return gaps.islands(_missing(table(spark, sf, "events")))
 
 
 @query("gap_chunks", f"""WITH {MINUTES}, c AS (SELECT symbol, range_end, unnest(generate_series(range_start, range_end - INTERVAL 1 MINUTE, INTERVAL 100 MINUTE)) AS chunk_start FROM runs)
 SELECT symbol, chunk_start, least(chunk_start + INTERVAL 100 MINUTE, range_end) AS chunk_end FROM c""")
 def gap_chunks(spark, sf):
-    return gaps.chunks(gaps.islands(gaps.missing_steps(_minutes(spark, sf), DAY, NEXT)), 100)
-
-
-# The three above show one day; these take the whole grid, with every symbol of the table, whether it has a tick in the range or not.
-ALL_MINUTES = f"""mins AS (SELECT DISTINCT event_type AS symbol, date_trunc('minute', ts) AS start_time FROM events),
-missing AS (SELECT symbol, start_time FROM (SELECT DISTINCT symbol FROM mins) CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{AS_OF}' - INTERVAL 1 MINUTE, INTERVAL 1 MINUTE)) AS start_time)
-  EXCEPT SELECT * FROM mins),
-runs AS (SELECT symbol, min(start_time) AS range_start, max(start_time) + INTERVAL 1 MINUTE AS range_end, count(*) AS steps FROM
-  (SELECT *, start_time - to_minutes(CAST(row_number() OVER (PARTITION BY symbol ORDER BY start_time) AS INTEGER)) AS run FROM missing) GROUP BY symbol, run)"""
-
-
-def _all_missing(spark, sf) -> DataFrame:
-    return gaps.missing_steps(B.bars(table(spark, sf, "events"), "minute"), START, AS_OF)
-
-
-@query("missing_minutes_all", f"WITH {ALL_MINUTES} SELECT * FROM missing")
-def missing_minutes_all(spark, sf):
-    return _all_missing(spark, sf)
+    return gaps.chunks(gaps.islands(_missing(table(spark, sf, "events"))), 100)
 
 
-@query("gap_islands_all", f"WITH {ALL_MINUTES} SELECT * FROM runs")
-def gap_islands_all(spark, sf):
-    return gaps.islands(_all_missing(spark, sf))
-
-
-@query("gap_chunks_all", f"""WITH {ALL_MINUTES}, c AS (SELECT symbol, range_end, unnest(generate_series(range_start, range_end - INTERVAL 1 MINUTE, INTERVAL 100 MINUTE)) AS chunk_start FROM runs)
-SELECT symbol, chunk_start, least(chunk_start + INTERVAL 100 MINUTE, range_end) AS chunk_end FROM c""")
-def gap_chunks_all(spark, sf):
-    return gaps.chunks(gaps.islands(_all_missing(spark, sf)), 100)
+@query("market_gap_islands", by_market(f"WITH {MINUTES} SELECT * FROM runs"))
+def market_gap_islands(spark, sf):
+    return gaps.islands(_missing(market_events(spark, sf)))
 
 
 @query("bar_completeness", f"WITH {BARS} SELECT start_time, count(DISTINCT symbol) AS present, (SELECT count(DISTINCT symbol) FROM bars) AS expected, count(DISTINCT symbol) >= (SELECT count(DISTINCT symbol) FROM bars) AS complete FROM bars GROUP BY 1")
@@ -135,6 +115,28 @@ def payload_counts(spark, sf):
     return gaps.payload_counts(hourly(spark, sf), "2024-01-30 23:00:00", [1, 4, 12, 24])
 
 
+for _name, _sql, _of in (
+    ("bar_completeness", SQL["bar_completeness"], lambda e: gaps.completeness(B.bars(e))),
+    ("publishable_bars", SQL["publishable_bars"], lambda e: gaps.publishable(B.bars(e), "2024-01-30 23:00:00").select("exchange", "symbol", "start_time", "close")),
+    ("payload_counts", SQL["payload_counts"], lambda e: gaps.payload_counts(B.bars(e), "2024-01-30 23:00:00", [1, 4, 12, 24])),
+):
+    query(f"market_{_name}", by_market(_sql))(lambda spark, sf, of=_of: of(market_events(spark, sf)))
+
+
+@query("market_exact_at_ts", f"WITH {BARS.replace('FROM events', 'FROM events WHERE user_id % 2 = 1')} SELECT 'okx' AS exchange, symbol, close FROM bars WHERE start_time = TIMESTAMP '2024-01-15 12:00:00'")
+def market_exact_at_ts(spark, sf):
+    """One exchange's candles of one time."""
+    found = selectors.exactly(scope.market(B.bars(market_events(spark, sf)), "okx"), "2024-01-15 12:00:00")
+    return found.select("exchange", "symbol", "close")
+
+
+@query("scan_readiness", f"""WITH {BARS}, h AS (SELECT unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS t),
+g AS (SELECT min(t) AS gap FROM h WHERE t NOT IN (SELECT start_time FROM bars))
+SELECT coalesce(gap, TIMESTAMP '{AS_OF}') AS end, gap IS NULL AND EXISTS (SELECT 1 FROM bars WHERE symbol = 'view' AND start_time = TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR AND close > 0) AS ready FROM g""")
+def scan_readiness(spark, sf):
+    return gaps.scan_window(hourly(spark, sf), "view", START, AS_OF, "hour")
+
+
 @query("synthetic_bars", f"""WITH {BARS}, {GRID.replace('b.close FROM', 'b.open, b.close, b.base_volume, b.number_of_trades FROM')},
 f AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY start_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM grid)
 SELECT symbol, start_time, coalesce(open, last) AS open, coalesce(close, last) AS close, {r('coalesce(base_volume, 0)')} AS base_volume, coalesce(number_of_trades, 0) AS number_of_trades, number_of_trades IS NULL AS is_synthetic FROM f WHERE last IS NOT NULL""")
@@ -174,9 +176,11 @@ def symbol_diff(spark, sf):
     return history.symbol_diff(users.where("start_time < timestamp_ntz'2024-01-01 12:00:00'"), users.where("start_time >= timestamp_ntz'2024-01-30 18:00:00'"))
 
 
-@query("retention_partitions", "SELECT event_id, ts FROM events WHERE date_trunc('hour', ts) >= TIMESTAMP '2024-01-30 12:30:00' - INTERVAL 5 HOUR")
+@query("retention_partitions", "SELECT event_id, ts FROM events WHERE date_trunc('hour', ts) >= date_trunc('hour', TIMESTAMP '2024-01-30 12:30:00' - INTERVAL 5 HOUR)")
 def retention_partitions(spark, sf):
-    return history.keep_partitions(table(spark, sf, "events"), "2024-01-30 12:30:00", 4, "ts").select("event_id", "ts")
+    """The hour that the limit falls into stays whole, as its partition does."""
+    rows = table(spark, sf, "events").withColumn("hour_part", S.partition_hour(F.col("ts")))
+    return history.keep_partitions(rows, "2024-01-30 12:30:00", 4).select("event_id", "ts")
 
 
 @query("retention_rows", "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-30 12:30:00' - INTERVAL 12 HOUR")
@@ -226,14 +230,21 @@ def rank_join(spark, sf):
     return ranking.ranked_symbols(ranking.ranks(listed), traded, "USDT", 10)
 
 
-@query("chart_defaults", """WITH s AS (SELECT n_name AS symbol, n_nationkey + 1 AS rank FROM nation), first AS (SELECT symbol FROM s ORDER BY rank LIMIT 1)
-SELECT 'correlation' AS use, string_agg(symbol, ',' ORDER BY rank) AS symbols FROM s WHERE rank <= 50 UNION ALL SELECT 'heatmap', string_agg(symbol, ',' ORDER BY rank) FROM s WHERE rank <= 75
-UNION ALL SELECT 'matrix', string_agg(symbol, ',' ORDER BY rank) FROM s WHERE rank <= 10 UNION ALL SELECT 'comparisons', string_agg(symbol, ',' ORDER BY rank) FROM s WHERE rank BETWEEN 2 AND 6""")
+CHARTS = """SELECT 'heatmap' AS use, string_agg(symbol, ',' ORDER BY rank) AS symbols FROM s WHERE rank <= 50
+UNION ALL SELECT 'correlation_pair_history', string_agg(symbol, ',' ORDER BY rank) FROM (SELECT * FROM s WHERE symbol <> (SELECT base FROM b) ORDER BY rank LIMIT 10)
+UNION ALL SELECT 'cointegration_pair_history', string_agg(symbol, ',' ORDER BY rank) FROM (SELECT * FROM s WHERE symbol <> (SELECT base FROM b) ORDER BY rank LIMIT 5)
+UNION ALL SELECT 'cointegration_live_table', string_agg(symbol, ',' ORDER BY rank) FROM s WHERE rank <= 75 UNION ALL SELECT 'price_change_percentage', base FROM b"""
+
+
+@query("chart_defaults", f"""WITH c AS (SELECT 'C' || c_custkey AS symbol, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer), s AS (SELECT * FROM c WHERE rank <= 100),
+b AS (SELECT symbol AS base FROM s WHERE rank = 3) {CHARTS}""")
 def chart_defaults(spark, sf):
-    nation = table(spark, sf, "nation")
-    base = nation.where("n_nationkey = 0").first()["n_name"]
-    found = ranking.defaults(nation.select(F.col("n_name").alias("symbol"), (F.col("n_nationkey") + 1).alias("rank")), base)
-    return found.select("use", F.array_join("symbols", ",").alias("symbols"))
+    """The hundred customers with the most money as a list by market cap; the third is the exchange's primary symbol."""
+    top = ranking.top_k(table(spark, sf, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("symbol"), "c_acctbal", "c_custkey"), [F.desc("c_acctbal"), "c_custkey"], 100)
+    listed = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c_acctbal")).alias("m"), "c_custkey", "symbol"))), lambda x: x["symbol"]).alias("coins"))
+    ranked = ranking.ranks(listed).select(F.col("coin").alias("symbol"), "rank")
+    base = ranked.where("rank = 3").first()["symbol"]
+    return ranking.defaults(ranked, base).select("use", F.array_join("symbols", ",").alias("symbols"))
 
 
 @query("param_clean", """WITH raw AS (SELECT n_nationkey, ' ' || n_name || ' ,, ' || lower(n_name) || ',' || n_name || ', X ' AS p FROM nation)
@@ -244,13 +255,62 @@ def param_clean(spark, sf):
     return nation.select("n_nationkey", F.element_at(S.clean_params(raw), 1).alias("first"), F.array_join(S.clean_params(raw), ",").alias("cleaned"))
 
 
-@query("vendor_json_parse", """SELECT event_type AS symbol, date_trunc('minute', ts) AS start_time, value AS close, 2 * value AS base_volume, CAST(props ->> 'k' AS INTEGER) AS number_of_trades
-FROM events WHERE event_id % 3 <> 0""")
+def _candles(spark, sf) -> DataFrame:
+    """What the vendors' records are written from: a candle for each tick."""
+    ms = S.floor_minute_ms(F.unix_millis(F.col("ts").cast("timestamp")))
+    price = F.col("value").cast("decimal(18,8)")
+    return table(spark, sf, "events").select(
+        "event_id", F.col("event_type").alias("s"), ms.alias("t"), price.cast("string").alias("p"), (price * 2).cast("decimal(24,8)").cast("string").alias("v"), (price * 3).cast("decimal(24,8)").cast("string").alias("q"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("n"),
+    )
+
+
+def _shaped(rows: DataFrame) -> DataFrame:
+    return rows.select("symbol", F.col("start_time").cast("timestamp_ntz").alias("start_time"), *[F.col(c).cast("double").alias(c) for c in ("close", "base_volume", "quote_volume")], "number_of_trades")
+
+
+@query("vendor_json_parse", """SELECT event_type AS symbol, date_trunc('minute', ts) AS start_time, value AS close, 2 * value AS base_volume, 3 * value AS quote_volume, CAST(props ->> 'k' AS INTEGER) AS number_of_trades
+FROM events""")
 def vendor_json_parse(spark, sf):
-    price, ms = F.col("value").cast("decimal(18,8)"), S.floor_minute_ms(F.unix_millis(F.col("ts").cast("timestamp")))
-    kline = F.struct(ms.alias("t"), S.close_ms(ms).alias("T"), F.col("event_type").alias("s"), *[price.cast("string").alias(c) for c in "ohlc"], (price * 2).cast("decimal(24,8)").cast("string").alias("v"), F.get_json_object("props", "$.k").cast("bigint").alias("n"), (F.col("event_id") % 3 != 0).alias("x"))
-    raw = table(spark, sf, "events").select(F.to_json(F.struct(F.lit("kline").alias("e"), kline.alias("k"))).alias("raw"))
-    return vendors.binance_live(raw).select("symbol", F.col("start_time").cast("timestamp_ntz").alias("start_time"), F.col("close").cast("double").alias("close"), F.col("base_volume").cast("double").alias("base_volume"), "number_of_trades")
+    kline = F.struct("t", S.close_ms(F.col("t")).alias("T"), "s", *[F.col("p").alias(c) for c in "ohlc"], "v", "n", "q", F.lit(True).alias("x"))
+    raw = _candles(spark, sf).select(F.to_json(F.struct(F.lit("kline").alias("e"), kline.alias("k"))).alias("raw"))
+    return _shaped(vendors.binance_live(raw))
+
+
+VALUES = "event_type AS symbol, date_trunc('minute', ts) AS start_time, value AS close, 2 * value AS base_volume"
+
+
+@query("vendor_shapes", f"""SELECT vendor, {VALUES}, CASE WHEN vendor LIKE 'hyper%' THEN NULL ELSE 3 * value END AS quote_volume,
+  CASE WHEN vendor LIKE 'binance%' OR vendor LIKE 'hyper%' THEN CAST(props ->> 'k' AS INTEGER) ELSE 0 END AS number_of_trades
+FROM events, (SELECT unnest(['binance history', 'bybit live', 'bybit history', 'okx live', 'okx history', 'hyperliquid history']) AS vendor)""")
+def vendor_shapes(spark, sf):
+    """The other shapes of all vendors, live and history, from the same candles."""
+    c = _candles(spark, sf)
+    start, end = F.col("t").cast("string"), S.close_ms(F.col("t"))
+    ohlc, text = [F.col("p")] * 4, lambda *xs: F.array(*[x.cast("string") for x in xs])
+    okx = text(start, *ohlc, F.col("v"), F.lit("0"), F.col("q"), F.lit("1"))
+    hyper = F.struct("t", "s", *[F.col("p").alias(x) for x in "ohlc"], "v", "n")
+    bybit = F.struct(F.col("t").alias("start"), end.alias("end"), *[F.col("p").alias(x) for x in ("open", "high", "low", "close")], F.col("v").alias("volume"), F.col("q").alias("turnover"), F.lit(True).alias("confirm"))
+    shapes = {
+        "binance history": (vendors.binance_history, text(start, *ohlc, F.col("v"), end, F.col("q"), F.col("n"), F.lit("0"), F.lit("0"))),
+        "bybit live": (vendors.bybit_live, F.struct(F.concat(F.lit("kline.1."), "s").alias("topic"), F.array(bybit).alias("data"))),
+        "bybit history": (vendors.bybit_history, text(start, *ohlc, F.col("v"), F.col("q"))),
+        "okx live": (vendors.okx_live, F.struct(F.struct(F.lit("candle1m").alias("channel"), F.col("s").alias("instId")).alias("arg"), F.array(okx).alias("data"))),
+        "okx history": (vendors.okx_history, okx),
+        "hyperliquid history": (vendors.hyperliquid_history, hyper),
+    }
+    parts = [_shaped(parse(c.select(F.col("s").alias("symbol"), F.to_json(record).alias("raw")))).withColumn("vendor", F.lit(name)) for name, (parse, record) in shapes.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("vendor_last_update", f"""WITH u AS (SELECT {VALUES}, CAST(props ->> 'k' AS INTEGER) AS number_of_trades, ts, event_id FROM events)
+SELECT symbol, start_time, last(close ORDER BY ts, event_id) AS close, last(number_of_trades ORDER BY ts, event_id) AS number_of_trades FROM u GROUP BY 1, 2""")
+def vendor_last_update(spark, sf):
+    """Updates of a candle until its minute ends: the last one counts."""
+    hyper = F.struct("t", "s", *[F.col("p").alias(x) for x in "ohlc"], "v", "n")
+    ticks = table(spark, sf, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    raw = _candles(spark, sf).join(ticks, "event_id").select(F.struct("us", "event_id").alias("arrival"), F.to_json(F.struct(F.lit("candle").alias("channel"), hyper.alias("data"))).alias("raw"))
+    return _shaped(vendors.hyperliquid_live(raw)).select("symbol", "start_time", "close", "number_of_trades")
 
 
 @query("json_rows", "SELECT n_nationkey, '{\"symbol\":\"' || n_name || '\",\"rank\":' || (n_nationkey + 1) || '}' AS body FROM nation")
@@ -260,10 +320,77 @@ def json_rows(spark, sf):
     return shaped.select("n_nationkey", F.to_json("s").alias("body"))
 
 
-@query("bootstrap", None)
+@query("bootstrap", f"""WITH e AS (SELECT * FROM (VALUES ('binance', 'Binance', 'price,volume,trades', '1M=720,1w=168,3M=2160', 'BTCUSDT'), ('hyperliquid', 'Hyperliquid', 'price,volume,trades', '1M=720,1w=168', 'BTC'),
+  ('bybit', 'Bybit', 'price,volume', '1M=720,1w=168,3M=2160', 'BTCUSDT'), ('okx', 'OKX', 'price,volume', '1M=720,1w=168,3M=2160', 'BTC-USDT-SWAP')) v(exchange, name, data_types, average, primary_symbol)),
+s AS (SELECT DISTINCT 'binance' AS exchange, event_type AS symbol FROM events), ranked AS (SELECT *, row_number() OVER (ORDER BY symbol DESC) AS rank FROM s)
+SELECT exchange, name, data_types, 'average_price:' || average || ';cointegration_pair:4h=4,8h=8;correlation:12h=12,14d=336,1d=24,1h=1,3d=72,4h=4,7d=168;correlation_pair:1h=1,4h=4;zscore:12h=12,1h=1,4h=4' AS hours,
+  coalesce((SELECT string_agg(symbol, ',' ORDER BY symbol) FROM s WHERE s.exchange = e.exchange), '') AS symbols, coalesce((SELECT string_agg(symbol, ',' ORDER BY rank) FROM ranked WHERE ranked.exchange = e.exchange), '') AS comparisons,
+  primary_symbol AS price_change, '1d=1440' AS live_windows, '50,100,250' AS live_limits, 'abs_z,half_life,adf_t,updated' AS live_sorts FROM e""")
 def bootstrap(spark, sf):
-    symbols = table(spark, sf, "events").select(F.lit("binance").alias("exchange"), F.col("event_type").alias("symbol"))
-    return serving.to_json(serving.bootstrap(spark, symbols))
+    """All of the start-up configuration; maps are written out as text in the order of their keys."""
+    symbols = table(spark, sf, "events").select(F.lit("binance").alias("exchange"), F.col("event_type").alias("symbol")).distinct()
+    ranked = ranking.ranks(symbols.agg(F.sort_array(F.collect_list("symbol"), False).alias("coins"))).select(F.lit("binance").alias("exchange"), F.lower("coin").alias("symbol"), "rank")
+    out = serving.bootstrap(spark, symbols, ranked)
+    pairs = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    charts = lambda use: F.array_join(F.element_at("chart_defaults", use), ",")
+    return out.select(
+        "exchange", "name", F.array_join("data_types", ",").alias("data_types"), F.array_join(F.transform(F.array_sort(F.map_keys("hours_options")), lambda k: F.concat(k, F.lit(":"), pairs(F.col("hours_options")[k]))), ";").alias("hours"),
+        F.array_join("symbols", ",").alias("symbols"), charts("correlation_pair_history").alias("comparisons"), charts("price_change_percentage").alias("price_change"),
+        pairs("live_table.window_options").alias("live_windows"), F.array_join(F.col("live_table.limit_options").cast("array<string>"), ",").alias("live_limits"), F.array_join("live_table.sort_keys", ",").alias("live_sorts"),
+    )
+
+
+# The symbol dimension of the two markets, and tables that name symbols by identifier.
+DIMENSION = """dim AS (SELECT row_number() OVER (ORDER BY exchange, name) AS symbol_id, name, exchange, 'perpetual' AS contract_type
+  FROM (SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'binance' ELSE 'okx' END AS exchange, event_type AS name FROM events))"""
+
+
+def _dimension(spark, sf) -> DataFrame:
+    names = market_events(spark, sf).select(F.col("event_type").alias("name"), "exchange", F.lit("perpetual").alias("contract_type")).distinct()
+    none = spark.createDataFrame([], SYMBOLS)
+    return history.with_ids(names, none, ["exchange", "name", "contract_type"], "symbol_id")
+
+
+@query("latest_named", f"""WITH {DIMENSION}, l AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'binance' ELSE 'okx' END AS exchange, event_type AS symbol, max(ts) AS seen, last(value ORDER BY ts, event_id) AS value FROM events GROUP BY 1, 2)
+SELECT symbol, exchange, 'perpetual' AS contract_type, seen, value FROM l""")
+def latest_named(spark, sf):
+    """A history that names symbols by identifier, joined with their names and markets."""
+    dim = _dimension(spark, sf)
+    rows = market_events(spark, sf).select("exchange", F.col("event_type").alias("name"), F.col("ts").alias("seen"), "event_id", "value")
+    stored = selectors.latest(rows.join(dim, ["exchange", "name"]).select("symbol_id", "seen", "event_id", "value"), ["symbol_id"], ["seen", "event_id"])
+    return selectors.with_symbol(stored.drop("event_id"), dim)
+
+
+@query("coint_live_named", f"""SELECT exchange, 'perpetual' AS contract_type, symbol1, symbol2, spread_z FROM ({by_market(f"WITH {BARS}, {GRID}, {FILLED}, {COINT} SELECT symbol1, symbol2, {r('spread_z')} AS spread_z FROM scan")})""")
+def coint_live_named(spark, sf):
+    """The live table's pairs by identifier, joined with the same dimension twice."""
+    dim = _dimension(spark, sf).drop("contract_type")
+    found = cointegration.scan(B.bars(market_events(spark, sf)), START, AS_OF)
+    for k in ("1", "2"):
+        found = found.join(selectors.dimension(dim.select(F.col("symbol_id").alias(f"symbol{k}_id"), F.col("name").alias(f"symbol{k}"), "exchange")), ["exchange", f"symbol{k}"])
+    return with_rounded(selectors.with_both_symbols(found.select("symbol1_id", "symbol2_id", "spread_z"), _dimension(spark, sf)))
+
+
+SCANS = ["2024-01-28 00:00:00", "2024-01-29 00:00:00", "2024-01-30 00:00:00"]
+
+
+def _scan_sql(end: str) -> str:
+    start = f"TIMESTAMP '{end}' - INTERVAL 72 HOUR"
+    day = GRID.replace(f"TIMESTAMP '{START}'", start).replace(f"TIMESTAMP '{AS_OF}'", f"TIMESTAMP '{end}'").replace("(SELECT DISTINCT symbol FROM bars)", f"(SELECT DISTINCT symbol FROM bars WHERE start_time >= {start} AND start_time < TIMESTAMP '{end}')")
+    return f"SELECT *, TIMESTAMP '{end}' AS calculated_at FROM (WITH {BARS}, {day}, {FILLED}, {COINT} SELECT symbol1, symbol2, spread_z, half_life FROM scan)"
+
+
+@query("pair_history_coint", f"""WITH hist AS ({' UNION ALL '.join(map(_scan_sql, SCANS))}), s AS (SELECT * FROM (VALUES (0, 'error'), (1, 'nobody'), (2, 'view')) v(place, symbol)),
+m AS (SELECT CASE WHEN symbol1 = 'purchase' THEN symbol2 ELSE symbol1 END AS symbol, calculated_at AS time, {r('spread_z', 3)} AS value FROM hist WHERE symbol1 = 'purchase' OR symbol2 = 'purchase')
+SELECT CAST(place AS BIGINT) AS place, s.symbol, time, value FROM s LEFT JOIN m ON m.symbol = s.symbol""")
+def pair_history_coint(spark, sf):
+    """What three daily scans of 72 hours have left in the history; a scan of another window isn't of it."""
+    bars, scans = hourly(spark, sf), []
+    for end in SCANS:
+        stop = F.lit(end).cast("timestamp_ntz")
+        scans.append(cointegration.scan(bars, stop - S.hours(72), stop).withColumn("calculated_at", stop).withColumn("window_minutes", F.lit(72 * 60)))
+    other = scans[0].withColumn("window_minutes", F.lit(1440))
+    return history.pair_history(reduce(DataFrame.unionByName, [*scans, other]), "purchase", ["error", "nobody", "view"], "spread_z", "2024-01-20 00:00:00", window=72 * 60, window_col="window_minutes")
 
 
 @query("flat_triangle_index", """WITH n AS (SELECT n_nationkey AS i FROM nation), c AS (SELECT count(*) AS k FROM nation)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
 from ..operators.bars import bars
+from ..sources import vendors
 from ..sources.tables import table
 from ..streaming import queries as Q
 from .market import AS_OF, BARS, LONG, PEARSON, WINDOWS, _pairs, r, with_rounded
@@ -19,8 +21,11 @@ QUERIES, SQL = {}, {}
 
 
 def work(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="candlewick-")
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset, below a temporary one, in local mode alone."""
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="candlewick-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -52,28 +57,75 @@ def stream_dedup(spark, sf):
     return kept.groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("value"), 4).alias("value"))
 
 
-def _landed_hours(spark, sf) -> str:
-    path = work(spark, "hours")
-    bars(table(spark, sf, "events")).coalesce(1).sortWithinPartitions("start_time").write.parquet(path)
-    return path
+#: Where the replays below cut the month: what lies between two of these lands at once.
+CUTS = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]
 
 
-HOURS = "symbol string, start_time timestamp_ntz, open double, high double, low double, close double, base_volume double, number_of_trades bigint"
+def _slices(rows: DataFrame, time: str) -> list[DataFrame]:
+    """``rows`` in three ranges of time."""
+    cuts = [F.lit(c).cast("timestamp_ntz") for c in CUTS]
+    t = F.col(time)
+    return [rows.where(t < cuts[0]), rows.where((t >= cuts[0]) & (t < cuts[1])), rows.where(t >= cuts[1])]
 
 
-@query("stream_zscore", f"""WITH {BARS}, m AS (SELECT symbol, start_time, close, count(*) OVER w AS n, avg(close) OVER w AS mean, var_pop(close) OVER w AS var FROM bars
+def _replay(spark: SparkSession, slices: list[DataFrame], run: Callable[[DataFrame, str], DataFrame], stream: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """Lands one slice after the other and runs the stream to its end after each: it goes on from its checkpoint and state."""
+    landed, work_, out = work(spark, "landed"), work(spark, "replay"), None
+    for part in slices:
+        part.write.mode("append").parquet(landed)
+        rows = stream(landed) if stream else spark.readStream.schema(part.schema).parquet(landed)
+        out = run(rows, work_)
+    return out
+
+
+ZSCORE = f"""WITH {BARS}, m AS (SELECT symbol, start_time, close, count(*) OVER w AS n, avg(close) OVER w AS mean, var_pop(close) OVER w AS var FROM bars
   WINDOW w AS (PARTITION BY symbol ORDER BY start_time ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))
-SELECT symbol, start_time, n, {r('CASE WHEN n >= 2 AND var > 1e-9 THEN (close - mean) / sqrt(var) ELSE 0 END')} AS z FROM m""")
-def stream_zscore(spark, sf):
-    rows = spark.readStream.schema(HOURS).parquet(_landed_hours(spark, sf))
-    out = Q.land(Q.rolling_zscore(rows, 24), work(spark, "zscore"))
+SELECT symbol, start_time, n, {r('CASE WHEN n >= 2 AND var > 1e-9 THEN (close - mean) / sqrt(var) ELSE 0 END')} AS z FROM m"""
+
+
+def _scores(out: DataFrame) -> DataFrame:
     return out.select("symbol", F.timestamp_millis("ms").cast("timestamp_ntz").alias("start_time"), "n", rounded(F.col("z")).alias("z"))
 
 
+@query("stream_zscore", ZSCORE)
+def stream_zscore(spark, sf):
+    hours = _slices(bars(table(spark, sf, "events")), "start_time")
+    return _scores(_replay(spark, hours, lambda rows, work_: Q.land(Q.rolling_zscore(rows, 24), work_)))
+
+
+@query("stream_zscore_seeded", f"{ZSCORE} WHERE start_time >= TIMESTAMP '{CUTS[1]}'")
+def stream_zscore_seeded(spark, sf):
+    """State that starts from the history: backfilled candles bring it up to date and aren't results themselves."""
+    *past, live = _slices(bars(table(spark, sf, "events")), "start_time")
+    parts = [*[p.withColumn("source", F.lit("backfill")) for p in past], live.withColumn("source", F.lit("live"))]
+    return _scores(vendors.live_only(_replay(spark, parts, lambda rows, work_: Q.land(Q.rolling_zscore(rows, 24), work_))))
+
+
 @query("stream_corr", MARKET["corr_matrix"])
 def stream_corr(spark, sf):
-    rows = spark.readStream.schema(HOURS).parquet(_landed_hours(spark, sf))
-    return with_rounded(Q.correlation_snapshots(rows, work(spark, "corr"), AS_OF, WINDOWS))
+    hours = _slices(bars(table(spark, sf, "events")), "start_time")
+    return with_rounded(_replay(spark, hours, lambda rows, work_: Q.correlation_snapshots(rows, work_, WINDOWS, AS_OF)))
+
+
+@query("stream_last_update", """WITH u AS (SELECT event_type AS symbol, date_trunc('minute', ts) AS start_time, value, ts, event_id FROM events)
+SELECT symbol, start_time, last(value ORDER BY ts, event_id) AS close FROM u WHERE start_time < (SELECT max(start_time) FROM u v WHERE v.symbol = u.symbol) GROUP BY 1, 2""")
+def stream_last_update(spark, sf):
+    """Updates of a candle until its minute ends, as they arrive: each minute once the next one has begun."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    price = F.col("value").cast("decimal(18,8)").cast("string")
+    data = F.struct(ms.alias("t"), F.col("event_type").alias("s"), *[price.alias(c) for c in "ohlc"], price.alias("v"), F.lit(1).alias("n"))
+    raw = table(spark, sf, "events").select("ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("arrival"), F.to_json(F.struct(F.lit("candle").alias("channel"), data.alias("data"))).alias("raw"))
+    out = _replay(spark, _slices(raw, "ts"), lambda rows, work_: Q.land(Q.last_updates(rows), work_))
+    return out.select("symbol", F.col("start_time").cast("timestamp_ntz").alias("start_time"), F.col("close").cast("double").alias("close"))
+
+
+@query("stream_forced_minutes", """WITH m AS (SELECT date_trunc('minute', ts) AS start_time, count(DISTINCT event_type) AS symbols FROM events GROUP BY 1)
+SELECT start_time, symbols FROM m WHERE symbols < 2 AND start_time + INTERVAL 1 MINUTE < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def stream_forced_minutes(spark, sf):
+    """Minutes that the watermark has passed and that still lack symbols, sent as they are."""
+    run = lambda rows, work_: Q.land_updates(Q.complete_or_forced(rows, 2), work_)
+    out = _replay(spark, _slices(table(spark, sf, "events"), "ts"), run, lambda path: Q.ticks(spark, path))
+    return out.where("not complete").select(F.col("start_time").cast("timestamp_ntz").alias("start_time"), "symbols")
 
 
 @query("stream_complete_minutes", "SELECT date_trunc('minute', ts) AS start_time, count(DISTINCT event_type) AS symbols, count(DISTINCT event_type) >= 2 AS complete FROM events GROUP BY 1 HAVING count(DISTINCT event_type) >= 2")

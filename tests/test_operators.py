@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlewick.functions import scalar as S
-from candlewick.operators import bars, cointegration, correlation, gaps, history, ranking, seasonality, selectors, zscore
+from candlewick.operators import bars, cointegration, correlation, gaps, history, ranking, scope, seasonality, selectors, zscore
+from candlewick.schema import KLINES, KLINES_KEY
 from candlewick.sources import sinks, vendors
 
 T0 = dt.datetime(2024, 1, 1)
@@ -105,10 +106,112 @@ def test_cointegration_needs_points_and_pairs(spark):
 
 
 def test_blocks_make_each_pair_once(spark):
-    rows = spark.createDataFrame([(f"s{i:02d}", [float(i)]) for i in range(23)], "symbol string, p array<double>")
-    for blocks in (1, 2, 5, 8):
-        got = [(r.symbol1, r.symbol2) for r in cointegration.block_pairs(rows, blocks).collect()]
-        assert len(got) == len(set(got)) == 23 * 22 // 2
+    rows = spark.createDataFrame([(f"s{i:02d}", at(0), float(i)) for i in range(23)], "symbol string, start_time timestamp_ntz, value double")
+    for blocks in (None, 1, 2, 5, 8):
+        got = [(r.symbol1, r.symbol2) for r in correlation.all_pairs(rows, blocks=blocks).collect()]
+        assert len(got) == len(set(got)) == 23 * 22 // 2 and all(a < b for a, b in got)
+        found = correlation.matrix(rows, at(1), [1], blocks=blocks).collect()
+        assert sorted((r.symbol1, r.symbol2) for r in found) == sorted(got) and all((r.n, r.correlation) == (1, 0.0) for r in found)
+
+
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_kernels_over_blocks_equal_joins(spark, blocks):
+    rng = np.random.default_rng(9)
+    named = {f"s{k}": [None if rng.random() < 0.2 else float(v) for v in rng.normal(100 + k, 2, 40)] for k in range(9)} | {"same": [1e9 / 3] * 40}
+    rows = series(spark, **named)
+    got = {(r.hours, r.symbol1, r.symbol2): r.correlation for r in correlation.matrix(rows, at(40), [1], blocks=blocks).collect()}
+    want = {(1, r.symbol1, r.symbol2): r.correlation for r in correlation.joined(rows, at(40), 1).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert correlation.drift(correlation.matrix(rows, at(40), [1]), rows, at(40), 1).where("drifted").count() == 0
+    wrong = correlation.matrix(rows, at(40), [1]).withColumn("correlation", F.when((F.col("symbol1") == "s0") & (F.col("symbol2") == "s1"), 0.9).otherwise(F.col("correlation")))
+    assert [(r.symbol1, r.symbol2) for r in correlation.drift(wrong, rows, at(40), 1).where("drifted").collect()] == [("s0", "s1")]
+    one, many = (cointegration.scan(candles(spark, **named), at(0), at(40), "minute", k).collect() for k in (1, blocks))
+    assert sorted(map(repr, one)) == sorted(map(repr, many)) and len(one) == 45
+
+
+def test_markets_stand_alone(spark):
+    """One symbol on two exchanges is two series, and pairs are made within an exchange."""
+    a, b = candles(spark, x=A, y=B).withColumn("exchange", F.lit("one")), candles(spark, x=[9, 1, None, 5, 2, 8], z=B).withColumn("exchange", F.lit("two"))
+    both = a.unionByName(b)
+    alone = lambda f: {repr(r) for part in (a, b) for r in f(part).collect()}
+    for f in (
+        lambda d: bars.on_grid(d, at(0), at(6), "minute").select("exchange", "symbol", "start_time", "close"),
+        lambda d: correlation.matrix(bars.measure(d, "price"), at(6), [1]),
+        lambda d: zscore.snapshot(bars.unpivot(d), at(6), [1]),
+        lambda d: gaps.missing_steps(d, at(0), at(6)),
+        lambda d: gaps.completeness(d),
+        lambda d: selectors.latest(d.select("exchange", "symbol", "start_time", "close")),
+        lambda d: bars.synthetic(d, at(0), at(6), "minute").select("exchange", "symbol", "start_time", "close", "is_synthetic"),
+        lambda d: gaps.scan_window(d, "x", at(0), at(6)),
+    ):
+        assert {repr(r) for r in f(both).collect()} == alone(f)
+    assert scope.market(both, "two").count() == b.count() and set(selectors.latest(both).columns) == set(both.columns)
+
+
+def test_scan_window_stalls_and_waits(spark):
+    ready = lambda **c: [(r.end, r.ready) for r in gaps.scan_window(candles(spark, **c), "btc", at(0), at(4)).collect()]
+    assert ready(btc=[1, 2, 3, 4], eth=[1, None, 2, None]) == [(at(4), True)]
+    assert ready(btc=[1, None, 3, 4], eth=[1, None, 2, 4]) == [(at(1), False)]
+    assert ready(btc=[1, 2, 3, None], eth=[1, 2, 3, 4]) == [(at(4), False)]
+
+
+def test_default_charts(spark):
+    ranked = spark.createDataFrame([(f"s{i:03d}", i) for i in range(1, 121)], "symbol string, rank int")
+    got = {r.use: r.symbols for r in ranking.defaults(ranked, "s003").collect()}
+    assert len(got["heatmap"]) == 50 and len(got["cointegration_live_table"]) == 75 and "s003" in got["heatmap"]
+    assert got["correlation_pair_history"] == [f"s{i:03d}" for i in range(1, 12) if i != 3] and got["cointegration_pair_history"] == got["correlation_pair_history"][:5]
+    assert got["price_change_percentage"] == ["s003"]
+
+
+def test_first_page_counts(spark):
+    rows = spark.createDataFrame([(2, "a", at(0), 5.0), (1, "a", at(0), 7.0), (2, "a", at(1), 1.0), (3, "a", at(9), 1.0)], "page int, symbol string, start_time timestamp_ntz, close double")
+    got = vendors.pages(rows, at(0), at(5), "page").orderBy("start_time").collect()
+    assert [(r.start_time, r.close) for r in got] == [(at(0), 7.0), (at(1), 1.0)] and "page" not in got[0].asDict()
+
+
+def test_history_of_one_window(spark):
+    rows = spark.createDataFrame([("a", "b", h, at(t), float(10 * h + t)) for h in (1, 4) for t in (0, 1)], "symbol1 string, symbol2 string, hours int, calculated_at timestamp_ntz, c double")
+    value = lambda **k: [r.value for r in history.pair_history(rows, "b", ["a"], "c", at(0), 1, **k).collect()]
+    assert value() == [10.0, 11.0] and value(window=4) == [40.0, 41.0]
+
+
+def test_candles_of_two_exchanges_are_kept_apart(spark, tmp_path):
+    raw = spark.createDataFrame([("x", '["1704067200000","1","2","0.5","1.5","10","20"]')], "symbol string, raw string")
+    one, two = (vendors.klines(vendors.bybit_history(raw), e) for e in ("bybit", "okx"))
+    where = f"file://{tmp_path}/klines"
+    assert sinks.append_new(one.unionByName(one), where, KLINES_KEY, ["close"]).count() == 1
+    assert sinks.append_new(one.unionByName(two), where, KLINES_KEY, ["close"]).count() == 1
+    kept = spark.read.parquet(where)
+    assert kept.count() == 2 and kept.columns == [c.split()[0] for c in KLINES.split(", ")] and not list(tmp_path.glob("*.stage-*"))
+
+
+def test_retention_by_kind(spark, tmp_path):
+    where = f"file://{tmp_path}/h"
+    sinks.append_by_hour(spark.range(12).select(F.timestamp_seconds(1_704_067_200 + F.col("id") * 3600).cast("timestamp_ntz").alias("calculated_at")), where)
+    gone = sinks.retain(spark, where, "correlation", T0 + dt.timedelta(hours=11, minutes=30))
+    assert gone == [f"hour_part=20240101{h:02d}" for h in range(6)] and spark.read.parquet(where).count() == 6
+
+
+def test_zscore_sinks(spark, tmp_path):
+    scores = zscore.snapshot(bars.unpivot(candles(spark, x=A, y=B)), at(6), [1])
+    where, snap = f"file://{tmp_path}/history", f"file://{tmp_path}/snap"
+    for when, store in ((at(6), True), (at(6), True), (at(7), True), (at(8), False)):
+        sinks.save_zscores(scores, when, where, snap, spark.createDataFrame([("x",)], "symbol string"), store)
+    kept = spark.read.parquet(where).collect()
+    assert sorted((r.symbol, r.hours, r.calculated_at) for r in kept) == [("x", 1, at(6)), ("x", 1, at(7))]
+    assert sinks.read_snapshot(spark, snap).count() == 6
+    sinks.save_heatmap(spark.read.parquet(where), "price", 1, ["x"], f"{snap}-heat")
+    assert sinks.read_snapshot(spark, f"{snap}-heat/price-1").count() == 2
+
+
+def test_hours_have_few_files_and_old_ones_are_not_read(spark, tmp_path):
+    where = f"file://{tmp_path}/hours"
+    rows = spark.range(0, 4000, 1, 40).select("id", (F.lit(at(0)) + F.make_dt_interval(mins=(F.col("id") % 360).cast("int"))).alias("calculated_at"))
+    sinks.append_by_hour(rows, where)
+    files = [str(f) for f in tmp_path.rglob("*.parquet")]
+    assert spark.read.parquet(where).count() == 4000 and len({f.split("/")[-2] for f in files}) == 6 and len(files) <= 24
+    kept = history.keep_partitions(spark.read.parquet(where).withColumn("hour_part", F.col("hour_part").cast("string")), at(300), 1)
+    assert kept.count() == sum(i % 360 >= 180 for i in range(4000))
 
 
 def test_live_table_order(spark):

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
 from test_oracle import values
 
+from candlewick.operators import correlation
+from candlewick.operators.bars import bars, unpivot
 from candlewick.plans import streams
+from candlewick.sources import vendors
+from candlewick.streaming import queries as Q
 
 FILES = 200
 
@@ -37,3 +43,57 @@ def test_replay_over_several_batches_equals_sql(spark, duck, many, name):
     finally:
         duck.execute("DROP VIEW temp.events")
     assert len(want) and values(got) == values(want)
+
+
+def landed(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_state_goes_on_after_a_restart_and_ends_with_its_symbol(spark, tmp_path):
+    """Three runs from one checkpoint: history, live candles with one again and one late, then the symbol removed and new."""
+    schema = "symbol string, start_time timestamp_ntz, close double, source string"
+    path, hour = f"file://{tmp_path}/bars", lambda h: pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)
+    runs = [
+        [("a", hour(h), float(h), "backfill") for h in range(3)],
+        [("a", hour(3), 10.0, "live"), ("a", hour(2), 99.0, "live"), ("b", hour(3), 1.0, None)],
+        [("a", hour(4), None, "removed"), ("a", hour(5), 4.0, "live"), ("a", hour(6), 8.0, "live")],
+    ]
+    for rows in runs:
+        landed(spark, path, [(s, t.to_pydatetime(), c, x) for s, t, c, x in rows], schema)
+        out = Q.land(Q.rolling_zscore(spark.readStream.schema(schema).parquet(path), 3), f"file://{tmp_path}/work")
+    got = {(r.symbol, r.ms // 3_600_000 % 24): (r.n, round(r.z, 6)) for r in vendors.live_only(out).collect()}
+    z = lambda *v: round((v[-1] - np.mean(v)) / np.std(v), 6)
+    assert got == {("a", 3): (3, z(1, 2, 10)), ("b", 3): (1, 0.0), ("a", 5): (1, 0.0), ("a", 6): (2, z(4, 8))}
+    again = Q.land(Q.rolling_zscore(spark.readStream.schema(schema).parquet(path), 3), f"file://{tmp_path}/work")
+    assert again.count() == out.count(), "nothing new has landed: nothing is sent again"
+
+
+def test_snapshots_end_after_the_newest_hour(spark, sf, tmp_path):
+    hours = bars(spark.read.parquet(f"{sf}/events.parquet"))
+    path = f"file://{tmp_path}/hours"
+    for part in streams._slices(hours, "start_time")[:2]:
+        part.write.mode("append").parquet(path)
+        got = Q.correlation_snapshots(spark.readStream.schema(hours.schema).parquet(path), f"file://{tmp_path}/work", [24, 72])
+    held = spark.read.parquet(path)
+    newest = str(held.agg({"start_time": "max"}).first()[0] + pd.Timedelta(hours=1))
+    assert values(got.toPandas()) == values(correlation.matrix(unpivot(held), newest, [24, 72], ["measure"]).toPandas()) and got.count() > 0
+
+
+def test_minutes_are_forced_once_and_only_if_incomplete(spark, tmp_path):
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    at = lambda m, s=0: (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m, seconds=s)).to_pydatetime()
+    path = f"file://{tmp_path}/ticks"
+    for rows in ([(at(0), "a"), (at(0, 5), "b"), (at(1), "a")], [(at(30), "a"), (at(0, 9), "c")], [(at(60), "a")]):
+        landed(spark, path, [(i, t, 1, s, 1.0, "{}") for i, (t, s) in enumerate(rows)], schema)
+        out = Q.land_updates(Q.complete_or_forced(Q.ticks(spark, path), 2), f"file://{tmp_path}/work")
+    got = sorted((r.start_time.minute, r.symbols, r.complete) for r in out.collect())
+    assert got == [(0, 2, True), (0, 3, True), (1, 1, False), (30, 1, False)]
+
+
+def test_last_updates_over_several_runs(spark, tmp_path):
+    schema, path = "arrival bigint, raw string", f"file://{tmp_path}/raw"
+    body = lambda m, c: json.dumps({"channel": "candle", "data": {"t": 1_704_067_200_000 + m * 60_000 + 5, "s": "x", "o": "1", "h": "2", "l": "1", "c": str(c), "v": "3", "n": 4}})
+    for rows in ([(0, body(0, 1)), (1, body(0, 2))], [(2, body(0, 3)), (3, body(1, 4)), (4, body(0, 9)), (5, "no json")], [(6, body(3, 5))]):
+        landed(spark, path, rows, schema)
+        out = Q.land(Q.last_updates(spark.readStream.schema(schema).parquet(path)), f"file://{tmp_path}/work")
+    assert sorted((r.start_time.minute, float(r.close), r.number_of_trades) for r in out.collect()) == [(0, 3.0, 4), (1, 4.0, 4)]
