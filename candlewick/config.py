@@ -23,9 +23,16 @@ CHART_DEFAULTS = [("heatmap", 50, False), ("correlation_pair_history", 10, True)
 RETENTION_HOURS = {"correlation": 4, "cointegration": 8, "zscore": 12}
 BACKFILL_DAYS = 7
 MARKET_CAP_TOP = 100
+#: What an exchange's symbols have after the coin; all others have COIN_SUFFIX.
+COIN_SUFFIX, COIN_SUFFIXES = "USDT", {"hyperliquid": "", "okx": "-USDT-SWAP"}
 COINTEGRATION_CADENCE_MINUTES = 15
 LIVE_WINDOWS, LIVE_LIMITS = {"1d": 1440}, [50, 100, 250]
 #: sort key -> (descending by default)
 LIVE_SORTS = {"abs_z": True, "half_life": False, "adf_t": False, "updated": True}
 #: metric -> decimals of the pair history
 PAIR_METRICS = {"spread_z": 3, "half_life": 2, "adf_t": 3, "hedge_ratio": 3, "spread_std": 3}
+
+
+def all_hours() -> list[int]:
+    """All windows in use, each once."""
+    return sorted({*CORRELATION_HOURS.values(), *ZSCORE_HOURS.values()})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..config import COIN_SUFFIX, COIN_SUFFIXES
+
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 WEEKDAYS = ["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"]
 
@@ -118,6 +120,14 @@ def coin_symbol(coin: Column, suffix: str) -> Column:
     return F.concat(F.upper(coin), F.lit(suffix))
 
 
+def exchange_symbol(coin: Column, exchange: str | Column) -> Column:
+    """The symbol of a coin on an exchange, each with its own suffix."""
+    if isinstance(exchange, str):
+        return coin_symbol(coin, COIN_SUFFIXES.get(exchange, COIN_SUFFIX))
+    known = F.create_map(*[F.lit(x) for pair in COIN_SUFFIXES.items() for x in pair])
+    return F.concat(F.upper(coin), F.coalesce(F.try_element_at(known, exchange), F.lit(COIN_SUFFIX)))
+
+
 def perspective(base: Column, s1: Column, s2: Column) -> Column:
     """The other side of a pair, seen from ``base``."""
     return F.when(s1 == base, s2).otherwise(s1)

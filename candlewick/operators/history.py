@@ -78,6 +78,13 @@ def pair_history(
     return out.orderBy("place", F.col("time").desc_nulls_last() if newest_first else F.col("time").asc_nulls_last())
 
 
+def coint_history(history: DataFrame, base: str, comparisons: list[str], metric: str, since: str | Column, window_minutes: int) -> DataFrame:
+    """``pair_history`` of a cointegration metric and window, oldest first; an unknown metric is an error."""
+    if metric not in PAIR_METRICS:
+        raise ValueError(f"metric must be one of {sorted(PAIR_METRICS)}, not {metric!r}")
+    return pair_history(history, base, comparisons, metric, since, window=window_minutes, window_col="window_minutes")
+
+
 def series(pairs: DataFrame) -> DataFrame:
     """place, symbol, points: each comparison's history as one list of time and value, in time order."""
     point = F.when(F.col("time").isNotNull(), F.struct("time", "value"))

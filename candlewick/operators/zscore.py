@@ -117,19 +117,29 @@ def matrix(scores: DataFrame, hours_: int, x: str, y: str, z: str | None = None,
 def heatmap(history: DataFrame, measure: str, hours_: int, symbols: list[str], digits: int = 3) -> DataFrame:
     """y (symbol's place), x (time's place), time, symbol, value: each symbol at each time; null where it has no record.
 
-    Of records that repeat a symbol and time the last by ``calculated_at`` counts.
+    Symbols without any record have no row of the picture. Of records that repeat a symbol and time the last by
+    ``calculated_at`` counts.
     """
     kept = history.where((F.col("hours") == hours_) & F.col("symbol").isin(symbols)).withColumn("time", F.date_format("calculated_at", "HH:mm"))
     slot = F.date_trunc("minute", "calculated_at").cast("timestamp_ntz")
     cells = kept.groupBy(slot.alias("slot"), "time", "symbol").agg(F.max_by(measure, "calculated_at").alias("value"))
-    slots = cells.select("slot", "time").distinct()
-    # Times are the axis of one picture; numbering them is a window over that axis alone.
-    axis = slots.withColumn("x", F.row_number().over(Window.orderBy("slot")) - 1)
-    rows = axis.withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("y"), F.lit(s).alias("symbol")) for i, s in enumerate(dict.fromkeys(symbols))])))
-    rows = rows.select("slot", "time", "x", "s.y", "s.symbol")
+    # The two axes of one picture: numbering them is a window over an axis alone.
+    x = cells.select("slot", "time").distinct().withColumn("x", F.row_number().over(Window.orderBy("slot")) - 1)
+    asked = F.array(*[F.lit(s) for s in dict.fromkeys(symbols)]).cast("array<string>")
+    y = cells.select("symbol").distinct().withColumn("y", F.row_number().over(Window.orderBy(F.array_position(asked, F.col("symbol")))) - 1)
+    axes = y.agg(F.collect_list(F.struct("y", "symbol")).alias("s"))
+    rows = x.crossJoin(F.broadcast(axes)).select("slot", "time", "x", F.explode("s").alias("s")).select("slot", "time", "x", "s.y", "s.symbol")
     return rows.join(cells.drop("time"), ["slot", "symbol"], "left").select("y", "x", "time", "symbol", (F.round("value", digits) + F.lit(0.0)).alias("value"))
 
 
+def drift(rolled: DataFrame, long: DataFrame, as_of: str | Column, window: int, measure: str = "price", tolerance: float = 0.25) -> DataFrame:
+    """symbol, z, independent, drifted: the last step of a rolling frame held against a snapshot of the same window."""
+    keys = series(rolled)
+    last = rolled.groupBy(*keys).agg(F.max_by("z", "start_time").alias("z"))
+    other = snapshot(long.where(F.col("measure") == measure), as_of, [window]).select(*keys, F.col("z").alias("independent"))
+    return last.join(other, keys).withColumn("drifted", F.abs(F.col("z") - F.col("independent")) > tolerance)
+
+
 def history_rows(scores: DataFrame, calculated_at: str | Column, symbols: DataFrame | None = None) -> DataFrame:
     """The history's form of a snapshot: a row for each symbol and window with the z-scores of its measures, 0 where one is absent.
 

@@ -220,7 +220,7 @@ FROM scan ORDER BY {order}, symbol1, symbol2 LIMIT 5 OFFSET 1"""
         return cointegration.live_table(found, sort, limit=5, offset=1)
 
 
-for _sort, _order in (("abs_z", "abs(spread_z) DESC NULLS FIRST"), ("half_life", "half_life ASC NULLS LAST"), ("adf_t", "adf_t ASC NULLS LAST")):
+for _sort, _order in (("updated", "calculated_at DESC NULLS FIRST"), ("abs_z", "abs(spread_z) DESC NULLS FIRST"), ("half_life", "half_life ASC NULLS LAST"), ("adf_t", "adf_t ASC NULLS LAST")):
     _live(_sort, _order)
 
 
@@ -304,6 +304,15 @@ def zscore_history_rows(spark, sf):
     return with_rounded(zscore.history_rows(zscore.snapshot(B.unpivot(hourly(spark, sf)), AS_OF, [24, 72]), AS_OF, known))
 
 
+@query("zscore_drift", f"""WITH {BARS}, {GRID}, m AS (SELECT symbol, start_time, count(close) OVER w AS n, avg(close) OVER w AS mean, var_pop(close) OVER w AS var, last_value(close IGNORE NULLS) OVER w AS current
+  FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY start_time ROWS BETWEEN 71 PRECEDING AND CURRENT ROW))
+SELECT symbol, {r(_z('n', 'mean', 'var', 'current'))} AS z, {r(_z('n', 'mean', 'var', 'current'))} AS independent, false AS drifted FROM m WHERE start_time = TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR AND n > 0""")
+def zscore_drift(spark, sf):
+    """The rolling frame's last step held against the snapshot."""
+    found = zscore.drift(zscore.rolling(B.measure(gridded(spark, sf), "price"), 72), B.unpivot(hourly(spark, sf)), AS_OF, 72)
+    return with_rounded(found)
+
+
 # The same operators over a table of two markets: each stands alone.
 MARKETS = ["binance", "okx"]
 

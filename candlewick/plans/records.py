@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import scalar as S
 from ..operators import bars as B
 from ..operators import cointegration, correlation, gaps, history, ranking, scope, selectors, serving
@@ -50,7 +51,7 @@ def exact_at_ts(spark, sf):
 
 @query("multi_offset", f"WITH {BARS}, h AS (SELECT unnest([1, 4, 12, 24, 72, 168, 336]) AS hours) SELECT hours, symbol, start_time, close FROM h JOIN bars ON start_time = TIMESTAMP '2024-01-30 23:00:00' - to_hours(hours)")
 def multi_offset(spark, sf):
-    return selectors.hours_back(hourly(spark, sf), "2024-01-30 23:00:00", [1, 4, 12, 24, 72, 168, 336]).select("hours", "symbol", "start_time", "close")
+    return selectors.hours_back(hourly(spark, sf), "2024-01-30 23:00:00", config.all_hours()).select("hours", "symbol", "start_time", "close")
 
 
 @query("star_join_filter", """SELECT n_name, o_orderpriority, count(*) AS n, round(sum(l_extendedprice), 2) + 0e0 AS price FROM lineitem
@@ -215,6 +216,22 @@ def pair_history_series(spark, sf):
     return history.series(pairs).select("symbol", F.array_join(text, ",").alias("points"))
 
 
+@query("history_points", f"""WITH {BARS}, {DAILY}, s AS (SELECT * FROM (VALUES ('error'), ('nobody'), ('signup')) v(symbol)),
+m AS (SELECT CASE WHEN symbol1 = 'purchase' THEN symbol2 ELSE symbol1 END AS symbol, calculated_at AS time, {r('c', 3)} AS value FROM hist WHERE (symbol1 = 'purchase' OR symbol2 = 'purchase') AND calculated_at >= TIMESTAMP '2024-01-20')
+SELECT s.symbol, coalesce(string_agg(strftime(time, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00 ' || CAST(value AS VARCHAR), ',' ORDER BY time DESC), '') AS points FROM s LEFT JOIN m ON m.symbol = s.symbol GROUP BY 1""")
+def history_points(spark, sf):
+    """Each comparison's history as clients get it: newest first, times with their zone."""
+    pairs = history.pair_history(_daily_corr(spark, sf), "purchase", ["error", "nobody", "signup"], "correlation_value", "2024-01-20 00:00:00", 3, True)
+    return serving.history_points(pairs).select("symbol", F.array_join(F.transform("points", lambda p: F.array_join(p, " ")), ",").alias("points"))
+
+
+@query("exchange_symbols", """WITH e AS (SELECT * FROM (VALUES ('binance', 'USDT'), ('bybit', 'USDT'), ('okx', '-USDT-SWAP'), ('hyperliquid', '')) v(exchange, suffix))
+SELECT exchange, n_nationkey, upper(n_name) || suffix AS symbol FROM nation, e""")
+def exchange_symbols(spark, sf):
+    names = table(spark, sf, "nation").withColumn("exchange", F.explode(F.array(*[F.lit(e) for e in config.EXCHANGES])))
+    return names.select("exchange", "n_nationkey", S.exchange_symbol(F.col("n_name"), F.col("exchange")).alias("symbol"))
+
+
 @query("rank_top_k", "SELECT o_custkey AS symbol, round(sum(o_totalprice), 2) + 0e0 AS total FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, 1 LIMIT 20")
 def rank_top_k(spark, sf):
     total = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("symbol")).agg(F.sum("o_totalprice").alias("t"))
@@ -390,7 +407,7 @@ def pair_history_coint(spark, sf):
         stop = F.lit(end).cast("timestamp_ntz")
         scans.append(cointegration.scan(bars, stop - S.hours(72), stop).withColumn("calculated_at", stop).withColumn("window_minutes", F.lit(72 * 60)))
     other = scans[0].withColumn("window_minutes", F.lit(1440))
-    return history.pair_history(reduce(DataFrame.unionByName, [*scans, other]), "purchase", ["error", "nobody", "view"], "spread_z", "2024-01-20 00:00:00", window=72 * 60, window_col="window_minutes")
+    return history.coint_history(reduce(DataFrame.unionByName, [*scans, other]), "purchase", ["error", "nobody", "view"], "spread_z", "2024-01-20 00:00:00", 72 * 60)
 
 
 @query("flat_triangle_index", """WITH n AS (SELECT n_nationkey AS i FROM nation), c AS (SELECT count(*) AS k FROM nation)

@@ -7,6 +7,7 @@ readers take the last one that is whole.
 from __future__ import annotations
 
 import datetime as dt
+import re
 import time
 import uuid
 
@@ -113,7 +114,7 @@ def drop_old_hours(spark: SparkSession, path: str, before_hour: str) -> list[str
     if not fs.exists(p):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(p)]
-    old = sorted(n for n in names if n.startswith(f"{HOUR}=") and n.split("=")[1] < before_hour)
+    old = sorted(n for n in names if re.fullmatch(rf"{HOUR}=[0-9]{{10}}", n) and n.split("=")[1] < before_hour)
     for n in old:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p, n), True)
     return old

@@ -192,6 +192,17 @@ def test_retention_by_kind(spark, tmp_path):
     assert gone == [f"hour_part=20240101{h:02d}" for h in range(6)] and spark.read.parquet(where).count() == 6
 
 
+def test_metrics_are_checked(spark):
+    with pytest.raises(ValueError, match="spread_z"):
+        history.coint_history(spark.range(0), "a", ["b"], "price; drop", at(0), 60)
+
+
+def test_heatmap_leaves_out_symbols_without_records(spark):
+    rows = spark.createDataFrame([("a", 1.0, 1, at(0)), ("a", 2.0, 1, at(1)), ("c", 3.0, 1, at(1))], "symbol string, price double, hours int, calculated_at timestamp_ntz")
+    got = sorted((r.y, r.x, r.symbol, r.value) for r in zscore.heatmap(rows, "price", 1, ["c", "b", "a"]).collect())
+    assert got == [(0, 0, "c", None), (0, 1, "c", 3.0), (1, 0, "a", 1.0), (1, 1, "a", 2.0)]
+
+
 def test_zscore_sinks(spark, tmp_path):
     scores = zscore.snapshot(bars.unpivot(candles(spark, x=A, y=B)), at(6), [1])
     where, snap = f"file://{tmp_path}/history", f"file://{tmp_path}/snap"
