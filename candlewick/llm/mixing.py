@@ -98,9 +98,10 @@ class Plan:
 def _placed(rows: DataFrame) -> DataFrame:
     """``rows`` (doc_id, source, locator) with their rank in the source, and its number of rows."""
     order = F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    keys = ["source", "order", FILE, ROW]
+    # A hash stands for the file's path, as Spark samples these columns on the driver.
+    keys = ["source", "order", F.xxhash64(FILE), ROW]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("order", order).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    dealt = rows.withColumn("order", order).repartitionByRange(n, *keys).sortWithinPartitions(*keys, FILE)
     dealt = saved(dealt.withColumn("at", F.monotonically_increasing_id()).drop("order"), "mixing-order").withColumn("range", F.shiftright("at", 33))
     counts = dealt.groupBy("source", "range").agg(F.count(F.lit(1)).alias("here"), F.min("at").alias("first"))
     by = Window.partitionBy("source")
