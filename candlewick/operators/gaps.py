@@ -62,7 +62,8 @@ def publishable(candles: DataFrame, now: str | Column, expected: int | None = No
 
 def missing_symbols(candles: DataFrame, symbols: DataFrame, time: str | Column) -> DataFrame:
     """The names of ``symbols`` without a candle at ``time``."""
-    return symbols.select("symbol").distinct().join(candles.where(F.col("start_time") == at(time)).select("symbol"), "symbol", "left_anti")
+    keys = series(symbols)
+    return symbols.select(*keys).distinct().join(candles.where(F.col("start_time") == at(time)).select(*keys), keys, "left_anti")
 
 
 def payload_counts(candles: DataFrame, base: str | Column, offsets: list[int]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import PAIR_METRICS
 from ..functions.scalar import at, hours, perspective
+from .scope import series as market_series
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -32,9 +33,10 @@ def with_ids(names: DataFrame, existing: DataFrame, key: list[str], id_col: str)
 
 
 def symbol_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """symbol, change: ``added`` or ``removed``."""
-    a, b = before.select("symbol").distinct(), after.select("symbol").distinct()
-    return b.join(a, "symbol", "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, "symbol", "left_anti").withColumn("change", F.lit("removed")))
+    """symbol (of each market), change: ``added`` or ``removed``."""
+    keys = market_series(before)
+    a, b = before.select(*keys).distinct(), after.select(*keys).distinct()
+    return b.join(a, keys, "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, keys, "left_anti").withColumn("change", F.lit("removed")))
 
 
 def same_symbols(before: DataFrame, after: DataFrame) -> bool:

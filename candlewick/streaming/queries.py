@@ -22,6 +22,7 @@ from pyspark.sql.types import DateType, LongType, StructField, StructType
 from ..functions.scalar import at, hours
 from ..operators import correlation
 from ..operators.bars import unpivot
+from ..operators.scope import scope, series
 from ..operators.zscore import LEAST_VARIANCE
 from ..sources import vendors
 
@@ -63,11 +64,11 @@ def _run(spark: SparkSession, writer, work: str, trigger: dict | None = None) ->
 def minute_bars(rows: DataFrame, unit: str = "1 minute") -> DataFrame:
     """Streaming candles; a candle is updated until the watermark has passed its end, without one at any time."""
     order = F.struct("ts", "event_id")
-    bars = rows.groupBy(F.col("event_type").alias("symbol"), F.window("ts", unit).alias("w")).agg(
+    bars = rows.groupBy(*scope(rows), F.col("event_type").alias("symbol"), F.window("ts", unit).alias("w")).agg(
         F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"),
         F.sum("value").alias("base_volume"), F.count(F.lit(1)).alias("number_of_trades"),
     )
-    return bars.select("symbol", F.col("w.start").cast("timestamp_ntz").alias("start_time"), "open", "high", "low", "close", "base_volume", "number_of_trades")
+    return bars.select(*series(bars), F.col("w.start").cast("timestamp_ntz").alias("start_time"), "open", "high", "low", "close", "base_volume", "number_of_trades")
 
 
 def land_minute_bars(rows: DataFrame, work: str, unit: str = "1 minute", trigger: dict | None = None) -> DataFrame:
@@ -80,9 +81,10 @@ def land_minute_bars(rows: DataFrame, work: str, unit: str = "1 minute", trigger
     spark.createDataFrame([], bars.schema).write.mode("ignore").parquet(f"{out}/batch=-1")
     _run(spark, bars.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")), work, trigger)
     found = spark.read.schema(StructType([*bars.schema.fields, StructField("batch", LongType())])).parquet(out)
-    rest = [c for c in bars.columns if c not in ("symbol", "start_time")]
-    last = found.groupBy("symbol", "start_time").agg(F.max_by(F.struct(*rest), "batch").alias("r"))
-    return last.select("symbol", "start_time", *[F.col("r")[c].alias(c) for c in rest])
+    keys = [*series(bars), "start_time"]
+    rest = [c for c in bars.columns if c not in keys]
+    last = found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return last.select(*keys, *[F.col("r")[c].alias(c) for c in rest])
 
 
 def deduplicated(rows: DataFrame, keys: list[str], expire: bool = True) -> DataFrame:
@@ -117,19 +119,21 @@ def complete_or_forced(rows: DataFrame, expected: int, expire: bool = True) -> D
         if state.hasTimedOut:
             state.remove()
             if len(seen) < expected:
-                yield pd.DataFrame({"start_time": [key[0]], "symbols": [len(seen)], "complete": [False]})
+                yield pd.DataFrame([(*key, len(seen), False)], columns=names)
             return
         had = len(seen)
         for f in frames:
             seen |= set(f["symbol"])
         state.update(("\x1f".join(sorted(seen)),))
         if expire:
-            state.setTimeoutTimestamp(int(key[0].timestamp() * 1000) + 60_000)
+            state.setTimeoutTimestamp(int(key[-1].timestamp() * 1000) + 60_000)
         if len(seen) >= expected and len(seen) > had:
-            yield pd.DataFrame({"start_time": [key[0]], "symbols": [len(seen)], "complete": [True]})
+            yield pd.DataFrame([(*key, len(seen), True)], columns=names)
 
-    each = rows.select("ts", F.date_trunc("minute", "ts").alias("start_time"), F.col("event_type").alias("symbol"))
-    return each.groupBy("start_time").applyInPandasWithState(step, "start_time timestamp, symbols bigint, complete boolean", "symbols string", "update", GroupStateTimeout.EventTimeTimeout if expire else GroupStateTimeout.NoTimeout)
+    keys = [*scope(rows), "start_time"]
+    names = [*keys, "symbols", "complete"]
+    each = rows.select("ts", *scope(rows), F.date_trunc("minute", "ts").alias("start_time"), F.col("event_type").alias("symbol"))
+    return each.groupBy(*keys).applyInPandasWithState(step, ", ".join([*[f"{c} string" for c in scope(rows)], "start_time timestamp, symbols bigint, complete boolean"]), "symbols string", "update", GroupStateTimeout.EventTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def rolling_zscore(bars: DataFrame, window: int) -> DataFrame:
@@ -155,17 +159,18 @@ def rolling_zscore(bars: DataFrame, window: int) -> DataFrame:
             values = [*values[-window + 1 :], float(close)] if window > 1 else [float(close)]
             v = np.array(values)
             var = v.var()
-            out.append((key[0], at, len(v), (v[-1] - v.mean()) / var**0.5 if len(v) >= 2 and var > LEAST_VARIANCE else 0.0, source))
+            out.append((*key, at, len(v), (v[-1] - v.mean()) / var**0.5 if len(v) >= 2 and var > LEAST_VARIANCE else 0.0, source))
         if values:
             state.update((np.array(values[-window:]).tobytes(), at))
         elif state.exists:
             state.remove()
         if out:
-            yield pd.DataFrame(out, columns=["symbol", "ms", "n", "z", "source"])
+            yield pd.DataFrame(out, columns=[*keys, "ms", "n", "z", "source"])
 
     source = F.coalesce(F.col("source"), F.lit("live")) if "source" in bars.columns else F.lit("live")
-    rows = bars.select("symbol", F.unix_millis(F.col("start_time").cast("timestamp")).alias("ms"), "close", source.alias("source"))
-    return rows.groupBy("symbol").applyInPandasWithState(step, "symbol string, ms bigint, n bigint, z double, source string", "held binary, last bigint", "append", GroupStateTimeout.NoTimeout)
+    keys = series(bars)
+    rows = bars.select(*keys, F.unix_millis(F.col("start_time").cast("timestamp")).alias("ms"), "close", source.alias("source"))
+    return rows.groupBy(*keys).applyInPandasWithState(step, ", ".join([*[f"{c} string" for c in keys], "ms bigint, n bigint, z double, source string"]), "held binary, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def last_updates(raw: DataFrame, order: str = "arrival") -> DataFrame:
@@ -215,7 +220,7 @@ def correlation_snapshots(bars: DataFrame, work: str, windows: list[int], as_of:
         newest = as_of or held.agg((F.max("start_time") + F.expr("INTERVAL 1 HOUR")).cast("string")).first()[0]
         if newest is None:
             return
-        kept = held.where(F.col("day") >= F.to_date(at(newest) - hours(max(windows)))).dropDuplicates(["symbol", "start_time"])
+        kept = held.where(F.col("day") >= F.to_date(at(newest) - hours(max(windows)))).dropDuplicates([*series(bars), "start_time"])
         write_snapshot(correlation.matrix(unpivot(kept), newest, windows, ["measure"]), snap)
 
     _run(spark, bars.writeStream.foreachBatch(batch), work, trigger)

@@ -7,6 +7,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from test_oracle import values
 
 from candlewick.operators import correlation
@@ -97,3 +98,14 @@ def test_last_updates_over_several_runs(spark, tmp_path):
         landed(spark, path, rows, schema)
         out = Q.land(Q.last_updates(spark.readStream.schema(schema).parquet(path)), f"file://{tmp_path}/work")
     assert sorted((r.start_time.minute, float(r.close), r.number_of_trades) for r in out.collect()) == [(0, 3.0, 4), (1, 4.0, 4)]
+
+
+def test_streams_keep_markets_apart(spark, tmp_path):
+    schema, path = "exchange string, symbol string, start_time timestamp_ntz, close double", f"file://{tmp_path}/bars"
+    hour = lambda h: (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)).to_pydatetime()
+    landed(spark, path, [(e, "a", hour(h), float(v)) for e, vs in (("one", [1, 2, 3]), ("two", [5, 5, 9])) for h, v in enumerate(vs)], schema)
+    rows = spark.readStream.schema(schema).parquet(path)
+    out = Q.land(Q.rolling_zscore(rows, 3), f"file://{tmp_path}/work")
+    z = lambda *v: round((v[-1] - np.mean(v)) / np.std(v), 6)
+    assert {(r.exchange, r.n): round(r.z, 6) for r in out.where("n = 3").collect()} == {("one", 3): z(1, 2, 3), ("two", 3): z(5, 5, 9)}
+    assert Q.minute_bars(rows.select("exchange", F.col("symbol").alias("event_type"), F.col("start_time").cast("timestamp").alias("ts"), F.col("close").alias("value"), F.lit(1).alias("event_id"))).columns[:2] == ["exchange", "symbol"]
