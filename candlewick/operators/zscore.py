@@ -13,6 +13,7 @@ from ..functions.scalar import at, hours, safe_div
 from .scope import series
 
 LEAST_VARIANCE = 1e-9
+MOST = 50
 
 
 def score(n: Column, mean: Column, variance: Column, current: Column) -> Column:
@@ -133,11 +134,14 @@ def heatmap(history: DataFrame, measure: str, hours_: int, symbols: list[str], d
 
 
 def drift(rolled: DataFrame, long: DataFrame, as_of: str | Column, window: int, measure: str = "price", tolerance: float = 0.25) -> DataFrame:
-    """symbol, z, independent, drifted: the last step of a rolling frame held against a snapshot of the same window."""
+    """symbol, z, independent, drifted, valid: the last step of a rolling frame held against a snapshot of the same window.
+
+    No z-score of real candles is beyond MOST, so such a one isn't valid.
+    """
     keys = series(rolled)
     last = rolled.groupBy(*keys).agg(F.max_by("z", "start_time").alias("z"))
     other = snapshot(long.where(F.col("measure") == measure), as_of, [window]).select(*keys, F.col("z").alias("independent"))
-    return last.join(other, keys).withColumn("drifted", F.abs(F.col("z") - F.col("independent")) > tolerance)
+    return last.join(other, keys).withColumn("drifted", F.abs(F.col("z") - F.col("independent")) > tolerance).withColumn("valid", F.abs("z") <= MOST)
 
 
 def history_rows(scores: DataFrame, calculated_at: str | Column, symbols: DataFrame | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from ..sources.tables import table
 from ..streaming import queries as Q
 from .market import AS_OF, BARS, LONG, PEARSON, WINDOWS, _pairs, r, with_rounded
 from .market import SQL as MARKET
+from .records import SQL as RECORDS
 
 QUERIES, SQL = {}, {}
 
@@ -107,6 +108,18 @@ def stream_corr(spark, sf):
     return with_rounded(_replay(spark, hours, lambda rows, work_: Q.correlation_snapshots(rows, work_, WINDOWS, AS_OF)))
 
 
+@query("stream_coint_scans", f"""WITH s AS ({MARKET["coint_scan"]}) SELECT symbol1, symbol2, 43200 AS window_minutes, hedge_ratio, spread_z, adf_t, TIMESTAMP '{AS_OF}' AS calculated_at FROM s
+  WHERE (SELECT ready FROM ({RECORDS["scan_readiness"]}))""")
+def stream_coint_scans(spark, sf):
+    """A scan after each slice, for the month up to AS_OF: only the last slice makes the window whole, if any does."""
+    hours = _slices(bars(table(spark, sf, "events")), "start_time")
+    found = []
+    _replay(spark, hours, lambda rows, work_: found.append(Q.cointegration_scans(rows, work_, 720, "view", AS_OF)[0]))
+    none = spark.createDataFrame([], "symbol1 string, symbol2 string, window_minutes int, hedge_ratio double, spread_z double, adf_t double, calculated_at timestamp_ntz")
+    out = found[-1] if found[-1] is not None else none
+    return with_rounded(out.select(*none.columns))
+
+
 @query("stream_last_update", """WITH u AS (SELECT event_type AS symbol, date_trunc('minute', ts) AS start_time, value, ts, event_id FROM events)
 SELECT symbol, start_time, last(value ORDER BY ts, event_id) AS close FROM u WHERE start_time < (SELECT max(start_time) FROM u v WHERE v.symbol = u.symbol) GROUP BY 1, 2""")
 def stream_last_update(spark, sf):

@@ -9,7 +9,7 @@ landed in any order of time takes no watermark; its state, in RocksDB, is kept t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DateType, LongType, StructField, StructType
 
+from ..config import COINTEGRATION_CADENCE_MINUTES
 from ..functions.scalar import at, hours
 from ..operators import correlation
 from ..operators.bars import unpivot
@@ -202,26 +203,64 @@ def last_updates(raw: DataFrame, order: str = "arrival") -> DataFrame:
     return closed.select("symbol", F.from_json("body", ", ".join(f"{c} {kinds[c]}" for c in own)).alias("r")).select("symbol", "r.*")
 
 
-def correlation_snapshots(bars: DataFrame, work: str, windows: list[int], as_of: str | None = None, trigger: dict | None = None) -> DataFrame:
-    """After each batch of candles: appends them and writes the matrices anew; returns the last snapshot.
+def _held(bars: DataFrame, work: str, longest_hours: int, as_of: str | None, trigger: dict | None, then: Callable[[DataFrame, str], None]) -> None:
+    """After each batch of candles: appends them and calls ``then`` with those of the longest window and its end.
 
-    Each matrix ends after the newest hour that has landed, or at ``as_of``. The state is the table of candles, by batch and
-    day, not an N by N matrix in a task; only the days of the longest window are read again.
+    A window ends after the newest hour that has landed, or at ``as_of``. The state is the table of candles, by batch and
+    day; only the days of the longest window are read again.
     """
-    from ..sources.sinks import read_snapshot, write_snapshot
-
-    spark, out, snap = bars.sparkSession, f"{work}/candles", f"{work}/matrix"
+    spark, out = bars.sparkSession, f"{work}/candles"
     schema = StructType([*bars.schema.fields, StructField("batch", LongType()), StructField("day", DateType())])
 
     def batch(b: DataFrame, i: int) -> None:
         b.withColumn("day", F.to_date("start_time")).write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch={i}")
         held = spark.read.schema(schema).parquet(out)
-        # Candles of a known size: one value for each batch.
+        # One value for each batch.
         newest = as_of or held.agg((F.max("start_time") + F.expr("INTERVAL 1 HOUR")).cast("string")).first()[0]
-        if newest is None:
-            return
-        kept = held.where(F.col("day") >= F.to_date(at(newest) - hours(max(windows)))).dropDuplicates([*series(bars), "start_time"])
-        write_snapshot(correlation.matrix(unpivot(kept), newest, windows, ["measure"]), snap)
+        if newest is not None:
+            kept = held.where(F.col("day") >= F.to_date(at(newest) - hours(longest_hours))).drop("batch", "day")
+            then(kept.dropDuplicates([*series(bars), "start_time"]), newest)
 
     _run(spark, bars.writeStream.foreachBatch(batch), work, trigger)
-    return read_snapshot(spark, snap)
+
+
+def correlation_snapshots(bars: DataFrame, work: str, windows: list[int], as_of: str | None = None, trigger: dict | None = None) -> DataFrame:
+    """After each batch of candles the matrices are written anew; returns the last snapshot.
+
+    The state is the table of candles, not an N by N matrix in a task.
+    """
+    from ..sources.sinks import read_snapshot, write_snapshot
+
+    snap = f"{work}/matrix"
+    _held(bars, work, max(windows), as_of, trigger, lambda kept, end: write_snapshot(correlation.matrix(unpivot(kept), end, windows, ["measure"]), snap) and None)
+    return read_snapshot(bars.sparkSession, snap)
+
+
+def cadence(minutes: int = COINTEGRATION_CADENCE_MINUTES) -> dict:
+    """A trigger for ``minutes``."""
+    return {"processingTime": f"{minutes} minutes"}
+
+
+def cointegration_scans(bars: DataFrame, work: str, window_hours: int, primary: str, as_of: str | None = None, trigger: dict | None = None) -> tuple[DataFrame | None, str]:
+    """After each batch of hourly candles a scan, if the window is whole and ``primary`` has a price in its last hour.
+
+    Scans go to a history by hours and a table of the latest for each pair; returns the latest table, None before the
+    first scan, and the history's path.
+    """
+    from ..operators.cointegration import scan
+    from ..operators.gaps import scan_window
+    from ..sources.sinks import read_snapshot, save_history_and_latest
+
+    history, latest, keys = f"{work}/history", f"{work}/latest", [*scope(bars), "symbol1", "symbol2", "window_minutes"]
+
+    def then(kept: DataFrame, end: str) -> None:
+        start = at(end) - hours(window_hours)
+        ready = scan_window(kept, primary, start, end, "hour").where("ready")
+        if ready.isEmpty():
+            return
+        kept = kept.join(ready.select(*scope(bars)), scope(bars), "left_semi") if scope(bars) else kept
+        found = scan(kept, start, at(end)).withColumns({"window_minutes": F.lit(60 * window_hours), "calculated_at": at(end)})
+        save_history_and_latest(found, history, latest, keys)
+
+    _held(bars, work, window_hours, as_of, trigger, then)
+    return read_snapshot(bars.sparkSession, latest), history

@@ -109,3 +109,16 @@ def test_streams_keep_markets_apart(spark, tmp_path):
     z = lambda *v: round((v[-1] - np.mean(v)) / np.std(v), 6)
     assert {(r.exchange, r.n): round(r.z, 6) for r in out.where("n = 3").collect()} == {("one", 3): z(1, 2, 3), ("two", 3): z(5, 5, 9)}
     assert Q.minute_bars(rows.select("exchange", F.col("symbol").alias("event_type"), F.col("start_time").cast("timestamp").alias("ts"), F.col("close").alias("value"), F.lit(1).alias("event_id"))).columns[:2] == ["exchange", "symbol"]
+
+
+def test_scans_wait_for_a_whole_window_and_keep_the_latest(spark, tmp_path):
+    schema, path = "symbol string, start_time timestamp_ntz, open double, high double, low double, close double, base_volume double, number_of_trades bigint", f"file://{tmp_path}/bars"
+    rng, hour = np.random.default_rng(2), lambda h: (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)).to_pydatetime()
+    rows = lambda hs, names: [(s, hour(h), *[float(100 + rng.normal())] * 4, 1.0, 1) for h in hs for s in names]
+    seen = []
+    for part in (rows(range(11), "abc"), rows([11], "abc"), rows([12], "bc"), rows([14], "abc")):
+        landed(spark, path, part, schema)
+        latest, history = Q.cointegration_scans(spark.readStream.schema(schema).parquet(path), f"file://{tmp_path}/work", 12, "a")
+        seen.append(None if latest is None else sorted({str(r.calculated_at) for r in latest.collect()}))
+    assert seen == [None, *[["2024-01-01 12:00:00"]] * 3], "too short; whole; without the primary symbol; with a missing hour"
+    assert latest.count() == 3 and spark.read.parquet(history).count() == 3 and Q.cadence() == {"processingTime": "15 minutes"}
