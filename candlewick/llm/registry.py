@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, exact_dedup, html_extract, language_id, mixing, pii, secrets, simhash, suffix_dedup
+from . import chat, decontamination, exact_dedup, filter_audit, html_extract, language_id, mixing, pii, secrets, simhash, suffix_dedup, toxicity, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.query,
         "op9_simhash": simhash.query,
         "op10_exact_dedup": exact_dedup.query,
+        "op11_toxicity": toxicity.query,
+        "op12_filter_audit": filter_audit.query,
+        "op13_vector_codes": vector_codes.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": chat.SQL, "op7_chat_whole": chat.SQL_WHOLE, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op7_chat": chat.SQL, "op7_chat_whole": chat.SQL_WHOLE, "op10_exact_dedup": exact_dedup.SQL, "op12_filter_audit": filter_audit.SQL, "op13_vector_codes": vector_codes.SQL}
