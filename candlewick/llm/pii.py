@@ -14,7 +14,8 @@ and look-alikes (versions, order numbers, dates, measurements, hexadecimal token
 thresholds. They see none of the documents, so the model is the same at every size. What it finds in text that was written
 by hand is measured in the tests.
 
-Null and empty texts have no spans; texts are scanned whole, in time linear in their length; repeated rows get equal
+Null and empty texts have no spans; texts are scanned whole, in
+time linear in their length; repeated rows get equal
 results; ties between candidates go to the earlier and longer; an empty table gives an empty result. Extra columns are
 ignored.
 """
@@ -25,11 +26,11 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import field, saved, table
-from .spans import empty_spans, find_spans, joined, number_of
+from .spans import around, chunks, empty_spans, find_spans, joined, let, number_of
 
 # The base kinds. Possessive forms and look-behinds bound the work and change no match.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -53,7 +54,8 @@ GENERATORS = [
 ]
 WORDS_FOR = "call|phone|tel|telephone|mobile|cell|fax|ring|card|visa|mastercard|amex|credit|paid|pay|charged|mail|email|e-mail|contact|write|reach|host|server|address|login|from|client|whatsapp|sms|dial|text"
 WORDS_AGAINST = "version|build|release|order|isbn|issn|ean|id|ref|hash|commit|serial|invoice|section|chapter|token|sha|part|model|batch|lot|tracking|parcel|ticket|case|figure|table|page|article|firmware|driver|schema"
-CONTEXT = 40
+#: Characters of context, and of a stretch of text in which spans that overlap meet.
+CONTEXT, STRETCH = 40, 64
 EXAMPLES = 16_000
 TREES, DEPTH = 30, 5
 PRECISION = 0.97
@@ -113,24 +115,52 @@ def base_spans(text: Column) -> Column:
 
 
 def candidate_spans(text: Column) -> Column:
-    return F.array_distinct(F.concat(*[_if(text, mark, find_spans(text, pattern, kind)) for kind, mark, pattern in GENERATORS]))
+    return F.concat(*[_if(text, mark, find_spans(text, pattern, kind)) for kind, mark, pattern in GENERATORS])
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def with_context(text: Column, spans: Column) -> Column:
+    """Spans with the characters on both sides."""
 
+    def one(s: Column, pieces: Column) -> Column:
+        left, right = around(pieces, s["start"], s["end"], CONTEXT)
+        return F.struct(*[s[c].alias(c) for c in ("start", "end", "kind", "value")], left.alias("left"), right.alias("right"))
+
+    # Texts without a span aren't cut up.
+    return let(F.when(F.size(spans) > 0, chunks(text)).otherwise(F.array().cast("array<string>")), lambda pieces: F.transform(spans, lambda s: one(s, pieces)))
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """row, span (with context and in_base), inside: each candidate of ``found`` (row, base, other) once.
+
+    ``in_base`` is whether a base span of its kind overlaps it, ``inside`` whether one holds it whole. Base spans of a kind
+    are apart from each other, so the last that begins no later and the first that begins later tell.
+    """
+    own = ["start", "end", "kind", "value"]
+    ahead = F.transform("base", lambda s: F.struct(*[s[c].alias(c) for c in own], F.lit("").alias("left"), F.lit("").alias("right"), F.lit(True).alias("is_base")))
+    new = F.transform("other", lambda s: F.struct(*[s[c].alias(c) for c in (*own, "left", "right")], F.lit(False).alias("is_base")))
+    each = found.where(F.size("other") > 0).select("row", F.explode(F.concat(ahead, new)).alias("s")).select("row", "s.*")
+    by, run = Window.partitionBy("row", "kind"), (Window.unboundedPreceding, Window.currentRow)
+    begun = by.orderBy("start", F.desc("is_base"), "end").rowsBetween(*run)
+    later = by.orderBy(F.desc("start"), "is_base", "end").rowsBetween(*run)
+    each = each.withColumn("to", F.last(F.when(F.col("is_base"), F.col("end")), ignorenulls=True).over(begun))
+    each = each.withColumn("next", F.last(F.when(F.col("is_base"), F.col("start")), ignorenulls=True).over(later))
+    each = each.where(~F.col("is_base")).dropDuplicates(["row", "kind", "start", "end"])
+    in_base = F.coalesce(F.col("to") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    return each.select("row", F.struct(*own, "left", "right", in_base.alias("in_base")).alias("span"), F.coalesce(F.col("to") >= F.col("end"), F.lit(False)).alias("inside"))
 
-def with_context(text: Column, spans: Column, base: Column) -> Column:
-    """Spans with the characters on both sides, and whether a span of ``base`` of their kind overlaps them."""
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"),
-            F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(CONTEXT)).cast("int")).alias("left"),
-            F.substring(text, (s["end"] + 1).cast("int"), F.lit(CONTEXT)).alias("right"),
-            F.exists(base, lambda b: (b["kind"] == s["kind"]) & _overlap(b, s)).alias("in_base"),
-        ),
-    )
+
+def best(good: DataFrame) -> DataFrame:
+    """row, added: the spans of ``good`` (row, span, chance) that no better one of their kind overlaps.
+
+    Spans that overlap share a stretch of STRETCH characters, in which there are few: those of one pattern are apart.
+    """
+    span = F.struct(F.round(-F.col("chance"), 9).alias("rank"), F.col("span.start").alias("start"), (-F.col("span.end")).alias("last"), F.col("span.end").alias("end"), F.col("span.value").alias("value"))
+    stretch = F.explode(F.sequence(F.floor(F.col("span.start") / STRETCH), F.floor((F.col("span.end") - 1) / STRETCH)))
+    met = good.select("row", F.col("span.kind").alias("kind"), span.alias("s"), stretch.alias("stretch")).groupBy("row", "kind", "stretch").agg(F.collect_list("s").alias("near"))
+    beats = lambda b, a: (a["start"] < b["end"]) & (b["start"] < a["end"]) & (F.struct(b["rank"], b["start"], b["last"]) < F.struct(a["rank"], a["start"], a["last"]))
+    told = met.select("row", "kind", F.explode(F.transform("near", lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), a["value"].alias("value"), F.exists("near", lambda b: beats(b, a)).alias("beaten")))).alias("s"))
+    kept = told.groupBy("row", "kind", "s.start", "s.end").agg(F.max("s.beaten").alias("beaten"), F.first("s.value").alias("value")).where(~F.col("beaten"))
+    return kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "value"))).alias("added"))
 
 
 def features(spans: DataFrame) -> DataFrame:
@@ -217,8 +247,8 @@ class Model:
 
     def __init__(self, spark: SparkSession, n: int = EXAMPLES, trees: int = TREES, precision: float = PRECISION):
         rows = saved(examples(spark, n), "pii-sentences").withColumn("base", base_spans(F.col("text")))
-        every = F.concat(candidate_spans(F.col("text")), "base")
-        spans = rows.withColumn("span", F.explode(F.array_distinct(with_context(F.col("text"), every, F.col("base")))))
+        every = with_context(F.col("text"), F.concat(candidate_spans(F.col("text")), "base"))
+        spans = candidates(rows.select(F.col("id").alias("row"), "base", every.alias("other"))).join(rows, F.col("row") == F.col("id"))
         right = (F.col("span.value") == F.col("value")) & (F.col("span.kind") == F.col("kind"))
         about = F.contains(F.col("value"), F.col("span.value")) | F.contains(F.col("span.value"), F.col("value"))
         # A word that runs on into the context makes another address, of which nothing is known.
@@ -256,19 +286,14 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """doc_id, base and added (arrays of spans) for each row."""
     text = F.coalesce(field(docs, text_col).cast("string"), F.lit(""))
     rows = docs.select(field(docs, id_col).alias("doc_id"), text.alias("text"))
-    found = rows.select("doc_id", "text", base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("other"))
-    # What lies inside a base span of its kind is redacted with it.
-    other = F.filter("other", lambda s: ~F.exists("base", lambda b: (b["kind"] == s["kind"]) & (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    found = found.select("doc_id", "text", "base", other.alias("other")).select("doc_id", "base", with_context(F.col("text"), F.col("other"), F.col("base")).alias("other"))
+    found = rows.select("doc_id", base_spans(F.col("text")).alias("base"), with_context(F.col("text"), candidate_spans(F.col("text"))).alias("other"))
     found = saved(found.withColumn("row", F.monotonically_increasing_id()), "pii-found")
     model = model or Model(docs.sparkSession)
     least = F.create_map(*[x for k, t in model.thresholds.items() for x in (F.lit(k), F.lit(t))])
-    scored = model.score(features(found.select("row", F.explode("other").alias("span"))))
-    good = scored.where(F.col("chance") >= F.element_at(least, F.col("span.kind")))
-    good = good.groupBy("row").agg(F.collect_list(F.struct(F.round(-F.col("chance"), 9).alias("rank"), F.col("span.start").alias("start"), (-F.col("span.end")).alias("last"), F.struct(*[F.col("span")[c].alias(c) for c in ("start", "end", "kind", "value")]).alias("span"))).alias("picked"))
-    better = lambda a, b: (b["span"]["kind"] == a["span"]["kind"]) & _overlap(a["span"], b["span"]) & (F.struct(b["rank"], b["start"], b["last"]) < F.struct(a["rank"], a["start"], a["last"]))
-    added = F.transform(F.filter("picked", lambda a: ~F.exists("picked", lambda b: better(a, b))), lambda a: a["span"])
-    return found.join(good.select("row", added.alias("added")), "row", "left").select("doc_id", "base", F.coalesce("added", empty_spans()).alias("added"))
+    # What lies inside a base span of its kind is redacted with it.
+    scored = model.score(features(candidates(found).where(~F.col("inside"))))
+    good = best(scored.where(F.col("chance") >= F.element_at(least, F.col("span.kind"))))
+    return found.join(good, "row", "left").select("doc_id", "base", F.coalesce("added", empty_spans()).alias("added"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

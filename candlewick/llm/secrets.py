@@ -12,7 +12,7 @@ The hash of a widely copied value may stand in a third of all rows; its rows car
 
 Null text counts as empty and a null owner or repository as one of its own. Repeated rows of a repository count once
 for frequency and each get their own result. Ties in the order of spans go by kind, then end. Texts are scanned whole,
-whatever their length; an empty table gives an empty result. Extra columns are ignored.
+in time linear in their length; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +37,9 @@ FORMATS = [
     ("chat_token", "xox", r"\bxox[abeprs]-[A-Za-z0-9-]{10,}", 0),
     ("map_key", "AIza", r"\bAIza[A-Za-z0-9_-]{35}", 0),
     ("web_token", "eyJ", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0),
-    ("private_key", "PRIVATE KEY-----", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----([A-Za-z0-9+/=\s]{40,})", 1),
+    ("private_key", "PRIVATE KEY-----", r"-----BEGIN (?:[A-Z0-9]++ )*?PRIVATE KEY-----([A-Za-z0-9+/=\s]{40,}+)", 1),
     ("bearer", "earer ", r"\b[Bb]earer ([A-Za-z0-9._~+/-]{20,}=*)", 1),
-    ("url_login", "://", r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{8,64})@", 1),
+    ("url_login", "://", r"(?<![A-Za-z0-9+.-])[a-z0-9+.-]++://[^\s:/@]++:([^\s:/@]{8,}+)@", 1),
 ]
 #: More owners or repositories than these make a value a copied example.
 MAX_OWNERS, MAX_REPOSITORIES = 2, 10
