@@ -37,7 +37,11 @@ EXAMPLES, EPOCHS, BATCH, SEED = 3000, 6, 32, 11
 PAGES_AT_ONCE = 128
 #: Blocks that the labeller holds vectors of at once, and characters of html that become blocks at once.
 STEPS, CHARS_AT_ONCE = 16_384, 1 << 23
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|[^<]+|<", re.S)
+#: An attribute's value may be quoted after its equals sign alone; elsewhere quotes are letters like others. A quote that
+#: isn't closed begins a name, so such a tag ends at the next ">"; a tag without one is dropped with what follows.
+ATTRIBUTE = r"""[\s/]++|=?+[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)?+)?+|="""
+TAG = rf"</?[a-zA-Z][^\s/>]*+(?:{ATTRIBUTE})*+(?:>|\Z)"
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|{TAG}|</(?:>|[^a-zA-Z>][^>]*(?:>|\Z))|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[a-z]+|[0-9]+")
@@ -110,8 +114,7 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal links
         if parts:
-            text = "".join(parts)
-            text = " ".join((html_lib.unescape(text) if "&" in text else text).split())
+            text = " ".join("".join(parts).split())
             if text:
                 out.append(Block(opened.paths[-1], text, links))
             parts.clear()
@@ -121,14 +124,18 @@ def blocks(page: str) -> list[Block]:
     while m := scan(page, at):
         at, piece = m.end(), m.group()
         if piece[0] != "<" or len(piece) == 1:
+            piece = html_lib.unescape(piece) if "&" in piece else piece
             parts.append(piece)
             if opened.at["a"]:
                 links += len(piece)
         elif piece[1] in "!?":
             if piece.startswith("<![CDATA["):
-                parts.append(html_lib.escape(piece[9:].removesuffix("]]>")))
+                parts.append(piece[9:].removesuffix("]]>"))
         elif piece[1] == "/":
-            name = NAME.match(piece).group(1).lower()
+            found = NAME.match(piece)
+            if not found:
+                continue
+            name = found.group(1).lower()
             if name not in INLINE:
                 flush()
             low = opened.last(name)
