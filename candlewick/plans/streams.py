@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
-from ..operators.bars import bars
+from ..operators.bars import bars, unpivot
 from ..sources import vendors
 from ..sources.tables import table
 from ..streaming import queries as Q
+from ..streaming import state as S
 from .market import AS_OF, BARS, LONG, PEARSON, WINDOWS, _pairs, r, with_rounded
 from .market import SQL as MARKET
 from .records import SQL as RECORDS
@@ -147,3 +148,35 @@ def stream_complete_minutes(spark, sf):
     out = Q.land_updates(Q.complete_or_forced(_ticks(spark, sf), 2, expire=False), work(spark, "complete"))
     last = out.where("complete").groupBy("start_time", "complete").agg(F.max("symbols").alias("symbols"))
     return last.select(F.col("start_time").cast("timestamp_ntz").alias("start_time"), "symbols", "complete")
+
+
+def _clock(values: DataFrame, time: str) -> DataFrame:
+    """A row for each measure that only moves the time on."""
+    marks = values.select("measure").distinct()
+    return marks.select(*[F.lit(time).cast("timestamp_ntz").alias(c) if c == "start_time" else F.col(c) if c == "measure" else F.lit(None).cast(values.schema[c].dataType).alias(c) for c in values.columns])
+
+
+@query("stream_corr_state", MARKET["corr_matrix"])
+def stream_corr_state(spark, sf):
+    """Matrices kept up step by step: the first slice is the history that the state starts from, the others come as a stream."""
+    history, *live = _slices(unpivot(bars(table(spark, sf, "events"))), "start_time")
+    live = [*live[:-1], live[-1].union(_clock(live[-1], "2024-01-30 23:00:00"))]
+    out = _replay(spark, live, lambda rows, work_: S.land_correlation(rows, work_, WINDOWS, ["measure"], 3600, history=history))
+    return with_rounded(out.select("measure", F.col("steps").alias("hours"), "symbol1", "symbol2", "n", "correlation"))
+
+
+@query("stream_forced_by_newer", """WITH m AS (SELECT date_trunc('minute', ts) AS start_time, count(DISTINCT event_type) AS symbols FROM events GROUP BY 1)
+SELECT start_time, least(symbols, 2) AS symbols, symbols >= 2 AS complete FROM m WHERE symbols >= 2 OR start_time < (SELECT max(start_time) FROM m)""")
+def stream_forced_by_newer(spark, sf):
+    """Each minute once: when it has two symbols, or as it is when the next one begins."""
+    out = _replay(spark, _slices(table(spark, sf, "events"), "ts"), lambda rows, work_: Q.land(S.forced_by_newer(rows, 2), work_), lambda path: Q.ticks(spark, path, None))
+    return out.select(F.col("start_time").cast("timestamp_ntz").alias("start_time"), "symbols", "complete")
+
+
+@query("stream_published_once", "SELECT epoch_ms(date_trunc('minute', ts)) AS timestamp_ms, count(DISTINCT event_type) >= 0 AS sent FROM events GROUP BY 1")
+def stream_published_once(spark, sf):
+    """Every tick would publish its minute; each minute is published once, remembered among the last 500."""
+    ms = F.unix_millis(F.date_trunc("minute", "ts").cast("timestamp"))
+    raw = table(spark, sf, "events").select("ts", ms.alias("timestamp_ms"), F.unix_micros(F.col("ts").cast("timestamp")).alias("arrival"))
+    out = _replay(spark, _slices(raw, "ts"), lambda rows, work_: Q.land(S.published_once(rows), work_))
+    return out.select("timestamp_ms", F.lit(True).alias("sent"))
