@@ -26,6 +26,7 @@ from ..operators.bars import unpivot
 from ..operators.scope import scope, series
 from ..operators.zscore import LEAST_VARIANCE
 from ..sources import vendors
+from ..sources.commits import Tables, save_matrices, save_scan
 
 TICKS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 ROCKSDB = {
@@ -203,14 +204,16 @@ def last_updates(raw: DataFrame, order: str = "arrival") -> DataFrame:
     return closed.select("symbol", F.from_json("body", ", ".join(f"{c} {kinds[c]}" for c in own)).alias("r")).select("symbol", "r.*")
 
 
-def _held(bars: DataFrame, work: str, longest_hours: int, as_of: str | None, trigger: dict | None, then: Callable[[DataFrame, str], None]) -> None:
-    """After each batch of candles: appends them and calls ``then`` with those of the longest window and its end.
+def _held(bars: DataFrame, work: str, longest_hours: int, as_of: str | None, trigger: dict | None, then: Callable[[DataFrame, str, int], None]) -> None:
+    """After each batch of candles: appends them and calls ``then`` with those of the longest window, its end, and the batch.
 
     A window ends after the newest hour that has landed, or at ``as_of``. The state is the table of candles, by batch and
-    day; only the days of the longest window are read again.
+    day; only the days of the longest window are read again. Of a candle that came twice the first counts.
     """
     spark, out = bars.sparkSession, f"{work}/candles"
     schema = StructType([*bars.schema.fields, StructField("batch", LongType()), StructField("day", DateType())])
+    keys = [*series(bars), "start_time"]
+    rest = [c for c in bars.columns if c not in keys]
 
     def batch(b: DataFrame, i: int) -> None:
         b.withColumn("day", F.to_date("start_time")).write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch={i}")
@@ -218,22 +221,21 @@ def _held(bars: DataFrame, work: str, longest_hours: int, as_of: str | None, tri
         # One value for each batch.
         newest = as_of or held.agg((F.max("start_time") + F.expr("INTERVAL 1 HOUR")).cast("string")).first()[0]
         if newest is not None:
-            kept = held.where(F.col("day") >= F.to_date(at(newest) - hours(longest_hours))).drop("batch", "day")
-            then(kept.dropDuplicates([*series(bars), "start_time"]), newest)
+            kept = held.where(F.col("day") >= F.to_date(at(newest) - hours(longest_hours)))
+            first = kept.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("batch", *rest)).alias("r"))
+            then(first.select(*[F.col(c) if c in keys else F.col("r")[c].alias(c) for c in bars.columns]), newest, i)
 
     _run(spark, bars.writeStream.foreachBatch(batch), work, trigger)
 
 
 def correlation_snapshots(bars: DataFrame, work: str, windows: list[int], as_of: str | None = None, trigger: dict | None = None) -> DataFrame:
-    """After each batch of candles the matrices are written anew; returns the last snapshot.
+    """After each batch of candles the matrices are written anew, all in one commit; returns the last ones.
 
     The state is the table of candles, not an N by N matrix in a task.
     """
-    from ..sources.sinks import read_snapshot, write_snapshot
-
-    snap = f"{work}/matrix"
-    _held(bars, work, max(windows), as_of, trigger, lambda kept, end: write_snapshot(correlation.matrix(unpivot(kept), end, windows, ["measure"]), snap) and None)
-    return read_snapshot(bars.sparkSession, snap)
+    tables = Tables(bars.sparkSession, f"{work}/matrices")
+    _held(bars, work, max(windows), as_of, trigger, lambda kept, end, i: save_matrices(tables, correlation.matrix(unpivot(kept), end, windows, ["measure"]), "correlation", i) and None)
+    return tables.read("matrix")
 
 
 def cadence(minutes: int = COINTEGRATION_CADENCE_MINUTES) -> dict:
@@ -241,26 +243,25 @@ def cadence(minutes: int = COINTEGRATION_CADENCE_MINUTES) -> dict:
     return {"processingTime": f"{minutes} minutes"}
 
 
-def cointegration_scans(bars: DataFrame, work: str, window_hours: int, primary: str, as_of: str | None = None, trigger: dict | None = None) -> tuple[DataFrame | None, str]:
+def cointegration_scans(bars: DataFrame, work: str, window_hours: int, primary: str, as_of: str | None = None, trigger: dict | None = None) -> tuple[DataFrame | None, Tables]:
     """After each batch of hourly candles a scan, if the window is whole and ``primary`` has a price in its last hour.
 
-    Scans go to a history by hours and a table of the latest for each pair; returns the latest table, None before the
-    first scan, and the history's path.
+    Scans go to a history by hours, a table of the latest for each pair and a table of events, in one commit for each batch;
+    a batch that is run again commits nothing twice. Returns the latest table, None before the first scan, and the tables.
     """
     from ..operators.cointegration import scan
     from ..operators.gaps import scan_window
-    from ..sources.sinks import read_snapshot, save_history_and_latest
 
-    history, latest, keys = f"{work}/history", f"{work}/latest", [*scope(bars), "symbol1", "symbol2", "window_minutes"]
+    tables, keys = Tables(bars.sparkSession, f"{work}/scans"), [*scope(bars), "symbol1", "symbol2", "window_minutes"]
 
-    def then(kept: DataFrame, end: str) -> None:
+    def then(kept: DataFrame, end: str, i: int) -> None:
         start = at(end) - hours(window_hours)
         ready = scan_window(kept, primary, start, end, "hour").where("ready")
         if ready.isEmpty():
             return
         kept = kept.join(ready.select(*scope(bars)), scope(bars), "left_semi") if scope(bars) else kept
         found = scan(kept, start, at(end)).withColumns({"window_minutes": F.lit(60 * window_hours), "calculated_at": at(end)})
-        save_history_and_latest(found, history, latest, keys)
+        save_scan(tables, found, keys, stream="cointegration", batch=i)
 
     _held(bars, work, window_hours, as_of, trigger, then)
-    return read_snapshot(bars.sparkSession, latest), history
+    return tables.read("latest"), tables

@@ -118,7 +118,7 @@ def test_scans_wait_for_a_whole_window_and_keep_the_latest(spark, tmp_path):
     seen = []
     for part in (rows(range(11), "abc"), rows([11], "abc"), rows([12], "bc"), rows([14], "abc")):
         landed(spark, path, part, schema)
-        latest, history = Q.cointegration_scans(spark.readStream.schema(schema).parquet(path), f"file://{tmp_path}/work", 12, "a")
+        latest, tables = Q.cointegration_scans(spark.readStream.schema(schema).parquet(path), f"file://{tmp_path}/work", 12, "a")
         seen.append(None if latest is None else sorted({str(r.calculated_at) for r in latest.collect()}))
     assert seen == [None, *[["2024-01-01 12:00:00"]] * 3], "too short; whole; without the primary symbol; with a missing hour"
-    assert latest.count() == 3 and spark.read.parquet(history).count() == 3 and Q.cadence() == {"processingTime": "15 minutes"}
+    assert latest.count() == 3 and tables.read("history").count() == 3 and Q.cadence() == {"processingTime": "15 minutes"}
