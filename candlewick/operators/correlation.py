@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import at, hours, safe_div, step_index, triangle_index
 from .blocks import block_pairs, pairs_of
+from .moments import sliding
 from .scope import scoped
 
-#: Frames of up to so many steps are aggregated anew for each row; longer ones by differences of running sums.
+#: Frames of up to so many steps are aggregated anew for each row; longer ones from two parts.
 FRAME_STEPS = 240
 
 
@@ -157,17 +158,7 @@ def rolling(gridded: DataFrame, window_steps: int, keys: list[str] | None = None
         frame = by.rowsBetween(-(window_steps - 1), 0)
         m = {k: v.over(frame) for k, v in _moments().items()}
         return joined.withColumns(m).withColumn("correlation", pearson(*(F.col(c) for c in ("n", "covar", "var_x", "var_y")))).select(*out)
-    # Centred by the pair's own means, so that differences of running sums keep their digits.
-    whole, run = Window.partitionBy(*keys, "symbol1", "symbol2"), by.rowsBetween(Window.unboundedPreceding, 0)
-    c = joined.withColumns({"x": F.col("x") - F.avg("x").over(whole), "y": F.col("y") - F.avg("y").over(whole)})
-    terms = {"n": F.when(F.col("x").isNotNull(), 1).otherwise(0).cast("bigint"), "sx": F.col("x"), "sy": F.col("y"), "sxx": F.col("x") * F.col("x"), "syy": F.col("y") * F.col("y"), "sxy": F.col("x") * F.col("y")}
-    c = c.withColumns({k: F.coalesce(F.sum(v).over(run), F.lit(0)) for k, v in terms.items()})
-    c = c.withColumns({k: F.col(k) - F.coalesce(F.lag(k, window_steps).over(by), F.lit(0)) for k in terms})
-    n = F.when(F.col("n") > 0, F.col("n"))
-    var = lambda s, ss: F.col(ss) / n - (F.col(s) / n) * (F.col(s) / n)
-    # What rounding leaves of a constant side is no variance.
-    clean = lambda v, ss: F.when(v > 1e-12 * F.col(ss) / n, v).otherwise(0.0)
-    c = c.withColumns({"var_x": clean(var("sx", "sxx"), "sxx"), "var_y": clean(var("sy", "syy"), "syy"), "covar": F.col("sxy") / n - F.col("sx") * F.col("sy") / (n * n)})
+    c = sliding(joined, [*keys, "symbol1", "symbol2"], window_steps, ["x", "y"])
     return c.withColumn("correlation", pearson(*(F.col(k) for k in ("n", "covar", "var_x", "var_y")))).select(*out)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import MEASURES
 from ..functions.scalar import at, hours, safe_div
+from .moments import last_value, sliding
 from .scope import series
 
 LEAST_VARIANCE = 1e-9
@@ -35,21 +36,11 @@ def snapshot(long: DataFrame, as_of: str | Column, windows: list[int]) -> DataFr
 
 
 def rolling(gridded: DataFrame, window_steps: int, keys: list[str] | None = None) -> DataFrame:
-    """``gridded`` with n and z over the last ``window_steps`` steps at each step, by differences of running sums.
-
-    The values are centred by the symbol's mean first, so the differences keep their digits.
-    """
+    """``gridded`` with n and z over the last ``window_steps`` steps at each step; see ``moments`` for how."""
     keys = keys or series(gridded)
-    by = Window.partitionBy(*keys).orderBy("start_time")
-    run, frame = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(-(window_steps - 1), 0)
-    c = gridded.withColumn("c", F.col("value") - F.avg("value").over(Window.partitionBy(*keys)))
-    terms = {"n": F.when(F.col("c").isNotNull(), 1).otherwise(0).cast("bigint"), "s": F.coalesce("c", F.lit(0.0)), "ss": F.coalesce(F.col("c") * F.col("c"), F.lit(0.0))}
-    c = c.withColumns({k: F.sum(v).over(run) for k, v in terms.items()} | {"current": F.last("c", True).over(frame)})
-    c = c.withColumns({k: F.col(k) - F.coalesce(F.lag(k, window_steps).over(by), F.lit(0)) for k in terms})
-    n = F.when(F.col("n") > 0, F.col("n"))
-    mean = F.col("s") / n
-    z = F.coalesce(score(F.col("n"), mean, F.col("ss") / n - mean * mean, F.col("current")), F.lit(0.0))
-    return c.withColumn("z", z).drop("c", "s", "ss", "current")
+    c = last_value(sliding(gridded, keys, window_steps, ["value"]), keys, window_steps, "value", "current")
+    z = F.coalesce(score(F.col("n"), F.col("mean_value"), F.col("var_value"), F.col("current") - F.col("shift_value")), F.lit(0.0))
+    return c.withColumn("z", z).select(*gridded.columns, "n", "z")
 
 
 def drifting(values: list[float | None], window_steps: int) -> list[tuple[int, float]]:

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DateType, LongType, StructField, StructType
 
@@ -28,6 +29,8 @@ from ..operators.zscore import LEAST_VARIANCE
 from ..sources import vendors
 from ..sources.commits import Tables, save_matrices, save_scan
 
+#: Windows that are worked out at once.
+FRAMES = 1024
 TICKS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -58,9 +61,13 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _run(spark: SparkSession, writer, work: str, trigger: dict | None = None) -> None:
+def _run(spark: SparkSession, writer, work: str, trigger: dict | None = None) -> StreamingQuery:
+    """Starts the query; without a trigger it runs until what has landed is used up, else it goes on in the background."""
     with _rocksdb(spark):
-        writer.option("checkpointLocation", f"{work}/checkpoint").trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
+        query = writer.option("checkpointLocation", f"{work}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+    if trigger is None or "processingTime" not in trigger:
+        query.awaitTermination()
+    return query
 
 
 def minute_bars(rows: DataFrame, unit: str = "1 minute") -> DataFrame:
@@ -146,28 +153,40 @@ def rolling_zscore(bars: DataFrame, window: int) -> DataFrame:
     symbol's history starts from it), and one marked ``removed`` ends the symbol's state: what follows starts anew.
     """
 
+    def scores(held: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """n and z of each new value, which stands last in its window."""
+        line = np.concatenate([np.full(window, np.nan), held, new])
+        frames = np.lib.stride_tricks.sliding_window_view(line, window)[len(line) - window + 1 - len(new) :]
+        n, z = np.zeros(len(new), np.int64), np.zeros(len(new))
+        for at in range(0, len(new), FRAMES):
+            part = frames[at : at + FRAMES]
+            # From the window's last value on, so that large values keep their digits.
+            away = part - part[:, -1:]
+            n[at : at + FRAMES] = np.isfinite(away).sum(1)
+            mean, var = np.nanmean(away, 1), np.nanvar(away, 1)
+            ok = (n[at : at + FRAMES] >= 2) & (var > LEAST_VARIANCE)
+            z[at : at + FRAMES] = np.where(ok, -mean / np.sqrt(np.where(ok, var, 1.0)), 0.0)
+        return n, z
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, last = (np.frombuffer(state.get[0]), state.get[1]) if state.exists else (np.zeros(0), -1)
         group = pd.concat(list(frames)).sort_values("ms", kind="stable")
-        gone = (group["source"] == "removed").to_numpy()
-        out, values, at = [], list(held), last
-        for ms, close, source, end in zip(group["ms"], group["close"], group["source"], gone):
-            if end:
-                values, at = [], -1
-                continue
-            if ms <= at or not np.isfinite(close):
+        ends = np.flatnonzero((group["source"] == "removed").to_numpy())
+        for k, (a, b) in enumerate(zip([0, *(ends + 1)], [*ends, len(group)])):
+            if k:
+                held, last = np.zeros(0), -1
+            part = group.iloc[a:b]
+            part = part[np.isfinite(part["close"].astype(float)) & (part["ms"] > last)].drop_duplicates("ms")
+            if not len(part):
                 continue
-            at = int(ms)
-            values = [*values[-window + 1 :], float(close)] if window > 1 else [float(close)]
-            v = np.array(values)
-            var = v.var()
-            out.append((*key, at, len(v), (v[-1] - v.mean()) / var**0.5 if len(v) >= 2 and var > LEAST_VARIANCE else 0.0, source))
-        if values:
-            state.update((np.array(values[-window:]).tobytes(), at))
+            new = part["close"].to_numpy(float)
+            n, z = scores(held, new)
+            held, last = np.concatenate([held, new])[-window:], int(part["ms"].iloc[-1])
+            yield pd.DataFrame({**dict(zip(keys, key)), "ms": part["ms"].to_numpy(), "n": n, "z": z, "source": part["source"].to_numpy()})
+        if len(held):
+            state.update((held.tobytes(), last))
         elif state.exists:
             state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=[*keys, "ms", "n", "z", "source"])
 
     source = F.coalesce(F.col("source"), F.lit("live")) if "source" in bars.columns else F.lit("live")
     keys = series(bars)
@@ -204,7 +223,7 @@ def last_updates(raw: DataFrame, order: str = "arrival") -> DataFrame:
     return closed.select("symbol", F.from_json("body", ", ".join(f"{c} {kinds[c]}" for c in own)).alias("r")).select("symbol", "r.*")
 
 
-def _held(bars: DataFrame, work: str, longest_hours: int, as_of: str | None, trigger: dict | None, then: Callable[[DataFrame, str, int], None]) -> None:
+def _held(bars: DataFrame, work: str, longest_hours: int, as_of: str | None, trigger: dict | None, then: Callable[[DataFrame, str, int], None]) -> StreamingQuery:
     """After each batch of candles: appends them and calls ``then`` with those of the longest window, its end, and the batch.
 
     A window ends after the newest hour that has landed, or at ``as_of``. The state is the table of candles, by batch and
@@ -225,7 +244,7 @@ def _held(bars: DataFrame, work: str, longest_hours: int, as_of: str | None, tri
             first = kept.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("batch", *rest)).alias("r"))
             then(first.select(*[F.col(c) if c in keys else F.col("r")[c].alias(c) for c in bars.columns]), newest, i)
 
-    _run(spark, bars.writeStream.foreachBatch(batch), work, trigger)
+    return _run(spark, bars.writeStream.foreachBatch(batch), work, trigger)
 
 
 def correlation_snapshots(bars: DataFrame, work: str, windows: list[int], as_of: str | None = None, trigger: dict | None = None) -> DataFrame:
@@ -247,7 +266,8 @@ def cointegration_scans(bars: DataFrame, work: str, window_hours: int, primary:
     """After each batch of hourly candles a scan, if the window is whole and ``primary`` has a price in its last hour.
 
     Scans go to a history by hours, a table of the latest for each pair and a table of events, in one commit for each batch;
-    a batch that is run again commits nothing twice. Returns the latest table, None before the first scan, and the tables.
+    a batch that is run again commits nothing twice. Returns the latest table, None before the first scan, and the tables;
+    with a ``cadence`` the query goes on in the background, and the tables have what it commits.
     """
     from ..operators.cointegration import scan
     from ..operators.gaps import scan_window

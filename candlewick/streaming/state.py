@@ -4,7 +4,8 @@
 that step, and for each window the sums that all correlations follow from. A new step adds one outer product to each
 window's sums and takes away those of the steps that leave it, as they were added; so the cost of a batch is that of its
 steps, whatever the windows' length. Values are taken from a shift of their symbol, so that the sums keep their digits,
-and every ``rebuild`` steps the sums are made anew from the map, with the means as shifts.
+and every ``rebuild`` steps the sums are made anew from the map, with the means as shifts. How far the correlations move then
+is the state's drift: it goes along with the rows, and a ``DriftListener`` hears of it.
 
 A symbol's value at a step counts once, the first one that came. So rows that stand in the history and in the stream count
 once, a symbol that is added later is filled in by its history (rows of any step that a window still holds), and the order
@@ -20,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -30,6 +31,8 @@ from ..operators.scope import scope
 
 #: Steps after which the sums are made anew, and published times that are remembered.
 REBUILD, RECENT = 1440, 500
+#: A correlation that was off by more has drifted.
+DRIFT_TOLERANCE = 0.2
 PAIR = np.dtype([("id", "<i4"), ("v", "<f8")])
 
 
@@ -39,6 +42,8 @@ class Sums:
     def __init__(self, windows: list[int], names: list[str], own: list[int], ids: list[int], shift: np.ndarray, sums: np.ndarray, newest: int | None, since: int, next_id: int):
         self.windows, self.names, self.own, self.ids, self.shift, self.sums = windows, names, own, ids, shift, sums
         self.newest, self.since, self.next_id = newest, since, next_id
+        #: How far the sums were off when they were last made anew in this batch.
+        self.drift: float | None = None
 
     @classmethod
     def empty(cls, windows: list[int]) -> Sums:
@@ -121,7 +126,7 @@ class RollingCorrelation(StatefulProcessor):
             own = np.array(sums.own)
             kept = np.ones(len(i), bool) if lo == hi else (own[i] == lo) != (own[j] == lo)
             names = np.array(sums.names, object)
-            yield pd.DataFrame({**dict(zip(self.keys, key)), "steps": w, "symbol1": names[i[kept]], "symbol2": names[j[kept]], "n": n[kept], "correlation": c[kept], "newest": sums.newest})
+            yield pd.DataFrame({**dict(zip(self.keys, key)), "steps": w, "symbol1": names[i[kept]], "symbol2": names[j[kept]], "n": n[kept], "correlation": c[kept], "newest": sums.newest, "drift": sums.drift})
 
     def close(self) -> None:
         pass
@@ -189,6 +194,7 @@ class RollingCorrelation(StatefulProcessor):
 
     def _rebuild(self, sums: Sums) -> None:
         steps = sorted((k[0], bytes(v[0])) for k, v in self.steps.iterator())
+        before = [c for *_, c in sums.correlations()]
         n, s = sums.sums[int(np.argmax(self.windows)), :2]
         if len(sums.ids):
             sums.shift = sums.shift + np.diag(s) / np.maximum(np.diag(n), 1)
@@ -199,6 +205,28 @@ class RollingCorrelation(StatefulProcessor):
                 if step > sums.newest - w:
                     sums.sums[k] += terms
         sums.since = 0
+        after = [c for *_, c in sums.correlations()]
+        sums.drift = max([sums.drift or 0.0, *(float(np.abs(a - b).max(initial=0.0)) for a, b in zip(before, after))])
+
+
+class DriftListener(StreamingQueryListener):
+    """Collects the batches in which sums were made anew, and of these the ones whose correlations were off by more."""
+
+    def __init__(self, tolerance: float = DRIFT_TOLERANCE):
+        self.tolerance, self.checked, self.drifted = tolerance, [], []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        found = event.progress.observedMetrics.get("drift")
+        if found is not None and found["worst"] is not None:
+            self.checked.append(event.progress.batchId)
+            if found["worst"] > self.tolerance:
+                self.drifted.append((event.progress.batchId, found["worst"]))
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def _by_block_pairs(values: DataFrame, keys: list[str], seconds: int, blocks: int) -> DataFrame:
@@ -224,7 +252,7 @@ def rolling_correlation(values: DataFrame, windows: list[int], keys: list[str],
     keys = list(dict.fromkeys([*scope(values), *keys]))
     blocks = max(1, -(-symbols // BLOCK_SYMBOLS))
     by = [*keys, "lo", "hi"]
-    out = ", ".join([*[f"{c} string" for c in keys], "lo int, hi int, steps int, symbol1 string, symbol2 string, n bigint, correlation double, newest bigint"])
+    out = ", ".join([*[f"{c} string" for c in keys], "lo int, hi int, steps int, symbol1 string, symbol2 string, n bigint, correlation double, newest bigint, drift double"])
     first = _by_block_pairs(history, keys, seconds, blocks).groupBy(*by) if history is not None else None
     return _by_block_pairs(values, keys, seconds, blocks).groupBy(*by).transformWithStateInPandas(RollingCorrelation(windows, by, rebuild), out, "Update", "None", initialState=first)
 
@@ -234,14 +262,14 @@ def land_correlation(values: DataFrame, work: str, windows: list[int], keys: lis
     from .queries import _run
 
     spark, path = values.sparkSession, f"{work}/matrices"
-    rows = rolling_correlation(values, windows, keys, seconds, **how)
+    rows = rolling_correlation(values, windows, keys, seconds, **how).observe("drift", F.max("drift").alias("worst"))
     spark.createDataFrame([], rows.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
     _run(spark, rows.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}/batch={i}")), work, trigger)
     found = spark.read.schema(StructType([*rows.schema.fields, StructField("batch", LongType())])).parquet(path)
     by = list(dict.fromkeys([*scope(values), *keys]))
     # Marks of the time reach all blocks, so a market's last batch has all of its pairs.
     last = found.groupBy(*by).agg(F.max("batch").alias("batch"))
-    return found.join(last, [*by, "batch"]).drop("batch", "lo", "hi")
+    return found.join(last, [*by, "batch"]).drop("batch", "lo", "hi", "drift")
 
 
 def latest_position(log: DataFrame, id_col: str = "id") -> str | None:

@@ -199,3 +199,34 @@ def test_a_log_goes_on_after_a_position(spark, tmp_path):
     land(spark, path, [("100-1", "y"), ("7-7", "late")], schema)
     out = Q.land(S.after_position(spark.readStream.schema(schema).parquet(path), start), f"file://{tmp_path}/work")
     assert sorted(r.id for r in out.collect()) == ["100", "100-1"]
+
+
+def test_planted_drift_is_reported_and_none_otherwise():
+    rng = np.random.default_rng(8)
+    for planted in (False, True):
+        p = processor([20], 10)
+        for t in range(9):
+            feed(p, [(s, t, float(rng.normal()), "live") for s in "abc"])
+        if planted:
+            names, own, ids, shift, sums, *rest = p.sums.get()
+            wrong = np.frombuffer(sums).copy().reshape(1, 4, 3, 3)
+            wrong[0, 3] += 50 * np.outer([1, 1, 0], [1, 1, 0])
+            p.sums.update((names, own, ids, shift, wrong.tobytes(), *rest))
+        found = [feed(p, [(s, t, float(rng.normal()), "live") for s in "abc"]) for t in (9, 10, 11)]
+        worst = max(f["drift"].astype(float).max() for f in found if f["drift"].notna().any())
+        assert (worst > S.DRIFT_TOLERANCE) == planted
+        # Made anew, the sums are right again.
+        assert feed(p, [("a", 12, 0.5, "live")])["correlation"].abs().max() <= 1
+
+
+def test_the_listener_hears_of_each_check(spark, tmp_path):
+    schema, path, listener = "symbol string, start_time timestamp_ntz, measure string, value double", f"file://{tmp_path}/rows", S.DriftListener()
+    rng = np.random.default_rng(9)
+    land(spark, path, [(s, (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)).to_pydatetime(), "price", float(rng.normal())) for h in range(30) for s in "abc"], schema)
+    spark.streams.addListener(listener)
+    try:
+        S.land_correlation(spark.readStream.schema(schema).parquet(path), f"file://{tmp_path}/work", [4], ["measure"], 3600, rebuild=6)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.checked and not listener.drifted

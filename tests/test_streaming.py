@@ -122,3 +122,21 @@ def test_scans_wait_for_a_whole_window_and_keep_the_latest(spark, tmp_path):
         seen.append(None if latest is None else sorted({str(r.calculated_at) for r in latest.collect()}))
     assert seen == [None, *[["2024-01-01 12:00:00"]] * 3], "too short; whole; without the primary symbol; with a missing hour"
     assert latest.count() == 3 and tables.read("history").count() == 3 and Q.cadence() == {"processingTime": "15 minutes"}
+
+
+def test_scans_on_a_cadence_publish_one_event_each(spark, tmp_path):
+    """A query on a short cadence in the background: two ticks with candles give two scans and two events."""
+    schema, path = "symbol string, start_time timestamp_ntz, open double, high double, low double, close double, base_volume double, number_of_trades bigint", f"file://{tmp_path}/bars"
+    rng, hour = np.random.default_rng(2), lambda h: (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)).to_pydatetime()
+    rows = lambda hs: [(s, hour(h), *[float(100 + rng.normal())] * 4, 1.0, 1) for h in hs for s in "abc"]
+    landed(spark, path, rows(range(12)), schema)
+    _, tables = Q.cointegration_scans(spark.readStream.schema(schema).parquet(path), f"file://{tmp_path}/work", 12, "a", trigger={"processingTime": "1 second"})
+    (query,) = [q for q in spark.streams.active]
+    try:
+        query.processAllAvailable()
+        landed(spark, path, rows([12]), schema)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    events = sorted((str(r.calculated_at), r.n) for r in tables.read("events").collect())
+    assert events == [("2024-01-01 12:00:00", 3), ("2024-01-01 13:00:00", 3)] and tables.read("history").count() == 6
