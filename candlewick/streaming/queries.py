@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import DateType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import COINTEGRATION_CADENCE_MINUTES
 from ..functions.scalar import at, hours
@@ -27,7 +27,7 @@ from ..operators.bars import unpivot
 from ..operators.scope import scope, series
 from ..operators.zscore import LEAST_VARIANCE
 from ..sources import vendors
-from ..sources.commits import Tables, save_matrices, save_scan
+from ..sources.commits import Snapshot, Tables, save_matrices, save_scan
 
 #: Windows that are worked out at once.
 FRAMES = 1024
@@ -224,25 +224,35 @@ def last_updates(raw: DataFrame, order: str = "arrival") -> DataFrame:
 
 
 def _held(bars: DataFrame, work: str, longest_hours: int, as_of: str | None, trigger: dict | None, then: Callable[[DataFrame, str, int], None]) -> StreamingQuery:
-    """After each batch of candles: appends them and calls ``then`` with those of the longest window, its end, and the batch.
+    """After each batch of candles: takes them in and calls ``then`` with those of the longest window, its end, and the batch.
 
-    A window ends after the newest hour that has landed, or at ``as_of``. The state is the table of candles, by batch and
-    day; only the days of the longest window are read again. Of a candle that came twice the first counts.
+    A window ends after the newest hour that has landed, or at ``as_of``. The state is a table of the longest window's
+    candles, of which each batch commits a new version and removes all but the last two: a batch costs the window and what
+    it brings, however long the stream has run. Of a candle that came twice the first counts; of two in one batch, the one
+    with the least values.
     """
-    spark, out = bars.sparkSession, f"{work}/candles"
-    schema = StructType([*bars.schema.fields, StructField("batch", LongType()), StructField("day", DateType())])
+    spark, tables = bars.sparkSession, Tables(bars.sparkSession, f"{work}/held")
     keys = [*series(bars), "start_time"]
     rest = [c for c in bars.columns if c not in keys]
 
     def batch(b: DataFrame, i: int) -> None:
-        b.withColumn("day", F.to_date("start_time")).write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch={i}")
-        held = spark.read.schema(schema).parquet(out)
-        # One value for each batch.
+        def change(now: Snapshot) -> dict:
+            before = tables.read("candles", now)
+            both = b.select(*bars.columns, F.lit(1).alias("__later"))
+            both = both if before is None else before.withColumn("__later", F.lit(0)).unionByName(both)
+            first = both.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("__later", *rest)).alias("r"))
+            kept = first.select(*[F.col(c) if c in keys else F.col("r")[c].alias(c) for c in bars.columns])
+            # One value for each batch.
+            end = as_of or both.agg((F.max("start_time") + F.expr("INTERVAL 1 HOUR")).cast("string")).first()[0]
+            kept = kept.where(F.col("start_time") >= at(end) - hours(longest_hours)) if end is not None else kept
+            return {"candles": (tables.write(kept, "candles"), kept.schema)}
+
+        tables.commit(change, "candles", i)
+        tables.vacuum()
+        held = tables.read("candles")
         newest = as_of or held.agg((F.max("start_time") + F.expr("INTERVAL 1 HOUR")).cast("string")).first()[0]
         if newest is not None:
-            kept = held.where(F.col("day") >= F.to_date(at(newest) - hours(longest_hours)))
-            first = kept.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("batch", *rest)).alias("r"))
-            then(first.select(*[F.col(c) if c in keys else F.col("r")[c].alias(c) for c in bars.columns]), newest, i)
+            then(held, newest, i)
 
     return _run(spark, bars.writeStream.foreachBatch(batch), work, trigger)
 

@@ -140,3 +140,12 @@ def test_scans_on_a_cadence_publish_one_event_each(spark, tmp_path):
         query.stop()
     events = sorted((str(r.calculated_at), r.n) for r in tables.read("events").collect())
     assert events == [("2024-01-01 12:00:00", 3), ("2024-01-01 13:00:00", 3)] and tables.read("history").count() == 6
+
+
+def test_what_is_held_is_the_window_and_the_first_of_each_candle(spark, tmp_path):
+    schema, path = "symbol string, start_time timestamp_ntz, close double", f"file://{tmp_path}/bars"
+    hour, seen = lambda h: (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)).to_pydatetime(), []
+    for rows in ([(h, 1.0) for h in range(5)], [(4, 9.0), (5, 3.0), (5, 2.0)], [(2, 8.0), (30, 4.0)], [(7, 1.0)]):
+        landed(spark, path, [("a", hour(h), c) for h, c in rows], schema)
+        Q._held(spark.readStream.schema(schema).parquet(path), f"file://{tmp_path}/work", 4, None, None, lambda held, end, i: seen.append((end[11:13], sorted((r.start_time.hour, r.close) for r in held.collect()))))
+    assert seen == [("05", [(1, 1.0), (2, 1.0), (3, 1.0), (4, 1.0)]), ("06", [(2, 1.0), (3, 1.0), (4, 1.0), (5, 2.0)]), ("07", [(6, 4.0)]), ("07", [(6, 4.0)])]
