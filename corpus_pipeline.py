@@ -1,4 +1,10 @@
-"""From raw documents to a mixed training order, in five stages, each written as Parquet and read by the next."""
+"""From raw documents to a mixed training order, in five stages, each written as Parquet and read by the next.
+
+Rows are judged by their place in the files, so repeated rows and rows that share a doc_id are rows of their own, and columns
+of any other name, clashing ones too, go through. Null and empty texts have no language and go at the first stage; of equal
+texts, and of each near-duplicate group, the row with the smallest doc_id stays. Texts are read whole. An empty table gives an
+empty result with the last stage's columns.
+"""
 
 from __future__ import annotations
 
