@@ -73,3 +73,14 @@ def test_overlaps_equal_brute_force(spark):
     kept = {(r.row, s.start, s.end) for r in pii.best(good).collect() for s in r.added}
     rank = lambda k: (-chance[k], k[1], -k[2])
     assert kept == {k for k in chance if not any(q[0] == k[0] and q[1] < k[2] and k[1] < q[2] and rank(q) < rank(k) for q in chance)}
+
+
+def test_further_formats_have_no_caps(spark):
+    values = {
+        "url_login": "x" * 20 + "+ssh://" + "u" * 90 + ":" + "p" * 300 + "@host 1.postgres://me:longenough@db",
+        "private_key": "-----BEGIN A VERY LONG LABEL OF MANY WORDS PRIVATE KEY-----" + "Q" * 5000,
+        "none": "http://host:8080/a@b https://user:short@host " + "a.b-c+d " * 3000,
+    }
+    rows = spark.createDataFrame(list(values.items()), "doc_id string, text string").withColumn("source", F.lit("s"))
+    found = {r.doc_id: [(s.kind, s.value) for s in r.added] for r in secrets.scan(rows).collect()}
+    assert found == {"url_login": [("url_login", "p" * 300), ("url_login", "longenough")], "private_key": [("private_key", "Q" * 5000)], "none": []}
