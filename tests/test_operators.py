@@ -339,3 +339,13 @@ def test_sinks(spark, tmp_path):
 
 def test_pair_history_rounds(spark):
     assert history.pair_history(spark.createDataFrame([("a", "b", at(0), 0.12345)], "symbol1 string, symbol2 string, calculated_at timestamp_ntz, spread_z double"), "b", ["a", "b", "c"], "spread_z", at(0)).collect()[0].value == 0.123
+
+
+def test_pairs_in_one_order_and_equal_symbol_sets(spark):
+    from candlewick.operators.history import canonical, same_symbols
+
+    pairs = spark.createDataFrame([("b", "a", 1.0), ("a", "c", 2.0)], "symbol1 string, symbol2 string, z double")
+    assert sorted(map(tuple, canonical(pairs).collect())) == [("a", "b", 1.0), ("a", "c", 2.0)]
+    names = lambda *xs: spark.createDataFrame([(e, s) for e, s in xs], "exchange string, symbol string")
+    one = names(("x", "a"), ("y", "b"))
+    assert same_symbols(one, names(("y", "b"), ("x", "a"), ("x", "a"))) and not same_symbols(one, names(("x", "b"), ("y", "a"))) and not same_symbols(one, one.limit(1))
