@@ -32,13 +32,21 @@ def append_by_hour(rows: DataFrame, path: str, time_col: str = "calculated_at",
     part.repartition(F.col(HOUR), salt).write.mode("append").partitionBy(HOUR).parquet(path)
 
 
-def append_new(rows: DataFrame, path: str, keys: list[str], order: list[str]) -> DataFrame:
+def append_new(rows: DataFrame, path: str, keys: list[str], order: list[str], time_col: str | None = None) -> DataFrame:
     """Insert-ignore into the Parquet table at ``path``; returns what was appended.
 
+    Where one of the keys is a time, ``time_col``, only the stored rows between the new rows' least and greatest time are
+    read: the bounds go down to the files' statistics. Stored rows without a time meet no new row, as null equals no key.
     The new rows go to a folder beside the table and are moved in whole, so they are worked out and written once.
     """
     spark = rows.sparkSession
-    new = insert_ignore(spark.read.schema(rows.schema).parquet(path), rows, keys, order) if _exists(spark, path) else insert_ignore(rows.limit(0), rows, keys, order)
+    before = spark.read.schema(rows.schema).parquet(path) if _exists(spark, path) else rows.limit(0)
+    if time_col:
+        # Two values.
+        least, greatest = rows.agg(F.min(time_col).cast("string"), F.max(time_col).cast("string")).first()
+        kind = rows.schema[time_col].dataType
+        before = before.where(F.col(time_col).between(F.lit(least).cast(kind), F.lit(greatest).cast(kind)))
+    new = insert_ignore(before, rows, keys, order)
     stage = f"{path}.stage-{uuid.uuid4().hex}"
     new.write.parquet(stage)
     p, fs = _path(spark, path)
@@ -100,7 +108,7 @@ def save_zscores(scores: DataFrame, calculated_at: str, history: str, snapshots:
     write_snapshot(scores, snapshots)
     if store:
         rows = history_rows(scores, calculated_at, symbols)
-        append_new(rows, history, [*series(rows), "hours", "calculated_at"], ["price"])
+        append_new(rows, history, [*series(rows), "hours", "calculated_at"], ["price"], "calculated_at")
 
 
 def save_heatmap(history: DataFrame, measure: str, hours: int, symbols: list[str], snapshots: str) -> None:

@@ -349,3 +349,13 @@ def test_pairs_in_one_order_and_equal_symbol_sets(spark):
     names = lambda *xs: spark.createDataFrame([(e, s) for e, s in xs], "exchange string, symbol string")
     one = names(("x", "a"), ("y", "b"))
     assert same_symbols(one, names(("y", "b"), ("x", "a"), ("x", "a"))) and not same_symbols(one, names(("x", "b"), ("y", "a"))) and not same_symbols(one, one.limit(1))
+
+
+def test_appends_read_only_the_time_of_the_new_rows(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/history", "symbol string, calculated_at timestamp_ntz, z double"
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    add = lambda *xs: sorted((r.symbol, r.z) for r in sinks.append_new(spark.createDataFrame([(s, None if h is None else at(h), z) for s, h, z in xs], schema), path, ["symbol", "calculated_at"], ["z"], "calculated_at").collect())
+    assert add(("a", 0, 1.0), ("a", 5, 2.0), ("b", 5, 4.0), ("b", 5, 3.0)) == [("a", 1.0), ("a", 2.0), ("b", 3.0)]
+    assert add(("a", 5, 9.0), ("a", 6, 9.0), ("c", 5, 9.0)) == [("a", 9.0), ("c", 9.0)]
+    assert add(("a", 0, 8.0)) == [] and add(("d", None, 7.0)) == [("d", 7.0)] and add() == []
+    assert spark.read.schema(schema).parquet(path).count() == 6
