@@ -18,12 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import at, hours, safe_div, step_index, triangle_index
 from .blocks import block_pairs, pairs_of
-from .moments import sliding
+from .moments import FRAME_STEPS, sliding
 from .scope import scoped
 
-#: Frames of up to so many steps are aggregated anew for each row; longer ones from two parts.
-FRAME_STEPS = 240
-
 
 def pairs(values: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``keys``, start_time, symbol1, symbol2, x, y where both symbols of a pair have a value.

@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Frames of up to so many steps are aggregated anew for each row; longer ones come from two parts.
+FRAME_STEPS = 240
+
 
 def _merged(a: Column, b: Column, values: list[str]) -> dict[str, Column]:
     """Of the later part ``b``, and of ``a`` before it where there is one; means count from the shift of ``b``."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import MEASURES
 from ..functions.scalar import at, hours, safe_div
-from .moments import last_value, sliding
+from .moments import FRAME_STEPS, last_value, sliding
 from .scope import series
 
 LEAST_VARIANCE = 1e-9
@@ -38,6 +38,11 @@ def snapshot(long: DataFrame, as_of: str | Column, windows: list[int]) -> DataFr
 def rolling(gridded: DataFrame, window_steps: int, keys: list[str] | None = None) -> DataFrame:
     """``gridded`` with n and z over the last ``window_steps`` steps at each step; see ``moments`` for how."""
     keys = keys or series(gridded)
+    if window_steps <= FRAME_STEPS:
+        frame = Window.partitionBy(*keys).orderBy("start_time").rowsBetween(-(window_steps - 1), 0)
+        v = F.col("value")
+        c = gridded.withColumns({"n": F.count(v).over(frame), "__mean": F.avg(v).over(frame), "__var": F.var_pop(v).over(frame), "__current": F.last(v, True).over(frame)})
+        return c.withColumn("z", F.coalesce(score(*(F.col(k) for k in ("n", "__mean", "__var", "__current"))), F.lit(0.0))).select(*gridded.columns, "n", "z")
     c = last_value(sliding(gridded, keys, window_steps, ["value"]), keys, window_steps, "value", "current")
     z = F.coalesce(score(F.col("n"), F.col("mean_value"), F.col("var_value"), F.col("current") - F.col("shift_value")), F.lit(0.0))
     return c.withColumn("z", z).select(*gridded.columns, "n", "z")

@@ -305,8 +305,12 @@ def zscore_history_rows(spark, sf):
 
 
 @query("zscore_drift", f"""WITH {BARS}, {GRID}, m AS (SELECT symbol, start_time, count(close) OVER w AS n, avg(close) OVER w AS mean, var_pop(close) OVER w AS var, last_value(close IGNORE NULLS) OVER w AS current
-  FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY start_time ROWS BETWEEN 71 PRECEDING AND CURRENT ROW))
-SELECT symbol, {r(_z('n', 'mean', 'var', 'current'))} AS z, {r(_z('n', 'mean', 'var', 'current'))} AS independent, false AS drifted, true AS valid FROM m WHERE start_time = TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR AND n > 0""")
+  FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY start_time ROWS BETWEEN 71 PRECEDING AND CURRENT ROW)),
+s AS (SELECT symbol, count(close) AS n, avg(close) AS mean, var_pop(close) AS var, arg_max(close, start_time) AS current FROM bars
+  WHERE start_time >= TIMESTAMP '{AS_OF}' - INTERVAL 72 HOUR AND start_time < TIMESTAMP '{AS_OF}' GROUP BY 1),
+z AS (SELECT m.symbol, {_z('m.n', 'm.mean', 'm.var', 'm.current')} AS z, {_z('s.n', 's.mean', 's.var', 's.current')} AS independent FROM m JOIN s USING (symbol)
+  WHERE m.start_time = TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR)
+SELECT symbol, {r('z')} AS z, {r('independent')} AS independent, abs(z - independent) > 0.25 AS drifted, abs(z) <= 50 AS valid FROM z""")
 def zscore_drift(spark, sf):
     """The rolling frame's last step held against the snapshot."""
     found = zscore.drift(zscore.rolling(B.measure(gridded(spark, sf), "price"), 72), B.unpivot(hourly(spark, sf)), AS_OF, 72)

@@ -359,3 +359,11 @@ def test_appends_read_only_the_time_of_the_new_rows(spark, tmp_path):
     assert add(("a", 5, 9.0), ("a", 6, 9.0), ("c", 5, 9.0)) == [("a", 9.0), ("c", 9.0)]
     assert add(("a", 0, 8.0)) == [] and add(("d", None, 7.0)) == [("d", 7.0)] and add() == []
     assert spark.read.schema(schema).parquet(path).count() == 6
+
+
+def test_a_drifted_zscore_is_flagged(spark):
+    rows = [("s", dt.datetime(2024, 1, 1, h), float(v)) for h, v in enumerate([1, 5, 2, 9])]
+    long = spark.createDataFrame(rows, "symbol string, start_time timestamp_ntz, value double")
+    rolled = zscore.rolling(long, 4)
+    found = [zscore.drift(x, long.withColumn("measure", F.lit("price")), "2024-01-01 04:00:00", 4).first() for x in (rolled, rolled.withColumn("z", F.col("z") + 0.3), rolled.withColumn("z", F.lit(51.0)))]
+    assert [(r.drifted, r.valid) for r in found] == [(False, True), (True, True), (True, False)] and abs(found[0].z - found[0].independent) < 1e-12
