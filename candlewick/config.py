@@ -12,14 +12,16 @@ ZSCORE_HOURS = {"1h": 1, "4h": 4, "12h": 12}
 AVERAGE_PRICE_HOURS = {"1w": 168, "1M": 720, "3M": 2160}
 
 EXCHANGES = {
-    "binance": {"name": "Binance", "data_types": ["price", "volume", "trades"], "chunk": 1500, "average_price": ["1w", "1M", "3M"], "primary_symbol": "BTCUSDT"},
-    "hyperliquid": {"name": "Hyperliquid", "data_types": ["price", "volume", "trades"], "chunk": 5000, "average_price": ["1w", "1M"], "primary_symbol": "BTC"},
-    "bybit": {"name": "Bybit", "data_types": ["price", "volume"], "chunk": 1000, "average_price": ["1w", "1M", "3M"], "primary_symbol": "BTCUSDT"},
-    "okx": {"name": "OKX", "data_types": ["price", "volume"], "chunk": 100, "average_price": ["1w", "1M", "3M"], "primary_symbol": "BTC-USDT-SWAP"},
+    "binance": {"active": True, "name": "Binance", "data_types": ["price", "volume", "trades"], "chunk": 1500, "average_price": ["1w", "1M", "3M"], "primary_symbol": "BTCUSDT"},
+    "hyperliquid": {"active": True, "name": "Hyperliquid", "data_types": ["price", "volume", "trades"], "chunk": 5000, "average_price": ["1w", "1M"], "primary_symbol": "BTC"},
+    "bybit": {"active": True, "name": "Bybit", "data_types": ["price", "volume"], "chunk": 1000, "average_price": ["1w", "1M", "3M"], "primary_symbol": "BTCUSDT"},
+    "okx": {"active": True, "name": "OKX", "data_types": ["price", "volume"], "chunk": 100, "average_price": ["1w", "1M", "3M"], "primary_symbol": "BTC-USDT-SWAP"},
 }
 
 #: A chart, how many symbols it starts with, and whether the primary symbol is left out of them.
 CHART_DEFAULTS = [("heatmap", 50, False), ("correlation_pair_history", 10, True), ("cointegration_pair_history", 5, True), ("cointegration_live_table", 75, False)]
+#: Charts of pairs: whether they have a window of their own, beside the primary symbol as their base.
+PAIR_CHARTS = {"correlation_pair_history": False, "cointegration_pair_history": True}
 RETENTION_HOURS = {"correlation": 4, "cointegration": 8, "zscore": 12}
 BACKFILL_DAYS = 7
 MARKET_CAP_TOP = 100

@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PAIR_METRICS
-from ..functions.scalar import at, hours, perspective
+from ..functions.scalar import at, hours, partition_hour, perspective
+from ..sources.tables import work
 from .scope import series as market_series
 
 
+#: The partition column of histories by hours.
+HOUR = "hour_part"
+
+
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The rows of ``new`` to append: keys not in ``existing``, of repeated keys the first by ``order``. First writer wins."""
     rest = [c for c in new.columns if c not in keys]
@@ -25,10 +30,20 @@ def upsert_latest(existing: DataFrame, new: DataFrame, keys: list[str], version:
 
 
 def with_ids(names: DataFrame, existing: DataFrame, key: list[str], id_col: str) -> DataFrame:
-    """Get or create: ``existing`` and the new keys, numbered on from the greatest identifier in the keys' order."""
+    """Get or create: ``existing`` and the new keys, numbered on from the greatest identifier in the keys' order.
+
+    New keys lie in sorted ranges; a range's numbers go on from the counts of the ranges before, a row for each range.
+    """
+    spark, path = names.sparkSession, work(names.sparkSession, "ids")
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint").alias("top"))
     new = names.select(*key).distinct().join(existing, key, "left_anti")
-    numbered = new.crossJoin(F.broadcast(top)).select((F.row_number().over(Window.orderBy(*key)) + F.col("top")).cast("bigint").alias(id_col), *key)
+    # Written, so that ranges and places stay as they are.
+    new.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    dealt = spark.read.parquet(path).withColumn("__range", F.shiftright("__at", 33))
+    ranges = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first")).crossJoin(top)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = ranges.select("__range", (F.col("top") + before - F.col("first") + 1).alias("shift"))
+    numbered = dealt.join(shift, "__range").select((F.col("__at") + F.col("shift")).cast("bigint").alias(id_col), *key)
     return existing.select(id_col, *key).unionByName(numbered)
 
 
@@ -43,7 +58,7 @@ def same_symbols(before: DataFrame, after: DataFrame) -> bool:
     return symbol_diff(before, after).isEmpty()
 
 
-def keep_partitions(rows: DataFrame, now: str | Column, retention_hours: int, part: str = "hour_part") -> DataFrame:
+def keep_partitions(rows: DataFrame, now: str | Column, retention_hours: int, part: str = HOUR) -> DataFrame:
     """What stays after hour partitions before now - retention - 1 h are dropped.
 
     ``part`` is the table's partition column (yyyyMMddHH), so folders that go are not read.
@@ -66,7 +81,8 @@ def pair_history(
     """place, symbol, time, value of ``base`` with each comparison; a comparison without history has one row of nulls.
 
     Comparisons come in the order asked for, each once and without ``base``; pairs match either way round. Of a history
-    of several windows (the column ``window_col``) only ``window`` counts, by default 1.
+    of several windows (the column ``window_col``) only ``window`` counts, by default 1. Of a history stored by hours
+    (the column ``hour_part``) the folders before ``since`` aren't read.
     """
     digits = PAIR_METRICS.get(metric, 3) if digits is None else digits
     asked = [s for s in dict.fromkeys(comparisons) if s != base]
@@ -75,6 +91,8 @@ def pair_history(
         history = history.where(F.col(window_col) == (1 if window is None else window))
     mine = history.where(((F.col("symbol1") == base) & F.col("symbol2").isin(asked)) | ((F.col("symbol2") == base) & F.col("symbol1").isin(asked)))
     mine = mine.where(F.col("calculated_at") >= at(since))
+    if HOUR in history.columns:
+        mine = mine.where(F.col(HOUR).cast("bigint") >= partition_hour(at(since)).cast("bigint"))
     mine = mine.select(perspective(F.lit(base), F.col("symbol1"), F.col("symbol2")).alias("symbol"), F.col("calculated_at").alias("time"), (F.round(metric, digits) + F.lit(0.0)).alias("value"))
     out = names.join(mine, "symbol", "left").select("place", "symbol", "time", "value")
     return out.orderBy("place", F.col("time").desc_nulls_last() if newest_first else F.col("time").asc_nulls_last())

@@ -338,21 +338,30 @@ def json_rows(spark, sf):
 
 
 @query("bootstrap", f"""WITH e AS (SELECT * FROM (VALUES ('binance', 'Binance', 'price,volume,trades', '1M=720,1w=168,3M=2160', 'BTCUSDT'), ('hyperliquid', 'Hyperliquid', 'price,volume,trades', '1M=720,1w=168', 'BTC'),
-  ('bybit', 'Bybit', 'price,volume', '1M=720,1w=168,3M=2160', 'BTCUSDT'), ('okx', 'OKX', 'price,volume', '1M=720,1w=168,3M=2160', 'BTC-USDT-SWAP')) v(exchange, name, data_types, average, primary_symbol)),
-s AS (SELECT DISTINCT 'binance' AS exchange, event_type AS symbol FROM events), ranked AS (SELECT *, row_number() OVER (ORDER BY symbol DESC) AS rank FROM s)
+  ('bybit', 'Bybit', 'price,volume', '1M=720,1w=168,3M=2160', 'BTCUSDT'), ('okx', 'OKX', 'price,volume', '1M=720,1w=168,3M=2160', 'BTC-USDT-SWAP')) v(exchange, name, data_types, average, base)),
+s AS (SELECT DISTINCT 'binance' AS exchange, CASE event_type WHEN 'view' THEN 'BTCUSDT' ELSE event_type END AS symbol FROM events), ranked AS (SELECT *, row_number() OVER (ORDER BY symbol DESC) AS rank FROM s),
+others AS (SELECT *, row_number() OVER (ORDER BY rank) AS place FROM ranked WHERE symbol <> 'BTCUSDT')
 SELECT exchange, name, data_types, 'average_price:' || average || ';cointegration_pair:4h=4,8h=8;correlation:12h=12,14d=336,1d=24,1h=1,3d=72,4h=4,7d=168;correlation_pair:1h=1,4h=4;zscore:12h=12,1h=1,4h=4' AS hours,
-  coalesce((SELECT string_agg(symbol, ',' ORDER BY symbol) FROM s WHERE s.exchange = e.exchange), '') AS symbols, coalesce((SELECT string_agg(symbol, ',' ORDER BY rank) FROM ranked WHERE ranked.exchange = e.exchange), '') AS comparisons,
-  primary_symbol AS price_change, '1d=1440' AS live_windows, '50,100,250' AS live_limits, 'abs_z,half_life,adf_t,updated' AS live_sorts FROM e""")
+  coalesce((SELECT string_agg(symbol, ',' ORDER BY symbol) FROM s WHERE s.exchange = e.exchange), '') AS symbols, coalesce((SELECT string_agg(symbol, ',' ORDER BY rank) FROM ranked WHERE ranked.exchange = e.exchange AND rank <= 50), '') AS heatmap,
+  base || ':' || coalesce((SELECT string_agg(symbol, ',' ORDER BY place) FROM others WHERE others.exchange = e.exchange AND place <= 10), '') AS correlation_pairs,
+  base || ':' || coalesce((SELECT string_agg(symbol, ',' ORDER BY place) FROM others WHERE others.exchange = e.exchange AND place <= 5), '') || ':1440' AS cointegration_pairs,
+  coalesce((SELECT string_agg(symbol, ',' ORDER BY rank) FROM ranked WHERE ranked.exchange = e.exchange AND rank <= 75), '') AS live_table,
+  base AS price_change, '1d=1440' AS live_windows, '50,100,250' AS live_limits, 'abs_z,half_life,adf_t,updated' AS live_sorts FROM e""")
 def bootstrap(spark, sf):
-    """All of the start-up configuration; maps are written out as text in the order of their keys."""
-    symbols = table(spark, sf, "events").select(F.lit("binance").alias("exchange"), F.col("event_type").alias("symbol")).distinct()
-    ranked = ranking.ranks(symbols.agg(F.sort_array(F.collect_list("symbol"), False).alias("coins"))).select(F.lit("binance").alias("exchange"), F.lower("coin").alias("symbol"), "rank")
+    """All of the start-up configuration; maps are written out as text in the order of their keys. One type stands for the primary symbol."""
+    name = F.when(F.col("event_type") == "view", "BTCUSDT").otherwise(F.col("event_type"))
+    symbols = table(spark, sf, "events").select(F.lit("binance").alias("exchange"), name.alias("symbol")).distinct()
+    ranked = ranking.ranks(symbols.agg(F.sort_array(F.collect_list("symbol"), False).alias("coins")))
+    ranked = ranked.select(F.lit("binance").alias("exchange"), F.when(F.col("coin") == "BTCUSDT", F.col("coin")).otherwise(F.lower("coin")).alias("symbol"), "rank")
     out = serving.bootstrap(spark, symbols, ranked)
     pairs = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
-    charts = lambda use: F.array_join(F.element_at("chart_defaults", use), ",")
+    chart = lambda use: F.col("chart_defaults")[use]
+    listed = lambda use: F.array_join(chart(use)["symbols"], ",")
+    text = lambda use: F.concat_ws(":", chart(use)["base_symbol"], listed(use), chart(use)["window"])
     return out.select(
         "exchange", "name", F.array_join("data_types", ",").alias("data_types"), F.array_join(F.transform(F.array_sort(F.map_keys("hours_options")), lambda k: F.concat(k, F.lit(":"), pairs(F.col("hours_options")[k]))), ";").alias("hours"),
-        F.array_join("symbols", ",").alias("symbols"), charts("correlation_pair_history").alias("comparisons"), charts("price_change_percentage").alias("price_change"),
+        F.array_join("symbols", ",").alias("symbols"), text("heatmap").alias("heatmap"), text("correlation_pair_history").alias("correlation_pairs"), text("cointegration_pair_history").alias("cointegration_pairs"),
+        text("cointegration_live_table").alias("live_table"), text("price_change_percentage").alias("price_change"),
         pairs("live_table.window_options").alias("live_windows"), F.array_join(F.col("live_table.limit_options").cast("array<string>"), ",").alias("live_limits"), F.array_join("live_table.sort_keys", ",").alias("live_sorts"),
     )
 

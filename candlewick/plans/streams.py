@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import rounded
 from ..operators.bars import bars, unpivot
 from ..sources import vendors
-from ..sources.tables import table
+from ..sources.logs import append_log, read_log
+from ..sources.tables import table, work
 from ..streaming import queries as Q
 from ..streaming import state as S
 from .market import AS_OF, BARS, LONG, PEARSON, WINDOWS, _pairs, r, with_rounded
@@ -22,15 +21,6 @@ from .records import SQL as RECORDS
 QUERIES, SQL = {}, {}
 
 
-def work(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``. Where that is unset, below a temporary one, in local mode alone."""
-    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-    if not root and master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = root or "file://" + tempfile.mkdtemp(prefix="candlewick-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -180,3 +170,19 @@ def stream_published_once(spark, sf):
     raw = table(spark, sf, "events").select("ts", ms.alias("timestamp_ms"), F.unix_micros(F.col("ts").cast("timestamp")).alias("arrival"))
     out = _replay(spark, _slices(raw, "ts"), lambda rows, work_: Q.land(S.published_once(rows), work_))
     return out.select("timestamp_ms", F.lit(True).alias("sent"))
+
+
+@query("stream_catchup", f"""WITH e AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events), p AS (SELECT ms, event_id FROM e WHERE ts < TIMESTAMP '{CUTS[0]}' ORDER BY ms DESC, event_id DESC LIMIT 1)
+SELECT e.event_id, e.ms, e.event_type, e.value FROM e, p WHERE e.ms > p.ms OR (e.ms = p.ms AND e.event_id > p.event_id)""")
+def stream_catchup(spark, sf):
+    """A log is followed from the position that a reader had taken after the first slice; the others land one by one."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    raw = table(spark, sf, "events").select("ts", "event_id", "event_type", "value", F.concat_ws("-", ms, "event_id").alias("id"))
+    log, work_ = work(spark, "log"), work(spark, "catchup")
+    before, *after = _slices(raw, "ts")
+    append_log(before, log)
+    position, out = S.latest_position(before), None
+    for part in after:
+        append_log(part, log)
+        out = Q.land(read_log(spark, log, "event_id bigint, ms bigint, event_type string, value double", position), work_)
+    return out

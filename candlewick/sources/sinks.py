@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 from ..config import RETENTION_HOURS
 from ..functions.scalar import partition_hour
-from ..operators.history import insert_ignore, upsert_latest
+from ..operators.history import HOUR, insert_ignore, upsert_latest
 from ..operators.scope import series
 from ..operators.zscore import heatmap, history_rows
 
-HOUR = "hour_part"
 #: Files of an hour in one append.
 WRITERS = 4
 

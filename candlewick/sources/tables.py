@@ -1,9 +1,21 @@
-"""Tables by name below a folder of Parquet files."""
+"""Tables by name below a folder of Parquet files, and work folders that the cluster shares."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset, below a temporary one, in local mode alone."""
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="candlewick-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
