@@ -79,14 +79,18 @@ def _scan(keys: list[str]):
     return run
 
 
+def scan_prices(prices: DataFrame, keys: list[str], blocks: int | None = None) -> DataFrame:
+    """``scan`` of rows ``keys``, symbol, p (log prices, equally many in a market)."""
+    schema = ", ".join([*[f"{c} string" for c in keys], "symbol1 string, symbol2 string", *[f"{c} double" for c in OUT]])
+    return block_pairs(prices, keys, blocks).mapInArrow(_scan(keys), schema)
+
+
 def scan(candles: DataFrame, start: str | Column, end: str | Column, unit: str = "hour", blocks: int | None = None) -> DataFrame:
     """symbol1, symbol2 and the statistics of each pair of a market; symbol 2 is regressed on symbol 1.
 
     No rows for fewer than ten points or two symbols; ``half_life`` is null where the spread doesn't decay.
     """
-    keys = scope(candles)
-    schema = ", ".join([*[f"{c} string" for c in keys], "symbol1 string, symbol2 string", *[f"{c} double" for c in OUT]])
-    return block_pairs(log_prices(candles, start, end, unit), keys, blocks).mapInArrow(_scan(keys), schema)
+    return scan_prices(log_prices(candles, start, end, unit), scope(candles), blocks)
 
 
 def live_table(latest: DataFrame, sort: str = "abs_z", direction: str | None = None, limit: int = 50, offset: int = 0, symbols: list[str] | None = None) -> DataFrame:

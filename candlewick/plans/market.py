@@ -5,13 +5,16 @@ Symbols are the event types, candles are hourly, and every query stands at AS_OF
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
 from ..operators import bars as B
 from ..operators import cointegration, correlation, seasonality, zscore
-from ..sources.tables import table
+from ..sources import layout
+from ..sources.tables import table, work
 
 START, AS_OF = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
 ALL_HOURS = 720
@@ -245,6 +248,14 @@ def zscore_rolling_24h(spark, sf):
     return with_rounded(zscore.rolling(B.measure(gridded(spark, sf), "price"), 24))
 
 
+@query("zscore_rolling_stored", SQL["zscore_rolling_24h"])
+def zscore_rolling_stored(spark, sf):
+    """Candles stored by day and symbol; the frames read them back without an exchange."""
+    name = f"candles_{uuid.uuid4().hex}"
+    layout.store(gridded(spark, sf), name, f"{work(spark, 'layout')}/candles", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return with_rounded(zscore.rolling(B.measure(layout.stored(spark, name), "price"), 24))
+
+
 @query("zscore_rolling_compat", f"""WITH RECURSIVE {BARS}, {GRID}, g AS (
   SELECT symbol, start_time, close AS v, lag(close, 24) OVER w AS old, row_number() OVER w AS t FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY start_time)),
 f AS (

@@ -14,6 +14,7 @@ from ..sources.logs import append_log, read_log
 from ..sources.tables import table, work
 from ..streaming import queries as Q
 from ..streaming import state as S
+from ..streaming.ring import ring_scans
 from .market import AS_OF, BARS, LONG, PEARSON, WINDOWS, _pairs, r, with_rounded
 from .market import SQL as MARKET
 from .records import SQL as RECORDS
@@ -111,6 +112,17 @@ def stream_coint_scans(spark, sf):
     return with_rounded(out.select(*none.columns))
 
 
+@query("stream_coint_rings", SQL["stream_coint_scans"])
+def stream_coint_rings(spark, sf):
+    """The same scans from rings of prices in state, a row for each symbol."""
+    hours = _slices(bars(table(spark, sf, "events")), "start_time")
+    found = []
+    _replay(spark, hours, lambda rows, work_: found.append(ring_scans(rows, work_, 720, "view", AS_OF)[0]))
+    none = spark.createDataFrame([], "symbol1 string, symbol2 string, window_minutes int, hedge_ratio double, spread_z double, adf_t double, calculated_at timestamp_ntz")
+    out = found[-1] if found[-1] is not None else none
+    return with_rounded(out.select(*none.columns))
+
+
 @query("stream_last_update", """WITH u AS (SELECT event_type AS symbol, date_trunc('minute', ts) AS start_time, value, ts, event_id FROM events)
 SELECT symbol, start_time, last(value ORDER BY ts, event_id) AS close FROM u WHERE start_time < (SELECT max(start_time) FROM u v WHERE v.symbol = u.symbol) GROUP BY 1, 2""")
 def stream_last_update(spark, sf):
