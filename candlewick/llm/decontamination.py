@@ -9,8 +9,9 @@ passages whose bound for some block reaches the threshold go on to block-max WAN
 threshold. A match is then verified on word 5-gram shingles: at least 0.8 of the item's question and 0.8 of its answer
 must be in the passage. Items that mark no question are cut at their last line break, or else at half their words.
 
-The index is made in shards of ``items_per_shard`` items; one broadcast has the shards of ``items_per_pass`` items, some
-100 MB, and documents are read and cut into words once for each broadcast. Frequencies are counted over all items.
+The index is made in shards of ``items_per_shard`` items. One broadcast has the shards of at most ``items_per_pass`` items
+and ``bytes_per_pass`` bytes of their texts (one item alone may be longer), and documents are read and cut into words once
+for each broadcast. Frequencies are counted over all items.
 
 Items without words match nothing; null texts have no words; texts shorter than a passage are one passage; long texts are
 cut into words some pieces at a time. Repeated rows give repeated results, and repeated items each match; of equal scores
@@ -39,7 +40,9 @@ THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
 ITEMS_PER_BLOCK = 4
-ITEMS_PER_SHARD, ITEMS_PER_PASS = 1000, 50_000
+ITEMS_PER_SHARD, ITEMS_PER_PASS, BYTES_PER_PASS = 1000, 50_000, 32 << 20
+#: Parts of a pass's size that items are dealt to before parts are put together to passes.
+PARTS = 16
 CHUNK_WORDS = 200_000
 WORD = re.compile(r"\w+")
 
@@ -199,7 +202,20 @@ def _matches(texts: list[str | None], shards: list[Index], vocabulary: dict[str,
             yield d, index.ids[item], score, share
 
 
-def _passes(benchmark: DataFrame, items_per_shard: int, items_per_pass: int) -> Iterator[tuple[list[Index], dict[str, int]]]:
+def packed(parts: list[tuple[int, int, int]], items: int, size: int) -> list[list[int]]:
+    """Parts (id, items, bytes) put together in their order to passes within both bounds; one that is over alone stays alone."""
+    out: list[list[int]] = []
+    n = b = 0
+    for part, more, long in sorted(parts):
+        if not out or n + more > items or b + long > size:
+            out.append([])
+            n = b = 0
+        out[-1].append(part)
+        n, b = n + more, b + long
+    return out
+
+
+def _passes(benchmark: DataFrame, items_per_shard: int, items_per_pass: int, bytes_per_pass: int) -> Iterator[tuple[list[Index], dict[str, int]]]:
     """Shards and their vocabulary, of bounded size; frequencies of terms are counted by Spark over the whole benchmark."""
     items = saved(benchmark.select("item_id", F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "decontamination-items")
 
@@ -214,9 +230,14 @@ def _passes(benchmark: DataFrame, items_per_shard: int, items_per_pass: int) ->
     if not n:
         return
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    passes = max(1, -(-items.count() // items_per_pass))
-    for k in range(passes):
-        mine = items.where(F.pmod(F.hash("row"), F.lit(passes)) == k) if passes > 1 else items
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    count, total = items.agg(F.count(F.lit(1)), F.sum(size)).first()
+    n_parts = PARTS * max(-(-count // items_per_pass), -(-total // bytes_per_pass)) if count > items_per_pass or total > bytes_per_pass else 1
+    part = F.pmod(F.xxhash64("row"), F.lit(n_parts))
+    # A row for each part, so PARTS for each pass.
+    parts = items.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).collect()
+    for ids in packed([tuple(p) for p in parts], items_per_pass, bytes_per_pass):
+        mine = items.where(part.isin(ids)) if n_parts > 1 else items
         used = terms.join(mine.select("row"), "row", "left_semi").select("term").distinct()
         rows, counts = [(r.item_id, r.text) for r in mine.toLocalIterator()], dict(map(tuple, df.join(used, "term").collect()))
         # Items of like length share a shard: its segments are as long as its longest item.
@@ -225,7 +246,7 @@ def _passes(benchmark: DataFrame, items_per_shard: int, items_per_pass: int) ->
         yield [Index(rows[lo : lo + items_per_shard], counts, n, mean, vocabulary) for lo in range(0, len(rows), items_per_shard)], vocabulary
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], threshold: float = THRESHOLD, items_per_shard: int = ITEMS_PER_SHARD, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], threshold: float = THRESHOLD, items_per_shard: int = ITEMS_PER_SHARD, items_per_pass: int = ITEMS_PER_PASS, bytes_per_pass: int = BYTES_PER_PASS) -> DataFrame:
     """``keep`` columns, item_id, score and overlap, for each document and item that match."""
     rows = docs.select(*keep, docs["text"].cast("string").alias("__text"))
     names = [*keep, "item_id", "score", "overlap"]
@@ -250,7 +271,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], thresho
 
         return rows.mapInArrow(run, schema)
 
-    found = [of(spark.sparkContext.broadcast(one)) for one in _passes(benchmark, items_per_shard, items_per_pass)]
+    found = [of(spark.sparkContext.broadcast(one)) for one in _passes(benchmark, items_per_shard, items_per_pass, bytes_per_pass)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 

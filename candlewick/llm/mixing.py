@@ -10,7 +10,9 @@ deviates from the ideal mix by less than one block for every source, and no slot
 Weights are integers, so whenever every source has flowed for a whole number of its weights, all are even. Between two
 such points lies a unit, which can be scheduled alone. Units without a source that runs out in them repeat; all others
 are as many as sources at most. The driver sorts the sources' ends, O(S log S) for S sources; tasks schedule one unit of
-each kind, and its blocks are a table that is joined with the rows. That table is never larger than the blocks.
+each kind, and its blocks are a table that is joined with the rows. That table is never larger than the blocks. One task
+holds one unit, whose slots are the sum of the weights at most (which state shares, so their size is the caller's, not the
+data's), and never more than there are blocks; what was scheduled up to a slot depends on all slots before it.
 
 Rows stand inside a source in the order of the MD5 of their identifier, then of their locator. Ranks come from counts
 over sorted ranges of that order, so a source that holds a third of all rows, or rows that all lack an identifier, are
@@ -36,6 +38,8 @@ BLOCK_ROWS = 16
 #: Target weights of the registered query and the pipeline; every other source has weight 1.
 WEIGHTS = {"src0": 5, "src1": 3, "src2": 2, "src3": 2}
 NONE = "(none)"
+#: Slots of a unit that leave a task in one batch.
+UNIT_ROWS = 50_000
 
 
 def unit(weights: list[int], blocks: list[int]) -> list[tuple[int, int]]:
@@ -122,7 +126,10 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, id_col: str = "do
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind in batch.column("id").to_pylist():
-                yield pa.RecordBatch.from_pylist([dict(zip(("kind", "source", "j", "offset"), r)) for r in shared.value.rows_of(kind)], pa.schema([("kind", pa.int64()), ("source", pa.string()), ("j", pa.int64()), ("offset", pa.int64())]))
+                rows = shared.value.rows_of(kind)
+                for lo in range(0, len(rows), UNIT_ROWS):
+                    kinds, sources, blocks, offsets = zip(*rows[lo : lo + UNIT_ROWS])
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(sources, pa.string()), pa.array(blocks, pa.int64()), pa.array(offsets, pa.int64())], ["kind", "source", "j", "offset"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value

@@ -342,6 +342,9 @@ def _bucket_batches(min_bytes: int):
 
 def covered(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, bucket_limit: int = BUCKET_LIMIT, piece_bytes: int = PIECE) -> DataFrame:
     """f, r, spans (array of start, end) for the rows of ``docs`` (f, r, text) with repeated strings."""
+    # Anchors keep 24 bits of their place among the pieces of a batch, of which the last may be as long as all before it.
+    if 2 * piece_bytes + 3 * min_bytes > 1 << 24:
+        raise ValueError(f"piece_bytes and min_bytes are too long: {piece_bytes}, {min_bytes}")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "f bigint, r bigint, pos bigint, left smallint, right smallint, gram bigint, c1 bigint, c2 bigint, k1 bigint, k2 bigint"
     anchors = saved(docs.mapInArrow(_anchor_batches(min_bytes, gram, piece_bytes), schema), "suffix-anchors")

@@ -334,6 +334,17 @@ def test_every_prefix_is_within_a_block_of_the_ideal_mix():
             assert all(abs(seen[x] - min(blocks[x], weights[x] * v)) < 1 for x in blocks)
 
 
+def test_weights_without_a_common_divisor_make_one_long_unit(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "UNIT_ROWS", 1000)
+    weights = {"a": 70_001, "b": 29_999}
+    slots = mixing.Plan({"a": 70_001, "b": 29_999}, weights).rows_of(0)
+    a = np.cumsum([s == "a" for _, s, _, _ in slots])
+    assert len(slots) == 100_000 and (np.abs(a - np.arange(1, 100_001) * 0.70001) < 1).all()
+    frame = docs(spark, ["t"] * 3000, sources=["a"] * 2000 + ["b"] * 1000)
+    got = mixing.mix(frame, weights, block_rows=1).select("slot", "source").collect()
+    assert [s for _, s in sorted(got)] == whole_schedule({"a": 2000, "b": 1000}, weights)
+
+
 def test_many_sources_are_planned_in_seconds():
     start = time.time()
     plan = mixing.Plan({f"s{k}": k % 977 + 1 for k in range(10_000)}, {f"s{k}": k % 7 + 1 for k in range(10_000)})
@@ -382,6 +393,11 @@ def test_suffix_dedup_equals_brute_force(spark, limit, piece):
         assert got[i if i < len(texts) - 1 else None] == want, i
 
 
+def test_suffix_dedup_refuses_pieces_whose_places_have_no_room(spark):
+    with pytest.raises(ValueError, match="piece_bytes"):
+        suffix_dedup.remove_repeats(docs(spark, ["a"]), piece_bytes=1 << 24)
+
+
 @pytest.mark.parametrize("limit", [2, 6])
 def test_suffix_dedup_of_large_buckets_equals_brute_force(spark, limit):
     """Near copies with edits at all distances, and passages a little shorter and longer than a repeat among other text."""
@@ -396,6 +412,21 @@ def test_suffix_dedup_of_large_buckets_equals_brute_force(spark, limit):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 400)
 
 
+@pytest.mark.parametrize("kind", ["prose", "period"])
+def test_rounds_and_rows_of_suffix_dedup_stay_few(spark, monkeypatch, kind):
+    """Near copies that differ at one place each, of prose and of a text of period two: every entry is in one large bucket."""
+    counts, save = [], suffix_dedup.saved
+    monkeypatch.setattr(suffix_dedup, "saved", lambda df, name: counts.append((name, save(df, name))) or counts[-1][1])
+    rng, base = np.random.default_rng(8), prose(50, 200) if kind == "prose" else "ab" * 600
+    places = rng.integers(0, len(base), 400).tolist()
+    texts = [base[:p] + "#%&"[k % 3] + base[p + 1 :] for k, p in enumerate(places)]
+    got = suffix_dedup.remove_repeats(docs(spark, texts), bucket_limit=20).collect()
+    entries = sum(df.count() for name, df in counts if name == "suffix-entries")
+    cuts = [df.count() for name, df in counts if name == "suffix-cut"]
+    assert 0 < len(cuts) <= 8 and max(cuts) <= 2 * entries and sum(cuts) <= 4 * entries, (entries, cuts)
+    assert len(got) == 400 and sum(r.n_removed > 0 for r in got) > 390
+
+
 def test_common_prefix_intervals_give_all_occurrences():
     text = b"banana$bandana#anab"
     suffixes = sorted(text[i:] for i in range(len(text)))
@@ -525,13 +556,23 @@ def test_decontamination_equals_brute_force(spark):
     shingles = lambda t: decontamination.shingles(decontamination.words(t))
     want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate([*items, "", "", items[0]]) if shingles(x) and len(shingles(x) & shingles(t)) >= 0.8 * len(shingles(x))}
     assert got == want and len(want) == 5
-    for small in ({"items_per_shard": 4}, {"items_per_shard": 2, "items_per_pass": 5}):
+    for small in ({"items_per_shard": 4}, {"items_per_shard": 2, "items_per_pass": 5}, {"bytes_per_pass": 600}):
         assert {(r.doc_id, r.item_id) for r in decontamination.find_matches(docs(spark, texts), bench, ["doc_id"], **small).collect()} == want
     assert {r.doc_id for r in decontamination.kept_documents(docs(spark, texts), bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert decontamination.find_matches(docs(spark, texts), bench.limit(0), ["doc_id"]).count() == 0
     assert decontamination.find_matches(docs(spark, texts).limit(0), bench, ["doc_id"]).count() == 0
 
 
+def test_passes_hold_bounded_items_and_bytes(spark):
+    assert decontamination.packed([], 5, 10) == []
+    assert decontamination.packed([(2, 1, 4), (0, 2, 5), (1, 2, 5), (3, 1, 50), (4, 4, 1), (5, 2, 1)], 5, 10) == [[0, 1], [2], [3], [4], [5]]
+    sizes = [40 * (1 + i % 7) for i in range(60)] + [5000]
+    bench = spark.createDataFrame([(i, prose(i, n)[:n]) for i, n in enumerate(sizes)], "item_id bigint, text string")
+    held = [[t for index in shards for t in index.texts] for shards, _ in decontamination._passes(bench, 10, 50, 2000)]
+    assert sorted(map(len, sum(held, []))) == sorted(sizes)
+    assert all(sum(map(len, x)) <= 2000 or 5000 in map(len, x) for x in held) and max(map(len, held)) <= 50
+
+
 def test_decontamination_recall_of_altered_passages(spark):
     """Of all pairs that verification accepts, the threshold of the search loses none in a hundred."""
     rng = np.random.default_rng(14)
