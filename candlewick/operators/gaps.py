@@ -37,11 +37,23 @@ def chunks(ranges: DataFrame, steps: int, unit: str = "minute") -> DataFrame:
 
 
 def backfill_window(candles: DataFrame, now: str | Column, symbol: str, days: int = BACKFILL_DAYS) -> DataFrame:
-    """start, end of what a gap scan looks at: from the earlier of now - 30 min and the minute after the latest candle."""
-    last = candles.where(F.col("symbol") == symbol).agg(F.max("start_time").alias("latest"))
+    """start, end of what a gap scan of each market looks at: from the earlier of now - 30 min and the minute after the latest
+    candle of ``symbol``, its primary one, but no more than ``days`` back. A market without such a candle has 30 minutes."""
+    keys = scope(candles)
+    last = candles.groupBy(*keys).agg(F.max(F.when(F.col("symbol") == symbol, F.col("start_time"))).alias("latest"))
     end = F.date_trunc("minute", at(now)).cast("timestamp_ntz")
     start = F.least(end - F.expr("INTERVAL 30 MINUTES"), F.coalesce(F.col("latest") + F.expr("INTERVAL 1 MINUTE"), end))
-    return last.select(F.greatest(start, end - F.make_dt_interval(F.lit(days))).alias("start"), end.alias("end"))
+    return last.select(*keys, F.greatest(start, end - F.make_dt_interval(F.lit(days))).alias("start"), end.alias("end"))
+
+
+def backfill_chunks(candles: DataFrame, windows: DataFrame, steps: int, unit: str = "minute") -> DataFrame:
+    """symbol, chunk_start, chunk_end of what a backfill has to fetch: the missing steps of each market's own window."""
+    keys, each = scope(candles), series(candles)
+    every = candles.select(*each).distinct()
+    every = every.join(windows, keys) if keys else every.crossJoin(F.broadcast(windows))
+    expected = every.where("start < end").select(*each, F.explode(F.sequence(F.col("start"), F.col("end") - F.expr(STEP[unit]), F.expr(STEP[unit]))).alias("start_time"))
+    missing = expected.join(candles.select(*each, "start_time"), [*each, "start_time"], "left_anti")
+    return chunks(islands(missing, unit), steps, unit)
 
 
 def completeness(candles: DataFrame, expected: int | None = None) -> DataFrame:

@@ -10,10 +10,10 @@ from ..functions.scalar import coin_symbol
 from .scope import scope
 
 
-def ranks(listed: DataFrame, column: str = "coins") -> DataFrame:
-    """coin, rank (from 1) of a list in order; a repeated coin has its last rank."""
-    each = listed.select(F.posexplode(column).alias("pos", "coin"))
-    return each.groupBy(F.upper("coin").alias("coin")).agg((F.max("pos") + 1).cast("bigint").alias("rank"))
+def ranks(listed: DataFrame, column: str = "coins", keys: list[str] | None = None) -> DataFrame:
+    """coin, rank (from 1) of a list in order, one list for each of ``keys``; a repeated coin has its last rank."""
+    each = listed.select(*(keys or []), F.posexplode(column).alias("pos", "coin"))
+    return each.groupBy(*(keys or []), F.upper("coin").alias("coin")).agg((F.max("pos") + 1).cast("bigint").alias("rank"))
 
 
 def ranked_symbols(rank: DataFrame, symbols: DataFrame, suffix: str = "USDT", top: int = MARKET_CAP_TOP) -> DataFrame:

@@ -114,19 +114,23 @@ def matrix(scores: DataFrame, hours_: int, x: str, y: str, z: str | None = None,
 def heatmap(history: DataFrame, measure: str, hours_: int, symbols: list[str], digits: int = 3) -> DataFrame:
     """y (symbol's place), x (time's place), time, symbol, value: each symbol at each time; null where it has no record.
 
-    Symbols without any record have no row of the picture. Of records that repeat a symbol and time the last by
-    ``calculated_at`` counts.
+    Symbols without any record have no row of the picture. Times that follow each other and read alike are one place, also
+    of different days; of a symbol's records in one place the last by ``calculated_at`` counts.
     """
     kept = history.where((F.col("hours") == hours_) & F.col("symbol").isin(symbols)).withColumn("time", F.date_format("calculated_at", "HH:mm"))
     slot = F.date_trunc("minute", "calculated_at").cast("timestamp_ntz")
-    cells = kept.groupBy(slot.alias("slot"), "time", "symbol").agg(F.max_by(measure, "calculated_at").alias("value"))
+    cells = kept.groupBy(slot.alias("slot"), "time", "symbol").agg(F.max_by(F.struct("calculated_at", measure), "calculated_at").alias("last"))
     # The two axes of one picture: numbering them is a window over an axis alone.
-    x = cells.select("slot", "time").distinct().withColumn("x", F.row_number().over(Window.orderBy("slot")) - 1)
+    by_slot = Window.orderBy("slot")
+    slots = cells.select("slot", "time").distinct().withColumn("next", F.coalesce((F.lag("time").over(by_slot) != F.col("time")).cast("int"), F.lit(0)))
+    slots = slots.withColumn("x", F.sum("next").over(by_slot).cast("int"))
+    cells = cells.join(slots.select("slot", "x"), "slot").groupBy("x", "time", "symbol").agg(F.max_by(F.col("last")[measure], F.col("last")["calculated_at"]).alias("value"))
+    x = cells.select("x", "time").distinct()
     asked = F.array(*[F.lit(s) for s in dict.fromkeys(symbols)]).cast("array<string>")
     y = cells.select("symbol").distinct().withColumn("y", F.row_number().over(Window.orderBy(F.array_position(asked, F.col("symbol")))) - 1)
     axes = y.agg(F.collect_list(F.struct("y", "symbol")).alias("s"))
-    rows = x.crossJoin(F.broadcast(axes)).select("slot", "time", "x", F.explode("s").alias("s")).select("slot", "time", "x", "s.y", "s.symbol")
-    return rows.join(cells.drop("time"), ["slot", "symbol"], "left").select("y", "x", "time", "symbol", (F.round("value", digits) + F.lit(0.0)).alias("value"))
+    rows = x.crossJoin(F.broadcast(axes)).select("time", "x", F.explode("s").alias("s")).select("time", "x", "s.y", "s.symbol")
+    return rows.join(cells.drop("time"), ["x", "symbol"], "left").select("y", "x", "time", "symbol", (F.round("value", digits) + F.lit(0.0)).alias("value"))
 
 
 def drift(rolled: DataFrame, long: DataFrame, as_of: str | Column, window: int, measure: str = "price", tolerance: float = 0.25) -> DataFrame:

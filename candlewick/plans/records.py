@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -330,6 +331,142 @@ def vendor_last_update(spark, sf):
     return _shaped(vendors.hyperliquid_live(raw)).select("symbol", "start_time", "close", "number_of_trades")
 
 
+PAGES = """c AS (SELECT event_type AS symbol, date_trunc('minute', ts) AS start_time, value, event_id, CAST(date_trunc('day', ts) AS DATE) - DATE '2024-01-01' AS day FROM events),
+paged AS (SELECT vendor, symbol, start_time, CASE WHEN back THEN 100 - day ELSE day END + copy AS page, value * (1 + copy) AS close
+  FROM c, (VALUES ('binance', false), ('bybit', true), ('okx', true), ('hyperliquid', false)) v(vendor, back), (VALUES (0), (1)) o(copy))"""
+
+
+@query("history_pages", f"""WITH {PAGES}
+SELECT vendor, symbol, start_time, first(close ORDER BY page, close) AS close FROM paged
+WHERE start_time >= TIMESTAMP '2024-01-02 06:00:00' AND start_time < TIMESTAMP '2024-01-29 18:00:00' AND (vendor <> 'hyperliquid' OR start_time < TIMESTAMP '2024-01-29 12:30:00') GROUP BY 1, 2, 3""")
+def history_pages(spark, sf):
+    """Each vendor's history of a range in pages of a day, forward or backward in time. A page has the candles of the one before it
+    again, at twice the price; those of the first page count. One vendor's last minute isn't over yet."""
+    c = _candles(spark, sf).withColumn("day", F.floor((F.col("t") - S.ms_of(F.lit(int(datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp() * 1000)))) / 86_400_000))
+    c = c.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    p = (F.col("p").cast("decimal(18,8)") * (F.col("copy") + 1)).cast("decimal(20,8)").cast("string")
+    start, text = F.col("t").cast("string"), lambda *xs: F.array(*[x.cast("string") for x in xs])
+    unused = F.lit("0")
+    records = {
+        "binance": text(start, p, p, p, p, F.col("v"), S.close_ms(F.col("t")), F.col("q"), F.col("n"), unused, unused), "bybit": text(start, p, p, p, p, F.col("v"), F.col("q")),
+        "okx": text(start, p, p, p, p, F.col("v"), unused, F.col("q"), F.lit("1")), "hyperliquid": F.struct("t", "s", *[p.alias(x) for x in "ohlc"], "v", "n"),
+    }
+    parts = []
+    for name, record in records.items():
+        day = F.lit(100) - F.col("day") if name in ("bybit", "okx") else F.col("day")
+        raw = c.select(F.col("s").alias("symbol"), (day + F.col("copy")).alias("page"), F.to_json(record).alias("raw"))
+        unfinished = {"as_of_ms": int(datetime(2024, 1, 29, 12, 30, 59, tzinfo=timezone.utc).timestamp() * 1000)} if name == "hyperliquid" else {}
+        parsed = vendors.HISTORY[name](raw, **unfinished)
+        parsed = parsed.withColumn("start_time", F.col("start_time").cast("timestamp_ntz"))
+        found = vendors.pages(parsed.select("symbol", "page", "start_time", F.col("close").cast("double").alias("close")), "2024-01-02 06:00:00", "2024-01-29 18:00:00", "page")
+        parts.append(found.select(F.lit(name).alias("vendor"), "symbol", "start_time", "close"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("listed_symbols", """SELECT 'binance' AS vendor, 'C' || c_custkey || 'USDT' AS symbol FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_acctbal > 0
+UNION ALL SELECT 'bybit', 'C' || c_custkey || 'USDT' FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_acctbal > 0
+UNION ALL SELECT 'okx', 'C' || c_custkey || '-USDT-SWAP' FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_acctbal > 0
+UNION ALL SELECT 'hyperliquid', 'C' || c_custkey FROM customer WHERE c_acctbal > 0""")
+def listed_symbols(spark, sf):
+    """Customers as listed instruments: those of one segment are of another kind, those without money aren't traded."""
+    swap, live, coin = F.col("c_mktsegment") != "MACHINERY", F.col("c_acctbal") > 0, F.concat(F.lit("C"), "c_custkey")
+    pick = lambda cond, yes, no: F.when(cond, yes).otherwise(no)
+    usdt = F.concat(coin, F.lit("USDT")).alias("symbol")
+    records = {
+        "binance": F.struct(usdt, pick(swap, "PERPETUAL", "CURRENT_QUARTER").alias("contractType"), F.lit("USDT").alias("quoteAsset"), pick(live, "TRADING", "SETTLING").alias("status")),
+        "bybit": F.struct(usdt, pick(swap, "LinearPerpetual", "LinearFutures").alias("contractType"), F.lit("USDT").alias("quoteCoin"), pick(live, "Trading", "Closed").alias("status")),
+        "okx": F.struct(F.concat(coin, F.lit("-USDT-SWAP")).alias("instId"), pick(swap, "SWAP", "FUTURES").alias("instType"), F.lit("USDT").alias("settleCcy"), pick(live, "live", "suspend").alias("state")),
+        "hyperliquid": F.struct(coin.alias("name"), F.when(~live, True).alias("isDelisted")),
+    }
+    listed = table(spark, sf, "customer")
+    return reduce(DataFrame.unionByName, [vendors.perpetual_symbols(listed.select(F.to_json(x).alias("raw")), v).select(F.lit(v).alias("vendor"), "symbol") for v, x in records.items()])
+
+
+@query("mid_prices", """SELECT 'S' || l_suppkey || '-' || l_partkey AS symbol, max(l_extendedprice) AS price FROM lineitem JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal >= 0) ON s_suppkey = l_suppkey GROUP BY 1""")
+def mid_prices(spark, sf):
+    """A snapshot of prices for each order, one JSON object, and the highest of each name: a mark in front is a spot market's, left out."""
+    mark = F.when(F.col("s_acctbal") < 0, "@").otherwise("S")
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey", "l_partkey").agg(F.max("l_extendedprice").alias("price"))
+    named = lines.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    named = named.select("l_orderkey", F.struct(F.concat(mark, "l_suppkey", F.lit("-"), "l_partkey").alias("k"), F.col("price").cast("string").alias("v")).alias("x"))
+    raw = named.groupBy("l_orderkey").agg(F.to_json(F.map_from_entries(F.collect_list("x"))).alias("raw"))
+    return vendors.mid_prices(raw).groupBy("symbol").agg(F.max("price").alias("price"))
+
+
+@query("market_caps", """SELECT 'C' || c_custkey AS coin, rank, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank <= 250""")
+def market_caps(spark, sf):
+    """A list of the 250 first by market cap for each nation, as JSON."""
+    by = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
+    first = table(spark, sf, "customer").withColumn("place", F.row_number().over(by)).where("place <= 250")
+    entries = first.select("c_nationkey", F.struct("place", F.concat(F.lit("c"), "c_custkey").alias("symbol")).alias("x"))
+    raw = entries.groupBy("c_nationkey").agg(F.to_json(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["symbol"].alias("symbol")))).alias("raw"))
+    return ranking.ranks(vendors.market_caps(raw, "c_nationkey"), keys=["c_nationkey"])
+
+
+@query("symbols_missing_at", """SELECT DISTINCT user_id AS symbol FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE date_trunc('day', ts) = TIMESTAMP '2024-01-15 00:00:00')""")
+def symbols_missing_at(spark, sf):
+    daily = _users(spark, sf).withColumn("start_time", F.date_trunc("day", "start_time").cast("timestamp_ntz"))
+    return gaps.missing_symbols(daily, daily, "2024-01-15 00:00:00")
+
+
+WINDOW_SQL = """m AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'binance' ELSE 'okx' END AS exchange, event_type AS symbol, date_trunc('hour', ts) AS start_time FROM events),
+w AS (SELECT exchange, greatest(TIMESTAMP '2024-01-30 12:07:00' - INTERVAL 7 DAY, least(TIMESTAMP '2024-01-30 12:07:00' - INTERVAL 30 MINUTE, coalesce(max(start_time) FILTER (symbol = 'view') + INTERVAL 1 MINUTE, TIMESTAMP '2024-01-30 12:07:00'))) AS start,
+  TIMESTAMP '2024-01-30 12:07:00' AS "end" FROM m WHERE start_time < TIMESTAMP '2024-01-25 12:00:00' OR exchange = 'okx' AND start_time < TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1)"""
+
+
+def _known(spark, sf) -> DataFrame:
+    """What a collector that stopped some days ago has of two markets, of one of them more than a backfill goes back."""
+    hours = B.bars(market_events(spark, sf)).select("exchange", "symbol", "start_time")
+    return hours.where((F.col("start_time") < "2024-01-25 12:00:00") | ((F.col("exchange") == "okx") & (F.col("start_time") < "2024-01-20 12:00:00")))
+
+
+@query("backfill_window", f'WITH {WINDOW_SQL} SELECT exchange, start, "end" FROM w')
+def backfill_window(spark, sf):
+    return gaps.backfill_window(_known(spark, sf), "2024-01-30 12:07:30", "view")
+
+
+@query("backfill_chunks", f"""WITH {WINDOW_SQL}, n AS (SELECT DISTINCT exchange, symbol FROM m), e AS (SELECT exchange, symbol, unnest(generate_series(start, "end" - INTERVAL 1 MINUTE, INTERVAL 1 MINUTE)) AS t FROM n JOIN w USING (exchange)),
+k AS (SELECT * FROM m WHERE start_time < TIMESTAMP '2024-01-25 12:00:00' OR exchange = 'okx' AND start_time < TIMESTAMP '2024-01-20 12:00:00'),
+g AS (SELECT *, epoch(t) // 60 - row_number() OVER (PARTITION BY exchange, symbol ORDER BY t) AS run FROM e WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.exchange = e.exchange AND k.symbol = e.symbol AND k.start_time = e.t)),
+p AS (SELECT exchange, symbol, t, run, (row_number() OVER (PARTITION BY exchange, symbol, run ORDER BY t) - 1) // 1000 AS piece FROM g)
+SELECT exchange, symbol, min(t) AS chunk_start, max(t) + INTERVAL 1 MINUTE AS chunk_end FROM p GROUP BY exchange, symbol, run, piece""")
+def backfill_chunks(spark, sf):
+    """What the two markets have to fetch, a thousand minutes at a time."""
+    known = _known(spark, sf)
+    return gaps.backfill_chunks(known, gaps.backfill_window(known, "2024-01-30 12:07:30", "view"), 1000)
+
+
+@query("pairs_in_order", """SELECT least(a.event_type, b.event_type) AS symbol1, greatest(a.event_type, b.event_type) AS symbol2, count(*) AS n
+FROM events a JOIN events b ON a.user_id = b.user_id AND date_trunc('minute', a.ts) = date_trunc('minute', b.ts) AND a.event_type <> b.event_type GROUP BY 1, 2""")
+def pairs_in_order(spark, sf):
+    """Types that a user has had in one minute, either way round, as pairs with the lesser name first."""
+    minute = F.date_trunc("minute", "ts").alias("minute")
+    each = lambda k: table(spark, sf, "events").select("user_id", minute, F.col("event_type").alias(f"symbol{k}")).groupBy("user_id", "minute", f"symbol{k}").agg(F.count(F.lit(1)).alias(f"n{k}"))
+    both = each(1).join(each(2), ["user_id", "minute"]).where("symbol1 <> symbol2")
+    return history.canonical(both).groupBy("symbol1", "symbol2").agg(F.sum(F.col("n1") * F.col("n2")).alias("n"))
+
+
+@query("text_functions", """SELECT event_id, date_trunc('minute', ts) AS to_minute, date_trunc('day', ts) AS to_day, epoch_us(ts) // 1000 AS ms, user_id AS seq, (epoch_us(ts) // 1000, user_id) >= (1705276800000, 50) AS later FROM events""")
+def text_functions(spark, sf):
+    """Days with and without a time of day, and positions of a log, from their texts."""
+    day = lambda form: S.parse_day(F.date_format("ts", form)).cast("timestamp_ntz")
+    position = S.stream_position(F.concat(F.unix_millis(F.col("ts").cast("timestamp")), F.lit("-"), "user_id"))
+    rows = table(spark, sf, "events").select("event_id", day("dd MMM yyyy HH:mm").alias("to_minute"), day("dd MMM yyyy").alias("to_day"), position.alias("p"))
+    return rows.select("event_id", "to_minute", "to_day", "p.ms", "p.seq", (F.col("p") >= S.stream_position(F.lit("1705276800000-50"))).alias("later"))
+
+
+@query("event_payloads", """SELECT event_id, epoch_us(ts) // 1000 AS timestamp_ms, value AS newest, CASE WHEN user_id % 2 = 0 THEN 2 * value END AS an_hour_back FROM events WHERE event_type <> 'error'""")
+def event_payloads(spark, sf):
+    """Every tick as a published event; those of a backfill (here one type) aren't sent on, and every other user has nothing of an hour ago."""
+    side = lambda x: F.create_map(F.lit("x"), F.struct(x.alias("price"), x.alias("volume"), F.lit(1.0).alias("trades")))
+    old = F.when(F.col("user_id") % 2 == 0, F.create_map(F.lit("1"), side(F.col("value") * 2))).otherwise(F.create_map(F.lit("4"), side(F.col("value") * 3)))
+    source = F.when(F.col("event_type") == "error", "backfill").otherwise(F.concat(F.lit("live-"), "event_id"))
+    event = F.struct(F.lit("klines").alias("event_type"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), source.alias("source"), side(F.col("value")).alias("newest"), old.alias("oldest"))
+    sent = vendors.live_only(vendors.stream_events(table(spark, sf, "events").select(F.to_json(event).alias("raw"))))
+    back = F.try_element_at("oldest", F.lit(1))
+    return sent.select(F.substring_index("source", "-", -1).cast("bigint").alias("event_id"), "timestamp_ms", F.try_element_at("newest", F.lit("x"))["price"].alias("newest"), F.try_element_at(back, F.lit("x"))["price"].alias("an_hour_back"))
+
+
 @query("json_rows", "SELECT n_nationkey, '{\"symbol\":\"' || n_name || '\",\"rank\":' || (n_nationkey + 1) || '}' AS body FROM nation")
 def json_rows(spark, sf):
     nation = table(spark, sf, "nation")

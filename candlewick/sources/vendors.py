@@ -1,7 +1,7 @@
 """Vendor candles as landed JSON: one select for each vendor's live and history shapes, into one normal form.
 
 A record that doesn't parse, or lacks a time or a price, is dropped. Each function takes rows with the JSON in ``raw``
-(history also with ``symbol``) and works on batch and streaming frames alike, but for ``hyperliquid_live``, whose streaming
+(history also with ``symbol``, and with ``page`` where a range came in pages, which is kept for ``pages``) and works on batch and streaming frames alike, but for ``hyperliquid_live``, whose streaming
 form is ``streaming.queries.last_updates``. A record is parsed once: filters on what was parsed stay above it.
 """
 
@@ -38,6 +38,10 @@ def _parsed(schema: str) -> Column:
     return F.explode(F.array(F.from_json("raw", schema)))
 
 
+def _page(raw: DataFrame) -> tuple[str, ...]:
+    return ("page",) if "page" in raw.columns else ()
+
+
 def _at(array: str | Column, i: int) -> Column:
     return F.try_element_at(F.col(array) if isinstance(array, str) else array, F.lit(i + 1))
 
@@ -51,9 +55,9 @@ def binance_live(raw: DataFrame) -> DataFrame:
 
 
 def binance_history(raw: DataFrame) -> DataFrame:
-    rows = raw.select("symbol", _parsed("array<string>").alias("a")).where(F.size("a") >= 11)
+    rows = raw.select("symbol", *_page(raw), _parsed("array<string>").alias("a")).where(F.size("a") >= 11)
     a = [_at("a", i) for i in range(11)]
-    return _normal(rows, a[0].try_cast("bigint"), a[6].try_cast("bigint"), F.col("symbol"), a[1:5], a[5], a[8].try_cast("bigint"), a[7], a[9], a[10])
+    return _normal(rows, a[0].try_cast("bigint"), a[6].try_cast("bigint"), F.col("symbol"), a[1:5], a[5], a[8].try_cast("bigint"), a[7], a[9], a[10], beside=_page(raw))
 
 
 def bybit_live(raw: DataFrame) -> DataFrame:
@@ -64,16 +68,16 @@ def bybit_live(raw: DataFrame) -> DataFrame:
 
 
 def bybit_history(raw: DataFrame) -> DataFrame:
-    rows = raw.select("symbol", _parsed("array<string>").alias("a")).where(F.size("a") >= 7)
+    rows = raw.select("symbol", *_page(raw), _parsed("array<string>").alias("a")).where(F.size("a") >= 7)
     a = [_at("a", i) for i in range(7)]
     start = a[0].try_cast("bigint")
-    return _normal(rows, start, close_ms(start), F.col("symbol"), a[1:5], a[5], F.lit(0), a[6])
+    return _normal(rows, start, close_ms(start), F.col("symbol"), a[1:5], a[5], F.lit(0), a[6], beside=_page(raw))
 
 
 def _okx(rows: DataFrame) -> DataFrame:
     a = [_at("a", i) for i in range(9)]
     start = a[0].try_cast("bigint")
-    return _normal(rows.where((F.size("a") >= 9) & (a[8] == "1")), start, close_ms(start), F.col("symbol"), a[1:5], a[5], F.lit(0), a[7])
+    return _normal(rows.where((F.size("a") >= 9) & (a[8] == "1")), start, close_ms(start), F.col("symbol"), a[1:5], a[5], F.lit(0), a[7], beside=_page(rows))
 
 
 def okx_live(raw: DataFrame) -> DataFrame:
@@ -82,7 +86,7 @@ def okx_live(raw: DataFrame) -> DataFrame:
 
 
 def okx_history(raw: DataFrame) -> DataFrame:
-    return _okx(raw.select("symbol", _parsed("array<string>").alias("a")))
+    return _okx(raw.select("symbol", *_page(raw), _parsed("array<string>").alias("a")))
 
 
 HYPERLIQUID = "t bigint, s string, o string, h string, l string, c string, v string, n bigint"
@@ -116,7 +120,7 @@ def hyperliquid_updates(raw: DataFrame, order: str = "arrival") -> DataFrame:
 
 def hyperliquid_history(raw: DataFrame, as_of_ms: int | None = None) -> DataFrame:
     """Whole minutes only: those that ended before the minute of ``as_of_ms``."""
-    out = _hyperliquid(raw.select(_parsed(HYPERLIQUID).alias("d")))
+    out = _hyperliquid(raw.select(*_page(raw), _parsed(HYPERLIQUID).alias("d")), *_page(raw))
     return out.where(F.col("close_time") < F.timestamp_millis(floor_minute_ms(F.lit(as_of_ms)))) if as_of_ms is not None else out
 
 
@@ -163,9 +167,9 @@ def mid_prices(raw: DataFrame) -> DataFrame:
     return each.select("symbol", F.col("text").try_cast("double").alias("price")).where("price is not null and symbol not like '@%'")
 
 
-def market_caps(raw: DataFrame) -> DataFrame:
-    """coins: the list's coin symbols in order, for ``operators.ranking.ranks``."""
-    return raw.select(F.transform(F.from_json("raw", "array<struct<symbol:string>>"), lambda x: x["symbol"]).alias("coins"))
+def market_caps(raw: DataFrame, *beside: str) -> DataFrame:
+    """coins: the list's coin symbols in order, for ``operators.ranking.ranks``; the columns ``beside`` stay."""
+    return raw.select(*beside, F.transform(F.from_json("raw", "array<struct<symbol:string>>"), lambda x: x["symbol"]).alias("coins"))
 
 
 def live_only(events: DataFrame) -> DataFrame:

@@ -203,6 +203,25 @@ def test_heatmap_leaves_out_symbols_without_records(spark):
     assert got == [(0, 0, "c", None), (0, 1, "c", 3.0), (1, 0, "a", 1.0), (1, 1, "a", 2.0)]
 
 
+def test_heatmap_joins_times_that_read_alike_only_if_they_follow_each_other(spark):
+    days = [("a", 1.0, 0), ("a", 2.0, 1440), ("c", 3.0, 1440), ("a", 4.0, 1441), ("a", 5.0, 2880)]
+    rows = spark.createDataFrame([(s, v, 1, at(t)) for s, v, t in days], "symbol string, price double, hours int, calculated_at timestamp_ntz")
+    got = sorted((r.symbol, r.x, r.value) for r in zscore.heatmap(rows, "price", 1, ["a", "c"]).collect())
+    assert got == [("a", 0, 2.0), ("a", 1, 4.0), ("a", 2, 5.0), ("c", 0, 3.0), ("c", 1, None), ("c", 2, None)]
+
+
+def test_backfill_of_each_market(spark):
+    rows = [("x", "a", at(0)), ("x", "a", at(1)), ("y", "a", at(58)), ("z", "b", at(58)), ("y", "b", at(40))]
+    have = spark.createDataFrame(rows, "exchange string, symbol string, start_time timestamp_ntz")
+    windows = gaps.backfill_window(have, at(60), "a")
+    assert {r.exchange: r.start for r in windows.collect()} == {"x": at(2), "y": at(30), "z": at(30)} and {r.end for r in windows.collect()} == {at(60)}
+    got = sorted((r.exchange, r.symbol, r.chunk_start, r.chunk_end) for r in gaps.backfill_chunks(have, windows, 29).collect())
+    assert got == [
+        ("x", "a", at(2), at(31)), ("x", "a", at(31), at(60)), ("y", "a", at(30), at(58)), ("y", "a", at(59), at(60)),
+        ("y", "b", at(30), at(40)), ("y", "b", at(41), at(60)), ("z", "b", at(30), at(58)), ("z", "b", at(59), at(60)),
+    ]
+
+
 def test_zscore_sinks(spark, tmp_path):
     scores = zscore.snapshot(bars.unpivot(candles(spark, x=A, y=B)), at(6), [1])
     where, snap = f"file://{tmp_path}/history", f"file://{tmp_path}/snap"
