@@ -220,6 +220,8 @@ FROM scan ORDER BY {order}, symbol1, symbol2 LIMIT 5 OFFSET 1"""
     @query(f"coint_live_table_{sort}", sql)
     def live(spark, sf):
         found = cointegration.scan(hourly(spark, sf), START, AS_OF).withColumn("calculated_at", F.lit(AS_OF).cast("timestamp_ntz"))
+        # A plain name in ORDER BY is the rounded column of the page: pairs that read alike are ties, by name. abs(spread_z) isn't rounded.
+        found = found.withColumn(sort, rounded(F.col(sort), digits[sort])) if sort in digits else found
         return cointegration.live_table(found, sort, limit=5, offset=1)
 
 

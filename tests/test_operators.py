@@ -253,6 +253,23 @@ def test_live_table_order(spark):
     assert cointegration.live_table(rows, "nonsense").count() == 3
 
 
+@pytest.mark.parametrize("sort", ["half_life", "adf_t"])
+def test_live_table_ties_are_of_what_is_shown(spark, duck, monkeypatch, sort):
+    """Three pairs read 0.24 in another order than by name; the page begins and ends among them. Held against the query's own ORDER BY."""
+    from candlewick.plans import market
+
+    names = "symbol1 string, symbol2 string, " + ", ".join(f"{c} double" for c in cointegration.OUT)
+    at_ = lambda k, x: (*k, 0.1, 0.2, 0.0, 0.3, x, x, x)
+    found = [at_("ab", 0.24049), at_("ac", 0.24043), at_("ad", 0.24041), at_("bc", 0.24042), at_("bd", 0.2), at_("cd", 0.2401), at_("ce", 0.3), at_("de", None)]
+    monkeypatch.setattr(cointegration, "scan", lambda *a: spark.createDataFrame(found, names))
+    monkeypatch.setattr(market, "hourly", lambda *a: None)
+    got = [tuple(r) for r in market.QUERIES[f"coint_live_table_{sort}"](spark, "").collect()]
+    duck.execute(f"CREATE OR REPLACE TEMP TABLE pairs_found ({names.replace(' string', ' VARCHAR')})")
+    duck.executemany(f"INSERT INTO pairs_found VALUES ({', '.join('?' * 9)})", found)
+    sql = market.SQL[f"coint_live_table_{sort}"]
+    assert got == duck.sql(f"SELECT symbol1 || '-' || {sql.split(' SELECT symbol1 || ' + chr(39) + '-' + chr(39) + ' || ', 1)[1].replace('FROM scan', 'FROM pairs_found')}").fetchall()
+
+
 def test_seasonality_divides_by_close(spark):
     rows = spark.createDataFrame([("a", T0, 100.0, 110.0), ("a", T0 + dt.timedelta(days=1), 110.0, 99.0)], "symbol string, start_time timestamp_ntz, open double, close double")
     got = {r.period: r.value for r in seasonality.seasonality(rows, "day", "2024-01-03 00:00:00", 168, 4).collect()}
