@@ -130,7 +130,8 @@ def stream_last_update(spark, sf):
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     price = F.col("value").cast("decimal(18,8)").cast("string")
     data = F.struct(ms.alias("t"), F.col("event_type").alias("s"), *[price.alias(c) for c in "ohlc"], price.alias("v"), F.lit(1).alias("n"))
-    raw = table(spark, sf, "events").select("ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("arrival"), F.to_json(F.struct(F.lit("candle").alias("channel"), data.alias("data"))).alias("raw"))
+    arrival = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id").alias("arrival")
+    raw = table(spark, sf, "events").select("ts", arrival, F.to_json(F.struct(F.lit("candle").alias("channel"), data.alias("data"))).alias("raw"))
     out = _replay(spark, _slices(raw, "ts"), lambda rows, work_: Q.land(Q.last_updates(rows), work_))
     return out.select("symbol", F.col("start_time").cast("timestamp_ntz").alias("start_time"), F.col("close").cast("double").alias("close"))
 

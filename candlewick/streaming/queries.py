@@ -11,14 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..config import COINTEGRATION_CADENCE_MINUTES
 from ..functions.scalar import at, hours
@@ -101,7 +102,36 @@ def deduplicated(rows: DataFrame, keys: list[str], expire: bool = True) -> DataF
     return rows.dropDuplicatesWithinWatermark(keys) if expire else rows.dropDuplicates(keys)
 
 
-def land(rows: DataFrame, work: str, trigger: dict | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Stepped:
+    """A stream whose batches are worked on as tables, by joins and groups of Spark's own; no task holds a key's rows.
+
+    ``step`` makes of a batch and of the rows that are held, of ``schema``, what is sent and what is held from then on:
+    rows of ``schema`` and ``held``.
+    """
+
+    rows: DataFrame
+    step: Callable[[DataFrame, DataFrame], DataFrame]
+    schema: StructType
+
+
+def _land_stepped(rows: Stepped, work: str, trigger: dict | None) -> DataFrame:
+    """Each batch writes what it sends and holds by its number and starts from what the one before holds; run again, it replaces its rows."""
+    spark, out = rows.rows.sparkSession, f"{work}/rows"
+    schema = StructType([*rows.schema.fields, StructField("held", BooleanType())])
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{out}/batch=-1")
+
+    def batch(b: DataFrame, i: int) -> None:
+        held = b.sparkSession.read.schema(schema).parquet(f"{out}/batch={i - 1}").where("held").drop("held")
+        rows.step(b, held).write.mode("overwrite").parquet(f"{out}/batch={i}")
+
+    _run(spark, rows.rows.writeStream.foreachBatch(batch), work, trigger)
+    return spark.read.schema(schema).parquet(out).where("not held").select(*rows.schema.names)
+
+
+def land(rows: DataFrame | Stepped, work: str, trigger: dict | None = None) -> DataFrame:
+    if isinstance(rows, Stepped):
+        return _land_stepped(rows, work, trigger)
     out = f"{work}/rows"
     _run(rows.sparkSession, rows.writeStream.format("parquet").option("path", out), work, trigger)
     return rows.sparkSession.read.schema(rows.schema).parquet(out)
@@ -194,33 +224,30 @@ def rolling_zscore(bars: DataFrame, window: int) -> DataFrame:
     return rows.groupBy(*keys).applyInPandasWithState(step, ", ".join([*[f"{c} string" for c in keys], "ms bigint, n bigint, z double, source string"]), "held binary, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def last_updates(raw: DataFrame, order: str = "arrival") -> DataFrame:
-    """The last update of each symbol and minute of the vendor that sends candles anew until the minute changes, as a stream.
+def last_updates(raw: DataFrame, order: str = "arrival") -> Stepped:
+    """The last update of each symbol and minute of the vendor that sends candles anew until the minute changes, for ``land``.
 
-    The state of a symbol is the open minute's last update; the first update of a later minute closes it. Updates of a
-    minute once a later one has begun are late and dropped. Files are to land in the order of arrival.
+    What is held is each symbol's open minute with its last update; the first update of a later minute closes it. Updates of
+    a minute once a later one has begun are late and dropped. ``order`` is of any type that has an order; it is that of
+    arrival, whatever the order of files and rows within a batch. Files are to land in the order of arrival.
     """
     parsed = vendors.hyperliquid_updates(raw, order)
-    own = [c for c in parsed.columns if c not in ("symbol", order)]
-    kinds = {f.name: f.dataType.simpleString() for f in parsed.schema.fields}
-    # Decimals and times travel as text: the state is one row of strings.
-    rows = parsed.select("symbol", F.col(order).cast("bigint").alias("at"), F.unix_millis("start_time").alias("minute"), F.to_json(F.struct(*own)).alias("body"))
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        minute, body = state.get if state.exists else (-1, "")
-        group, out = pd.concat(list(frames)).sort_values("at", kind="stable"), []
-        for now, text in zip(group["minute"], group["body"]):
-            if now < minute:
-                continue
-            if now > minute >= 0:
-                out.append((key[0], body))
-            minute, body = int(now), text
-        state.update((minute, body))
-        if out:
-            yield pd.DataFrame(out, columns=["symbol", "body"])
-
-    closed = rows.groupBy("symbol").applyInPandasWithState(step, "symbol string, body string", "minute bigint, body string", "append", GroupStateTimeout.NoTimeout)
-    return closed.select("symbol", F.from_json("body", ", ".join(f"{c} {kinds[c]}" for c in own)).alias("r")).select("symbol", "r.*")
+    keys, kind = ["symbol", "start_time"], parsed.schema[order].dataType
+    own = [c for c in parsed.columns if c != order]
+    rest = [c for c in own if c not in keys]
+
+    def step(new: DataFrame, held: DataFrame) -> DataFrame:
+        # What is held came before all that is new.
+        came = lambda n, x: F.struct(F.lit(n).alias("new"), x.alias("at")).alias("__came")
+        both = held.select(*own, came(0, F.lit(None).cast(kind))).unionByName(new.select(*own, came(1, F.col(order))))
+        later = Window.partitionBy("symbol").orderBy(F.desc("start_time")).rowsBetween(Window.unboundedPreceding, -1)
+        # A row for each minute: when the first later one began, null for the open minute.
+        ends = both.groupBy(*keys).agg(F.min("__came").alias("begun")).select(*keys, F.min("begun").over(later).alias("ended"))
+        timely = both.join(ends, keys).where("ended is null or __came <= ended")
+        last = timely.groupBy(*keys, F.col("ended").isNull().alias("held")).agg(F.max_by(F.struct(*rest), "__came").alias("r"))
+        return last.select(*[F.col(c) if c in keys else F.col("r")[c].alias(c) for c in own], "held")
+
+    return Stepped(parsed, step, StructType([parsed.schema[c] for c in own]))
 
 
 def _held(bars: DataFrame, work: str, longest_hours: int, as_of: str | None, trigger: dict | None, then: Callable[[DataFrame, str, int], None]) -> StreamingQuery:

@@ -100,6 +100,31 @@ def test_last_updates_over_several_runs(spark, tmp_path):
     assert sorted((r.start_time.minute, float(r.close), r.number_of_trades) for r in out.collect()) == [(0, 3.0, 4), (1, 4.0, 4)]
 
 
+def test_last_updates_by_order_of_arrival_without_python_tasks(spark, tmp_path):
+    """Shuffled batches with late updates and equal times of arrival, told apart by a number, against a loop; no step holds a symbol's rows in Python."""
+    schema, path = "arrival struct<us:bigint,id:bigint>, raw string", f"file://{tmp_path}/raw"
+    rng, batches, want, open_ = np.random.default_rng(8), [], {}, {}
+    body = lambda s, m, c: json.dumps({"channel": "candle", "data": {"t": 1_704_067_200_000 + m * 60_000 + 5, "s": s, "o": "1", "h": "2", "l": "1", "c": str(c), "v": "3", "n": 4}})
+    for b in range(4):
+        # The last batch has nothing of y, which stays open.
+        rows = [(1000 * b + k // 3, k, "x" if b == 3 else str(rng.choice(["x", "y"])), 9 * b + k // 12 - int(rng.integers(3)), 10_000 * b + k) for k in range(90)]
+        for *_, s, m, c in rows:
+            now, close = open_.get(s, (-9, None))
+            if m > now and close is not None:
+                want[s, now] = close
+            open_[s] = (m, c) if m >= now else (now, close)
+        batches.append([((us, i), body(s, m, c)) for us, i, s, m, c in rows])
+    for rows in batches:
+        landed(spark, path, [rows[k] for k in rng.permutation(len(rows))], schema)
+        stream = Q.last_updates(spark.readStream.schema(schema).parquet(path))
+        out = Q.land(stream, f"file://{tmp_path}/work")
+    minute = lambda t: round((t - pd.Timestamp("2024-01-01").to_pydatetime()).total_seconds() / 60)
+    assert {(r.symbol, minute(r.start_time)): int(r.close) for r in out.collect()} == want and out.count() == len(want) > 20
+    held = spark.createDataFrame([], stream.schema)
+    plan = stream.step(stream.rows.sparkSession.createDataFrame([], stream.rows.schema), held)._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
 def test_streams_keep_markets_apart(spark, tmp_path):
     schema, path = "exchange string, symbol string, start_time timestamp_ntz, close double", f"file://{tmp_path}/bars"
     hour = lambda h: (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)).to_pydatetime()
