@@ -104,15 +104,16 @@ def deduplicated(rows: DataFrame, keys: list[str], expire: bool = True) -> DataF
 
 @dataclass(frozen=True)
 class Stepped:
-    """A stream whose batches are worked on as tables, by joins and groups of Spark's own; no task holds a key's rows.
+    """A stream whose batches are worked on as tables, by joins, groups and sorts of Spark's own; no task holds a key's rows.
 
     ``step`` makes of a batch and of the rows that are held, of ``schema``, what is sent and what is held from then on:
-    rows of ``schema`` and ``held``.
+    rows of ``schema`` and ``held``. ``columns`` are those of ``schema`` that are sent, by default all.
     """
 
     rows: DataFrame
     step: Callable[[DataFrame, DataFrame], DataFrame]
     schema: StructType
+    columns: list[str] | None = None
 
 
 def _land_stepped(rows: Stepped, work: str, trigger: dict | None) -> DataFrame:
@@ -126,7 +127,7 @@ def _land_stepped(rows: Stepped, work: str, trigger: dict | None) -> DataFrame:
         rows.step(b, held).write.mode("overwrite").parquet(f"{out}/batch={i}")
 
     _run(spark, rows.rows.writeStream.foreachBatch(batch), work, trigger)
-    return spark.read.schema(schema).parquet(out).where("not held").select(*rows.schema.names)
+    return spark.read.schema(schema).parquet(out).where("not held").select(*(rows.columns or rows.schema.names))
 
 
 def land(rows: DataFrame | Stepped, work: str, trigger: dict | None = None) -> DataFrame:

@@ -19,15 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.scalar import stream_position
 from ..operators.blocks import BLOCK_SYMBOLS
 from ..operators.scope import scope
+from .queries import Stepped
 
 #: Steps after which the sums are made anew, and published times that are remembered.
 REBUILD, RECENT = 1440, 500
@@ -287,56 +287,76 @@ def after_position(log: DataFrame, position: str | None, id_col: str = "id") ->
     return log.where((at["ms"] > ms) | ((at["ms"] == ms) & (at["seq"] > seq)))
 
 
-def forced_by_newer(rows: DataFrame, expected: int) -> DataFrame:
-    """start_time, symbols, complete: each minute once, when its last symbol is there or a newer minute begins.
+def forced_by_newer(rows: DataFrame, expected: int) -> Stepped:
+    """start_time, symbols, complete: each minute once, when its last symbol is there or a newer minute begins; for ``land``.
 
-    The state of a market is its newest minute, whether it was sent, and its symbols. Ticks (ts, event_type) count in the
-    order of their times within a batch; those of an older minute, or of one that was sent, are late and dropped.
+    What is held of a market is its newest minute, whether it was sent, and its symbols. Ticks (ts, event_type) count in the
+    order of their minutes within a batch; those of an older minute, or of one that was sent, are late and dropped.
     """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        minute, sent, text = state.get if state.exists else (-1, True, "")
-        seen, out = set(text.split("\x1f")) - {""}, []
-        rows = pd.concat(list(frames)).sort_values(["minute", "at", "symbol"], kind="stable")
-        for now, symbol in zip(rows["minute"], rows["symbol"]):
-            if now < minute or (now == minute and sent):
-                continue
-            if now > minute:
-                if not sent:
-                    out.append((*key, minute, len(seen), False))
-                minute, sent, seen = int(now), False, set()
-            seen.add(symbol)
-            if len(seen) >= expected:
-                out.append((*key, minute, len(seen), True))
-                sent = True
-        state.update((minute, sent, "\x1f".join(sorted(seen))))
-        if out:
-            yield pd.DataFrame(out, columns=[*keys, "minute", "symbols", "complete"])
-
     keys = scope(rows) or ["market"]
-    each = rows.select(*(scope(rows) or [F.lit("").alias("market")]), F.unix_millis(F.date_trunc("minute", "ts")).alias("minute"), F.unix_micros("ts").alias("at"), F.col("event_type").alias("symbol"))
-    out = each.groupBy(*keys).applyInPandasWithState(step, ", ".join([*[f"{c} string" for c in keys], "minute bigint, symbols bigint, complete boolean"]), "minute bigint, sent boolean, symbols string", "append", GroupStateTimeout.NoTimeout)
-    return out.select(*scope(rows), F.timestamp_millis("minute").alias("start_time"), "symbols", "complete")
-
-
-def published_once(events: DataFrame, recent: int = RECENT, order: str = "arrival") -> DataFrame:
-    """The events (timestamp_ms, ``order``) whose time isn't among the last ``recent`` published times of their market."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = np.frombuffer(state.get[0], np.int64).tolist() if state.exists else []
-        known, out = set(held), []
-        for at, time in pd.concat(list(frames)).sort_values(["at", "time"], kind="stable")[["at", "time"]].itertuples(index=False):
-            if time not in known:
-                held.append(int(time))
-                known.add(int(time))
-                out.append((*key, int(time), int(at)))
+    each = rows.select(*(scope(rows) or [F.lit("").alias("market")]), F.date_trunc("minute", "ts").alias("start_time"), F.col("event_type").alias("symbol"))
+    columns = ["start_time", "symbols", "complete"]
+    schema = StructType.fromDDL(", ".join([*[f"{c} string" for c in keys], "start_time timestamp, symbols bigint, complete boolean, seen array<string>"]))
+
+    def step(new: DataFrame, held: DataFrame) -> DataFrame:
+        minutes = new.groupBy(*keys, "start_time").agg(F.collect_set("symbol").alias("seen")).withColumn("sent", F.lit(None).cast("boolean"))
+        # ``sent`` is null where nothing was held of a minute.
+        both = minutes.unionByName(held.select(*keys, "start_time", "seen", F.col("complete").alias("sent"))).where("start_time is not null")
+        each = both.groupBy(*keys, "start_time").agg(F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"), F.max("sent").alias("sent"))
+        market = Window.partitionBy(*keys)
+        each = each.withColumns({"newest": F.max("start_time").over(market), "before": F.max(F.when(F.col("sent").isNotNull(), F.col("start_time"))).over(market)})
+        each = each.where("before is null or start_time >= before").withColumns({"full": F.size("seen") >= expected, "sent": F.coalesce("sent", F.lit(False)), "open": F.col("start_time") == F.col("newest")})
+        count = F.least(F.size("seen"), F.lit(expected)).cast("bigint").alias("symbols")
+        sent = each.where("not sent and (full or not open)").select(*keys, "start_time", count, F.col("full").alias("complete"), F.lit(None).cast("array<string>").alias("seen"), F.lit(False).alias("held"))
+        kept = each.where("open").select(*keys, "start_time", count, (F.col("sent") | F.col("full")).alias("complete"), "seen", F.lit(True).alias("held"))
+        return sent.unionByName(kept)
+
+    return Stepped(each, step, schema, [*scope(rows), *columns])
+
+
+def published_once(events: DataFrame, recent: int = RECENT, order: str = "arrival") -> Stepped:
+    """The events (timestamp_ms, ``order``) whose time isn't among the last ``recent`` published times of their market; for ``land``.
+
+    These times are what is held of a market. Spark sorts a batch behind them, and a task reads the sorted rows one part
+    after the other.
+    """
+    keys = scope(events) or ["market"]
+    each = events.select(*(scope(events) or [F.lit("").alias("market")]), F.col("timestamp_ms").cast("bigint").alias("timestamp_ms"), F.col(order).cast("bigint").alias(order)).where("timestamp_ms is not null")
+    names = [*keys, "timestamp_ms", order, "place"]
+    ddl = ", ".join([*[f"{c} string" for c in keys], f"timestamp_ms bigint, {order} bigint, place bigint"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, known, last = None, [], set(), None
+
+        def kept() -> pd.DataFrame:
+            return pd.DataFrame([(*key, t, None, k, True) for k, t in enumerate(held)], columns=[*names, "held"])
+
+        for frame in frames:
+            out = []
+            for at in frame[names].itertuples(index=False, name=None):
+                if at[: len(keys)] != key:
+                    if key is not None:
+                        yield kept()
+                    key, held, known, last = at[: len(keys)], [], set(), None
+                time, came, place = at[len(keys) :]
+                if time == last or (time in known and pd.isna(place)):
+                    last = time
+                    continue
+                last = time
+                held.append(time)
+                known.add(time)
+                if pd.isna(place):
+                    out.append((*key, time, came, None, False))
                 if len(held) > recent:
                     known.discard(held.pop(0))
-        state.update((np.array(held, np.int64).tobytes(),))
-        if out:
-            yield pd.DataFrame(out, columns=[*keys, "timestamp_ms", order])
+            if out:
+                yield pd.DataFrame(out, columns=[*names, "held"])
+        if key is not None:
+            yield kept()
 
-    keys = scope(events) or ["market"]
-    each = events.select(*(scope(events) or [F.lit("").alias("market")]), F.col("timestamp_ms").cast("bigint").alias("time"), F.col(order).cast("bigint").alias("at")).where("time is not null")
-    out = each.groupBy(*keys).applyInPandasWithState(step, ", ".join([*[f"{c} string" for c in keys], f"timestamp_ms bigint, {order} bigint"]), "held binary", "append", GroupStateTimeout.NoTimeout)
-    return out.select(*scope(events), "timestamp_ms", order)
+    def step(new: DataFrame, held: DataFrame) -> DataFrame:
+        both = held.unionByName(new.withColumn("place", F.lit(None).cast("bigint")))
+        both = both.repartition(*keys).sortWithinPartitions(*keys, F.col("place").asc_nulls_last(), order, "timestamp_ms")
+        return both.mapInPandas(run, f"{ddl}, held boolean")
+
+    return Stepped(each, step, StructType.fromDDL(ddl), [*scope(events), "timestamp_ms", order])

@@ -230,3 +230,40 @@ def test_the_listener_hears_of_each_check(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert listener.checked and not listener.drifted
+
+
+def test_forced_minutes_and_published_times_hold_no_batch(spark, tmp_path):
+    """Shuffled ticks over several batches against loops over them; forced minutes have no Python task, published times no group of one."""
+    schema, rng = "exchange string, ts timestamp, event_type string, timestamp_ms bigint, arrival bigint", np.random.default_rng(5)
+    T = pd.Timestamp("2024-01-01", tz="UTC")
+    open_, sent, held, once = {}, [], {}, []
+    for b in range(4):
+        n = 60
+        rows = [(str(rng.choice(["x", "y"])), int(rng.integers(900 * b - 60, 900 * b + 900)), str(rng.choice(list("abc"))), int(rng.integers(0, 9)), 1000 * b + k) for k in range(n)]
+        for e, sec, symbol, *_ in sorted(rows, key=lambda r: (r[1] // 60, r[1], r[2])):
+            m, done, seen = open_.get(e, (-9, True, set()))
+            if sec // 60 < m or (sec // 60 == m and done):
+                continue
+            if sec // 60 > m:
+                if not done:
+                    sent.append((e, m, len(seen), False))
+                m, done, seen = sec // 60, False, set()
+            seen = seen | {symbol}
+            if len(seen) >= 2:
+                sent.append((e, m, 2, True))
+                done = True
+            open_[e] = m, done, seen
+        for e, *_, time, at in rows:
+            if time not in held.setdefault(e, []):
+                held[e] = [*held[e], time][-3:]
+                once.append((e, time, at))
+        land(spark, f"file://{tmp_path}/in", [(e, (T + pd.Timedelta(seconds=s)).to_pydatetime(), k, t, at) for e, s, k, t, at in (rows[i] for i in rng.permutation(n))], schema)
+        stream = lambda: spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in")
+        forced, published = S.forced_by_newer(stream(), 2), S.published_once(stream(), 3)
+        minutes, times = Q.land(forced, f"file://{tmp_path}/forced"), Q.land(published, f"file://{tmp_path}/once")
+    got = [(r.exchange, round((r.start_time - T.to_pydatetime().replace(tzinfo=None)).total_seconds() / 60), r.symbols, r.complete) for r in minutes.collect()]
+    assert sorted(got) == sorted(sent) and {c for *_, c in sent} == {True, False}
+    assert sorted(tuple(r) for r in times.collect()) == sorted(once) and len(once) > 100
+    plan = lambda s: s.step(spark.createDataFrame([], s.rows.schema), spark.createDataFrame([], s.schema))._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan(forced) and "Python" not in plan(forced)
+    assert "MapInPandas" in plan(published) and "GroupsInPandas" not in plan(published)
