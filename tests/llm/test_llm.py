@@ -393,6 +393,39 @@ def test_suffix_dedup_equals_brute_force(spark, limit, piece):
         assert got[i if i < len(texts) - 1 else None] == want, i
 
 
+def brute_passages(texts, n):
+    """For each text, the words that lie in a run of ``n`` words which also starts anywhere else."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+    return [len({k for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for k in range(i, i + n)}) for w in words]
+
+
+@pytest.mark.parametrize("limit, piece", [(1000, 1 << 18), (2, 1 << 18), (1000, 1500)])
+def test_passages_of_over_50_words_under_400_bytes_are_counted(spark, limit, piece):
+    """Passages of 51 and 50 words and under 400 bytes: no byte goes, and those of 51 words are counted whatever parts their words."""
+    rng = np.random.default_rng(17)
+    say = lambda k: ["".join(rng.choice(list("abcdeé"), rng.integers(1, 7))) for _ in range(k)]
+    over, under, long = say(51), say(50), say(90)
+    texts = [None, "", " \n", *(" ".join(say(20) + part + say(25)) for part in (over, over, under, under, over + ["x"] + under, long, long[:70], long[15:]))]
+    texts += ["\t \r\n".join(over), "a " * 60, "\x0b".join(say(5) + ["b"] * 51 + ["c"])]
+    rows = suffix_dedup.remove_repeats(docs(spark, texts), bucket_limit=limit, piece_bytes=piece, min_words=51).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
+    want = brute_passages(texts, 51)
+    assert [{r.doc_id: r.n_words_repeated for r in rows}[i] for i in range(len(texts))] == want and want[3:8] == [51, 51, 0, 0, 51]
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 400) and {got[i][1] for i in (3, 4, 7)} == {0}
+
+
+def test_hashed_words_do_not_depend_on_where_a_text_is_cut(monkeypatch):
+    text = " ".join(["ab", "c" * 40, "ab", "d", "c" * 40, "e" * 17, "d"] * 3).encode()
+    monkeypatch.setattr(suffix_dedup, "PIECE", 16)
+    for lead in (b"", b"\n", b" \t ", b"xyz ", b" " * 50):
+        first, got, none = suffix_dedup.hashed_words([text, lead + text + b" ", b" "])
+        hashes = [got[i : i + 8] for i in range(0, len(got), 8)]
+        assert first == suffix_dedup.hashed_words([text])[0] and not none and got.endswith(first)
+        words = (lead + text).split()
+        assert len(hashes) == len(words) and len(set(zip(words, hashes))) == len(set(words)) == len(set(hashes))
+
+
 def test_suffix_dedup_refuses_pieces_whose_places_have_no_room(spark):
     with pytest.raises(ValueError, match="piece_bytes"):
         suffix_dedup.remove_repeats(docs(spark, ["a"]), piece_bytes=1 << 24)
